@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from utrflow.llm import exact_dedup
+from utrflow.llm import exact_dedup, packing
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op9_packing": packing.op9_packing,
 }
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
