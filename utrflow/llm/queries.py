@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from utrflow.llm import exact_dedup, packing
+from utrflow.llm import exact_dedup, packing, piece_codec
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op9_packing": packing.op9_packing,
+    "op10_piece_codec": piece_codec.op10_piece_codec,
 }
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
