@@ -49,8 +49,8 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64))
 
 
-def repeated_filter(hashes: DataFrame, column: str, rows: int) -> bytes:
-    """The packed bits of cells that at least two of the ``rows`` hashes in ``column`` hit. Null hashes are left out."""
+def repeated_filter(hashes: DataFrame, column: str, rows: int, least: int = 2) -> bytes:
+    """The packed bits of cells that at least two of the ``rows`` hashes in ``column`` hit (one, if ``least`` is 1). Null hashes are left out."""
     cells = cells_for(rows)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,7 +61,7 @@ def repeated_filter(hashes: DataFrame, column: str, rows: int) -> bytes:
         segment = at // SEGMENT
         edges = np.flatnonzero(np.diff(segment, prepend=-1))
         for a, b in zip(edges, [*edges[1:], len(at)], strict=True):
-            own, many = at[a:b] - segment[a] * SEGMENT, n[a:b] > 1
+            own, many = at[a:b] - segment[a] * SEGMENT, n[a:b] >= least
             yield pa.RecordBatch.from_pydict({"segment": pa.array([segment[a]], pa.int64()), "once": pa.array([_packed(own)], pa.binary()), "twice": pa.array([_packed(own[many])], pa.binary())})
 
     def merged(_key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
