@@ -20,12 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utrflow.llm.agenda import Merges
-from utrflow.llm.segments import END, IdCache, joined, ragged
+from utrflow.llm.segments import END, IdCache, joined, ragged, sized, small_batches
 from utrflow.plans.storage import written
 
 WINDOW, OPEN, MERGED_TASKS = 1024, 64, 256
-#: Texts are worked on in portions of about so many bytes.
-PORTION = 4 << 20
 LETTER, NUMBER, SPACE, OTHER, STOP, UNSEEN = 1, 2, 3, 4, 5, 0
 
 
@@ -211,6 +209,7 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", id_col: str = "doc_i
     texts have only that. Ids may be null or repeat: each row is a document of its own. Other columns are not read. An
     empty table gives no rows. Every sequence is full but for the last few of each 256 tasks, which have power-of-two sizes.
     """
+    small_batches(df.sparkSession)
     id_type = df.schema[id_col].dataType
     arrow = df.select(F.col(id_col).alias("doc")).limit(0).toArrow().schema.field(0).type
 
@@ -218,7 +217,7 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", id_col: str = "doc_i
         task = TaskContext.get().partitionId()
         encoder, rows = _encoder(tokenizer), _Rows(arrow, True)
         packer = Packer(task << 32, rows.add, window, most_open)
-        for docs, texts in _portions(batches):
+        for docs, texts in sized(batches):
             for doc, ids in zip(docs, encoder.encode(texts), strict=True):
                 packer.add(doc, 0, len(ids) + 1, np.append(ids, np.uint32(end_id)))
             yield rows.take()
@@ -255,20 +254,6 @@ def _encoder(path: str) -> ByteLevelEncoder:
     return _encoders[path]
 
 
-def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
-    for b in batches:
-        docs, texts, size = [], [], 0
-        for doc, text in zip(b.column(0), b.column(1).cast(pa.binary()), strict=True):
-            docs.append(doc.as_py())
-            texts.append(text.as_py() or b"")
-            size += len(texts[-1])
-            if size >= PORTION:
-                yield docs, texts
-                docs, texts, size = [], [], 0
-        if docs:
-            yield docs, texts
-
-
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -16,10 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utrflow.llm.agenda import Merges
-from utrflow.llm.segments import IdCache, joined, ragged
+from utrflow.llm.segments import IdCache, joined, ragged, sized, small_batches
 
 MARK = "▁".encode()
-PORTION = 4 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -227,21 +226,6 @@ def codec(path: str) -> PieceCodec:
     return _codecs[path]
 
 
-def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
-    """The batches' first column and their texts (null as empty) in portions of a few MB."""
-    for b in batches:
-        docs, texts, size = [], [], 0
-        for doc, text in zip(b.column(0), b.column(1).cast(pa.binary()), strict=True):
-            docs.append(doc)
-            texts.append(text.as_py() or b"")
-            size += len(texts[-1])
-            if size >= PORTION:
-                yield docs, texts
-                docs, texts, size = [], [], 0
-        if docs:
-            yield docs, texts
-
-
 def encode_texts(df: DataFrame, model: str, text: str = "text", id_col: str = "doc_id", digests: bool = False) -> DataFrame:
     """The id and ``ids`` (array) and ``decoded`` (the text they give) of each row; null texts count as empty (no ids).
 
@@ -249,15 +233,16 @@ def encode_texts(df: DataFrame, model: str, text: str = "text", id_col: str = "d
     segments in which the agenda differed from the library (whose ids then stand): 0 unless one of the two is at fault.
     Ids may be null or repeat; other columns are not read; an empty table gives no rows.
     """
+    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     arrow = df.select(F.col(id_col).alias("doc")).limit(0).toArrow().schema.field(0).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for docs, texts in portions(batches):
+        for docs, texts in sized(batches):
             before = c.unequal
             ids, counts = c.encode(texts)
-            decoded, docs = c.decode(ids, counts), pa.array([d.as_py() for d in docs], arrow)
+            decoded, docs = c.decode(ids, counts), pa.array(docs, arrow)
             unequal = pa.array([c.unequal - before] * len(docs), pa.int64())
             if digests:
                 hashed = [[hashlib.sha256(x).hexdigest() for x in xs] for xs in (c.id_lists(ids, counts), decoded)]

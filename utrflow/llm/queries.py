@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from utrflow.llm import exact_dedup, ngram_join, packing, piece_codec
+from utrflow.llm import exact_dedup, ngram_join, packing, piece_codec, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_ngram_join": ngram_join.op2_ngram_join,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op9_packing": packing.op9_packing,
     "op10_piece_codec": piece_codec.op10_piece_codec,
 }

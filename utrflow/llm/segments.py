@@ -108,3 +108,30 @@ class IdCache:
             self._add(keys[new], *self.encode([bytes(data[a:b]) for a, b in zip(s, e, strict=True)]))
             fill()
         return inverse, at, ln
+
+
+def lowered(buf: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z."""
+    return buf + ((buf >= 65) & (buf <= 90)).astype(np.uint8) * np.uint8(32)
+
+
+def small_batches(spark) -> None:
+    """From now on the session's Arrow batches hold 8 MB, so that long texts don't make them large."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def sized(batches, size: int = 4 << 20):
+    """The first column's values and the second's texts as bytes (null as empty), in portions of about ``size`` bytes."""
+    import pyarrow as pa
+
+    for b in batches:
+        docs, texts, used = [], [], 0
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
+            docs.append(doc)
+            texts.append(text.as_py() or b"")
+            used += len(texts[-1])
+            if used >= size:
+                yield docs, texts
+                docs, texts, used = [], [], 0
+        if docs:
+            yield docs, texts
