@@ -51,28 +51,42 @@ def dedup_index(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> Da
     return single.unionByName(many)
 
 
-def exact_dedup(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``df`` with one row of each group of equal texts: that with the smallest id (nulls last), all columns as they were.
+def marked(hashed: DataFrame, key: str, id_col: str) -> DataFrame:
+    """``hashed`` with keep_id, group_size and kept: of rows with equal ``key`` that with the smallest id is kept.
 
-    Hashes are counted first; then ``df`` is read again, rows whose hash surely occurs once pass straight through, and
-    only the others are shuffled, with all their columns. Where several rows share a text and the smallest id, one stays.
+    Keys are counted first; then ``hashed`` is read again, rows whose key surely occurs once pass straight through, and only
+    the others are shuffled, with all their columns. A null key equals nothing. Null ids come last. Where several rows share
+    a key and the smallest id, one is kept: rows are ranked within their input partition, then the first of each partition.
     """
-    own = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__doc")
-    hashed = df.select(own).withColumn("__id", F.col(f"__doc.`{id_col}`")).withColumn("text_sha256", text_sha256(F.col(f"__doc.`{text}`")))
-    rows = written(hashed.select("__id", "text_sha256").withColumn("__row", F.lit(0).cast("long")), "hashes")
+    rows = written(hashed.select(F.col(id_col).alias("__id"), F.col(key).alias("text_sha256")).withColumn("__row", F.lit(0).cast("long")), "hashes")
     total = rows.count()
-    groups, test = _groups(rows, total)
-    tested = hashed.withColumn("__h", F.xxhash64("text_sha256")).withColumn("__may", test).drop("__h")
-    many = join_sized(tested.filter("__may"), groups, "text_sha256", "group_size", total)
-    first = many.filter(F.col("group_size").isNull() | F.col("__id").eqNullSafe(F.col("keep_id")))
-    hits = rows.join(groups.withColumnRenamed("keep_id", "__id"), ["text_sha256", "__id"], "left_semi").groupBy("text_sha256").count()
-    if not hits.filter("count > 1").isEmpty() or not groups.filter("keep_id is null").isEmpty():
-        # rows with the same id and text: first one of each input partition, then one of those
-        by = F.coalesce(F.col("text_sha256"), F.lit(""))
-        first = first.withColumn("__part", F.spark_partition_id())
-        first = first.withColumn("__n", F.row_number().over(Window.partitionBy("text_sha256", "__part").orderBy("__id"))).filter("__n = 1")
-        first = first.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy("__part"))).filter("__n = 1")
-    return tested.filter(~F.col("__may")).select("__doc.*").unionByName(first.select("__doc.*"))
+    groups, test = _groups(rows.filter("text_sha256 is not null"), total)
+    groups = groups.drop("__keep_row").withColumnRenamed("text_sha256", "__key")
+    tested = hashed.withColumn("__key", F.col(key)).withColumn("__id", F.col(id_col)).withColumn("text_sha256", F.col("__key"))
+    tested = tested.withColumn("__h", F.when(F.col("__key").isNotNull(), F.xxhash64("__key"))).withColumn("__may", test)
+    own = [F.col(f"`{c}`") for c in hashed.columns]
+    single = tested.filter(~F.col("__may")).select(*own, F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    many = join_sized(tested.filter("__may"), groups, "__key", "group_size", total)
+    first = F.col("group_size").isNull() | F.col("__id").eqNullSafe(F.col("keep_id"))
+    hits = rows.join(groups.select(F.col("__key").alias("text_sha256"), F.col("keep_id").alias("__keep")), "text_sha256").filter(F.col("__id").eqNullSafe(F.col("__keep"))).groupBy("text_sha256").count()
+    if hits.filter("count > 1").isEmpty():
+        many = many.withColumn("kept", first)
+    else:
+        rest = many.filter(~first).withColumn("kept", F.lit(False))
+        ranked = many.filter(first).withColumn("__part", F.spark_partition_id())
+        ranked = ranked.withColumn("__n", F.row_number().over(Window.partitionBy("__key", "__part").orderBy("__id")))
+        again = ranked.filter("__n > 1").withColumn("kept", F.lit(False)).drop("__n", "__part")
+        lead = ranked.filter("__n = 1").withColumn("kept", F.row_number().over(Window.partitionBy("__key").orderBy("__part")) == 1)
+        many = rest.unionByName(again).unionByName(lead.drop("__n", "__part"))
+    keep = F.when(F.col("group_size").isNull(), F.col("__id")).otherwise(F.col("keep_id"))
+    return single.unionByName(many.select(*own, keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "kept"))
+
+
+def exact_dedup(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``df`` with one row of each group of equal texts: that with the smallest id (see ``marked``), all columns as they were."""
+    own = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__doc")
+    hashed = df.select(own).withColumn("__number", F.col(f"__doc.`{id_col}`")).withColumn("__text", text_sha256(F.col(f"__doc.`{text}`")))
+    return marked(hashed, "__text", "__number").filter("kept").select("__doc.*")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

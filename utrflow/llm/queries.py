@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from utrflow.llm import exact_dedup, ngram_join, packing, piece_codec, toxicity
+from utrflow.llm import exact_dedup, ngram_join, packing, piece_codec, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_warc": warc.op4_warc,
     "op9_packing": packing.op9_packing,
     "op10_piece_codec": piece_codec.op10_piece_codec,
 }
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op4_warc": warc.OP4_SQL,
 }
