@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from utrflow.llm import exact_dedup, licenses, ngram_join, packing, pii, piece_codec, toxicity, warc
+from utrflow.llm import curves, exact_dedup, licenses, ngram_join, packing, pii, piece_codec, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_warc": warc.op4_warc,
     "op6_pii": pii.op6_pii,
     "op7_licenses": licenses.op7_licenses,
+    "op8_curves": curves.op8_curves,
     "op9_packing": packing.op9_packing,
     "op10_piece_codec": piece_codec.op10_piece_codec,
 }
