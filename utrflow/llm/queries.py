@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from utrflow.llm import curves, exact_dedup, licenses, ngram_join, packing, pii, piece_codec, toxicity, warc
+from utrflow.llm import curves, exact_dedup, licenses, ngram_join, packing, pii, piece_codec, quotes, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_warc": warc.op4_warc,
+    "op5_quotes": quotes.op5_quotes,
     "op6_pii": pii.op6_pii,
     "op7_licenses": licenses.op7_licenses,
     "op8_curves": curves.op8_curves,
