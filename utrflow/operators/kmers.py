@@ -75,13 +75,16 @@ def pairs(reads: DataFrame, k: int, k2: int | None = None, by: list[str] = (), f
     """
     k2 = k2 or k
     least = k if least is None else least
-    numbered = lambda x: F.transform(x, lambda w, i: F.struct(i.alias("at"), w.alias("w")))
-    a, b = numbered(kmers(F.col("seq"), k)), numbered(kmers(F.col("seq"), k2))
+    length = F.length("seq")
+    low = lambda i: F.greatest(i + least, F.lit(0))
+    width = lambda i: (F.least(i + most + k2, length) if most is not None else length) - low(i)
+    around = F.transform(F.sequence(F.lit(0), F.greatest(length - k, F.lit(0))), lambda i: F.struct(F.substr("seq", i + 1, F.lit(k)).alias("a"), F.substr("seq", low(i) + 1, F.greatest(width(i), F.lit(0))).alias("near"), (low(i) - i).alias("from")))
+    # the neighbourhood is a column of its own, so that its windows are cut from a short text
+    rows = reads.filter(length >= k).select(*by, read, F.explode(around).alias("p")).filter(F.length("p.near") >= k2)
     if first is not None:
-        a = F.filter(a, lambda x: x["w"].isin(first))
-    inside = lambda p, q: (q["at"] - p["at"] >= least) & ((q["at"] - p["at"] <= most) if most is not None else F.lit(True))
-    made = F.flatten(F.transform(a, lambda p: F.transform(F.filter(b, lambda q: inside(p, q)), lambda q: F.struct(p["w"].alias("a"), q["w"].alias("b"), (q["at"] - p["at"]).alias("d")))))
-    return reads.select(*by, read, F.explode(made).alias("p")).select(*by, read, "p.*")
+        rows = rows.filter(F.col("p.a").isin(first))
+    made = F.transform(F.sequence(F.lit(0), F.length("p.near") - k2), lambda j: F.struct(F.substr("p.near", j + 1, F.lit(k2)).alias("b"), (F.col("p.from") + j).alias("d")))
+    return rows.select(*by, read, F.col("p.a").alias("a"), F.explode(made).alias("q")).select(*by, read, "a", "q.b", "q.d")
 
 
 def joint_by_distance(reads: DataFrame, k: int, by: list[str] = (), most: int | None = None) -> DataFrame:
