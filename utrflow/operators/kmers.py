@@ -51,8 +51,9 @@ def reads_with_any(reads: DataFrame, some: list[str], by: list[str] = ()) -> Dat
 
 def pure_reads(reads: DataFrame, some: list[str], k: int, by: list[str] = ()) -> DataFrame:
     """(by, kmer, n): reads that hold exactly one of the k-mers, by which."""
-    own = F.array_intersect(F.array_distinct(kmers(F.col("seq"), k)), F.array(*map(F.lit, some)))
-    return reads.withColumn("__own", own).filter(F.size("__own") == 1).groupBy(*by, F.col("__own")[0].alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
+    held = reads.select(*by, "read_id", F.explode(kmers(F.col("seq"), k)).alias("kmer")).filter(F.col("kmer").isin(some)).distinct()
+    one = held.groupBy(*by, "read_id").agg(F.count(F.lit(1)).alias("__n"), F.min("kmer").alias("kmer")).filter("__n = 1")
+    return one.groupBy(*by, "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
 def best_hits(reads: DataFrame, ranks: DataFrame, k: int, by: list[str] = (), read: str = "read_id") -> DataFrame:

@@ -382,7 +382,7 @@ def q36_set_operations(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-Q36 = "WITH c AS (SELECT c_custkey AS k FROM customer), o AS (SELECT o_custkey AS k FROM orders), x AS (SELECT 'all' AS what, k FROM (SELECT k FROM c UNION ALL SELECT k FROM o) UNION ALL SELECT 'except', k FROM c WHERE k NOT IN (SELECT k FROM o) UNION ALL SELECT 'intersect', k FROM c WHERE k IN (SELECT k FROM o) UNION ALL SELECT 'distinct', k FROM (SELECT DISTINCT k FROM o)) SELECT what, count(*) AS n, sum(k)::BIGINT AS total FROM x GROUP BY 1"
+Q36 = "WITH c AS (SELECT c_custkey AS k FROM customer), o AS (SELECT o_custkey AS k FROM orders) SELECT 'all' AS what, count(*) AS n, sum(k)::BIGINT AS total FROM (SELECT k FROM c UNION ALL SELECT k FROM o) UNION ALL SELECT 'except', count(*), sum(k)::BIGINT FROM c WHERE k NOT IN (SELECT k FROM o) UNION ALL SELECT 'intersect', count(*), sum(k)::BIGINT FROM c WHERE k IN (SELECT k FROM o) UNION ALL SELECT 'distinct', count(*), sum(k)::BIGINT FROM (SELECT DISTINCT k FROM o)"
 
 
 def q37_scalar_functions(spark: SparkSession, d: str) -> DataFrame:
