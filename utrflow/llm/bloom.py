@@ -83,6 +83,12 @@ def repeated_filter(hashes: DataFrame, column: str, rows: int, least: int = 2) -
     return bits.tobytes()
 
 
+def hits(table: np.ndarray, h: np.ndarray, cells: int) -> np.ndarray:
+    """Whether all cells of each hash are set in the packed bits."""
+    at = _cells(h, cells)
+    return ((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
+
+
 def may_repeat(spark, bits: bytes, rows: int, column: str) -> Column:
     """True where the hash in ``column`` may occur more than once; false only where it surely doesn't. Null gives false."""
     shared, cells = spark.sparkContext.broadcast(bits), cells_for(rows)
@@ -91,7 +97,6 @@ def may_repeat(spark, bits: bytes, rows: int, column: str) -> Column:
     def test(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = np.frombuffer(shared.value, np.uint8)
         for s in batches:
-            at = _cells(s.fillna(0).to_numpy().astype(np.int64), cells)
-            yield pd.Series(((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0) & s.notna().to_numpy())
+            yield pd.Series(hits(table, s.fillna(0).to_numpy().astype(np.int64), cells) & s.notna().to_numpy())
 
     return test(F.col(column))

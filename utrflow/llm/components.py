@@ -14,17 +14,20 @@ def _with_least(pairs: DataFrame, total: int) -> DataFrame:
     return join_sized(pairs, least, "u", "n", total).drop("n")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge to its root, and no root has one."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e"))
+    return ends.groupBy("e.x").agg(F.sum("e.up").alias("ups"), F.min("e.up").alias("root")).filter("ups > 1 or (ups = 1 and root = 0)").isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for each node of the edges: the root is the smallest node of its component. Edges are undirected."""
     now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct(), "edges")
-    seen = None
-    while True:
-        total, mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if seen == (total, mark) or not total:
-            break
-        seen = (total, mark)
+    total = now.count()
+    while total and not _stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = written(_with_least(both, 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), "large")
         small = _with_least(large, total).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         now = written(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u != v").distinct(), "edges")
+        total = now.count()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

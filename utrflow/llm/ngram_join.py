@@ -7,7 +7,8 @@ pairs, against the candidates (at most the summed frequencies, divided by l) to
 prefix shingles before its whole sets are compared.
 
 Equal sets are one node. Large groups of near copies never become all pairs: two rounds compare each node with one leader
-it shares prefix shingles with; then only pairs of nodes that are still in different components are enumerated.
+it shares prefix shingles with; then only pairs of nodes that are still in different components are enumerated, where their
+sizes and the places of a common shingle allow a link.
 """
 
 from __future__ import annotations
@@ -16,18 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utrflow.llm.bloom import may_repeat, repeated_filter
+from utrflow.llm.bloom import cells_for, hits, may_repeat, repeated_filter
 from utrflow.llm.components import components
-from utrflow.llm.segments import END, hashes, joined, mixed
+from utrflow.llm.segments import END, hashes, joined, lowered, mixed, sized, small_batches
 from utrflow.plans.storage import join_sized, written
 
 WORDS, MOST_MATCHES = 5, 8
 #: Shingles whose frequency is known to the order: at most so many (2 MB); they steer cost only, never the result.
 FREQUENT = 1 << 17
-PORTION = 4 << 20
 BUCKET = 2_000_000
 #: Lists of shingles with more nodes than this aren't gathered in a bucket.
 LONG_LIST = 200_000
@@ -37,7 +37,7 @@ _MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F16
 def shingle_sets(texts: list[bytes], seed: int = 0) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's shingles of five words; of all its words, if it has fewer."""
     buf, stops = joined(texts)
-    buf = buf + ((buf >= 65) & (buf <= 90)).astype(np.uint8) * np.uint8(32)
+    buf = lowered(buf)
     word = ~((buf == 0x20) | ((buf >= 9) & (buf <= 13)) | (buf == END))
     edge = np.diff(word.astype(np.int8), prepend=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -59,20 +59,6 @@ def shingle_sets(texts: list[bytes], seed: int = 0) -> list[np.ndarray]:
     return out
 
 
-def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
-    for b in batches:
-        docs, texts, size = [], [], 0
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
-            docs.append(doc)
-            texts.append(text.as_py() or b"")
-            size += len(texts[-1])
-            if size >= PORTION:
-                yield docs, texts
-                docs, texts, size = [], [], 0
-        if docs:
-            yield docs, texts
-
-
 def _signature(tokens: np.ndarray, turn: int) -> int:
     """64 bits that tell the set; the two turns are independent."""
     with np.errstate(over="ignore"):
@@ -85,7 +71,7 @@ def _scan(docs: DataFrame, seed: int, arrow: pa.DataType, kind: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        for ids, texts in _portions(batches):
+        for ids, texts in sized(batches):
             sets = shingle_sets(texts, seed)
             n = pa.array([len(s) for s in sets], pa.int64())
             node = pa.array([_signature(s, 0) for s in sets], pa.int64())
@@ -123,13 +109,13 @@ def prefix(tokens: np.ndarray, frequency: np.ndarray, light: float = 0.05) -> tu
 
 
 def _lists(docs: DataFrame, seed: int, frequent: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
-    """(token, node, n, matches) of all prefix shingles that at least two nodes have."""
+    """(token, node, n, matches, at) of all prefix shingles that at least two nodes have; ``at`` is the place in the prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = shared.value
-        for _, texts in _portions(batches):
-            nodes, ns, ms, sizes, found, seen, long_rows = [], [], [], [], [], set(), []
+        for _, texts in sized(batches):
+            nodes, ns, ms, places, found, seen, long_rows = [], [], [], [], [], set(), []
             for s in shingle_sets(texts, seed):
                 node = _signature(s, 0)
                 if not len(s) or node in seen:
@@ -138,78 +124,85 @@ def _lists(docs: DataFrame, seed: int, frequent: tuple[np.ndarray, np.ndarray],
                 at = np.minimum(np.searchsorted(keys, s), max(0, len(keys) - 1))
                 df = np.where(keys[at] == s, counts[at], 0) if len(keys) else np.zeros(len(s), np.int64)
                 m, tokens = prefix(s, df)
+                place = np.minimum(np.arange(len(tokens)), 0xFFFF).astype("<u2")
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, tokens), len(keys) - 1)
                     hot = (keys[at] == tokens) & (counts[at] > LONG_LIST)
-                    long_rows += [(x, node, len(s), m) for x in (tokens[hot] >> np.uint64(1)).astype(np.int64).tolist()]
-                    tokens = tokens[~hot]
+                    long_rows += [(x, node, len(s), m, p) for x, p in zip((tokens[hot] >> np.uint64(1)).astype(np.int64).tolist(), place[hot].tolist(), strict=True)]
+                    tokens, place = tokens[~hot], place[~hot]
                 nodes.append(node)
                 ns.append(len(s))
                 ms.append(m)
-                sizes.append(len(tokens))
+                places.append(place)
                 found.append(tokens)
             if not nodes:
                 continue
-            tokens = np.concatenate(found)
-            owner = np.repeat(np.arange(len(nodes)), sizes)
+            tokens, place = np.concatenate(found), np.concatenate(places)
+            owner = np.repeat(np.arange(len(nodes)), [len(x) for x in found])
             bucket = ((tokens >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            tokens, owner, bucket = tokens[order].astype(np.uint32), owner[order], bucket[order]
+            tokens, place, owner, bucket = tokens[order].astype(np.uint32), place[order], owner[order], bucket[order]
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
             nodes, ns, ms = np.array(nodes, np.int64), np.array(ns, np.int64), np.array(ms, np.int64)
             rows = []
             for k in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
                 own = owner[edges[k] : edges[k + 1]]
                 who, count = np.unique(own, return_counts=True)
-                rows.append((k, nodes[who].tobytes(), ns[who].astype("<u4").tobytes(), ms[who].astype(np.uint8).tobytes(), count.astype("<u4").tobytes(), tokens[edges[k] : edges[k + 1]].tobytes()))
-            kinds = [pa.int64(), *[pa.binary()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] + [pa.nulls(len(rows), pa.int64())] * 4, _POSTED)
+                rows.append((k, nodes[who].tobytes(), ns[who].astype("<u4").tobytes(), ms[who].astype(np.uint8).tobytes(), count.astype("<u4").tobytes(), tokens[edges[k] : edges[k + 1]].tobytes(), place[edges[k] : edges[k + 1]].tobytes()))
+            kinds = [pa.int64(), *[pa.binary()] * 6]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] + [pa.nulls(len(rows), pa.int64())] * 5, _POSTED)
             if long_rows:
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(long_rows), t) for t in kinds] + [pa.array(c, pa.int64()) for c in zip(*long_rows, strict=True)], _POSTED)
 
     def meet(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = []
         for b in batches:
-            for row in zip(*(b[c].to_pylist() for c in ("nodes", "ns", "ms", "counts", "tokens")), strict=True):
-                parts.append([np.frombuffer(x, t) for x, t in zip(row, ("<i8", "<u4", "u1", "<u4", "<u4"), strict=True)])
-        node, n, m, count, token = (np.concatenate(x) for x in zip(*parts, strict=True))
+            for row in zip(*(b[c].to_pylist() for c in ("nodes", "ns", "ms", "counts", "tokens", "places")), strict=True):
+                parts.append([np.frombuffer(x, t) for x, t in zip(row, ("<i8", "<u4", "u1", "<u4", "<u4", "<u2"), strict=True)])
+        node, n, m, count, token, place = (np.concatenate(x) for x in zip(*parts, strict=True))
         _, first = np.unique(node, return_index=True)  # equal sets post equal prefixes: once is enough
         new = np.zeros(len(node), bool)
         new[first] = True
-        token, owner = token[np.repeat(new, count)], np.repeat(np.flatnonzero(new), count[new])
+        own = np.repeat(new, count)
+        token, place, owner = token[own], place[own], np.repeat(np.flatnonzero(new), count[new])
         order = np.argsort(token, kind="stable")
-        token, owner = token[order], owner[order]
+        token, place, owner = token[order], place[order], owner[order]
         same = np.append(False, token[1:] == token[:-1])
         many = same | np.append(same[1:], False)
-        token, owner = token[many].astype(np.int64) << 16 | key[0].as_py() & 0xFFFF, owner[many]
+        token, place, owner = token[many].astype(np.int64) << 16 | key[0].as_py() & 0xFFFF, place[many], owner[many]
         step = 1 << 16
         for a in range(0, len(token), step):
             o = owner[a : a + step]
-            yield pa.RecordBatch.from_arrays([pa.array(token[a : a + step]), pa.array(node[o]), pa.array(n[o].astype(np.int64)), pa.array(m[o].astype(np.int64))], ["token", "node", "n", "matches"])
+            yield pa.RecordBatch.from_arrays([pa.array(token[a : a + step]), pa.array(node[o]), pa.array(n[o].astype(np.int64)), pa.array(m[o].astype(np.int64)), pa.array(place[a : a + step].astype(np.int64))], ["token", "node", "n", "matches", "at"])
 
-    posted = written(docs.mapInArrow(post, "bucket long, nodes binary, ns binary, ms binary, counts binary, tokens binary, token long, node long, n long, matches long"), "postings")
-    out = "token long, node long, n long, matches long"
-    met = posted.filter("bucket is not null").select(_POSTED[:6]).groupBy("bucket").applyInArrow(meet, out)
-    return met.unionByName(posted.filter("bucket is null").select("token", "node", "n", "matches").distinct())
+    posted = written(docs.mapInArrow(post, "bucket long, nodes binary, ns binary, ms binary, counts binary, tokens binary, places binary, token long, node long, n long, matches long, at long"), "postings")
+    out = "token long, node long, n long, matches long, at long"
+    met = posted.filter("bucket is not null").select(_POSTED[:7]).groupBy("bucket").applyInArrow(meet, out)
+    return met.unionByName(posted.filter("bucket is null").select(_POSTED[7:]).distinct())
 
 
-_POSTED = ["bucket", "nodes", "ns", "ms", "counts", "tokens", "token", "node", "n", "matches"]
+_POSTED = ["bucket", "nodes", "ns", "ms", "counts", "tokens", "places", "token", "node", "n", "matches", "at"]
 
 
 def _sets(docs: DataFrame, seed: int, wanted: DataFrame) -> DataFrame:
-    """(node, tokens) of the documents that stand for the ``wanted`` nodes. The rest of ``docs`` is never shuffled."""
+    """(node, tokens) of the documents that stand for the ``wanted`` nodes (node, doc), those with repeated ids several times.
+
+    No text is shuffled.
+    """
     total = wanted.count()
-    hashed = wanted.withColumn("h", F.xxhash64("doc"))
-    bits = repeated_filter(hashed, "h", total, least=1)
-    own = docs.withColumn("h", F.xxhash64("doc")).withColumn("may", may_repeat(docs.sparkSession, bits, total, "h")).filter("may").select("doc", "text")
+    bits = docs.sparkSession.sparkContext.broadcast(repeated_filter(wanted.select(F.xxhash64("doc").alias("h")), "h", total, least=1))
+    cells = cells_for(total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _portions(batches):
-            sets = shingle_sets(texts, seed)
-            yield pa.RecordBatch.from_arrays([pa.array([_signature(s, 0) for s in sets], pa.int64()), pa.array([_six(s) for s in sets], pa.binary())], ["node", "tokens"])
+        table, seen = np.frombuffer(bits.value, np.uint8), set()
+        for batch in batches:
+            batch = batch.filter(pa.array(hits(table, batch["h"].to_numpy(), cells)))
+            for _, texts in sized([batch.select(["h", "text"])]):
+                found = [(node, _six(s)) for s in shingle_sets(texts, seed) if len(s) and (node := _signature(s, 0)) not in seen]
+                seen.update(node for node, _ in found)
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["node", "tokens"])
 
-    found = own.mapInArrow(run, "node long, tokens binary")
-    return found.join(wanted.select("node"), "node", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.lit(1)))).filter("k = 1").drop("k")
+    return docs.select(F.xxhash64("doc").alias("h"), "text").mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"])
 
 
 def _six(tokens: np.ndarray) -> bytes:
@@ -242,7 +235,9 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-SIZES_FIT = "least(n, other_n) * 4 >= greatest(n, other_n) * 3"
+#: What the sets of a linked pair share at least, and, following from it, where their first common shingle stands at most.
+SHARED = "(3 * (n + other_n) + 6) div 7"
+FIRST = f"at <= n - {SHARED} and other_at <= other_n - {SHARED}"
 
 
 def _live(lists: DataFrame, roots: DataFrame) -> DataFrame:
@@ -254,11 +249,14 @@ def _live(lists: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _to_leaders(live: DataFrame, seed: int) -> DataFrame:
-    """For each node the pair with that leader, of those its shingles have, with which it shares most of them."""
-    leaders = live.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n", "comp")).alias("l")).select("token", F.col("l.node").alias("other"), F.col("l.n").alias("other_n"), F.col("l.comp").alias("other_comp"))
-    met = live.join(leaders, "token").filter("comp != other_comp").filter(SIZES_FIT).groupBy("node", "other").count()
-    best = met.groupBy("node").agg(F.max(F.struct("count", "other")).alias("best"))
-    return best.select(F.least("node", "best.other").alias("a"), F.greatest("node", "best.other").alias("b")).distinct()
+    """For each node the pair with that leader, of those its shingles have, with which it shares most of them.
+
+    The leader of a shingle is the node in whose prefix it stands first: one with few shingles of its own.
+    """
+    leaders = live.groupBy("token").agg(F.min(F.struct("at", F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n", "comp")).alias("l")).select("token", *[F.col(f"l.{c}").alias(f"other_{c}") for c in ("at", "node", "n", "comp")])
+    met = live.join(leaders, "token").filter("comp != other_comp").filter(FIRST).groupBy("node", "other_node").agg(F.count(F.lit(1)).alias("count"))
+    best = met.groupBy("node").agg(F.max(F.struct("count", "other_node")).alias("best"))
+    return best.select(F.least("node", "best.other_node").alias("a"), F.greatest("node", "best.other_node").alias("b")).distinct()
 
 
 def _others(live: DataFrame) -> DataFrame:
@@ -266,11 +264,17 @@ def _others(live: DataFrame) -> DataFrame:
     sizes = live.groupBy("token", "comp").count()
     main = sizes.groupBy("token").agg(F.max(F.struct("count", "comp")).alias("m")).select("token", F.col("m.comp").alias("main"))
     own = live.join(main, "token")
-    minor = own.filter("comp != main").select("token", *[F.col(c).alias(f"other_{c}") for c in ("node", "n", "matches", "comp")])
+    minor = own.filter("comp != main").select("token", *[F.col(c).alias(f"other_{c}") for c in ("node", "n", "comp", "at")])
     # of two minor nodes the pair is made once
-    met = own.join(minor, "token").filter("comp != other_comp and (comp = main or node < other_node)").filter(SIZES_FIT)
-    pairs = met.groupBy(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("matches", "other_matches")).alias("need"))
-    return pairs.filter("shared >= need")
+    met = own.join(minor, "token").filter("comp != other_comp and (comp = main or node < other_node)").filter(FIRST)
+    pairs = written(met.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct(), "met")
+    # the count of shared prefix shingles, for these pairs only
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    prefixes = live.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("matches").alias("matches"), F.collect_list(F.struct("token", "at")).alias("tokens"))
+    both = pairs.join(prefixes.withColumnRenamed("node", "a"), "a").join(prefixes.select(F.col("node").alias("b"), *[F.col(c).alias(f"other_{c}") for c in ("n", "matches", "tokens")]), "b")
+    both = both.withColumn("need", F.least("matches", "other_matches")).withColumns({"upto": F.expr(f"n - {SHARED} + need"), "other_upto": F.expr(f"other_n - {SHARED} + need")})
+    common = "size(array_intersect(transform(filter(tokens, x -> x.at < upto), x -> x.token), transform(filter(other_tokens, x -> x.at < other_upto), x -> x.token)))"
+    return both.filter(f"{common} >= need").select("a", "b")
 
 
 def jaccard_components(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -282,6 +286,7 @@ def jaccard_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
     not read. An empty table gives no rows.
     """
     kind = df.schema[id_col].dataType.simpleString()
+    small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).alias("doc"), F.col(text).alias("text"))
     arrow = docs.select("doc").limit(0).toArrow().schema.field(0).type
     for seed in range(8):
@@ -295,15 +300,18 @@ def jaccard_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
     keys, counts = known["token"].to_numpy().view(np.uint64), known["df"].to_numpy()
     order = np.argsort(keys)
     lists = written(_lists(docs, seed, (keys[order], counts[order]), max(1, shingles * 3 // 10 // BUCKET)), "lists")
-    wanted = lists.select("node").distinct().join(nodes.select("node", "doc", "total"), "node")
-    sets = written(_sets(docs, seed, wanted), "sets")
     links, roots = None, None
     for step in range(3):
         if roots is None:
             live = lists.withColumn("comp", F.col("node"))
         else:
             live = written(_live(lists, roots), "live")
-        pairs = _others(live) if step == 2 else _to_leaders(live, step)
+        pairs = written(_others(live) if step == 2 else _to_leaders(live, step), "pairs")
+        if step and pairs.isEmpty():
+            continue
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc"), "node")
+        wanted = written(wanted, "wanted")
+        sets = written(_sets(docs, seed, wanted), "sets")
         found = written(_linked(pairs, sets), "links")
         links = found if links is None else links.union(found)
         roots = written(components(links), "roots")
@@ -317,5 +325,22 @@ def jaccard_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
     return found.unionByName(none).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 
+def keep_first(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``df`` with one document of each component: that with the smallest id, all columns as they were.
+
+    Only rows whose id may be among those that go are shuffled. Rows with a null id stay; an id that repeats goes or stays
+    with all its rows.
+    """
+    found = jaccard_components(df, text, id_col)
+    gone = written(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct(), "gone")
+    total = gone.count()
+    bits = repeated_filter(gone.select(F.xxhash64("__gone").alias("h")), "h", total, least=1)
+    own = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__doc")
+    tested = df.select(own).withColumn("__gone", F.col(f"__doc.`{id_col}`")).withColumn("__h", F.xxhash64("__gone"))
+    tested = tested.withColumn("__may", may_repeat(df.sparkSession, bits, total, "__h"))
+    kept = tested.filter("__may").join(gone, "__gone", "left_anti")
+    return tested.filter("not __may").select("__doc.*").unionByName(kept.select("__doc.*"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
