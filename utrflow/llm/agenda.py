@@ -20,7 +20,7 @@ class Merges:
         keys, rank, result = keys[order], rank[order].astype(np.int64), result[order].astype(np.int64)
         first = np.append(True, keys[1:] != keys[:-1])
         self.keys, self.rank, self.result = keys[first], rank[first], result[first]
-        self.table = dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.result.tolist(), strict=True), strict=True))
+        self.table: dict[int, tuple[int, int]] = {}  # made for the first long segment
 
     def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rank of each pair (NONE if it does not merge) and its place."""
@@ -30,6 +30,8 @@ class Merges:
 
     def one(self, symbols: list[int]) -> list[int]:
         """The agenda proper: the best pair (of equals the leftmost) merges and its neighbours' new pairs join the agenda."""
+        if not self.table:
+            self.table = dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.result.tolist(), strict=True), strict=True))
         sym, n = list(symbols), len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         found = self.table.get

@@ -37,9 +37,9 @@ class ByteLevelEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        model = json.loads(self.tokenizer.to_str())["model"]
+        tokenizer = Tokenizer.from_file(path)
+        self.cut = tokenizer.pre_tokenizer.pre_tokenize_str
+        model = json.loads(tokenizer.to_str())["model"]
         vocab = model["vocab"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         left, right, result = (np.array([vocab[w] for w in words]) for words in ([a for a, _ in pairs], [b for _, b in pairs], [a + b for a, b in pairs]))
@@ -58,7 +58,7 @@ class ByteLevelEncoder:
         return self.merges.run(self.symbols[np.frombuffer(b"".join(words), np.uint8)], np.fromiter(map(len, words), np.int64, len(words)))
 
     def _learn(self, points: np.ndarray) -> None:
-        words = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        words = self.cut
         for p in points.tolist():
             c = chr(p)
             # a letter or digit joins its like; a sign takes the space before it, white space doesn't

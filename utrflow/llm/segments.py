@@ -31,7 +31,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
+def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 18) -> np.ndarray:
     """A 64-bit hash of each buf[start:end]; starts ascend, segments don't overlap."""
     out = np.empty(len(starts), np.uint64)
     a = 0
@@ -64,7 +64,7 @@ def joined(texts: list[bytes], prefix: bytes = b"") -> tuple[np.ndarray, np.ndar
 class IdCache:
     """Ids of distinct segments by hash, in flat arrays (``encode`` gives the joined ids and their numbers). It forgets all when it holds ``most`` segments (then it asks again)."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 2_000_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 600_000):
         self.encode, self.most = encode, most
         self._empty()
 
@@ -116,11 +116,11 @@ def lowered(buf: np.ndarray) -> np.ndarray:
 
 
 def small_batches(spark) -> None:
-    """From now on the session's Arrow batches hold 8 MB, so that long texts don't make them large."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """From now on the session's Arrow batches hold 4 MB, so that long texts don't make them large."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
-def sized(batches, size: int = 4 << 20):
+def sized(batches, size: int = 1 << 20):
     """The first column's values and the second's texts as bytes (null as empty), in portions of about ``size`` bytes."""
     import pyarrow as pa
 
@@ -135,3 +135,4 @@ def sized(batches, size: int = 4 << 20):
                 docs, texts, used = [], [], 0
         if docs:
             yield docs, texts
+    pa.default_memory_pool().release_unused()
