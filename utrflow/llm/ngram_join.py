@@ -2,7 +2,7 @@
 
 All sets are ordered by one global order: light shingles by hash, then those known to be frequent by ascending frequency.
 If two sets of which the larger has n shingles are to share t = ceil(3n/4), their prefixes of n - t + l shingles share at
-least l. Each document takes the l (from 1 to 8) of least estimated cost: what its longer prefix costs in postings and
+least l. Each document takes the l (from 1 to 24) of least estimated cost: what its longer prefix costs in postings and
 pairs, against the candidates (at most the summed frequencies, divided by l) to verify. A pair needs min(l, l') shared
 prefix shingles before its whole sets are compared.
 
@@ -25,7 +25,7 @@ from utrflow.llm.components import components
 from utrflow.llm.segments import END, hashes, joined, lowered, mixed, sized, small_batches
 from utrflow.plans.storage import join_sized, written
 
-WORDS, MOST_MATCHES = 5, 8
+WORDS, MOST_MATCHES = 5, 24
 #: Shingles whose frequency is known to the order: at most so many (2 MB); they steer cost only, never the result.
 FREQUENT = 1 << 17
 BUCKET = 2_000_000
@@ -202,7 +202,7 @@ def _sets(docs: DataFrame, seed: int, wanted: DataFrame) -> DataFrame:
                 seen.update(node for node, _ in found)
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["node", "tokens"])
 
-    return docs.select(F.xxhash64("doc").alias("h"), "text").mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"])
+    return docs.select(F.xxhash64("doc").alias("h"), "text").mapInArrow(run, "node long, tokens binary")
 
 
 def _six(tokens: np.ndarray) -> bytes:
@@ -312,6 +312,8 @@ def jaccard_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc"), "node")
         wanted = written(wanted, "wanted")
         sets = written(_sets(docs, seed, wanted), "sets")
+        if not sets.groupBy("node").count().filter("count > 1").isEmpty():  # ids repeat
+            sets = sets.dropDuplicates(["node"])
         found = written(_linked(pairs, sets), "links")
         links = found if links is None else links.union(found)
         roots = written(components(links), "roots")
