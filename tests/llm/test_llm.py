@@ -192,6 +192,15 @@ def test_disclosing_terms(spark):
     assert "Zanzibari" not in clean[1000] and "[EMAIL]" in clean[1000] and "ordinary words" in clean[1000] and clean[5] == filler[5][1]
 
 
+def test_terms_of_a_value_in_one_text(spark):
+    filler = [(i, f"ordinary words number {i} without anything of note in them") for i in range(300)]
+    far = "Dear Zanzibari consul, " + "ordinary words " * 20 + "write to bob@x.org"
+    df = spark.createDataFrame([*filler, (1000, far)], "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert clean[1000] == far.replace("Zanzibari", "").replace("consul", "").replace("Dear", "").replace("write", "").replace("bob@x.org", "[EMAIL]")
+    assert clean[7] == filler[7][1]
+
+
 def test_licenses_equal_brute_force(spark):
     r = random.Random(5)
     some = "cc by general public license all rights reserved licensed under the gnu version 3 é ß - , CC BY all é".split()

@@ -1,12 +1,14 @@
 """Personal data by patterns, and by what terms disclose about it: information-theoretic sanitisation in DataFrame functions.
 
-Base spans are e-mail addresses, IPv4 addresses, card and phone numbers. Terms that stand near a value in several different
-texts are tested against the whole corpus: if seeing the term tells nearly as much as the value itself (pointwise mutual
-information of at least the value's information content over ``alpha``), it is disclosing and becomes a span, too.
+Base spans are e-mail addresses, IPv4 addresses, card and phone numbers. The terms of all texts that hold a value are tested
+against the whole corpus: if seeing the term tells nearly as much as the value itself (pointwise mutual information of at
+least the value's information content over ``alpha``), it is disclosing and becomes a span, too.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,22 +25,20 @@ PATTERNS = {
 #: What a text must have for the pattern to be tried.
 SIGNS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 TERM = r"\p{L}{4,}+"
-#: Code points before and after a value in which terms are near it.
-NEAR = 60
-#: A term is tested with a value that it is near in at least so many different texts.
-SUPPORT = 3
 ALPHA = 1.25
+#: Added to each count of texts with or without a term, so that small counts tell less than they seem to.
+SMOOTH = 0.5
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """An array of (start, end, value) of the pattern's matches, in code points, end exclusive."""
+def matches(text: Column, pattern: str, keep: Callable[[Column], Column] = lambda value: F.lit(True)) -> Column:
+    """An array of (start, end, value) of the pattern's matches to keep, in code points, end exclusive."""
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
     none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
 
     def step(done: Column, part: Column) -> Column:
         start = done["at"] + F.length(part["gap"])
         end = start + F.length(part["hit"])
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(part["hit"].isNull(), done["found"]).otherwise(F.array_append(done["found"], F.struct(start.alias("start"), end.alias("end"), part["hit"].alias("value")))).alias("found"))
+        return F.struct(F.coalesce(end, start).alias("at"), F.when(part["hit"].isNull() | ~keep(part["hit"]), done["found"]).otherwise(F.array_append(done["found"], F.struct(start.alias("start"), end.alias("end"), part["hit"].alias("value")))).alias("found"))
 
     return F.aggregate(parts, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("found")), step, lambda done: done["found"])
 
@@ -79,58 +79,67 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def disclosing(found: DataFrame, corpus: DataFrame, text: str, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """(kind, value, term, remove) of the terms that disclose a value.
+def discloses(both: Column, with_value: Column, with_term: Column, total: int, alpha: float) -> Column:
+    """Whether a term tells so much about a value, from the numbers of texts with both, either and in all."""
+    every = total + 2 * SMOOTH
+    information = F.log2(every / (with_value + SMOOTH))
+    mutual = F.log2((both + SMOOTH) / (with_value + 2 * SMOOTH) * every / (with_term + SMOOTH))
+    return (with_value < total) & (mutual >= information / alpha)
+
+
+def disclosing(found: DataFrame, corpus: DataFrame, text: str, alpha: float = ALPHA) -> DataFrame:
+    """(digest, copies, terms): of each different text with values the terms (term, remove) that disclose one of them.
 
-    ``found`` has text and spans of the texts with values, ``corpus`` all texts (column ``text``). Equal texts count once
-    for what is near what. Terms are words of at least four letters, in lower case. ``remove`` is true for terms that occur
-    with no other value's text at all; the others can be generalised.
+    ``found`` has digest, text and spans of the texts with values, ``corpus`` all texts (column ``text``). A term and a value
+    occur together where one text holds both, however far apart. Terms are words of at least four letters, in lower case.
+    ``remove`` is true for terms that occur with no other value's text at all; the others can be generalised.
     """
-    near = found.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min(F.struct("text", "spans")).alias("d")).select("digest", "d.text", F.explode("d.spans").alias("s"))
-    start, end = F.col("s.start").cast("int"), F.col("s.end").cast("int")
-    left = F.when(start > 0, F.substring("text", F.greatest(F.lit(1), start - NEAR + 1), F.least(start, F.lit(NEAR))))
-    around = F.concat_ws(" | ", left, F.substring("text", end + 1, F.lit(NEAR)))
-    pairs = near.select("digest", "s.kind", "s.value", F.explode(F.array_distinct(_words(around))).alias("term")).distinct()
-    both = pairs.groupBy("kind", "value", "term").count().filter(F.col("count") >= support)
-    both = written(both, "near")
-    if both.isEmpty():
-        return both.select("kind", "value", "term", F.lit(True).alias("remove"))
-    values = near.select("digest", "s.kind", "s.value").distinct().groupBy("kind", "value").agg(F.count(F.lit(1)).alias("with_value"))
-    words = corpus.filter(F.col(text).isNotNull()).select(F.explode(F.array_distinct(_words(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    total = corpus.count()
-    tested = both.join(values, ["kind", "value"]).join(words, "term")
-    # copies of a text count in the corpus: no more than all of a term's texts can be near the value
-    shared = F.least(F.greatest("count", F.least("with_value", "count")), F.col("with_term"))
-    information = F.log2(F.lit(float(max(total, 2))) / F.col("with_value"))
-    mutual = F.log2(shared * float(max(total, 2)) / (F.col("with_value") * F.col("with_term")))
-    return tested.filter((information > 0) & (mutual >= information / alpha)).select("kind", "value", "term", (F.col("with_term") <= F.col("with_value")).alias("remove"))
-
-
-def with_spans(df: DataFrame, text: str, keep: list[Column], alpha: float = ALPHA, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
+    own = written(found.groupBy("digest").agg(F.min(F.struct("text", "spans")).alias("d"), F.count(F.lit(1)).alias("copies")).select("digest", "copies", "d.*"), "found")
+    none = own.limit(0).select("digest", "copies", F.array().cast("array<struct<term:string,remove:boolean>>").alias("terms"))
+    if own.isEmpty():
+        return none
+    texts = corpus.filter(F.col(text).isNotNull()).select(F.col(text).alias("text"))
+    words = written(texts.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term")), "term_counts")
+    total = texts.count()
+    values = written(own.select("digest", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"])))).alias("key")), "values")
+    sizes = written(values.groupBy("key").agg(F.count(F.lit(1)).alias("with_value")), "value_counts")
+    n, most = sizes.agg(F.sum("with_value"), F.max("with_value")).first()
+    tokens = words.agg(F.sum("with_term")).first()[0] or 0
+    # what no test can pass is left out before terms meet values: a term in more texts than even the commonest value allows,
+    # then one that would fail with a value if all its texts held it
+    rare = words.filter(F.col("with_term") + SMOOTH <= (most + SMOOTH) ** (1 / alpha) * (total + 2 * SMOOTH) ** (1 - 1 / alpha) * (1 + 1e-9))
+    terms = join_sized(own.select("digest", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")), rare, "term", "with_term", tokens).filter("with_term is not null")
+    counts = lambda both: discloses(both, F.col("with_value"), F.col("with_term"), total, alpha)
+    pairs = join_sized(values, sizes, "key", "with_value", n).join(terms, "digest").filter(counts(F.least("with_value", "with_term")))
+    pairs = written(pairs.select("digest", F.concat_ws("\n", "term", "key").alias("pair"), "with_value", "with_term"), "pairs")
+    tested = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("both"), F.max("with_value").alias("with_value"), F.max("with_term").alias("with_term")).filter(counts(F.col("both")))
+    tested = written(tested.select("pair", "both", (F.col("with_term") <= F.col("with_value")).alias("remove")), "terms")
+    told = join_sized(pairs.select("digest", "pair"), tested, "pair", "both", pairs.count()).filter("remove is not null")
+    by_text = told.groupBy("digest").agg(F.collect_set(F.struct(F.substring_index("pair", "\n", 1).alias("term"), "remove")).alias("terms"))
+    return written(own.select("digest", "copies").join(by_text, "digest"), "disclosing")
+
+
+def with_spans(df: DataFrame, text: str, keep: list[Column], alpha: float = ALPHA) -> tuple[DataFrame, DataFrame]:
     """(rows, terms): ``keep`` with spans, and text where there are any; the term spans of those rows, by row number."""
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(*keep, whole.alias("__text"), base_spans(whole).alias("__spans")).withColumn("__row", F.monotonically_increasing_id())
     rows = written(rows.withColumn("__text", F.when(F.size("__spans") > 0, F.col("__text"))), "spans")
-    found = rows.filter("__text is not null").select("__row", F.col("__text").alias("text"), F.col("__spans").alias("spans"))
-    terms = written(disclosing(found, df, text, alpha, support), "terms")
-    by_value = terms.groupBy("kind", "value").agg(F.collect_set(F.struct("term", "remove")).alias("terms"))
-    values = found.select("__row", F.explode("spans").alias("s")).select("__row", F.concat_ws(":", "s.kind", "s.value").alias("key")).distinct()
-    sizes = values.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    sized = by_value.withColumn("key", F.concat_ws(":", "kind", "value")).join(sizes, "key").select("key", "terms", "size")
-    own = join_sized(values, sized, "key", "size", rows.count()).filter("terms is not null").groupBy("__row").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
-    marked = found.join(own, "__row").withColumn("names", F.transform("terms", lambda t: t["term"])).withColumn("gone", F.transform(F.filter("terms", lambda t: t["remove"]), lambda t: t["term"]))
-    hits = F.filter(matches(F.col("text"), TERM), lambda m: F.array_contains(F.col("names"), F.lower(m["value"])) & ~F.exists("spans", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
+    found = rows.filter("__text is not null").select("__row", F.col("__text").alias("text"), F.col("__spans").alias("spans"), F.sha2("__text", 256).alias("digest"))
+    terms = disclosing(found, df, text, alpha)
+    marked = join_sized(found, terms, "digest", "copies", found.count()).filter("terms is not null").withColumn("names", F.transform("terms", lambda t: t["term"])).withColumn("gone", F.transform(F.filter("terms", lambda t: t["remove"]), lambda t: t["term"]))
+    named = matches(F.col("text"), TERM, lambda value: F.array_contains(F.col("names"), F.lower(value)))
+    hits = F.filter(named, lambda m: ~F.exists("spans", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
     spans = F.transform(hits, lambda m: F.struct(F.lit("term").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.when(F.array_contains(F.col("gone"), F.lower(m["value"])), F.lit("")).otherwise(F.lit("[TERM]")).alias("value")))
     return rows, marked.select("__row", spans.alias("__terms"))
 
 
-def find_pii(df: DataFrame, text: str = "text", id_col: str = "doc_id", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def find_pii(df: DataFrame, text: str = "text", id_col: str = "doc_id", alpha: float = ALPHA) -> DataFrame:
     """One row for each row of ``df``: id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Null and empty texts have no spans (base_sha256 is that of the empty string). Ids may be null or repeat: each row stands
     for itself. Other columns are not read. An empty table gives no rows.
     """
-    rows, terms = with_spans(df, text, [F.col(id_col).alias("__id")], alpha, support)
+    rows, terms = with_spans(df, text, [F.col(id_col).alias("__id")], alpha)
     # few rows have spans: the others need no join
     with_terms = rows.filter("__text is not null").join(terms, "__row", "left").unionByName(rows.filter("__text is null"), allowMissingColumns=True)
     count = lambda k: F.size(F.filter("__spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
@@ -139,14 +148,14 @@ def find_pii(df: DataFrame, text: str = "text", id_col: str = "doc_id", alpha: f
     return with_terms.select(F.col("__id").alias(id_col), *map(count, PATTERNS), F.sha2(base, 256).alias("base_sha256"), both.alias("spans"))
 
 
-def sanitise(df: DataFrame, text: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def sanitise(df: DataFrame, text: str = "text", alpha: float = ALPHA) -> DataFrame:
     """``df`` with its texts sanitised: values become [EMAIL], [IP], [CARD], [PHONE], disclosing terms [TERM] or nothing.
 
     All rows and columns stay; texts without spans (null ones, too) are as they were. Where spans overlap, the one that
     starts first is replaced and the other's rest with it.
     """
     own = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__doc")
-    rows, terms = with_spans(df, text, [own])
+    rows, terms = with_spans(df, text, [own], alpha)
     marked = rows.filter("__text is not null").join(terms, "__row", "left")
     spans = F.array_sort(F.concat(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("by"))), F.coalesce(F.transform("__terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("by"))), F.array())))
 
