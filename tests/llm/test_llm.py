@@ -201,6 +201,16 @@ def test_terms_of_a_value_in_one_text(spark):
     assert clean[7] == filler[7][1]
 
 
+def test_copies_do_not_hide_a_disclosing_term(spark):
+    filler = [(i, f"ordinary words number {i} without anything of note in them") for i in range(300)]
+    near = [(1000 + i, f"case {chr(97 + i)} the Zanzibari consul bob@x.org called ordinary words") for i in range(3)]
+    copies = [(2000 + i, near[0][1]) for i in range(200)]
+    df = spark.createDataFrame(filler + near + copies, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert len(clean) == 503 and clean[2000] == clean[1000]
+    assert all("Zanzibari" not in clean[i] and "ordinary words" in clean[i] for i in (1000, 1001, 1002, 2199))
+
+
 def test_licenses_equal_brute_force(spark):
     r = random.Random(5)
     some = "cc by general public license all rights reserved licensed under the gnu version 3 é ß - , CC BY all é".split()

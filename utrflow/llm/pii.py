@@ -91,16 +91,18 @@ def disclosing(found: DataFrame, corpus: DataFrame, text: str, alpha: float = AL
     """(digest, copies, terms): of each different text with values the terms (term, remove) that disclose one of them.
 
     ``found`` has digest, text and spans of the texts with values, ``corpus`` all texts (column ``text``). A term and a value
-    occur together where one text holds both, however far apart. Terms are words of at least four letters, in lower case.
+    occur together where one text holds both, however far apart; equal texts count once. Terms are words of at least four
+    letters, in lower case.
     ``remove`` is true for terms that occur with no other value's text at all; the others can be generalised.
     """
     own = written(found.groupBy("digest").agg(F.min(F.struct("text", "spans")).alias("d"), F.count(F.lit(1)).alias("copies")).select("digest", "copies", "d.*"), "found")
     none = own.limit(0).select("digest", "copies", F.array().cast("array<struct<term:string,remove:boolean>>").alias("terms"))
     if own.isEmpty():
         return none
-    texts = corpus.filter(F.col(text).isNotNull()).select(F.col(text).alias("text"))
+    # values, terms and all are counted in different texts: copies tell nothing
+    texts = corpus.filter(F.col(text).isNotNull()).groupBy(F.sha2(F.col(text), 256).alias("digest")).agg(F.first(text).alias("text"))
     words = written(texts.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term")), "term_counts")
-    total = texts.count()
+    total = corpus.filter(F.col(text).isNotNull()).select(F.sha2(F.col(text), 256)).distinct().count()
     values = written(own.select("digest", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"])))).alias("key")), "values")
     sizes = written(values.groupBy("key").agg(F.count(F.lit(1)).alias("with_value")), "value_counts")
     n, most = sizes.agg(F.sum("with_value"), F.max("with_value")).first()
