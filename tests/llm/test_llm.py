@@ -224,6 +224,14 @@ def test_licenses_equal_brute_force(spark):
     assert got[len(texts) - 2]["labels"] == "apache-2.0" and got[len(texts) - 1]["labels"] == "mit"
 
 
+def test_every_template_of_one_text_is_found(spark):
+    every = " some words between ".join(t for _, t, _ in licenses.TEMPLATES)
+    notice = licenses.TEMPLATES[4][1] + ". Licensed under the Apache License, Version 2.0."
+    rows = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([(0, every), (1, notice), (2, "ordinary words with the license")], "doc_id long, text string")).collect()}
+    assert {label for label, _, _ in licenses.TEMPLATES} <= set(rows[0]["labels"].split(","))
+    assert rows[1]["labels"] == "apache-2.0,bsd" and rows[2]["labels"] == ""
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 24)).astype("f4")

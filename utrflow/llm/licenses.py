@@ -1,13 +1,13 @@
 """Licence scans by a positional index of rare words, in DataFrame functions.
 
-The templates' words have postings (template, position). Of each text the licence words with the highest inverse document
-frequency over the corpus are looked up; postings that agree on the offset between text and template support a candidate,
+The templates' words have postings (template, position). Of each template the words with the highest inverse document
+frequency over the corpus are looked up in each text; postings that agree on the offset between text and template support a candidate,
 and a candidate whose mandatory key phrases all stand in the text becomes a label.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from utrflow.plans.storage import written
@@ -36,7 +36,7 @@ TEMPLATES = [
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify and or distribute"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
 ]
-#: Of each text so many words of the highest inverse document frequency are looked up, at all their places.
+#: Of each template so many words of the highest inverse document frequency are looked up, at all their places in a text.
 LOOKED_UP = 8
 #: A candidate needs so great a share of the looked-up template words at one offset.
 AGREE = 0.5
@@ -92,13 +92,11 @@ def scan(df: DataFrame, text: str = "text", id_col: str = "doc_id", templates: l
     rows = written(rows, "words")
     frequency = written(df.select(F.explode(F.array_intersect(F.split(_lower(F.col(text)), GAP, -1), known)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("texts")), "licence_words")
     total = rows.count()
-    index = postings(spark, templates)  # of a fixed size, as are the vocabulary's frequencies
     found = rows.filter("__words is not null")
     idf = F.broadcast(frequency.select("word", F.log(F.lit(1.0 * max(total, 1)) / F.col("texts")).alias("idf")))
-    at = found.select("__row", F.posexplode("__words").alias("at", "word")).join(idf, "word")
-    places = at.groupBy("__row", "word").agg(F.first("idf").alias("idf"), F.collect_list("at").alias("at"))
-    top = places.groupBy("__row").agg(F.slice(F.sort_array(F.collect_list(F.struct("idf", "word", "at")), False), 1, looked_up).alias("top"))
-    hits = top.select("__row", F.explode("top").alias("t")).select("__row", "t.word", F.explode("t.at").alias("at")).join(F.broadcast(index), "word")
+    rarest = Window.partitionBy("template").orderBy(F.desc("idf"), "word", "position")
+    index = postings(spark, templates).join(idf, "word").withColumn("n", F.row_number().over(rarest)).filter(F.col("n") <= looked_up).drop("n", "idf")  # of a fixed size, as are the vocabulary's frequencies
+    hits = found.select("__row", F.posexplode("__words").alias("at", "word")).join(F.broadcast(index), "word")
     candidates = hits.groupBy("__row", "template", (F.col("at") - F.col("position")).alias("offset")).agg(F.countDistinct("position").alias("same"), F.first("length").alias("length"))
     asked = hits.groupBy("__row", "template").agg(F.countDistinct("position").alias("asked"))
     best = candidates.groupBy("__row", "template").agg(F.max("same").alias("same"), F.first("length").alias("length")).join(asked, ["__row", "template"])
