@@ -316,6 +316,13 @@ def test_quotes(spark):
     assert got[1, 4]["reply_to"] == 3 and got[2, 0]["reply_to"] is None and got[1, 0]["position"] == 0
 
 
+def test_quotes_of_all_levels_and_of_parts(spark):
+    first = "Opening line\nsecond line\nthird line\n\nA paragraph of\ntwo lines\n\nlast line"
+    rows = [(1, 0, "u", first), (1, 1, "a", "thanks"), (1, 2, "u", ">> second line\nyes"), (1, 3, "a", "> second line\n> third line\nno"), (1, 4, "u", "> A paragraph\n> of two lines\nwell"), (1, 5, "a", "> nowhere\nx")]
+    got = {r["turn"]: r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [(got[t]["linked"], got[t]["reply_to"]) for t in range(6)] == [(False, None), (False, 0), (True, 0), (True, 0), (True, 0), (False, 4)]
+
+
 def test_pipeline_equals_its_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")

@@ -1,8 +1,9 @@
 """Quotation linking: conversations without their quotations, ordered by replies, in DataFrame functions.
 
 Lines that start with > marks are quoted; the marks are the level. Consecutive quoted lines of one level are a passage.
-Each passage is hashed in normalised form and looked up among the passages that earlier messages of the conversation wrote
-themselves; the message that wrote it is what the quoting one replies to.
+Each passage is hashed in normalised form and looked up among the passages, paragraphs and lines that earlier messages of the
+conversation wrote themselves, and where it is none of these, by its own paragraphs and lines; the message that wrote it is
+what the quoting one replies to.
 """
 
 from __future__ import annotations
@@ -28,20 +29,26 @@ def _normal(line: Column) -> Column:
 
 
 def passages(df: DataFrame) -> DataFrame:
-    """(row, level, passage, at): every passage of every message (row, text), ``at`` its first line; level 0 is the message's own text."""
+    """(row, level, at, passage, units): every passage of every message (row, text), ``at`` its first line; level 0 is the message's own text.
+
+    ``units`` are the passage's lines and its paragraphs, which blank lines end.
+    """
     lines = df.select("row", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n", -1)).alias("at", "line"))
-    lines = lines.select("row", "at", _level(F.col("line")).alias("level"), _normal(F.col("line")).alias("own")).filter("own != ''")
     order = Window.partitionBy("row").orderBy("at")
+    lines = lines.select("row", "at", _level(F.col("line")).alias("level"), _normal(F.col("line")).alias("own")).withColumn("block", F.sum((F.col("own") == "").cast("int")).over(order)).filter("own != ''")
     runs = lines.withColumn("new", (F.coalesce(F.lag("level").over(order), F.lit(-1)) != F.col("level")).cast("int")).withColumn("run", F.sum("new").over(order))
-    parts = runs.groupBy("row", "run").agg(F.first("level").alias("level"), F.min("at").alias("at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "own"))), lambda x: x["own"]), " ").alias("passage"))
-    return parts.select("row", "level", "at", "passage")
+    text = lambda found: F.array_join(F.transform(F.array_sort(found), lambda x: x["own"]), " ")
+    parts = runs.groupBy("row", "run").agg(F.first("level").alias("level"), F.min("at").alias("at"), F.collect_list(F.struct("at", "own", "block")).alias("found"))
+    blocks = F.transform(F.array_distinct(F.transform("found", lambda x: x["block"])), lambda b: text(F.filter("found", lambda x: x["block"] == b)))
+    return parts.select("row", "level", "at", text(F.col("found")).alias("passage"), F.array_distinct(F.concat(F.transform("found", lambda x: x["own"]), blocks)).alias("units"))
 
 
 def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row for each message: conv_id, turn, role, text (without quotations), n_quotes, max_level, linked, reply_to, depth, position.
 
-    ``reply_to`` is the turn of the latest earlier message of the conversation that wrote the first-level quotation itself:
-    whole, or as one of its lines. Without such a quotation a message replies to the turn before it, the first to none
+    ``reply_to`` is the turn of the latest earlier message of the conversation that wrote a quotation of the message itself:
+    whole, as one of its paragraphs or lines, or else the most of the quotation's paragraphs and lines. Of quotations whose
+    source is found those of the lowest level count. Without such a quotation a message replies to the turn before it, the first to none
     (null). ``depth`` counts the replies above it, up to 64. ``position`` (from 0) orders a conversation by depth, then
     turn, then role and text; messages that repeat in all of these are ordered arbitrarily. Null and empty texts have no
     quotations; null turns come first and are not replied to; null conversations are one of their own. Other columns
@@ -52,13 +59,16 @@ def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     quoted = written(passages(marked.select("row", "text")), "quoted")
     counts = quoted.filter("level > 0").groupBy("row").agg(F.count(F.lit(1)).alias("n_quotes"), F.max("level").cast("long").alias("max_level"))
     # only conversations with quotations are taken apart
-    sought = quoted.filter("level = 1").join(rows.select("row", "conv", "turn"), "row").select("row", "conv", "turn", F.sha2("passage", 256).alias("hash"))
+    sought = written(quoted.filter("level > 0").join(rows.select("row", "conv", "turn"), "row").select("row", "conv", "turn", "level", "at", F.sha2("passage", 256).alias("hash"), "units"), "sought")
     talks = sought.select("conv").distinct()
     sources = rows.filter("turn is not null").join(talks, "conv", "left_semi")
-    own_lines = sources.select("conv", "turn", F.explode(F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n", -1)).alias("line")).filter(_level(F.col("line")) == 0).select("conv", "turn", _normal(F.col("line")).alias("passage"))
-    whole = passages(sources.select("row", "text")).filter("level = 0").join(sources.select("row", "conv", "turn"), "row").select("conv", "turn", "passage")
-    written_by = own_lines.unionByName(whole).filter("passage != ''").select("conv", F.col("turn").alias("source"), F.sha2("passage", 256).alias("hash")).distinct()
-    found = sought.join(written_by, ["conv", "hash"]).filter("turn is null or source < turn").groupBy("row").agg(F.max("source").alias("linked_to"))
+    own = passages(sources.select("row", "text")).filter("level = 0").select("row", F.explode(F.array_union(F.array("passage"), F.col("units"))).alias("passage"))
+    written_by = written(own.join(sources.select("row", "conv", "turn"), "row").select("conv", F.col("turn").alias("source"), F.sha2("passage", 256).alias("hash")).distinct(), "sources")
+    whole = written(sought.drop("units").join(written_by, ["conv", "hash"]).filter("turn is null or source < turn").groupBy("row", "level", "at").agg(F.max("source").alias("source")), "whole")
+    pieces = sought.drop("hash").join(whole, ["row", "at"], "left_anti").select("row", "conv", "turn", "level", "at", F.explode("units").alias("unit")).withColumn("hash", F.sha2("unit", 256))
+    shared = pieces.join(written_by, ["conv", "hash"]).filter("turn is null or source < turn").groupBy("row", "level", "at", "source").agg(F.count(F.lit(1)).alias("n"))
+    most = shared.groupBy("row", "level", "at").agg(F.max(F.struct("n", "source")).alias("best")).select("row", "level", "at", "best.source")
+    found = whole.unionByName(most).groupBy("row").agg(F.max(F.struct((-F.col("level")).alias("near"), "source")).alias("best")).select("row", F.col("best.source").alias("linked_to"))
     before = rows.select("conv", "turn").distinct().withColumn("previous", F.lag("turn").over(Window.partitionBy("conv").orderBy("turn")))
     clean = F.trim(F.array_join(F.filter(F.split(F.col("text"), r"\r\n|\r|\n", -1), lambda line: _level(line) == 0), "\n"))
     joined = rows.join(before.filter("previous is not null").withColumnRenamed("turn", "t").withColumnRenamed("conv", "c"), F.col("conv").eqNullSafe(F.col("c")) & (F.col("turn") == F.col("t")), "left").drop("c", "t").join(counts, "row", "left").join(found, "row", "left")
