@@ -323,6 +323,12 @@ def test_quotes_of_all_levels_and_of_parts(spark):
     assert [(got[t]["linked"], got[t]["reply_to"]) for t in range(6)] == [(False, None), (False, 0), (True, 0), (True, 0), (True, 0), (False, 4)]
 
 
+def test_depth_of_long_conversations(spark):
+    rows = [(c, t, "u", f"> line {t - 1}\nline {t}" if c == 1 and t == 150 else f"line {t}") for c in (1, 2) for t in range(200)]
+    got = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == 400 and all(r["depth"] == r["turn"] == r["position"] for r in got)
+
+
 def test_pipeline_equals_its_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")

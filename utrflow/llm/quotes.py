@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from utrflow.plans.storage import written
 
-#: Fixed values of the format: the marks at the start of a quoted line; the longest nesting that reply order follows.
+#: Fixed value of the format: the marks at the start of a quoted line.
 MARKS = r"^[\x20\t]*((?:>[\x20\t]*)+)"
-DEPTH = 64
 
 
 def _level(line: Column) -> Column:
@@ -49,7 +48,7 @@ def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     ``reply_to`` is the turn of the latest earlier message of the conversation that wrote a quotation of the message itself:
     whole, as one of its paragraphs or lines, or else the most of the quotation's paragraphs and lines. Of quotations whose
     source is found those of the lowest level count. Without such a quotation a message replies to the turn before it, the first to none
-    (null). ``depth`` counts the replies above it, up to 64. ``position`` (from 0) orders a conversation by depth, then
+    (null). ``depth`` counts the replies above it. ``position`` (from 0) orders a conversation by depth, then
     turn, then role and text; messages that repeat in all of these are ordered arbitrarily. Null and empty texts have no
     quotations; null turns come first and are not replied to; null conversations are one of their own. Other columns
     aren't read. An empty table gives no rows.
@@ -76,16 +75,12 @@ def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     # the depth: where all replies go to the turn before, it is the turn's rank; else the parents are followed by doubling
     turns = messages.groupBy("conv", "turn").agg(F.max("reply_to").alias("up"), F.max("linked").alias("any"))
     ranked = turns.withColumns({"rank": F.dense_rank().over(Window.partitionBy("conv").orderBy("turn")) - 1, "tangled": F.max("any").over(Window.partitionBy("conv"))})
-    plain = ranked.filter("not tangled").select("conv", "turn", F.least("rank", F.lit(DEPTH)).cast("long").alias("depth"))
+    plain = ranked.filter("not tangled").select("conv", "turn", F.col("rank").cast("long").alias("depth"))
     hop = ranked.filter("tangled and turn is not null").select("conv", "turn", "up", F.col("up").isNotNull().cast("long").alias("steps"))
-    reach = 1
-    while reach < DEPTH and not hop.isEmpty():
+    while not hop.filter("up is not null").isEmpty():
         nexts = hop.select(F.col("conv").alias("c"), F.col("turn").alias("t"), F.col("up").alias("further"), F.col("steps").alias("more"))
         hop = written(hop.join(nexts, F.col("conv").eqNullSafe(F.col("c")) & (F.col("up") == F.col("t")), "left").select("conv", "turn", F.col("further").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "hops")
-        reach *= 2
-        if hop.filter("up is not null").isEmpty():
-            break
-    depths = plain.unionByName(hop.select("conv", "turn", F.least("steps", F.lit(DEPTH)).cast("long").alias("depth"))).select(F.col("conv").alias("c"), F.col("turn").alias("t"), "depth")
+    depths = plain.unionByName(hop.select("conv", "turn", F.col("steps").cast("long").alias("depth"))).select(F.col("conv").alias("c"), F.col("turn").alias("t"), "depth")
     placed = messages.join(depths, F.col("conv").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t")), "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
     position = (F.row_number().over(Window.partitionBy("conv").orderBy("depth", "turn", "role", "text", "row")) - 1).cast("long")
     return placed.withColumn("position", position).select(F.col("conv").alias(conv), F.col("turn").alias(turn), F.col("role").alias(role), F.col("text").alias(text), "n_quotes", "max_level", "linked", "reply_to", "depth", "position")
