@@ -250,6 +250,13 @@ def test_nearest(spark):
     assert hits >= 0.9 * 5 * 59 and not {6000, 6050, 6100} & set(got)
 
 
+def test_repeated_rows_do_not_crowd_out_equal_vectors(spark):
+    r = np.random.default_rng(3)
+    rows = [(0, [1.0, 2.0, 3.0])] * 30 + [(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.0])] + [(i, [float(x) for x in r.normal(size=3)]) for i in range(3, 40)]
+    got = curves.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=2, every=100).collect()
+    assert [x["vec_id"] for x in sorted(got, key=lambda x: x["rank"]) if x["query_id"] == 0] == [1, 2]
+
+
 def test_hilbert_neighbours_touch():
     cells = np.array([[i >> 6 & 7, i >> 3 & 7, i & 7] for i in range(512)])
     order = np.argsort(curves.hilbert_keys(cells, 3))

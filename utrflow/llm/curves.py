@@ -96,7 +96,7 @@ def nearest(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id",
 
     given = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).filter("id is not null and v is not null")
     rows = written(given.mapInArrow(usable, "id long, dim int, vec binary"), "vectors")
-    index = written(rows.withColumn("n", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).filter(F.col("n") <= k + 1).drop("n"), "index")
+    index = written(rows.dropDuplicates(["id", "vec"]).withColumn("n", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).filter(F.col("n") <= k + 1).drop("n"), "index")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
