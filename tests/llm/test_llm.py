@@ -289,6 +289,13 @@ def test_words_as_the_tokenizer_cuts_them():
     assert [x.ids for x in want] == [x.tolist() for x in encoder.encode([t.encode() for t in texts])]
 
 
+def test_added_tokens_as_the_library_loaded_gives_them():
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> it's", "plain <|endoftext| >", "", "é  <|endoftext|>\n\nx"]
+    library = Tokenizer.from_file(BPE)
+    got = packing.ByteLevelEncoder(BPE).encode_loaded([t.encode() for t in texts])
+    assert [g.tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_piece_codec(odd):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     rows = piece_codec.encode_texts(odd, PIECES).collect()

@@ -9,6 +9,7 @@ ids, to a second round that merges the leftovers of up to 256 tasks in the same
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
@@ -39,7 +40,11 @@ class ByteLevelEncoder:
 
         tokenizer = Tokenizer.from_file(path)
         self.cut = tokenizer.pre_tokenizer.pre_tokenize_str
-        model = json.loads(tokenizer.to_str())["model"]
+        whole = json.loads(tokenizer.to_str())
+        model = whole["model"]
+        # texts are cut at the file's added tokens first, the longest where several begin
+        self.added = {t["content"].encode(): t["id"] for t in whole["added_tokens"]}
+        self.marks = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + b")") if self.added else None
         vocab = model["vocab"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         left, right, result = (np.array([vocab[w] for w in words]) for words in ([a for a, _ in pairs], [b for _, b in pairs], [a + b for a, b in pairs]))
@@ -104,7 +109,16 @@ class ByteLevelEncoder:
         real = kind[at] != STOP
         return at[real], end[real]
 
+    def encode_loaded(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids as the library gives them by the file as it is: added tokens in a text have their own."""
+        if self.marks is None or not any(map(self.marks.search, texts)):
+            return self.encode(texts)
+        parts = [self.marks.split(t) for t in texts]
+        between = iter(self.encode([p for own in parts for p in own[::2]]))
+        return [np.concatenate([np.array([self.added[p]], np.uint32) if i % 2 else next(between) for i, p in enumerate(own)]) for own in parts]
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids with added tokens taken as any other characters."""
         buf, stops = joined(texts)
         starts, ends = self.words(buf)
         if not len(starts):
@@ -218,7 +232,7 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", id_col: str = "doc_i
         encoder, rows = _encoder(tokenizer), _Rows(arrow, True)
         packer = Packer(task << 32, rows.add, window, most_open)
         for docs, texts in sized(batches):
-            for doc, ids in zip(docs, encoder.encode(texts), strict=True):
+            for doc, ids in zip(docs, encoder.encode_loaded(texts), strict=True):
                 packer.add(doc, 0, len(ids) + 1, np.append(ids, np.uint32(end_id)))
             yield rows.take()
         if rest := packer.close():
