@@ -36,7 +36,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``written`` gave and that nothing reads any more."""
+    for table in tables:
+        if path := getattr(table, "stored_at", None):
+            dropped(path, table.sparkSession)
+            _made.remove((table.sparkSession, path))
+            table.stored_at = None
 
 
 def dropped(df_path: str, spark: SparkSession) -> None:
