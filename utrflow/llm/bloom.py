@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 HASHES = 4
 SEGMENT = 1 << 20
+#: Up to so many hashes (half a megabyte) are counted on the driver.
+FEW = 1 << 16
 #: Cells of each of the HASHES regions: at most so many, whatever the data; 4 * 2^27 bits make the 64 MB that are broadcast.
 MAX_CELLS = 1 << 27
 
@@ -53,6 +55,12 @@ def repeated_filter(hashes: DataFrame, column: str, rows: int, least: int = 2) -
     """The packed bits of cells that at least two of the ``rows`` hashes in ``column`` hit (one, if ``least`` is 1). Null hashes are left out."""
     cells = cells_for(rows)
 
+    if rows <= FEW:
+        at, n = np.unique(_cells(hashes.select(column).toArrow().column(0).drop_null().to_numpy(), cells), return_counts=True)
+        table = np.zeros(max(SEGMENT, cells * HASHES), bool)
+        table[at[n >= least]] = True
+        return np.packbits(table).tobytes()
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b.column(0).drop_null().to_numpy(zero_copy_only=False) for b in batches]
         if not got or not (h := np.concatenate(got)).size:
@@ -76,7 +84,7 @@ def repeated_filter(hashes: DataFrame, column: str, rows: int, least: int = 2) -
 
     parts = hashes.select(column).mapInArrow(partial, "segment long, once binary, twice binary").groupBy("segment").applyInArrow(merged, "segment long, bits binary")
     bits = np.zeros(max(SEGMENT, cells * HASHES) // 8, np.uint8)
-    for r in parts.toLocalIterator():  # no more than MAX_CELLS allow
+    for r in parts.collect():  # no more than MAX_CELLS allow; an iterator would run a job for each partition
         part = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
         at = r["segment"] * (SEGMENT // 8)
         bits[at : at + len(part)] = part[: len(bits) - at]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from utrflow.plans.storage import join_sized, written
+from utrflow.plans.storage import join_sized, release, written
 
 
 def _with_least(pairs: DataFrame, total: int) -> DataFrame:
@@ -21,13 +21,16 @@ def _stars(edges: DataFrame) -> bool:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for each node of the edges: the root is the smallest node of its component. Edges are undirected."""
+    """(node, root), written, for each node of the edges: the root is the smallest node of its component. Edges are undirected."""
     now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct(), "edges")
     total = now.count()
     while total and not _stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = written(_with_least(both, 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), "large")
         small = _with_least(large, total).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        now = written(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u != v").distinct(), "edges")
+        last, now = now, written(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u != v").distinct(), "edges")
+        release(last, large)
         total = now.count()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    roots = written(now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots")
+    release(now)
+    return roots

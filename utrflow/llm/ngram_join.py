@@ -13,7 +13,7 @@ sizes and the places of a common shingle allow a link.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from utrflow.llm.bloom import cells_for, hits, may_repeat, repeated_filter
 from utrflow.llm.components import components
 from utrflow.llm.segments import END, hashes, joined, lowered, mixed, sized, small_batches
-from utrflow.plans.storage import join_sized, written
+from utrflow.plans.storage import join_sized, release, written
 
 WORDS, MOST_MATCHES = 5, 24
 #: Shingles whose frequency is known to the order: at most so many (2 MB); they steer cost only, never the result.
@@ -178,13 +178,15 @@ def _lists(docs: DataFrame, seed: int, frequent: tuple[np.ndarray, np.ndarray],
     posted = written(docs.mapInArrow(post, "bucket long, nodes binary, ns binary, ms binary, counts binary, tokens binary, places binary, token long, node long, n long, matches long, at long"), "postings")
     out = "token long, node long, n long, matches long, at long"
     met = posted.filter("bucket is not null").select(_POSTED[:7]).groupBy("bucket").applyInArrow(meet, out)
-    return met.unionByName(posted.filter("bucket is null").select(_POSTED[7:]).distinct())
+    lists = written(met.unionByName(posted.filter("bucket is null").select(_POSTED[7:]).distinct()), "lists")
+    release(posted)
+    return lists
 
 
 _POSTED = ["bucket", "nodes", "ns", "ms", "counts", "tokens", "places", "token", "node", "n", "matches", "at"]
 
 
-def _sets(docs: DataFrame, seed: int, wanted: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, seed: int, wanted: DataFrame, encode: Callable[[np.ndarray], bytes]) -> DataFrame:
     """(node, tokens) of the documents that stand for the ``wanted`` nodes (node, doc), those with repeated ids several times.
 
     No text is shuffled.
@@ -198,7 +200,7 @@ def _sets(docs: DataFrame, seed: int, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             batch = batch.filter(pa.array(hits(table, batch["h"].to_numpy(), cells)))
             for _, texts in sized([batch.select(["h", "text"])]):
-                found = [(node, _six(s)) for s in shingle_sets(texts, seed) if len(s) and (node := _signature(s, 0)) not in seen]
+                found = [(node, encode(s)) for s in shingle_sets(texts, seed) if len(s) and (node := _signature(s, 0)) not in seen]
                 seen.update(node for node, _ in found)
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["node", "tokens"])
 
@@ -210,24 +212,55 @@ def _six(tokens: np.ndarray) -> bytes:
     return tokens.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def _back(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return wide.view(">u8").ravel()
+def _common(x: bytes, y: bytes) -> tuple[int, int, int]:
+    """The sizes of two sets that ``_six`` wrote, and what they share."""
+    p, q = (np.frombuffer(z, np.uint8).reshape(-1, 6) for z in (x, y))
+    wide = np.zeros((len(p) + len(q), 8), np.uint8)
+    wide[: len(p), :6], wide[len(p) :, :6] = p, q
+    both = wide.view(">u8").ravel().astype(np.uint64)
+    both.sort(kind="stable")
+    return len(p), len(q), int((both[1:] == both[:-1]).sum())
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes with 100 * intersection >= 75 * union."""
+def _brief(tokens: np.ndarray) -> bytes:
+    """About a byte a shingle: the sorted hashes' upper bits, 32 to 64 times as many values as shingles, as steps (255 adds 255 to the next)."""
+    steps = np.diff((tokens >> np.uint64(64 - _bits(len(tokens)))).astype(np.int64), prepend=0)
+    ends = np.cumsum(steps // 255 + 1)
+    out = np.full(int(ends[-1]), 255, np.uint8)
+    out[ends - 1] = steps % 255
+    return out.tobytes()
+
+
+def _bits(n: int) -> int:
+    return (n - 1).bit_length() + 5
+
+
+def _at_most(x: bytes, y: bytes) -> tuple[int, int, int]:
+    """The sizes of two sets that ``_brief`` wrote, and a bound of what they share: equal values count as shared."""
+    places = []
+    for z in (x, y):
+        step = np.frombuffer(z, np.uint8)
+        places.append(np.cumsum(step, dtype=np.int64)[step != 255])
+    sizes = [len(p) for p in places]
+    for k, p in enumerate(places):
+        p >>= _bits(sizes[k]) - _bits(min(sizes))
+        first = np.append(True, p[1:] != p[:-1])
+        at = np.arange(len(p))
+        places[k] = p << 24 | at - np.maximum.accumulate(np.where(first, at, 0))  # the first of equal values meets the other's first
+    both = np.concatenate(places)
+    both.sort(kind="stable")
+    return *sizes, int((both[1:] == both[:-1]).sum())
+
+
+def _likely(pairs: DataFrame, sets: DataFrame, common: Callable[[bytes, bytes], tuple[int, int, int]]) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes for which 100 * common >= 75 * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch["x"], batch["y"], strict=True):
-                p, q = _back(x.as_py()), _back(y.as_py())
-                both = np.concatenate([p, q]).astype(np.uint64)
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= 75 * (len(p) + len(q) - common))
+                p, q, both = common(x.as_py(), y.as_py())
+                keep.append(100 * both >= 75 * (p + q - both))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
@@ -235,17 +268,30 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, seed: int, repeat: bool) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes that link: whole sets are fetched only for pairs that a bound of what they share leaves."""
+    for encode, common in ((_brief, _at_most), (_six, _common)):
+        wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc"), "node"), "wanted")
+        sets = written(_sets(docs, seed, wanted, encode), "sets")
+        left = written(_likely(pairs, sets.dropDuplicates(["node"]) if repeat else sets, common), "links")
+        release(wanted, sets, pairs)
+        pairs = left
+    return pairs
+
+
 #: What the sets of a linked pair share at least, and, following from it, where their first common shingle stands at most.
 SHARED = "(3 * (n + other_n) + 6) div 7"
 FIRST = f"at <= n - {SHARED} and other_at <= other_n - {SHARED}"
 
 
 def _live(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """The lists with each node's component (``comp``), of shingles that still join several components."""
-    own = lists.join(roots.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    own = written(own, "lists")
+    """The lists with each node's component (``comp``), of shingles that still join several components. ``lists`` goes."""
+    own = written(lists.drop("comp").join(roots.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node")), "lists")
+    release(lists)
     ends = own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token")
-    return own.join(ends, "token", "left_semi")
+    live = written(own.join(ends, "token", "left_semi"), "live")
+    release(own)
+    return live
 
 
 def _to_leaders(live: DataFrame, seed: int) -> DataFrame:
@@ -259,22 +305,35 @@ def _to_leaders(live: DataFrame, seed: int) -> DataFrame:
     return best.select(F.least("node", "best.other_node").alias("a"), F.greatest("node", "best.other_node").alias("b")).distinct()
 
 
+#: Whether one of the two shingles before a common one (in either's prefix) is common, too: the pair is met there.
+BEFORE = "coalesce(p1 = other_p1, false) or coalesce(p1 = other_p2, false) or coalesce(p2 = other_p1, false) or coalesce(p2 = other_p2, false)"
+
+
 def _others(live: DataFrame) -> DataFrame:
     """All pairs of nodes in different components that share as many prefix shingles as they must."""
-    sizes = live.groupBy("token", "comp").count()
-    main = sizes.groupBy("token").agg(F.max(F.struct("count", "comp")).alias("m")).select("token", F.col("m.comp").alias("main"))
-    own = live.join(main, "token")
-    minor = own.filter("comp != main").select("token", *[F.col(c).alias(f"other_{c}") for c in ("node", "n", "comp", "at")])
+    own = live.groupBy("node", "comp", "n", "matches").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("found"))
+    own = written(own.select("node", "comp", "n", "matches", F.col("found.token").alias("tokens"), F.col("found.at").alias("places")), "prefixes")
+    rows = own.select("node", "comp", "n", "tokens", "places", F.posexplode("tokens").alias("i", "token"))
+    before = lambda k: F.get("tokens", F.col("i") - k).alias(f"p{k}")
+    rows = rows.select("token", "node", "comp", "n", F.get("places", F.col("i")).alias("at"), before(1), before(2))
+    main = live.groupBy("token", "comp").count().groupBy("token").agg(F.max(F.struct("count", "comp")).alias("m")).select("token", F.col("m.comp").alias("main"))
+    rows = rows.join(main, "token")
+    minor = rows.filter("comp != main").select("token", *[F.col(c).alias(f"other_{c}") for c in ("node", "comp", "n", "at", "p1", "p2")])
     # of two minor nodes the pair is made once
-    met = own.join(minor, "token").filter("comp != other_comp and (comp = main or node < other_node)").filter(FIRST)
+    met = rows.join(minor, "token").filter(f"comp != other_comp and (comp = main or node < other_node) and {FIRST} and not ({BEFORE})")
     pairs = written(met.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct(), "met")
-    # the count of shared prefix shingles, for these pairs only
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    prefixes = live.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("matches").alias("matches"), F.collect_list(F.struct("token", "at")).alias("tokens"))
-    both = pairs.join(prefixes.withColumnRenamed("node", "a"), "a").join(prefixes.select(F.col("node").alias("b"), *[F.col(c).alias(f"other_{c}") for c in ("n", "matches", "tokens")]), "b")
-    both = both.withColumn("need", F.least("matches", "other_matches")).withColumns({"upto": F.expr(f"n - {SHARED} + need"), "other_upto": F.expr(f"other_n - {SHARED} + need")})
-    common = "size(array_intersect(transform(filter(tokens, x -> x.at < upto), x -> x.token), transform(filter(other_tokens, x -> x.at < other_upto), x -> x.token)))"
-    return both.filter(f"{common} >= need").select("a", "b")
+    # the count of shared prefix shingles: places and 16 bits of each shingle, so that it may be too high, never too low
+    brief = F.zip_with("places", "tokens", lambda p, t: F.least(p, F.lit(0x7FFF)).cast("int") * 0x10000 + F.pmod(F.hash(t), F.lit(0x10000)))
+    prefixes = own.select("node", "n", "matches", brief.alias("found"))
+    both = pairs.join(prefixes.withColumnRenamed("node", "a"), "a").join(prefixes.select(F.col("node").alias("b"), *[F.col(c).alias(f"other_{c}") for c in ("n", "matches", "found")]), "b")
+    both = both.withColumn("need", F.least("matches", "other_matches"))
+    for side in ("", "other_"):
+        upto = f"{side}n - {SHARED} + need"
+        both = both.withColumn(f"{side}short", F.expr(f"transform(filter({side}found, x -> x div 65536 < {upto}), x -> x % 65536)"))
+    enough = "size(array_intersect(short, other_short)) + size(short) - size(array_distinct(short)) >= need"
+    asked = written(both.filter(enough).select("a", "b"), "pairs")
+    release(own, pairs)
+    return asked
 
 
 def jaccard_components(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -299,24 +358,21 @@ def jaccard_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
     known = scan.filter("token is not null").groupBy("token").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "token").limit(FREQUENT).toArrow()
     keys, counts = known["token"].to_numpy().view(np.uint64), known["df"].to_numpy()
     order = np.argsort(keys)
-    lists = written(_lists(docs, seed, (keys[order], counts[order]), max(1, shingles * 3 // 10 // BUCKET)), "lists")
-    links, roots = None, None
+    repeat = not rows.groupBy("doc").count().filter("count > 1").isEmpty()
+    lists, roots = _lists(docs, seed, (keys[order], counts[order]), max(1, shingles * 3 // 10 // BUCKET)), None
     for step in range(3):
-        if roots is None:
-            live = lists.withColumn("comp", F.col("node"))
-        else:
-            live = written(_live(lists, roots), "live")
-        pairs = written(_others(live) if step == 2 else _to_leaders(live, step), "pairs")
+        if roots is not None:
+            lists = _live(lists, roots)
+        live = lists.withColumn("comp", F.col("node")) if roots is None else lists
+        pairs = _others(live) if step == 2 else written(_to_leaders(live, step), "pairs")
         if step and pairs.isEmpty():
             continue
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc"), "node")
-        wanted = written(wanted, "wanted")
-        sets = written(_sets(docs, seed, wanted), "sets")
-        if not sets.groupBy("node").count().filter("count > 1").isEmpty():  # ids repeat
-            sets = sets.dropDuplicates(["node"])
-        found = written(_linked(pairs, sets), "links")
-        links = found if links is None else links.union(found)
-        roots = written(components(links), "roots")
+        links = _linked(pairs, docs, nodes, seed, repeat)
+        # what was joined before stays joined: each node with its root
+        found = components(links if roots is None else links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        release(links, roots)
+        roots = found
+    release(lists)
     joined_nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = joined_nodes.groupBy("root").agg(F.min("doc").alias("component"), F.sum("size").alias("members"), F.count(F.lit(1)).alias("sets"))
     total = rows.count()
