@@ -39,10 +39,25 @@ def substituted(window: Column, alt: Column, at: int) -> Column:
     return F.concat(F.substring(window, 1, at - 1), alt, F.substring(window, at + 1, 2**31 - 1))
 
 
+def pieces(seq: Column, size: int = 128, left: int = 0, right: int = 0) -> Column:
+    """The sequence cut into pieces of ``size`` letters, each with up to ``left`` letters before and ``right`` after it.
+
+    A substring is found by walking the text from its start, so that all windows of a long text would cost its length squared;
+    in pieces they cost its length. ``size`` must be at least ``left`` and ``right``.
+    """
+    cut = F.split(seq, rf"(?s)(?<=\G.{{{size}}})")
+    if right:
+        cut = F.zip_with(cut, F.slice(cut, F.lit(2), F.size(cut)), lambda x, y: F.concat(x, F.left(F.coalesce(y, F.lit("")), F.lit(right))))
+    if left:
+        before = F.concat(F.array(F.lit("")), F.split(seq, rf"(?s)(?<=\G.{{{size}}})"))
+        cut = F.zip_with(F.slice(before, F.lit(1), F.size(before) - 1), cut, lambda x, y: F.concat(F.right(x, F.lit(left)), y))
+    return cut
+
+
 def kmers(seq: Column, k: int) -> Column:
     """All k-mers of the sequence in order; an empty array for shorter ones."""
-    n = F.length(seq) - (k - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    windows = lambda p: F.when(F.length(p) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - (k - 1), F.lit(1))), lambda i: F.substr(p, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(seq) >= k, F.flatten(F.transform(pieces(seq, max(128, k), 0, k - 1), windows))).otherwise(F.array().cast("array<string>"))
 
 
 def padded(seq: Column, left: str, right: str, k: int | None = None) -> Column:

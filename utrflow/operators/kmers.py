@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from utrflow.functions.sequence import all_kmers, kmers
+from utrflow.functions.sequence import all_kmers, kmers, pieces
 
 
 def positions(reads: DataFrame, k: int, by: list[str] = (), read: str = "read_id", seq: str = "seq", name: str = "kmer", at: str = "pos") -> DataFrame:
@@ -72,19 +72,28 @@ def fractions(hits: DataFrame, reads: DataFrame, by: list[str] = (), pseudo: flo
 def pairs(reads: DataFrame, k: int, k2: int | None = None, by: list[str] = (), first: list[str] | None = None, least: int | None = None, most: int | None = None, read: str = "read_id") -> DataFrame:
     """(by, read, a, b, d): ordered pairs of k-mers of one read, b starting d bases after a (least <= d <= most).
 
-    Made within the read's row: no shuffle. ``first`` restricts a; negative d means b before a.
+    Made within the read's row, piece by piece: no shuffle, and linear in a read's length where ``most`` bounds d. ``first``
+    restricts a; negative d means b before a.
     """
     k2 = k2 or k
     least = k if least is None else least
-    length = F.length("seq")
+    # pieces of the read with all that their own starts (``own`` of them from ``from`` on) can meet
+    if most is None:
+        parts = F.array(F.struct(F.col("seq").alias("text"), F.lit(0).alias("from"), F.length("seq").alias("own")))
+    else:
+        before, after = max(0, -least), max(k - 1, most + k2 - 1, 0)
+        size = max(128, before, after)
+        parts = F.transform(pieces(F.col("seq"), size, before, after), lambda p, i: F.struct(p.alias("text"), F.when(i > 0, before).otherwise(0).alias("from"), F.least(F.lit(size), F.length("seq") - i * size).alias("own")))
+    cut = reads.filter(F.length("seq") >= k).select(*by, read, F.explode(parts).alias("c")).select(*by, read, "c.*").filter("own > 0")
+    length = F.length("text")
     low = lambda i: F.greatest(i + least, F.lit(0))
     width = lambda i: (F.least(i + most + k2, length) if most is not None else length) - low(i)
-    around = F.transform(F.sequence(F.lit(0), F.greatest(length - k, F.lit(0))), lambda i: F.struct(F.substr("seq", i + 1, F.lit(k)).alias("a"), F.substr("seq", low(i) + 1, F.greatest(width(i), F.lit(0))).alias("near"), (low(i) - i).alias("from")))
+    around = F.transform(F.sequence(F.col("from"), F.col("from") + F.col("own") - 1), lambda i: F.struct(F.substr("text", i + 1, F.lit(k)).alias("a"), F.substr("text", low(i) + 1, F.greatest(width(i), F.lit(0))).alias("near"), (low(i) - i).alias("gap")))
     # the neighbourhood is a column of its own, so that its windows are cut from a short text
-    rows = reads.filter(length >= k).select(*by, read, F.explode(around).alias("p")).filter(F.length("p.near") >= k2)
+    rows = cut.select(*by, read, F.explode(around).alias("p")).filter((F.length("p.a") == k) & (F.length("p.near") >= k2))
     if first is not None:
         rows = rows.filter(F.col("p.a").isin(first))
-    made = F.transform(F.sequence(F.lit(0), F.length("p.near") - k2), lambda j: F.struct(F.substr("p.near", j + 1, F.lit(k2)).alias("b"), (F.col("p.from") + j).alias("d")))
+    made = F.transform(F.sequence(F.lit(0), F.length("p.near") - k2), lambda j: F.struct(F.substr("p.near", j + 1, F.lit(k2)).alias("b"), (F.col("p.gap") + j).alias("d")))
     return rows.select(*by, read, F.col("p.a").alias("a"), F.explode(made).alias("q")).select(*by, read, "a", "q.b", "q.d")
 
 
