@@ -11,6 +11,7 @@ from utrflow.functions.sequence import middle, na, on_strand, substituted, with_
 from utrflow.operators.intervals import collapsed, fetch, overlap_join, with_fallback
 from utrflow.operators.psam import score_many
 from utrflow.operators.regression import flagged, predicted
+from utrflow.plans.storage import written
 
 #: Fixed values of the query: the window's flank, thresholds of motif calls, of features and of predictions.
 FLANK, STRONG, LOST, KEPT = 43, 0.33, 0.33, 0.67
@@ -91,6 +92,8 @@ def motif_calls(variants: DataFrame, genome: DataFrame, size: int, motifs: DataF
         a = scores.select(F.col("seq").alias("seq_alt"), "rbp", F.col("score").alias("alt_score"))
         part = both.join(r, "seq_ref").join(a, ["seq_alt", "rbp"]).select("variant_id", "rbp", call(F.col("ref_score"), F.col("alt_score")).alias("cat")).filter("cat is not null").distinct()
         calls = part if calls is None else calls.union(part)
+    if calls is None:  # no motifs
+        return variants.select("variant_id", F.lit(None).cast("string").alias("motif_RBPs"), F.lit(None).cast("string").alias("motif_cat")).limit(0)
     got = F.array_sort(F.collect_list(F.struct("rbp", "cat")))
     return calls.groupBy("variant_id").agg(got.alias("g")).select("variant_id", F.array_join(F.transform("g", lambda x: x["rbp"]), "_").alias("motif_RBPs"), F.array_join(F.transform("g", lambda x: x["cat"]), "__").alias("motif_cat"))
 
@@ -109,7 +112,8 @@ def annotate(variants: DataFrame, tables: Annotations, collapse_fan_out: bool =
         found = with_fallback(variants, utr, tables.utr_fallback.withColumns({"r_start": F.col("iso_start"), "r_end": F.col("iso_stop")}), "variant_id", width=width)
     else:
         found = overlap_join(variants, utr, width=width)
-    rows = found.drop("r_start", "r_end", "score").withColumn("row_id", F.xxhash64("variant_id", "gene", "iso_start", "iso_stop", "strand", "iso_loc"))
+    # numbered and written: a variant that repeats keeps its rows, each with hits of its own
+    rows = written(found.drop("r_start", "r_end", "score").withColumn("row_id", F.monotonically_increasing_id()), "annotated")
     out = rows
     none = F.lit(None).cast("string")
 

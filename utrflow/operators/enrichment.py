@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from utrflow.operators.intervals import until
+from utrflow.operators.kmers import filled
 
 
 def ratios(bound: DataFrame, control: DataFrame, value: str, name: str, on: list[str] = ("kmer",)) -> DataFrame:
@@ -16,21 +17,25 @@ def ratios(bound: DataFrame, control: DataFrame, value: str, name: str, on: list
     return bound.join(base, list(on)).withColumn(name, F.col(value) / F.col("__base")).drop("__base")
 
 
-def information(bound: DataFrame, control: DataFrame, by: list[str] = ()) -> DataFrame:
-    """(by, kmer, di): the information that a k-mer gives on the sample, from counts (kmer, n) of both."""
-    total = lambda df, keys: df.groupBy(*keys).agg(F.sum("n").alias("t")) if keys else df.agg(F.sum("n").alias("t"))
-    b, c = total(bound, list(by)).withColumnRenamed("t", "tb"), total(control, []).withColumnRenamed("t", "tc")
-    both = bound.withColumnRenamed("n", "nb").join(control.select("kmer", F.col("n").alias("nc")), "kmer")
-    both = both.join(b, list(by)) if by else both.crossJoin(F.broadcast(b))
-    both = both.crossJoin(F.broadcast(c))
+def information(bound: DataFrame, control: DataFrame, k: int, by: list[str] = (), letters: str = "ACGT") -> DataFrame:
+    """(by, kmer, di) of all 4^k k-mers, from counts (kmer, n) of both: the information that a k-mer gives on the sample.
+
+    With s the samples' shares of all counts, q the k-mer's share of all and c its share of one sample: the sum over both
+    samples of s log2(c / (q s)). It is minus infinity where one sample lacks the k-mer, null where both do.
+    """
+    full = filled(bound, bound.select(*by).distinct(), k, letters).withColumnRenamed("n", "nb")
+    full = full.join(F.broadcast(control.select("kmer", F.col("n").alias("nc"))), "kmer", "left").withColumn("nc", F.coalesce("nc", F.lit(0)))  # 4^k rows
+    b = bound.groupBy(*by).agg(F.sum("n").alias("tb"))
+    full = full.join(F.broadcast(b), list(by)) if by else full.crossJoin(F.broadcast(b))
+    full = full.crossJoin(F.broadcast(control.agg(F.sum("n").alias("tc"))))
     whole = F.col("tb") + F.col("tc")
-    p_b, p_c = F.col("tb") / whole, F.col("tc") / whole
     q = (F.col("nb") + F.col("nc")) / whole
-    part = lambda n, p: F.when(n > 0, n / whole * F.log2(n / whole / (q * p))).otherwise(0.0)
-    return both.select(*by, "kmer", (part(F.col("nb"), p_b) + part(F.col("nc"), p_c)).alias("di"))
+    part = lambda n, t: t / whole * F.log2(n / t / (q * (t / whole)))
+    di = part(F.col("nb"), F.col("tb")) + part(F.col("nc"), F.col("tc"))
+    return full.select(*by, "kmer", F.when((F.col("nb") > 0) & (F.col("nc") > 0), di).when(F.col("nb") + F.col("nc") > 0, F.lit(float("-inf"))).alias("di"))
 
 
-def resampled(reads: DataFrame, value, n: int, seed: int = 47110815, by: list[str] = ()) -> DataFrame:
+def resampled(reads: DataFrame, value, n: int, seed: int = 20_011, by: list[str] = ()) -> DataFrame:
     """``value(reads)`` (by, kmer, value) with ``error``: its population deviation over n bootstrap samples of the reads.
 
     A sample draws each read a Poisson(1) number of times, from a hash of its id: it can be repeated, and needs no shuffle.
@@ -69,39 +74,73 @@ def best_samples(values: DataFrame, keep: list[int], least: float, sample: str =
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("top"), sample))).filter(F.col("rank").isin(keep))
 
 
-def significant(values: DataFrame, value: str, error: str, z_cut: float = 4.0, least: int = 10, most: int = 1000, by: list[str] = ()) -> DataFrame:
-    """(by, kmer, z, rank): mean over samples of max(value - error, 0), as z over all k-mers; those above the cut, between
-    ``least`` and ``most`` of them."""
-    low = values.groupBy(*by, "kmer").agg(F.avg(F.greatest(F.col(value) - F.coalesce(F.col(error), F.lit(0.0)), F.lit(0.0))).alias("v"))
-    w = Window.partitionBy(*by)
-    z = ranked(low.withColumn("z", (F.col("v") - F.avg("v").over(w)) / F.stddev_pop("v").over(w)), "z", by)
-    return z.filter(((F.col("z") > z_cut) | (F.col("rank") <= least)) & (F.col("rank") <= most)).select(*by, "kmer", "z", "rank")
+def significant(values: DataFrame, sample: str, value: str, error: str, z_cut: float = 2.0, least: int = 1, most: int | None = None) -> DataFrame:
+    """(kmer, z, rank): the k-mers above the cut, at least ``least`` and at most ``most`` of them.
+
+    z is the mean over samples of (max(value - error, 0) - m) / s, where m and s are mean and deviation of a sample's plain
+    values over all k-mers.
+    """
+    stats = values.groupBy(sample).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
+    low = F.greatest(F.col(value) - F.coalesce(F.col(error), F.lit(0.0)), F.lit(0.0))
+    z = ranked(values.join(F.broadcast(stats), sample).groupBy("kmer").agg(F.avg((low - F.col("__m")) / F.col("__s")).alias("z")), "z")
+    found = z.filter((F.col("z") >= z_cut) | (F.col("rank") <= least))
+    return found if most is None else found.filter(F.col("rank") <= most)
 
 
-def corrected(values: DataFrame, share: float = 0.5, value: str = "r") -> DataFrame:
+def corrected(values: DataFrame, share: float = 0.05, value: str = "r") -> DataFrame:
     """(kmer, r): mean R over samples, corrected for unspecific reads: m + q (m - 1) / (1 - q), q a percentile of the means."""
     mean = values.groupBy("kmer").agg(F.avg(value).alias("m"))
     q = mean.agg(F.percentile("m", F.lit(share)).alias("q"))
     return mean.crossJoin(F.broadcast(q)).select("kmer", (F.col("m") + F.col("q") * (F.col("m") - 1) / (1 - F.col("q"))).alias("r"))
 
 
+def seeds(values: DataFrame, error: str = "error", value: str = "r", z_cut: float = 4.0, least: int = 10, share: float = 0.05) -> DataFrame:
+    """(kmer, r, error, rank): the k-mers that motifs are built from: by ``corrected`` R, from the largest on.
+
+    The cut is the R of the first k-mer whose z over all k-mers is below ``z_cut``, 1 at least; the list ends where R less
+    the mean error over samples falls to the cut and more than ``least`` k-mers are taken.
+    """
+    errors = values.groupBy("kmer").agg(F.avg(error).alias("error"))
+    r = corrected(values, share, value).join(errors, "kmer")
+    stats = r.agg(F.avg("r").alias("__m"), F.stddev_pop("r").alias("__s"))
+    z = ranked(r.crossJoin(F.broadcast(stats)).withColumn("z", (F.col("r") - F.col("__m")) / F.col("__s")).drop("__m", "__s"), "r")
+    # without any k-mer below the cut it is the first one's R
+    cut = z.agg(F.greatest(F.lit(1.0), F.coalesce(F.max(F.when(F.col("z") < z_cut, F.col("r"))), F.max("r"))).alias("cut"))
+    over = z.crossJoin(F.broadcast(cut))
+    stop = over.filter((F.col("r") - F.col("error") <= F.col("cut")) & (F.col("rank") > least + 1)).agg(F.min("rank").alias("stop"))
+    return over.crossJoin(F.broadcast(stop)).filter(F.col("stop").isNull() | (F.col("rank") < F.col("stop"))).select("kmer", "r", "error", "rank")
+
+
 def above_error(values: DataFrame, cut: float, least: int, value: str = "r", error: str = "error") -> DataFrame:
     """k-mers from the largest value on, until value - error falls to the cut."""
     return until(values, [F.desc(value), F.desc("kmer")], F.col(value) - F.col(error) <= cut, least)
 
 
-def flank_divergence(bound: DataFrame, control: DataFrame, core: int, pseudo: float = 1.0) -> DataFrame:
-    """(d, kmer, kl): p log2(p / q) of flank k-mers (d, kmer, n) by offset, 0 where they overlap the core."""
-    def share(df: DataFrame, name: str) -> DataFrame:
-        return df.select("d", "kmer", ((F.col("n") + pseudo) / F.sum(F.col("n") + pseudo).over(Window.partitionBy("d"))).alias(name))
+def flank_divergence(bound: DataFrame, control: DataFrame, core: int, k: int, pseudo: float = 10.0, letters: str = "ACGT") -> DataFrame:
+    """(d, kmer, kl, log_ratio) of all 4^k flank k-mers at each offset, from counts (d, kmer, n).
+
+    p and q are the shares of counts + pseudo at an offset, kl is p log2(p / q); log_ratio, log2(p / q), is 0 where the
+    flank overlaps the core.
+    """
+    offsets = bound.select("d").union(control.select("d")).distinct()
+    share = lambda df, name: filled(df.select("d", "kmer", "n"), offsets, k, letters).select("d", "kmer", ((F.col("n") + pseudo) / F.sum(F.col("n") + pseudo).over(Window.partitionBy("d"))).alias(name))
+    both = share(bound, "p").join(share(control, "q"), ["d", "kmer"])
+    ratio = F.log2(F.col("p") / F.col("q"))
+    return both.select("d", "kmer", (F.col("p") * ratio).alias("kl"), F.when(_apart("d", core, k), ratio).otherwise(0.0).alias("log_ratio"))
+
+
+def _apart(d: str, core: int, k: int):
+    return (F.col(d) >= core) | (F.col(d) <= -k)
+
 
-    k = F.length("kmer")
-    apart = (F.col("d") >= core) | (F.col("d") <= -k)
-    return share(bound, "p").join(share(control, "q"), ["d", "kmer"]).select("d", "kmer", F.when(apart, F.col("p") * F.log2(F.col("p") / F.col("q"))).otherwise(0.0).alias("kl"))
+def divergence_by_offset(divergence: DataFrame, core: int, k: int) -> DataFrame:
+    """(d, kl): the sums over k-mers, 0 where the flank overlaps the core."""
+    return divergence.groupBy("d").agg(F.sum("kl").alias("kl")).withColumn("kl", F.when(_apart("d", core, k), F.col("kl")).otherwise(0.0))
 
 
 def top_interactors(divergence: DataFrame, n: int = 10) -> DataFrame:
-    return divergence.groupBy("kmer").agg(F.max("kl").alias("kl")).orderBy(F.desc("kl"), "kmer").limit(n)
+    """(kmer, kl): the k-mers with the largest kl at any offset, overlapping ones included, in alphabetical order."""
+    return divergence.groupBy("kmer").agg(F.max("kl").alias("kl")).orderBy(F.desc("kl"), F.desc("kmer")).limit(n).orderBy("kmer")
 
 
 def cooccurrence(observed: DataFrame, expected: DataFrame) -> DataFrame:

@@ -145,8 +145,8 @@ def read_affinity(reads: DataFrame, model: Model, seq: str = "seq") -> DataFrame
     return reads.withColumn("z", z(F.col(seq)))
 
 
-def gradient(reads: DataFrame, model: Model, free: list[float], k: int, f0: np.ndarray, observed: np.ndarray) -> tuple[float, np.ndarray]:
-    """(error, its gradient by the parameter vector) over samples (rows of ``observed``, by all 4^k k-mers).
+def gradient(reads: DataFrame, model: Model, free: list[float], k: int, f0: np.ndarray, observed: np.ndarray, slope: bool = True) -> tuple[float, np.ndarray | None]:
+    """(error, its gradient by the parameter vector; None without ``slope``, which spares a pass) over samples (rows of ``observed``, by all 4^k k-mers).
 
     Two passes over the reads (all of one length), each a sum of arrays made in Arrow batches: the k-mer sums q, which give the error and
     what a read's occupancy is worth; then the chain rule through occupancy and affinity. Free protein is held fixed.
@@ -175,7 +175,7 @@ def gradient(reads: DataFrame, model: Model, free: list[float], k: int, f0: np.n
             yield pd.DataFrame({"i": np.arange(length), "v": total})
 
         out = np.zeros(length)
-        for r in reads.select("seq").filter("seq is not null").mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toLocalIterator():
+        for r in reads.select("seq").filter("seq is not null").mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():  # as many rows as sums
             out[r["i"]] = r["v"]
         return out
 
@@ -194,6 +194,8 @@ def gradient(reads: DataFrame, model: Model, free: list[float], k: int, f0: np.n
     w = q + f0 * model.betas[:, None]
     total = w.sum(axis=1, keepdims=True)
     r = w / f0 / total
+    if not slope:
+        return float(((r - observed) ** 2).mean()), None
     d_r = 2 * (r - observed) / r.size
     d_w = d_r / f0 / total - (d_r * r).sum(axis=1, keepdims=True) / total
     worth = sc.broadcast(np.hstack([d_w, np.zeros((samples, 1))]))
@@ -218,11 +220,18 @@ def gradient(reads: DataFrame, model: Model, free: list[float], k: int, f0: np.n
     return float(((r - observed) ** 2).mean()), np.concatenate([summed(chain, n + len(model.a0)), (d_w * f0).sum(axis=1)])
 
 
-def descend(reads: DataFrame, model: Model, totals: list[float], rna: float, k: int, f0: np.ndarray, observed: np.ndarray, steps: int = 50, keep: float = 0.9, tolerance: float = 1e-4, trend: int = 8) -> tuple[Model, list[float]]:
-    """(model, errors by step): Adam-like directions in log parameters with a line search, until the error's linear trend
-    over the last ``trend`` steps falls below ``tolerance`` of it, or no step helps."""
+def converged(errors: list[float], way: np.ndarray | None, slope: float, trend: int, least: float = 1e-7) -> bool:
+    """Whether the error or the averaged gradient is next to nothing, or the error's linear decrease over the last ``trend``
+    steps is below ``slope`` of the first error."""
+    if errors and errors[-1] < least or way is not None and np.sqrt((way**2).sum()) < least:
+        return True
+    return len(errors) >= trend and -np.polyfit(np.arange(trend), errors[-trend:], 1)[0] / errors[0] < slope
+
+
+def descend(reads: DataFrame, model: Model, totals: list[float], rna: float, k: int, f0: np.ndarray, observed: np.ndarray, steps: int = 500, keep: float = 0.5, slope: float = 1e-6, trend: int = 13) -> tuple[Model, list[float]]:
+    """(model, errors by step): Adam-like directions in log parameters with a line search, until ``converged`` or no step helps."""
     errors: list[float] = []
-    m = v = np.zeros(len(model.vector()))
+    m, v = None, np.ones(len(model.vector()))
 
     def protein(one: Model) -> list[float]:
         hist = z_histogram(read_affinity(reads, one), "z")
@@ -232,17 +241,15 @@ def descend(reads: DataFrame, model: Model, totals: list[float], rna: float, k:
         free = protein(model)
         error, g = gradient(reads, model, free, k, f0, observed)
         errors.append(error)
-        if len(errors) >= trend:
-            slope = np.polyfit(np.arange(trend), errors[-trend:], 1)[0]
-            if -slope * trend < tolerance * error:
-                break
+        if converged(errors, m, slope, trend):
+            break
         x = model.vector()
         g = g * x  # by the logarithms
-        m, v = keep * m + (1 - keep) * g, keep * v + (1 - keep) * g * g
-        way, step = m / (np.sqrt(v) + 1e-12), 0.3
+        m, v = g if m is None else keep * m + (1 - keep) * g, keep * v + (1 - keep) * g * g
+        way, step = m / (np.sqrt(v) + 1e-5), 0.3
         while step > 1e-4:
             trial = model.like(x * np.exp(-step * way))
-            if gradient(reads, trial, free, k, f0, observed)[0] < error:
+            if gradient(reads, trial, free, k, f0, observed, slope=False)[0] < error:
                 break
             step /= 3
         else:

@@ -25,12 +25,16 @@ def counts_per_read(reads: DataFrame, k: int, read: str = "read_id") -> DataFram
     return positions(reads, k, read=read).groupBy(read, "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
+def filled(counted: DataFrame, samples: DataFrame, k: int, letters: str = "ACGT", name: str = "kmer") -> DataFrame:
+    """``counted`` (by, kmer, n) with a row of n = 0 for each of the 4^k k-mers that one of the ``samples`` (by) hasn't."""
+    every = all_kmers(counted.sparkSession, k, letters).withColumnRenamed("kmer", name)
+    frame = samples.crossJoin(F.broadcast(every)) if samples.columns else every  # 4^k rows
+    return frame.join(counted, [*samples.columns, name], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def frequencies(counted: DataFrame, k: int, by: list[str] = (), pseudo: float = 10.0, letters: str = "ACGT") -> DataFrame:
     """(by, kmer, n, freq) of all 4^k k-mers: (n + pseudo) / sum(n + pseudo) * 4^k, those that don't occur included."""
-    spark = counted.sparkSession
-    every = F.broadcast(all_kmers(spark, k, letters))  # 4^k rows
-    frame = counted.select(*by).distinct().crossJoin(every) if by else every
-    full = frame.join(counted.select(*by, "kmer", "n"), [*by, "kmer"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    full = filled(counted.select(*by, "kmer", "n"), counted.select(*by).distinct(), k, letters)
     total = full.groupBy(*by).agg(F.sum(F.col("n") + pseudo).alias("__total"))
     full = full.join(F.broadcast(total), list(by)) if by else full.crossJoin(F.broadcast(total))
     return full.withColumn("freq", (F.col("n") + pseudo) / F.col("__total") * 4**k).drop("__total")
@@ -62,10 +66,11 @@ def best_hits(reads: DataFrame, ranks: DataFrame, k: int, by: list[str] = (), re
     return held.groupBy(*by, read).agg(F.min_by("kmer", "rank").alias("kmer")).groupBy(*by, "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fractions(hits: DataFrame, reads: DataFrame, by: list[str] = (), pseudo: float = 10.0) -> DataFrame:
-    """``hits`` with fraction (n + pseudo) / (reads + pseudo)."""
+def fractions(hits: DataFrame, reads: DataFrame, k: int, by: list[str] = (), pseudo: float = 10.0, letters: str = "ACGT") -> DataFrame:
+    """(by, kmer, n, fraction) of all 4^k k-mers: (n + pseudo) / (reads + pseudo), those that no read holds included."""
     total = reads.groupBy(*by).agg(F.count(F.lit(1)).alias("__reads"))
-    joined = hits.join(F.broadcast(total), list(by)) if by else hits.crossJoin(F.broadcast(total))
+    full = filled(hits, total.select(*by), k, letters)
+    joined = full.join(F.broadcast(total), list(by)) if by else full.crossJoin(F.broadcast(total))
     return joined.withColumn("fraction", (F.col("n") + pseudo) / (F.col("__reads") + pseudo)).drop("__reads")
 
 
@@ -102,15 +107,20 @@ def joint_by_distance(reads: DataFrame, k: int, by: list[str] = (), most: int |
     return pairs(reads, k, by=by, most=most).groupBy(*by, "a", "b", "d").agg(F.count(F.lit(1)).alias("n"))
 
 
-def mutual_information(joint: DataFrame, by: list[str] = (), pseudo: float = 0.0) -> DataFrame:
-    """(by, d, mi): sum of p log2(p / (pa pb)) over the pairs at each distance."""
+def mutual_information(joint: DataFrame, freqs: DataFrame, k: int, by: list[str] = (), pseudo: float = 10.0, letters: str = "ACGT") -> DataFrame:
+    """(by, d, mi): sum of p log2(p / (fa fb)) over all 16^k pairs of k-mers at each distance.
+
+    p is the pair's share of the counts with ``pseudo`` added to each (pairs that don't occur included), fa and fb the k-mers'
+    shares among ``frequencies`` (by, kmer, freq) of the whole reads.
+    """
     keys = [*by, "d"]
-    cells = joint.withColumn("n", F.col("n") + pseudo)
+    f = lambda name: freqs.select(*by, F.col("kmer").alias(name), (F.col("freq") / 4**k).alias(f"__{name}"))
+    cells = filled(joint, joint.select(*keys).distinct().crossJoin(F.broadcast(all_kmers(joint.sparkSession, k, letters).withColumnRenamed("kmer", "a"))), k, letters, "b")
+    cells = cells.withColumn("n", F.col("n") + pseudo)
     total = cells.groupBy(*keys).agg(F.sum("n").alias("t"))
-    a = cells.groupBy(*keys, "a").agg(F.sum("n").alias("na"))
-    b = cells.groupBy(*keys, "b").agg(F.sum("n").alias("nb"))
-    full = cells.join(total, keys).join(a, [*keys, "a"]).join(b, [*keys, "b"])
-    return full.groupBy(*keys).agg(F.sum(F.col("n") / F.col("t") * F.log2(F.col("n") * F.col("t") / (F.col("na") * F.col("nb")))).alias("mi"))
+    full = cells.join(F.broadcast(total), keys).join(F.broadcast(f("a")), [*by, "a"]).join(F.broadcast(f("b")), [*by, "b"])  # 4^k rows a sample
+    p = F.col("n") / F.col("t")
+    return full.groupBy(*keys).agg(F.sum(p * F.log2(p / (F.col("__a") * F.col("__b")))).alias("mi"))
 
 
 def profile(reads: DataFrame, k: int, by: list[str] = ()) -> DataFrame:
@@ -119,9 +129,9 @@ def profile(reads: DataFrame, k: int, by: list[str] = ()) -> DataFrame:
 
 
 def flank_profile(reads: DataFrame, core: str, k: int, reach: int, by: list[str] = ()) -> DataFrame:
-    """(by, d, kmer, n): k-mers at signed offsets round each place of a core k-mer, itself left out where it overlaps fully."""
+    """(by, d, kmer, n): k-mers at signed offsets round each place of a core k-mer, those that overlap it included."""
     met = pairs(reads, len(core), k, by, [core], -reach, reach)
-    return met.filter("d != 0").groupBy(*by, "d", F.col("b").alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
+    return met.groupBy(*by, "d", F.col("b").alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def crosstalk(reads: DataFrame, k1: int, k2: int) -> DataFrame:

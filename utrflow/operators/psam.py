@@ -145,20 +145,24 @@ def reverse_complemented(weights: np.ndarray) -> np.ndarray:
 
 
 def padded_to(weights: np.ndarray, width: int) -> np.ndarray:
-    """Rows of ones added on the less specific side until the motif has ``width`` rows."""
+    """Rows of ones added next to the more specific end, of equal ones in turn right and left, until there are ``width`` rows."""
     w = np.asarray(weights, float)
-    while len(w) < width:
+    for i in range(width - len(w)):
         d = discrimination(w)
-        one = np.ones((1, 4))
-        w = np.vstack([one, w]) if d[0] < d[-1] else np.vstack([w, one])
+        left = bool(i % 2) if d[0] == d[-1] else d[0] > d[-1]
+        w = np.vstack([np.ones((1, 4)), w] if left else [w, np.ones((1, 4))])
     return w
 
 
-def shrunk(weights: np.ndarray, keep: float = 0.95) -> np.ndarray:
-    """The shortest run of rows with that share of the discrimination (the first of equals)."""
-    d = np.concatenate([[0], np.cumsum(discrimination(np.asarray(weights, float)))])
-    n = len(d) - 1
-    return next(np.asarray(weights)[i : i + w] for w in range(1, n + 1) for i in range(n - w + 1) if d[i + w] - d[i] >= keep * d[-1] - 1e-12)
+def shrunk(weights: np.ndarray, keep: float = 0.75, rows: int = 0) -> tuple[np.ndarray, float]:
+    """(weights, factor): the shortest run of rows with that share of the discrimination (the last of equal length; ``rows``
+    long, if given), and what a0 is multiplied by: the means of the weights left out before and after it."""
+    w = np.asarray(weights, float)
+    d = np.concatenate([[0], np.cumsum(discrimination(w))]) / discrimination(w).sum()
+    n = len(w)
+    runs = {n: (0, n)} | {j - i: (i, j) for i in range(n) for j in range(i + 1, n + 1) if d[j] - d[i] >= keep}
+    i, j = runs[rows or min(runs)]
+    return w[i:j], float(np.prod([part.mean() for part in (w[:i], w[j:]) if len(part)]))
 
 
 def dinucleotides(weights: np.ndarray) -> np.ndarray:

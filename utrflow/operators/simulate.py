@@ -27,14 +27,14 @@ def choice(u: Column, shares: dict[str, float]) -> Column:
     return out.otherwise(name)
 
 
-def reads(spark: SparkSession, n: int, length: int, seed: int = 47110815, shares: dict[str, float] | None = None) -> DataFrame:
+def reads(spark: SparkSession, n: int, length: int, seed: int = 20_011, shares: dict[str, float] | None = None) -> DataFrame:
     """(read_id, seq): independent bases."""
     shares = shares or dict.fromkeys("ACGU", 1.0)
     at = F.sequence(F.lit(1), F.lit(length))
     return spark.range(n).select(F.col("id").alias("read_id"), F.array_join(F.transform(at, lambda i: choice(uniform(seed, F.col("id"), i), shares)), "").alias("seq"))
 
 
-def markov_reads(spark: SparkSession, n: int, length: int, start: dict[str, float], steps: dict[str, dict[str, float]], seed: int = 47110815) -> DataFrame:
+def markov_reads(spark: SparkSession, n: int, length: int, start: dict[str, float], steps: dict[str, dict[str, float]], seed: int = 20_011) -> DataFrame:
     """(read_id, seq): each base drawn by the one before it."""
     def step(seq: Column, i: Column) -> Column:
         u, last, out = uniform(seed, F.col("id"), i), F.right(seq, F.lit(1)), None

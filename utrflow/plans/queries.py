@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from utrflow.functions import measures as m
 from utrflow.functions import sequence as s
-from utrflow.operators import annotate, compare, enrichment, fitting, intervals, kmers, psam, regression, seeding, simulate
+from utrflow.operators import annotate, compare, enrichment, fitting, intervals, kmers, psam, regression, seeding
+from utrflow.plans.storage import written
 
 #: A motif of four rows (A C G U).
 MOTIF = [[0.9, 0.1, 0.05, 1.0], [0.02, 0.1, 1.0, 0.05], [0.2, 1.0, 0.1, 0.3], [1.0, 0.05, 0.3, 0.1]]
@@ -90,11 +91,14 @@ Q05 = f"WITH {READS} SELECT read_id, length(seq) AS n, md5(reverse(translate(seq
 
 
 def q06_window_sub(spark: SparkSession, d: str) -> DataFrame:
-    ref = s.middle(F.col("seq"), 21, 11)
-    return reads(spark, d).filter(F.length("seq") >= 41).select("read_id", ref.alias("ref"), s.substituted(ref, F.translate(F.substring("seq", 21, 1), "ACGT", "CGTA"), 11).alias("alt"))
+    """A variant at every place that has ten bases either side: its windows, as one digest a read."""
+    ref = s.kmers(F.col("seq"), 21)
+    alt = F.transform(ref, lambda w: s.substituted(w, F.translate(F.substring(w, 11, 1), "ACGT", "CGTA"), 11))
+    line = lambda a: F.md5(F.array_join(a, ","))
+    return reads(spark, d).filter(F.length("seq") >= 21).select("read_id", F.size(ref).cast("long").alias("n"), line(ref).alias("refs"), line(alt).alias("alts"))
 
 
-Q06 = f"WITH {READS} SELECT read_id, substr(seq, 11, 21) AS ref, substr(seq, 11, 10) || translate(substr(seq, 21, 1), 'ACGT', 'CGTA') || substr(seq, 22, 10) AS alt FROM reads WHERE length(seq) >= 41"
+Q06 = f"WITH {READS}, w AS (SELECT read_id, i, substr(seq, i, 21) AS w FROM (SELECT *, unnest(generate_series(1, length(seq) - 20)) AS i FROM reads WHERE length(seq) >= 21)) SELECT read_id, count(*) AS n, md5(string_agg(w, ',' ORDER BY i)) AS refs, md5(string_agg(substr(w, 1, 10) || translate(substr(w, 11, 1), 'ACGT', 'CGTA') || substr(w, 12), ',' ORDER BY i)) AS alts FROM w GROUP BY 1"
 
 
 def q07_multiallele(spark: SparkSession, d: str) -> DataFrame:
@@ -171,13 +175,23 @@ def q13_zscore(spark: SparkSession, d: str) -> DataFrame:
 Q13 = f"WITH {READS}, {_kmer_sql(3)}, {_freq_sql(3)}, {_R_SQL} SELECT lang, kmer, round((r - avg(r) OVER (PARTITION BY lang)) / stddev_pop(r) OVER (PARTITION BY lang), 6) AS z FROM rv"
 
 
+def _shares(spark: SparkSession, d: str, hits: DataFrame, k: int) -> DataFrame:
+    return kmers.fractions(hits, reads(spark, d), k, ["lang"])
+
+
 def q14_reads_with_kmer(spark: SparkSession, d: str) -> DataFrame:
-    r = reads(spark, d)
-    f = kmers.fractions(kmers.reads_with(r, 4, ["lang"]), r, ["lang"])
+    f = _shares(spark, d, kmers.reads_with(reads(spark, d), 4, ["lang"]), 4)
     return enrichment.ratios(f.filter("lang != 'en'"), f.filter("lang = 'en'"), "fraction", "f").select("lang", "kmer", "n", F.round("fraction", 8).alias("fraction"), F.round("f", 8).alias("f"))
 
 
-Q14 = f"WITH {READS}, {_kmer_sql(4)}, h AS (SELECT lang, kmer, count(DISTINCT read_id) AS n FROM km GROUP BY ALL), t AS (SELECT lang, count(*) AS t FROM reads GROUP BY 1), x AS (SELECT h.*, (n + 10) / (t + 10) AS fraction FROM h JOIN t USING (lang)) SELECT a.lang, a.kmer, a.n, round(a.fraction, 8) AS fraction, round(a.fraction / b.fraction, 8) AS f FROM x a JOIN x b ON a.kmer = b.kmer AND b.lang = 'en' WHERE a.lang <> 'en'"
+def _full_sql(k: int, hits: str) -> str:
+    """al, t (reads by lang) and x (lang, kmer, n, fraction) of all k-mers, from a table (lang, kmer, n)."""
+    parts = " CROSS JOIN ".join(f"(VALUES ('A'), ('C'), ('G'), ('T')) AS b{i}(b{i})" for i in range(k))
+    word = " || ".join(f"b{i}" for i in range(k))
+    return f"al AS (SELECT {word} AS kmer FROM {parts}), t AS (SELECT lang, count(*) AS t FROM reads GROUP BY 1), x AS (SELECT t.lang, al.kmer, coalesce(h.n, 0) AS n, (coalesce(h.n, 0) + 10) / (t + 10) AS fraction FROM t CROSS JOIN al LEFT JOIN {hits} h ON h.lang = t.lang AND h.kmer = al.kmer)"
+
+
+Q14 = f"WITH {READS}, {_kmer_sql(4)}, h AS (SELECT lang, kmer, count(DISTINCT read_id) AS n FROM km GROUP BY ALL), {_full_sql(4, 'h')} SELECT a.lang, a.kmer, a.n, round(a.fraction, 8) AS fraction, round(a.fraction / b.fraction, 8) AS f FROM x a JOIN x b ON a.kmer = b.kmer AND b.lang = 'en' WHERE a.lang <> 'en'"
 
 _PAIR_SQL = f"{_kmer_sql(2)}, pr AS (SELECT x.lang, x.kmer AS a, y.kmer AS b, y.pos - x.pos AS d FROM km x JOIN km y ON x.read_id = y.read_id AND y.pos BETWEEN x.pos + 2 AND x.pos + 6), jt AS (SELECT lang, a, b, d, count(*) AS n FROM pr GROUP BY ALL)"
 
@@ -190,11 +204,11 @@ Q15 = f"WITH {READS}, {_PAIR_SQL} SELECT * FROM jt"
 
 
 def q16_mutual_info(spark: SparkSession, d: str) -> DataFrame:
-    got = kmers.mutual_information(kmers.joint_by_distance(reads(spark, d), 2, ["lang"], 6), ["lang"])
+    got = kmers.mutual_information(kmers.joint_by_distance(reads(spark, d), 2, ["lang"], 6), _freq(spark, d, 2), 2, ["lang"])
     return got.select("lang", F.col("d").cast("long").alias("d"), F.round("mi", 7).alias("mi"))
 
 
-Q16 = f"WITH {READS}, {_PAIR_SQL}, q AS (SELECT *, sum(n) OVER (PARTITION BY lang, d) AS t, sum(n) OVER (PARTITION BY lang, d, a) AS na, sum(n) OVER (PARTITION BY lang, d, b) AS nb FROM jt) SELECT lang, d, round(sum(n / t * log2(n::DOUBLE * t / (na::DOUBLE * nb))), 7) AS mi FROM q GROUP BY ALL"
+Q16 = f"WITH {READS}, {_PAIR_SQL}, {_freq_sql(2)}, q AS (SELECT g.lang, g.d, x.kmer AS a, y.kmer AS b, coalesce(jt.n, 0) + 10 AS n, x.freq / 16 AS fa, y.freq / 16 AS fb FROM (SELECT DISTINCT lang, d FROM jt) g JOIN fr x ON x.lang = g.lang JOIN fr y ON y.lang = g.lang LEFT JOIN jt ON jt.lang = g.lang AND jt.d = g.d AND jt.a = x.kmer AND jt.b = y.kmer), p AS (SELECT *, n / sum(n) OVER (PARTITION BY lang, d) AS p FROM q) SELECT lang, d, round(sum(p * log2(p / (fa * fb))), 7) AS mi FROM p GROUP BY ALL"
 
 
 def q17_kmer_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -208,7 +222,7 @@ def q18_flank_profile(spark: SparkSession, d: str) -> DataFrame:
     return kmers.flank_profile(reads(spark, d), "TGCA", 2, 6, ["lang"]).withColumn("d", F.col("d").cast("long"))
 
 
-Q18 = f"WITH {READS}, {_kmer_sql(4)}, k2 AS (SELECT read_id, i - 1 AS pos, substr(seq, i, 2) AS kmer FROM (SELECT *, unnest(generate_series(1, length(seq) - 1)) AS i FROM reads WHERE length(seq) >= 2)) SELECT km.lang, k2.pos - km.pos AS d, k2.kmer, count(*) AS n FROM km JOIN k2 ON km.read_id = k2.read_id AND k2.pos BETWEEN km.pos - 6 AND km.pos + 6 AND k2.pos <> km.pos WHERE km.kmer = 'TGCA' GROUP BY ALL"
+Q18 = f"WITH {READS}, {_kmer_sql(4)}, k2 AS (SELECT read_id, i - 1 AS pos, substr(seq, i, 2) AS kmer FROM (SELECT *, unnest(generate_series(1, length(seq) - 1)) AS i FROM reads WHERE length(seq) >= 2)) SELECT km.lang, k2.pos - km.pos AS d, k2.kmer, count(*) AS n FROM km JOIN k2 ON km.read_id = k2.read_id AND k2.pos BETWEEN km.pos - 6 AND km.pos + 6 WHERE km.kmer = 'TGCA' GROUP BY ALL"
 
 
 def _base_sql(text: str, row: list[float]) -> str:
@@ -226,25 +240,28 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q19_psam_score(spark: SparkSession, d: str) -> DataFrame:
-    return _scores(spark, d).select("read_id", F.round("total", 6).alias("total"), F.round("best", 8).alias("best"))
+    return _scores(spark, d).select("read_id", F.round("total", 9).alias("total"), F.round("best", 8).alias("best"))
 
 
-Q19 = f"WITH {READS}, {_SCORE_SQL} SELECT read_id, round(sum(z), 6) AS total, round(max(z), 8) AS best FROM st GROUP BY 1"
+Q19 = f"WITH {READS}, {_SCORE_SQL} SELECT read_id, round(sum(z), 9) AS total, round(max(z), 8) AS best FROM st GROUP BY 1"
 
 
 def q20_disruption(spark: SparkSession, d: str) -> DataFrame:
-    ref = s.middle(F.col("seq"), 21, 4)
-    x = reads(spark, d).filter(F.length("seq") >= 24).select("read_id", ref.alias("ref"), s.substituted(ref, F.translate(F.substring("seq", 21, 1), "ACGT", "CGTA"), 4).alias("alt"))
+    """A variant at every place that has three bases either side: what it does to the site's score, by read."""
+    ref = F.col("ref")
+    x = reads(spark, d).select("read_id", F.explode(s.kmers(F.col("seq"), 7)).alias("ref"))
+    x = x.select("read_id", "ref", s.substituted(ref, F.translate(F.substring(ref, 4, 1), "ACGT", "CGTA"), 4).alias("alt"))
     total = lambda w: sum((psam.window_score(F.substring(w, i, 4), MOTIF) for i in range(2, 5)), psam.window_score(F.substring(w, 1, 4), MOTIF))
-    y = x.withColumns({"a": total("ref"), "b": total("alt")})
-    return y.select("read_id", F.round("a", 8).alias("ref_score"), F.round("b", 8).alias("alt_score"), annotate.call(F.col("a"), F.col("b")).alias("cat"))
+    y = x.select("read_id", total("ref").alias("a"), total("alt").alias("b"))
+    cat = lambda name: F.count(F.when(annotate.call(F.col("a"), F.col("b")) == name, 1)).alias(name)
+    return y.groupBy("read_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("a"), 9).alias("ref_score"), F.round(F.sum("b"), 9).alias("alt_score"), cat("lost"), cat("preserved"))
 
 
 def _four(word: str) -> str:
     return " + ".join("(" + " * ".join(_base_sql(f"substr({word}, {i + k}, 1)", row) for k, row in enumerate(MOTIF)) + ")" for i in range(1, 5))
 
 
-Q20 = f"WITH {READS}, w AS (SELECT read_id, substr(seq, 18, 7) AS ref, substr(seq, 18, 3) || translate(substr(seq, 21, 1), 'ACGT', 'CGTA') || substr(seq, 22, 3) AS alt FROM reads WHERE length(seq) >= 24), z AS (SELECT read_id, {_four('ref')} AS a, {_four('alt')} AS b FROM w) SELECT read_id, round(a, 8) AS ref_score, round(b, 8) AS alt_score, CASE WHEN a > 0.33 THEN CASE WHEN b / a < 0.33 THEN 'lost' WHEN b / a > 0.67 THEN 'preserved' END END AS cat FROM z"
+Q20 = f"WITH {READS}, v AS (SELECT read_id, substr(seq, i, 7) AS ref FROM (SELECT *, unnest(generate_series(1, length(seq) - 6)) AS i FROM reads WHERE length(seq) >= 7)), w AS (SELECT read_id, ref, substr(ref, 1, 3) || translate(substr(ref, 4, 1), 'ACGT', 'CGTA') || substr(ref, 5) AS alt FROM v), z AS (SELECT read_id, {_four('ref')} AS a, {_four('alt')} AS b FROM w) SELECT read_id, count(*) AS n, round(sum(a), 9) AS ref_score, round(sum(b), 9) AS alt_score, count(*) FILTER (a > 0.33 AND b / a < 0.33) AS lost, count(*) FILTER (a > 0.33 AND b / a > 0.67) AS preserved FROM z GROUP BY 1"
 
 
 def q21_occupancy(spark: SparkSession, d: str) -> DataFrame:
@@ -350,17 +367,23 @@ def q33_ska(spark: SparkSession, d: str) -> DataFrame:
     start = reads(spark, d).select("lang").distinct().crossJoin(F.broadcast(one))
     background = _freq(spark, d).filter("lang = 'en'").select("kmer", F.col("freq").alias("value"))
     background = start.select("lang", "kmer").join(F.broadcast(background), "kmer")
-    return enrichment.ska(reads(spark, d), start, background, 3, ["lang"], passes=2).select("lang", "kmer", F.round("weight", 4).alias("weight"))
+    return enrichment.ska(reads(spark, d), start, background, 3, ["lang"]).select("lang", "kmer", F.round("weight", 4).alias("weight"))
 
 
 def q34_descent(spark: SparkSession, d: str) -> DataFrame:
+    """The motif fitted to the enrichment of all languages over English, on the English reads, to the operator's own stop.
+
+    The stop is the decrease of a hundredth of the first error a step: the texts bind nothing, so that there is little to fit.
+    """
     import numpy as np
 
-    own = simulate.reads(spark, 2000, 20)
-    model = fitting.Model([np.array(MOTIF)], np.array([0.1]), np.array([0.01]))
-    f0, observed = np.full(64, 1 / 64), np.ones((1, 64))
-    observed[0, :8] = 3.0
-    _, errors = fitting.descend(own, model, [5.0], 100.0, 3, f0, observed, steps=3)
+    freq = written(_freq(spark, d), "frequencies")
+    r = enrichment.ratios(freq.filter("lang != 'en'"), freq.filter("lang = 'en'"), "freq", "r").orderBy("lang", "kmer").select("lang", "r").collect()
+    langs = sorted({x["lang"] for x in r})
+    observed = np.array([[x["r"] for x in r if x["lang"] == lang] for lang in langs])
+    f0 = np.array([x["freq"] for x in freq.filter("lang = 'en'").orderBy("kmer").collect()]) / 64
+    model = fitting.Model([np.array(MOTIF)], np.array([0.1]), np.full(len(langs), 0.01))
+    _, errors = fitting.descend(written(reads(spark, d).filter("lang = 'en'"), "reads"), model, [5.0] * len(langs), 100.0, 3, f0, observed, slope=0.01)
     return spark.createDataFrame([(i, float(e)) for i, e in enumerate(errors)], "step int, error double")
 
 
@@ -402,10 +425,10 @@ Q38 = f"WITH {READS} SELECT part, count(*) AS n, min(read_id) AS lo, max(read_id
 
 def q39_information(spark: SparkSession, d: str) -> DataFrame:
     c = kmers.counts(reads(spark, d), 3, ["lang"])
-    return enrichment.information(c.filter("lang != 'en'"), c.filter("lang = 'en'").drop("lang"), ["lang"]).select("lang", "kmer", F.round("di", 10).alias("di"))
+    return enrichment.information(c.filter("lang != 'en'"), c.filter("lang = 'en'").drop("lang"), 3, ["lang"]).select("lang", "kmer", F.round("di", 8).alias("di"))
 
 
-Q39 = f"WITH {READS}, {_kmer_sql(3)}, c AS (SELECT lang, kmer, count(*)::DOUBLE AS n FROM km GROUP BY ALL), t AS (SELECT lang, sum(n) AS t FROM c GROUP BY 1), j AS (SELECT a.lang, a.kmer, a.n AS x, b.n AS y, ta.t AS tx, tb.t AS ty FROM c a JOIN c b ON a.kmer = b.kmer AND b.lang = 'en' JOIN t ta ON ta.lang = a.lang JOIN t tb ON tb.lang = 'en' WHERE a.lang <> 'en') SELECT lang, kmer, round(x / (tx + ty) * log2(x / (tx + ty) / ((x + y) / (tx + ty) * (tx / (tx + ty)))) + y / (tx + ty) * log2(y / (tx + ty) / ((x + y) / (tx + ty) * (ty / (tx + ty)))), 10) AS di FROM j"
+Q39 = f"WITH {READS}, {_kmer_sql(3)}, {_freq_sql(3)}, cc AS (SELECT lang, kmer, n::DOUBLE AS n, sum(n) OVER (PARTITION BY lang)::DOUBLE AS t FROM full_), j AS (SELECT a.lang, a.kmer, a.n AS x, b.n AS y, a.t AS tx, b.t AS ty FROM cc a JOIN cc b ON a.kmer = b.kmer AND b.lang = 'en' WHERE a.lang <> 'en') SELECT lang, kmer, CASE WHEN x > 0 AND y > 0 THEN round(tx / (tx + ty) * log2(x / tx / ((x + y) / (tx + ty) * (tx / (tx + ty)))) + ty / (tx + ty) * log2(y / ty / ((x + y) / (tx + ty) * (ty / (tx + ty)))), 8) WHEN x + y > 0 THEN '-inf'::DOUBLE END AS di FROM j"
 
 
 def _ranks(spark: SparkSession, d: str) -> DataFrame:
@@ -413,18 +436,22 @@ def _ranks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q40_recall(spark: SparkSession, d: str) -> DataFrame:
-    r = reads(spark, d)
-    return kmers.fractions(kmers.best_hits(r, _ranks(spark, d), 4, ["lang"]), r, ["lang"]).withColumn("fraction", F.round("fraction", 8))
+    return _shares(spark, d, kmers.best_hits(reads(spark, d), _ranks(spark, d), 4, ["lang"]), 4).withColumn("fraction", F.round("fraction", 8))
 
 
-Q40 = f"WITH {READS}, {_kmer_sql(4)}, rk AS (SELECT kmer, row_number() OVER (ORDER BY count(*) DESC, kmer DESC) AS rank FROM km GROUP BY 1), b AS (SELECT lang, read_id, arg_min(km.kmer, rank) AS kmer FROM km JOIN rk USING (kmer) GROUP BY ALL), t AS (SELECT lang, count(*) AS t FROM reads GROUP BY 1) SELECT b.lang, kmer, count(*) AS n, round((count(*) + 10) / (any_value(t) + 10), 8) AS fraction FROM b JOIN t ON t.lang = b.lang GROUP BY b.lang, kmer"
+_RECALL_SQL = f"{_kmer_sql(4)}, rk AS (SELECT kmer, row_number() OVER (ORDER BY count(*) DESC, kmer DESC) AS rank FROM km GROUP BY 1), bh AS (SELECT lang, read_id, arg_min(km.kmer, rank) AS kmer FROM km JOIN rk USING (kmer) GROUP BY ALL), bn AS (SELECT lang, kmer, count(*) AS n FROM bh GROUP BY ALL), {_full_sql(4, 'bn')}"
+Q40 = f"WITH {READS}, {_RECALL_SQL} SELECT lang, kmer, n, round(fraction, 8) AS fraction FROM x"
+
+#: Candidates of which a pure read holds one.
+PURE = ["TGCATG", "GCATGC", "AAAAAA", "CACACA"]
 
 
 def q41_pure_reads(spark: SparkSession, d: str) -> DataFrame:
-    return kmers.pure_reads(reads(spark, d), ["TGCATG", "GCATGC", "AAAAAA", "CACACA"], 6, ["lang"])
+    return kmers.pure_reads(reads(spark, d), PURE, 6, ["lang"])
 
 
-Q41 = f"WITH {READS}, {_kmer_sql(6)}, h AS (SELECT DISTINCT lang, read_id, kmer FROM km WHERE kmer IN ('TGCATG', 'GCATGC', 'AAAAAA', 'CACACA')), p AS (SELECT lang, read_id, min(kmer) AS kmer FROM h GROUP BY ALL HAVING count(*) = 1) SELECT lang, kmer, count(*) AS n FROM p GROUP BY ALL"
+_PURE_SQL = f"{_kmer_sql(6)}, h AS (SELECT DISTINCT lang, read_id, kmer FROM km WHERE kmer IN ('TGCATG', 'GCATGC', 'AAAAAA', 'CACACA')), p AS (SELECT lang, read_id, min(kmer) AS kmer FROM h GROUP BY ALL HAVING count(*) = 1), pn AS (SELECT lang, kmer, count(*) AS n FROM p GROUP BY ALL)"
+Q41 = f"WITH {READS}, {_PURE_SQL} SELECT * FROM pn"
 
 
 def q42_until_threshold(spark: SparkSession, d: str) -> DataFrame:
@@ -532,13 +559,68 @@ def q54_kmer_index(spark: SparkSession, d: str) -> DataFrame:
 Q54 = f"WITH {READS}, {_kmer_sql(4)}, c AS (SELECT kmer, count(*) AS n FROM km GROUP BY 1) SELECT kmer, (strpos('ACGT', kmer[1]) - 1) * 64 + (strpos('ACGT', kmer[2]) - 1) * 16 + (strpos('ACGT', kmer[3]) - 1) * 4 + strpos('ACGT', kmer[4]) - 1 AS index, lower(replace(kmer, 'T', 'U')) AS back, n FROM c"
 
 
-def q55_flank_divergence(spark: SparkSession, d: str) -> DataFrame:
+def _divergence(spark: SparkSession, d: str) -> DataFrame:
     f = kmers.flank_profile(reads(spark, d), "TGCA", 2, 6, ["lang"])
-    x = enrichment.flank_divergence(f.filter("lang = 'de'"), f.filter("lang = 'en'"), 4)
-    return x.select(F.col("d").cast("long").alias("d"), "kmer", F.round("kl", 8).alias("kl"))
+    return enrichment.flank_divergence(f.filter("lang = 'de'"), f.filter("lang = 'en'"), 4, 2)
+
+
+def q55_flank_divergence(spark: SparkSession, d: str) -> DataFrame:
+    return _divergence(spark, d).select(F.col("d").cast("long").alias("d"), "kmer", F.round("kl", 8).alias("kl"), F.round("log_ratio", 8).alias("log_ratio"))
+
+
+_FLANK_SQL = "f AS (" + Q18.replace(f"{READS}, ", "") + "), al AS (SELECT x.b || y.b AS kmer FROM (VALUES ('A'), ('C'), ('G'), ('T')) x(b) CROSS JOIN (VALUES ('A'), ('C'), ('G'), ('T')) y(b)), fl AS (SELECT o.d, l.lang, al.kmer, coalesce(f.n, 0) + 10 AS n FROM (SELECT DISTINCT d FROM f WHERE lang IN ('de', 'en')) o CROSS JOIN (VALUES ('de'), ('en')) l(lang) CROSS JOIN al LEFT JOIN f ON f.d = o.d AND f.lang = l.lang AND f.kmer = al.kmer), sh AS (SELECT *, n / sum(n) OVER (PARTITION BY lang, d) AS p FROM fl), kl AS (SELECT a.d, a.kmer, a.p * log2(a.p / b.p) AS kl, CASE WHEN a.d >= 4 OR a.d <= -2 THEN log2(a.p / b.p) ELSE 0 END AS log_ratio FROM sh a JOIN sh b ON a.d = b.d AND a.kmer = b.kmer AND a.lang = 'de' AND b.lang = 'en')"
+Q55 = f"WITH {READS}, {_FLANK_SQL} SELECT d, kmer, round(kl, 8) AS kl, round(log_ratio, 8) AS log_ratio FROM kl"
+
+
+def q56_interactors(spark: SparkSession, d: str) -> DataFrame:
+    """The k-mers that differ most round the core, and the divergence by offset."""
+    x = _divergence(spark, d)
+    tops = enrichment.top_interactors(x, 5).select(F.lit("kmer").alias("what"), "kmer", F.lit(None).cast("long").alias("d"), F.round("kl", 8).alias("kl"))
+    places = enrichment.divergence_by_offset(x, 4, 2).select(F.lit("offset").alias("what"), F.lit(None).cast("string").alias("kmer"), F.col("d").cast("long").alias("d"), F.round("kl", 7).alias("kl"))
+    return tops.unionByName(places)
+
+
+Q56 = f"WITH {READS}, {_FLANK_SQL} SELECT * FROM (SELECT 'kmer' AS what, kmer, NULL::BIGINT AS d, round(max(kl), 8) AS kl FROM kl GROUP BY kmer ORDER BY max(kl) DESC, kmer DESC LIMIT 5) UNION ALL SELECT 'offset', NULL, d, CASE WHEN d >= 4 OR d <= -2 THEN round(sum(kl), 7) ELSE 0 END FROM kl GROUP BY d"
+
+
+def q57_recall_ratios(spark: SparkSession, d: str) -> DataFrame:
+    """Ratios over English of recall and of pure reads."""
+    recall = _shares(spark, d, kmers.best_hits(reads(spark, d), _ranks(spark, d), 4, ["lang"]), 4)
+    pure = _shares(spark, d, kmers.pure_reads(reads(spark, d), PURE, 6, ["lang"]), 6).filter(F.col("kmer").isin(PURE))
+    out = None
+    for what, x in (("recall", recall), ("pure", pure)):
+        x = enrichment.ratios(x.filter("lang != 'en'"), x.filter("lang = 'en'"), "fraction", "ratio").select(F.lit(what).alias("what"), "lang", "kmer", F.round("ratio", 8).alias("ratio"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+_RATIO_SQL = "SELECT '{what}' AS what, a.lang, a.kmer, round(a.fraction / b.fraction, 8) AS ratio FROM x a JOIN x b ON a.kmer = b.kmer AND b.lang = 'en' WHERE a.lang <> 'en'"
+Q57 = f"WITH {READS}, ra AS (WITH {_RECALL_SQL} {_RATIO_SQL.format(what='recall')}), rb AS (WITH {_PURE_SQL}, {_full_sql(6, 'pn')} {_RATIO_SQL.format(what='pure')} AND a.kmer IN ('TGCATG', 'GCATGC', 'AAAAAA', 'CACACA')) SELECT * FROM ra UNION ALL SELECT * FROM rb"
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    """R by language with an error: its deviation over ten parts of the reads."""
+    r = enrichment.chunks(reads(spark, d), 10)
+    f = kmers.frequencies(kmers.counts(r, 3, ["lang", "part"]), 3, ["lang", "part"])
+    x = enrichment.ratios(f.filter("lang != 'en'"), f.filter("lang = 'en'").drop("lang"), "freq", "r", ["part", "kmer"])
+    return x.groupBy("lang", "kmer").agg(F.avg("r").alias("r"), F.stddev_pop("r").alias("error"))
+
+
+def q58_significant(spark: SparkSession, d: str) -> DataFrame:
+    x = enrichment.significant(_parts(spark, d), "lang", "r", "error", 1.0, 1, 20)
+    return x.select("kmer", F.round("z", 6).alias("z"), F.col("rank").cast("long").alias("rank"))
+
+
+_PART_SQL = f"pt AS (SELECT lang, read_id, seq, ntile(10) OVER (ORDER BY read_id) AS part FROM reads), km AS (SELECT lang, part, substr(seq, i, 3) AS kmer FROM (SELECT *, unnest(generate_series(1, length(seq) - 2)) AS i FROM pt WHERE length(seq) >= 3)), c AS (SELECT lang, part, kmer, count(*) AS n FROM km GROUP BY ALL), al AS (SELECT x.b || y.b || z.b AS kmer FROM (VALUES ('A'), ('C'), ('G'), ('T')) x(b) CROSS JOIN (VALUES ('A'), ('C'), ('G'), ('T')) y(b) CROSS JOIN (VALUES ('A'), ('C'), ('G'), ('T')) z(b)), fl AS (SELECT l.lang, l.part, al.kmer, coalesce(c.n, 0) + 10 AS n FROM (SELECT DISTINCT lang, part FROM c) l CROSS JOIN al LEFT JOIN c ON c.lang = l.lang AND c.part = l.part AND c.kmer = al.kmer), fr AS (SELECT *, n / sum(n) OVER (PARTITION BY lang, part) * 64 AS freq FROM fl), rp AS (SELECT a.lang, a.kmer, a.freq / b.freq AS r FROM fr a JOIN fr b ON a.part = b.part AND a.kmer = b.kmer AND b.lang = 'en' WHERE a.lang <> 'en'), rv AS (SELECT lang, kmer, avg(r) AS r, stddev_pop(r) AS error FROM rp GROUP BY ALL)"
+Q58 = f"WITH {READS}, {_PART_SQL}, z AS (SELECT kmer, avg((greatest(r - error, 0) - m) / s) AS z FROM (SELECT *, avg(r) OVER (PARTITION BY lang) AS m, stddev_pop(r) OVER (PARTITION BY lang) AS s FROM rv) GROUP BY 1), k AS (SELECT kmer, z, row_number() OVER (ORDER BY z DESC, kmer DESC) AS rank FROM z) SELECT kmer, round(z, 6) AS z, rank FROM k WHERE (z >= 1 OR rank <= 1) AND rank <= 20"
+
+
+def q59_seeds(spark: SparkSession, d: str) -> DataFrame:
+    x = enrichment.seeds(_parts(spark, d), z_cut=1.0)
+    return x.select("kmer", F.round("r", 7).alias("r"), F.round("error", 7).alias("error"), F.col("rank").cast("long").alias("rank"))
 
 
-Q55 = "WITH f AS (" + Q18 + "), p AS (SELECT lang, d, kmer, (n + 1) / sum(n + 1) OVER (PARTITION BY lang, d) AS p FROM f) SELECT a.d, a.kmer, CASE WHEN a.d >= 4 OR a.d <= -2 THEN round(a.p * log2(a.p / b.p), 8) ELSE 0 END AS kl FROM p a JOIN p b ON a.d = b.d AND a.kmer = b.kmer AND a.lang = 'de' AND b.lang = 'en'"
+Q59 = f"WITH {READS}, {_PART_SQL}, m AS (SELECT kmer, avg(r) AS m, avg(error) AS error FROM rv GROUP BY 1), q AS (SELECT quantile_cont(m, 0.05) AS q FROM m), co AS (SELECT kmer, error, m + q * (m - 1) / (1 - q) AS r FROM m CROSS JOIN q), z AS (SELECT *, (r - avg(r) OVER ()) / stddev_pop(r) OVER () AS z, row_number() OVER (ORDER BY r DESC, kmer DESC) AS rank FROM co), t AS (SELECT greatest(1, coalesce(max(r) FILTER (z < 1), max(r))) AS cut FROM z), e AS (SELECT min(rank) AS stop FROM z CROSS JOIN t WHERE r - error <= cut AND rank > 11) SELECT kmer, round(r, 7) AS r, round(error, 7) AS error, rank FROM z CROSS JOIN e WHERE stop IS NULL OR rank < stop"
 
 QUERIES = {k: v for k, v in list(globals().items()) if k[:1] == "q" and k[1:3].isdigit()}
 ORACLE_SQL = {k: globals()[k[:3].upper()] for k in QUERIES if k[:3].upper() in globals()}

@@ -63,18 +63,23 @@ def genome_chunks(records: DataFrame, size: int = 1 << 16) -> DataFrame:
 def read_reads(spark: SparkSession, path: str, skip: int = 0, most: int | None = None) -> DataFrame:
     """(rbp, conc, read_id, seq): reads of one length, one a line; the file's name is <rbp>_<concentration or input>.<ext>.
 
-    Reads with other letters than A, C, G, T, U are dropped, as are those whose length isn't the longest. ``input`` is 0.
+    ``input`` is 0. Of each file the first ``skip`` lines are left out and at most ``most`` reads after them taken; reads with
+    other letters than A, C, G, T, U are dropped, as are those whose length isn't that of the file's longest read.
     """
-    text = spark.read.text(path).select(F.input_file_name().alias("file"), F.trim("value").alias("seq"), F.monotonically_increasing_id().alias("line"))
+    text = spark.read.text(path).select(F.input_file_name().alias("file"), F.trim("value").alias("seq"), F.monotonically_increasing_id().alias("line")).withColumn("part", F.shiftright("line", 33))
+    if skip or most is not None:
+        # a file's lines are numbered from the lines of its parts before: a row for each part, no shuffle of reads
+        parts = text.groupBy("file", "part").agg(F.min("line").alias("from"), F.count(F.lit(1)).alias("lines"))
+        before = F.sum("lines").over(Window.partitionBy("file").orderBy("from")) - F.col("lines")
+        numbered = text.join(F.broadcast(parts.select("file", "part", "from", before.alias("before"))), ["file", "part"])
+        number = F.col("before") + F.col("line") - F.col("from")
+        text = numbered.filter((number >= skip) & (number < skip + most if most is not None else F.lit(True)))
     name = F.regexp_extract("file", r"([^/]+?)_([^/_]+?)\.[^/.]+$", 1)
     what = F.regexp_extract("file", r"([^/]+?)_([^/_]+?)\.[^/.]+$", 2)
-    reads = text.filter(F.col("seq").rlike("^[ACGTUacgtu]+$")).select(name.alias("rbp"), F.when(what == "input", 0.0).otherwise(what.try_cast("double")).alias("conc"), F.col("line").alias("read_id"), "seq")
-    width = reads.agg(F.max(F.length("seq")).alias("w"))
-    reads = reads.join(F.broadcast(width), F.length("seq") == F.col("w")).drop("w")
-    if skip or most is not None:
-        reads = reads.orderBy("read_id").offset(skip)
-        reads = reads.limit(most) if most is not None else reads
-    return reads
+    reads = text.filter(F.col("seq").rlike("^[ACGTUacgtu]+$"))
+    width = reads.groupBy("file").agg(F.max(F.length("seq")).alias("w"))
+    reads = reads.join(F.broadcast(width), "file").filter(F.length("seq") == F.col("w"))  # a row for each file
+    return reads.select(name.alias("rbp"), F.when(what == "input", 0.0).otherwise(what.try_cast("double")).alias("conc"), F.col("line").alias("read_id"), "seq")
 
 
 def largest_set(reads: DataFrame) -> DataFrame:
