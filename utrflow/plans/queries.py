@@ -544,6 +544,72 @@ def q52_annotation(spark: SparkSession, d: str) -> DataFrame:
 Q52 = "WITH v AS (SELECT DISTINCT l_suppkey % 20 AS c, l_orderkey AS s FROM lineitem), u AS (SELECT o_custkey % 20 AS c, o_orderkey AS a, o_orderkey + 40 AS b, o_orderstatus AS g, o_custkey % 5 + 1 AS l FROM orders), r AS (SELECT v.c, s, a, b, g, l FROM v JOIN u ON v.c = u.c AND s < b AND a < s + 1), k AS (SELECT c_nationkey % 20 AS c, c_custkey * 10 AS a, c_custkey * 10 + 5 AS b, c_mktsegment AS i FROM customer), h AS (SELECT v.c, v.s, string_agg(i, '|' ORDER BY k.a, k.b, i) AS i FROM v JOIN k ON v.c = k.c AND s < k.b AND k.a < s + 1 GROUP BY ALL) SELECT 'chr' || r.c || '_' || (r.s + 1) || '_A_G' AS var_id, g || '_+_' || l || '_4_' || CASE WHEN l / 4 <= 0.5 THEN 'common' WHEN l / 4 < 1 THEN 'partially_shared' WHEN l = 4 THEN 'unique' ELSE 'NA' END AS APA_info, CASE WHEN least(abs(r.s + 1 - a), abs(r.s + 1 - b)) <= 50 THEN 'PAS_proximal' ELSE '' END AS PAS_info, h.i AS clinvar_info FROM r LEFT JOIN h ON h.c = r.c AND h.s = r.s"
 
 
+#: Coefficients of the two models of q60.
+MODELS = {"eqtl": {"intercept": -2.5, "in_eclip": 0.75, "near_pas": 0.25, "in_mir": 0.5, "conserved": -0.5, "shared_region": -0.125}, "gwas": {"intercept": -5.0, "in_eclip": 0.25, "near_pas": 0.125, "in_mir": 1.0, "conserved": 0.5, "shared_region": -0.25}}
+
+
+def _annotated(spark: SparkSession, d: str, collapse: bool) -> DataFrame:
+    """Lines as variants (those that repeat, too), orders as isoforms, and every annotation table but genome and motifs."""
+    chrom = lambda c: F.concat(F.lit("chr"), F.col(c) % 20).alias("chrom")
+    span = lambda c, by, wide: [(F.col(c) * by).cast("long").alias("r_start"), (F.col(c) * by + wide).cast("long").alias("r_end")]
+    t = lambda name, *cols: table(spark, d, name).select(*cols)
+    variants = t("lineitem", chrom("l_suppkey"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + 1).alias("end"), F.lit("A").alias("ref"), F.lit("G").alias("alt"), F.lit("x").alias("id"))
+    utr = t("orders", chrom("o_custkey"), F.col("o_orderkey").alias("iso_start"), (F.col("o_orderkey") + 40).alias("iso_stop"), F.col("o_orderstatus").alias("gene"), F.lit(".").alias("score"), F.lit("+").alias("strand"), F.lit(4).cast("long").alias("number_isos"), (F.col("o_custkey") % 5 + 1).alias("iso_loc"), F.col("o_orderkey").alias("utr_start"), (F.col("o_orderkey") + 40).alias("utr_stop"))
+    region = F.col("n_regionkey")
+    tables = annotate.Annotations(
+        utr,
+        eclip=t("customer", chrom("c_nationkey"), *span("c_custkey", 10, 5), F.col("c_mktsegment").alias("rbp"), F.when(F.col("c_custkey") % 2 == 0, "K562").otherwise("HepG2").alias("cell")),
+        eqtl=t("supplier", chrom("s_nationkey"), *span("s_suppkey", 50, 30), F.col("s_name").alias("info")),
+        gwas=t("part", chrom("p_partkey"), *span("p_partkey", 7, 5), F.col("p_brand").alias("info")),
+        clinvar=t("customer", chrom("c_custkey"), *span("c_custkey", 20, 15), F.col("c_mktsegment").alias("info")),
+        mir_sites=t("supplier", chrom("s_suppkey"), *span("s_suppkey", 40, 20), F.concat(F.lit("mir"), F.col("s_nationkey")).alias("mergekey")),
+        mir_predictions=table(spark, d, "nation").filter("n_nationkey < 20").select(F.concat(F.lit("mir"), F.col("n_nationkey")).alias("mergekey"), F.when(region > 0, F.concat(F.lit("fam"), region)).alias("family"), F.lit("8mer").alias("seed_match"), F.lit("0.5").alias("pct"), F.lit("+").alias("strand"), F.lit("-0.1").alias("context"), F.when(region == 1, "consFam").when(region == 2, "broadConsFam").otherwise("poor").alias("family_conserved"), F.lit("1").alias("site_conserved")),
+        cadd=t("orders", chrom("o_custkey"), F.col("o_orderkey").alias("start"), (F.col("o_orderkey") + 1).alias("end"), F.lit("A").alias("ref"), F.lit("G").alias("alt"), F.col("o_orderstatus").alias("cadd_var_info")),
+        conservation=t("orders", chrom("o_custkey"), (F.col("o_orderkey") + 1).alias("end"), ((F.col("o_custkey") % 10) / 10).alias("phastcons_100")),
+        rep_sites=t("orders", chrom("o_orderkey"), (F.col("o_orderkey") + 1).alias("end"), F.col("o_orderstatus").alias("rep_info")),
+        models=MODELS,
+    )
+    return annotate.annotate(annotate.single_nucleotide(variants), tables, collapse)
+
+
+def q60_annotation_tables(spark: SparkSession, d: str) -> DataFrame:
+    return _annotated(spark, d, False)
+
+
+def _glm_sql(name: str, cut: float) -> str:
+    p = " + ".join(f"{b} * {f}" for f, b in MODELS[name].items() if f != "intercept")
+    return f"CASE WHEN 1 / (1 + exp(-({MODELS[name]['intercept']}::DOUBLE + {p}))) > {cut} THEN 1 WHEN ({p}) IS NOT NULL THEN 0 END"
+
+
+def _hits_sql(source: str, chrom: str, start: str, wide: int, cells: str) -> str:
+    return f"(SELECT r.rid, k.* FROM r JOIN (SELECT {chrom} % 20 AS kc, {start} AS ka, {start} + {wide} AS kb, {cells} FROM {source}) k ON kc = c AND s < kb AND ka < s + 1)"
+
+
+_ANNOTATED_SQL = (
+    "v AS (SELECT l_suppkey % 20 AS c, l_orderkey AS s FROM lineitem), u AS (SELECT o_custkey % 20 AS uc, o_orderkey AS a, o_orderkey + 40 AS b, o_orderstatus AS g, o_custkey % 5 + 1 AS l FROM orders), "
+    "r AS (SELECT *, row_number() OVER () AS rid FROM v JOIN u ON c = uc AND s < b AND a < s + 1), "
+    f"ec AS (SELECT rid, string_agg(w, '__' ORDER BY rk, ka, kb, w) AS eclip_tot FROM {_hits_sql('customer', 'c_nationkey', 'c_custkey * 10', 5, 'c_custkey % 2 AS rk, c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN chr(95) || chr(75) || 562 ELSE chr(95) || $$HepG2$$ END AS w')} GROUP BY 1), "
+    f"eq AS (SELECT DISTINCT rid, w AS eqtl_info FROM {_hits_sql('supplier', 's_nationkey', 's_suppkey * 50', 30, 's_name AS w')}), "
+    f"gw AS (SELECT rid, string_agg(w, '|' ORDER BY ka, kb, w) AS gwas_info FROM {_hits_sql('part', 'p_partkey', 'p_partkey * 7', 5, 'p_brand AS w')} GROUP BY 1), "
+    f"cl AS (SELECT rid, string_agg(w, '|' ORDER BY ka, kb, w) AS clinvar_info FROM {_hits_sql('customer', 'c_custkey', 'c_custkey * 20', 15, 'c_mktsegment AS w')} GROUP BY 1), "
+    "pr AS (SELECT 'mir' || n_nationkey AS mk, CASE WHEN n_regionkey > 0 THEN 'fam' || n_regionkey END AS fam, CASE n_regionkey WHEN 1 THEN 'consFam' WHEN 2 THEN 'broadConsFam' ELSE 'poor' END AS fc FROM nation WHERE n_nationkey < 20), "
+    f"mi AS (SELECT rid, string_agg(w, '|' ORDER BY w) AS mir_info FROM (SELECT rid, CASE WHEN fam IS NULL THEN x.w || '__nonCons_family' ELSE x.w || '__' || fam || '__8mer__0.5__+__-0.1__' || fc || '__1' END AS w FROM (SELECT DISTINCT rid, w FROM {_hits_sql('supplier', 's_suppkey', 's_suppkey * 40', 20, '$$mir$$ || s_nationkey AS w')}) x LEFT JOIN pr ON mk = x.w) GROUP BY 1), "
+    "ca AS (SELECT o_custkey % 20 AS oc, o_orderkey AS ok, o_orderstatus AS cadd_var_info, o_custkey % 10 / 10 AS phastcons_100 FROM orders), rp AS (SELECT o_orderkey % 20 AS oc, o_orderkey AS ok, o_orderstatus AS rep_info FROM orders), "
+    "j AS (SELECT r.*, coalesce(eclip_tot, '') AS eclip_tot, eqtl_info, gwas_info, clinvar_info, mir_info, cadd_var_info, phastcons_100, rep_info, CASE WHEN l / 4 <= 0.5 THEN 'common' WHEN l / 4 < 1 THEN 'partially_shared' WHEN l = 4 THEN 'unique' END AS region, least(abs(s + 1 - a), abs(s + 1 - b)) AS pas FROM r LEFT JOIN ec USING (rid) LEFT JOIN eq USING (rid) LEFT JOIN gw USING (rid) LEFT JOIN cl USING (rid) LEFT JOIN mi USING (rid) LEFT JOIN ca ON ca.oc = c AND ca.ok = s LEFT JOIN rp ON rp.oc = c AND rp.ok = s), "
+    "f AS (SELECT *, (eclip_tot <> '')::INT AS in_eclip, (pas <= 50)::INT AS near_pas, coalesce(regexp_matches(mir_info, 'consFam|broadConsFam'), false)::INT AS in_mir, (phastcons_100 > 0.5)::INT AS conserved, (region IN ('common', 'single'))::INT AS shared_region FROM j)"
+)
+_ANNOTATED_COLUMNS = f"'chr' || c || '_' || (s + 1) || '_A_G' AS var_id, cadd_var_info, phastcons_100, NULL::VARCHAR AS motif_RBPs, NULL::VARCHAR AS motif_cat, eclip_tot, eqtl_info, {_glm_sql('eqtl', 0.1)} AS pred_eqtl, gwas_info, {_glm_sql('gwas', 0.0075)} AS pred_gwas, g || '_+_' || l || '_4_' || coalesce(region, 'NA') AS APA_info, CASE WHEN pas <= 50 THEN 'PAS_proximal' ELSE '' END AS PAS_info, mir_info AS miR_info, clinvar_info, rep_info AS Rep_info"
+Q60 = f"WITH {_ANNOTATED_SQL} SELECT {_ANNOTATED_COLUMNS} FROM f"
+
+
+def q61_one_line_each(spark: SparkSession, d: str) -> DataFrame:
+    return annotate.one_line_each(_annotated(spark, d, False)).select("var_id", "APA_info", "eqtl_info", "pred_eqtl", "miR_info", "clinvar_info")
+
+
+_BARS = ", ".join(f"coalesce(array_to_string(list_sort(list_distinct(list({c}::VARCHAR) FILTER ({c} IS NOT NULL))), '|'), '') AS {c}" for c in ("APA_info", "eqtl_info", "pred_eqtl", "miR_info", "clinvar_info"))
+Q61 = f"WITH {_ANNOTATED_SQL}, o AS (SELECT {_ANNOTATED_COLUMNS} FROM f) SELECT var_id, {_BARS} FROM o GROUP BY 1"
+
+
 def q53_hull(spark: SparkSession, d: str) -> DataFrame:
     return s.all_kmers(spark, 3).select("kmer", F.explode(s.hull(F.col("kmer"), "ACGT")).alias("near"))
 
