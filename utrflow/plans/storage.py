@@ -14,11 +14,13 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests), a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset and Spark runs in one process (tests), a temporary one."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         place = spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="utrflow-")
         spark.sparkContext.setCheckpointDir(place)
     return place.rstrip("/")
