@@ -53,7 +53,9 @@ def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     quotations; null turns come first and are not replied to; null conversations are one of their own. Other columns
     aren't read. An empty table gives no rows.
     """
-    rows = written(df.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).withColumn("row", F.monotonically_increasing_id()), "messages")
+    # null conversations are one of their own: its key is the only one without a letter before it
+    key = F.coalesce(F.concat(F.lit("c"), F.col(conv).cast("string")), F.lit(""))
+    rows = written(df.select(F.col(conv).alias("name"), key.alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).withColumn("row", F.monotonically_increasing_id()), "messages")
     marked = rows.filter(F.col("text").rlike("(?m)" + MARKS))
     quoted = written(passages(marked.select("row", "text")), "quoted")
     counts = quoted.filter("level > 0").groupBy("row").agg(F.count(F.lit(1)).alias("n_quotes"), F.max("level").cast("long").alias("max_level"))
@@ -70,8 +72,8 @@ def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     found = whole.unionByName(most).groupBy("row").agg(F.max(F.struct((-F.col("level")).alias("near"), "source")).alias("best")).select("row", F.col("best.source").alias("linked_to"))
     before = rows.select("conv", "turn").distinct().withColumn("previous", F.lag("turn").over(Window.partitionBy("conv").orderBy("turn")))
     clean = F.trim(F.array_join(F.filter(F.split(F.col("text"), r"\r\n|\r|\n", -1), lambda line: _level(line) == 0), "\n"))
-    joined = rows.join(before.filter("previous is not null").withColumnRenamed("turn", "t").withColumnRenamed("conv", "c"), F.col("conv").eqNullSafe(F.col("c")) & (F.col("turn") == F.col("t")), "left").drop("c", "t").join(counts, "row", "left").join(found, "row", "left")
-    messages = written(joined.select("row", "conv", "turn", "role", F.when(F.col("n_quotes").isNotNull(), clean).otherwise(F.col("text")).alias("text"), F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("max_level", F.lit(0)).cast("long").alias("max_level"), F.col("linked_to").isNotNull().alias("linked"), F.coalesce("linked_to", "previous").alias("reply_to")), "replies")
+    joined = rows.join(before.filter("previous is not null").withColumnRenamed("turn", "t").withColumnRenamed("conv", "c"), (F.col("conv") == F.col("c")) & (F.col("turn") == F.col("t")), "left").drop("c", "t").join(counts, "row", "left").join(found, "row", "left")
+    messages = written(joined.select("row", "name", "conv", "turn", "role", F.when(F.col("n_quotes").isNotNull(), clean).otherwise(F.col("text")).alias("text"), F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("max_level", F.lit(0)).cast("long").alias("max_level"), F.col("linked_to").isNotNull().alias("linked"), F.coalesce("linked_to", "previous").alias("reply_to")), "replies")
     # the depth: where all replies go to the turn before, it is the turn's rank; else the parents are followed by doubling
     turns = messages.groupBy("conv", "turn").agg(F.max("reply_to").alias("up"), F.max("linked").alias("any"))
     ranked = turns.withColumns({"rank": F.dense_rank().over(Window.partitionBy("conv").orderBy("turn")) - 1, "tangled": F.max("any").over(Window.partitionBy("conv"))})
@@ -79,11 +81,11 @@ def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     hop = ranked.filter("tangled and turn is not null").select("conv", "turn", "up", F.col("up").isNotNull().cast("long").alias("steps"))
     while not hop.filter("up is not null").isEmpty():
         nexts = hop.select(F.col("conv").alias("c"), F.col("turn").alias("t"), F.col("up").alias("further"), F.col("steps").alias("more"))
-        hop = written(hop.join(nexts, F.col("conv").eqNullSafe(F.col("c")) & (F.col("up") == F.col("t")), "left").select("conv", "turn", F.col("further").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "hops")
+        hop = written(hop.join(nexts, (F.col("conv") == F.col("c")) & (F.col("up") == F.col("t")), "left").select("conv", "turn", F.col("further").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "hops")
     depths = plain.unionByName(hop.select("conv", "turn", F.col("steps").cast("long").alias("depth"))).select(F.col("conv").alias("c"), F.col("turn").alias("t"), "depth")
-    placed = messages.join(depths, F.col("conv").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t")), "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    placed = messages.join(depths, (F.col("conv") == F.col("c")) & F.col("turn").eqNullSafe(F.col("t")), "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
     position = (F.row_number().over(Window.partitionBy("conv").orderBy("depth", "turn", "role", "text", "row")) - 1).cast("long")
-    return placed.withColumn("position", position).select(F.col("conv").alias(conv), F.col("turn").alias(turn), F.col("role").alias(role), F.col("text").alias(text), "n_quotes", "max_level", "linked", "reply_to", "depth", "position")
+    return placed.withColumn("position", position).select(F.col("name").alias(conv), F.col("turn").alias(turn), F.col("role").alias(role), F.col("text").alias(text), "n_quotes", "max_level", "linked", "reply_to", "depth", "position")
 
 
 def op5_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
