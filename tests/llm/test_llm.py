@@ -1,6 +1,7 @@
 """The llm operators against brute force, libraries, and odd rows."""
 
 import collections
+import gzip
 import hashlib
 import random
 import re
@@ -153,12 +154,36 @@ def test_warc_odd_pages(spark, tmp_path):
     records = warc.arc_to_records(warc.pages_to_arc(pages, version=2))
     warc.write_warc(records, str(tmp_path / "w"))
     rows = warc.read_warc(spark, str(tmp_path / "w")).collect()
-    assert len(rows) == 8 and all(r["block_ok"] for r in rows)
+    assert len(rows) == 8 and all(r["sound"] for r in rows)
+    for data in filter(None, (p.read_bytes() for p in (tmp_path / "w").glob("part-*"))):  # a task without records leaves an empty file
+        members, at = [], data
+        while at:
+            one = zlib.decompressobj(31)
+            members.append(one.decompress(at))
+            at = one.unused_data
+        assert b"WARC-Type: warcinfo" in members[0] and all(x.startswith(b"WARC/1.1") and x.count(b"WARC-Type: ") == 1 for x in members[:-1]) and members[-1] == b""
     same = [r for r in rows if r["payload_bytes"] == 120]
     assert sorted(r["record_type"] for r in same) == ["response", "revisit", "revisit", "revisit"] and {r["refers_to"] for r in same if r["record_type"] == "revisit"} == {1}
     assert all(r["record_type"] == "response" for r in rows if r["payload_bytes"] < 100)
 
 
+def test_warc_that_was_changed_is_not_sound(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "http://x/", f"{i} " * 90) for i in range(6)], "page_id long, url string, html string")
+    warc.write_warc(warc.arc_to_records(warc.pages_to_arc(pages)), str(tmp_path / "w"), size=300)
+    files = [p for p in sorted((tmp_path / "w").glob("part-*")) if p.stat().st_size]
+    assert len(files) > 1  # bounded by bytes
+    text = gzip.decompress(files[0].read_bytes())
+    files[0].write_bytes(gzip.compress(re.sub(rb"(\d) \1 ", rb"\1 x ", text, count=1)))
+    for crc in (tmp_path / "w").glob(".*.crc"):
+        crc.unlink()
+    rows = warc.read_warc(spark, str(tmp_path / "w")).collect()
+    assert len(rows) == 6 and [r["sound"] for r in rows].count(False) == 1
+    empty = pages.limit(0)
+    warc.write_warc(warc.arc_to_records(warc.pages_to_arc(empty)), str(tmp_path / "e"))
+    clash = pages.withColumns({"kept": F.lit(1), "keep_id": F.lit("x"), "payload": F.lit(2)})
+    assert warc.arc_to_records(warc.pages_to_arc(clash)).count() == 6
+
+
 def brute_spans(text):
     plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     out = []
@@ -337,6 +362,13 @@ def test_quotes_of_all_levels_and_of_parts(spark):
     assert [(got[t]["linked"], got[t]["reply_to"]) for t in range(6)] == [(False, None), (False, 0), (True, 0), (True, 0), (True, 0), (False, 4)]
 
 
+def test_null_conversations_link_and_clashing_columns_do_not_matter(spark):
+    rows = [(None, 0, "a", "first line here", 1, 1), (None, 1, "b", "another", 1, 1), (None, 2, "a", "> first line here\nyes", 1, 1), (1, 0, "a", "x" * 100_000, 1, 1), (1, 1, "b", "> " + "x" * 100_000, 1, 1)]
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, conv int, row int")).collect()}
+    assert got[None, 2]["linked"] and got[None, 2]["reply_to"] == 0 and got[None, 2]["depth"] == 1 and got[None, 1]["reply_to"] == 0
+    assert got[1, 1]["linked"] and got[1, 1]["text"] == ""
+
+
 def test_depth_of_long_conversations(spark):
     rows = [(c, t, "u", f"> line {t - 1}\nline {t}" if c == 1 and t == 150 else f"line {t}") for c in (1, 2) for t in range(200)]
     got = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()

@@ -32,7 +32,10 @@ FIELDS = {
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEAST = 100
 ID_HEADER = "X-Page-Id"
-PER_FILE = 4000
+#: A file ends with the record that brings it to so many bytes.
+FILE_BYTES = 8 << 20
+#: What the writer puts after each file: a gzip member that holds nothing.
+NOTHING = gzip.compress(b"", 1, mtime=0)
 
 
 class ArcRecord(NamedTuple):
@@ -92,7 +95,7 @@ def iso_date(digits: str) -> str:
 def converted(record: ArcRecord) -> dict:
     """What the WARC record of an ARC record needs: url, date, kind, content type, block, payload, digests, HTTP headers."""
     url, block = record.fields["URL"], record.block
-    http = url.split(":")[0].lower() in ("http", "https") and block[:5] == b"HTTP/" or block[:5] == b"HTTP/"
+    http = block[:5] == b"HTTP/"
     head, _, body = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
     headers = dict(line.split(": ", 1) for line in head.decode(errors="replace").split("\r\n")[1:] if ": " in line)
     digest = hashlib.sha256(body).hexdigest()
@@ -124,21 +127,21 @@ def warc_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, stream.read(int(headers["Content-Length"]))
 
 
-def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", version: int = 1, date: str = "20200101000000") -> DataFrame:
-    """One ARC file (column arc) for each few MB of ``pages``. The id goes into an HTTP header; null html is an empty body.
+def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", version: int | None = None, date: str = "20200101000000") -> DataFrame:
+    """One ARC file (column arc) for each few MB of ``pages``, of the given version or of both in turn. The id goes into an HTTP header; null html is an empty body.
 
     A null id gets no header, a null url the id's urn. Rows may repeat; other columns aren't read.
     """
     small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for k, b in enumerate(batches):
             records = []
             for page, address, body in zip(b["id"].to_pylist(), b["url"].to_pylist(), b["html"].cast(pa.binary()).to_pylist(), strict=True):
                 body = body or b""
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n" + (f"{ID_HEADER}: {page}\r\n" if page is not None else "")
                 records.append((address if address else f"urn:page:{page}", date, "text/html", head.encode() + b"\r\n" + body))
-            yield pa.RecordBatch.from_arrays([pa.array([arc_file(records, version, date=date)], pa.binary())], ["arc"])
+            yield pa.RecordBatch.from_arrays([pa.array([arc_file(records, version or 1 + k % 2, date=date)], pa.binary())], ["arc"])
 
     return pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(run, "arc binary")
 
@@ -171,18 +174,26 @@ def arc_to_records(arcs: DataFrame, column: str = "arc") -> DataFrame:
     return arcs.select(column).mapInArrow(run, RECORDS)
 
 
-def write_warc(records: DataFrame, path: str, least: int = LEAST) -> None:
-    """Writes converted records as gzipped WARC files at ``path``.
+def _warcinfo() -> bytes:
+    fields = b"software: utrflow\r\nformat: WARC File Format 1.1\r\nconformsTo: http://iipc.github.io/warc-specifications/specifications/warc-format/warc-1.1/\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(hashlib.sha256(fields).hexdigest(), 'warcinfo')}", "WARC-Date: 2020-01-01T00:00:00Z", f"WARC-Block-Digest: sha256:{hashlib.sha256(fields).hexdigest()}", "Content-Type: application/warc-fields", f"Content-Length: {len(fields)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + fields
+
+
+def write_warc(records: DataFrame, path: str, least: int = LEAST, size: int = FILE_BYTES) -> None:
+    """Writes converted records as WARC files at ``path``: a warcinfo record first, each record a gzip member of its own.
 
     Of records with equal payloads of at least ``least`` bytes that with the smallest page_id (nulls last; of repeated rows
     one) is a response, the others revisit it, without their payload; smaller ones are all responses. Only records whose
-    digest may occur more than once are shuffled. An empty table gives no records.
+    digest may occur more than once are shuffled. A file ends with the record that brings it to ``size`` bytes. An empty
+    table gives no records.
     """
     known = marked(records.withColumn("__digest", F.when(F.col("payload_bytes") >= least, F.col("payload_digest"))), "__digest", "page_id")
+    member = lambda record: gzip.compress(record + b"\r\n\r\n", 1, mtime=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, out, used = member(_warcinfo()), [], 0
         for b in batches:
-            out = []
             for r in b.to_pylist():
                 more = {}
                 kind, block = r["kind"], r["head"] + r["payload"]
@@ -192,39 +203,56 @@ def write_warc(records: DataFrame, path: str, least: int = LEAST) -> None:
                 more |= {"X-Payload-Length": str(r["payload_bytes"])} | ({ID_HEADER: str(r["page_id"])} if r["page_id"] is not None else {})
                 # of repeated rows each needs an identifier of its own only where it isn't the response
                 identity = record_id(r["payload_digest"], r["page_id"] if r["kept"] else f"revisit {r['page_id']} {r['url']}")
-                out.append(warc_record(kind, identity, r["url"], r["date"], r["content_type"], block, r["payload_digest"], more))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
-
+                out.append(member(warc_record(kind, identity, r["url"], r["date"], r["content_type"], block, r["payload_digest"], more)))
+                used += len(out[-1])
+                if used >= size:
+                    yield pa.RecordBatch.from_arrays([pa.array([head + b"".join(out)], pa.binary())], ["value"])
+                    out, used = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([head + b"".join(out)], pa.binary())], ["value"])
+
+    # a row is a file; its bytes go out as they are, and the separator after them in the given encoding
     text = known.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    text.write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", PER_FILE).text(path)
+    text.write.option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1")).option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record of the gzipped WARC files at ``path``: page_id, url, date, payload_bytes, payload_digest,
-    record_type, refers_to, block_ok (the block has the digest that its header tells)."""
+    """One row for each record of the gzipped WARC files at ``path`` but warcinfo: page_id, url, date, payload_bytes,
+    payload_digest, record_type, refers_to, sound.
+
+    Length and digest are worked out from the payload that was read; a revisit holds none, so that they are its headers'.
+    ``sound``: the block has the digest of its header, and so has the payload, and its length.
+    """
     small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = lambda x: int(x) if x else None
+        sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
             for content in b.column(0):
                 rows = []
                 with gzip.open(io.BytesIO(content.as_py())) as stream:
                     for h, block in warc_records(stream):
-                        ok = h["WARC-Block-Digest"] == f"sha256:{hashlib.sha256(block).hexdigest()}"
-                        rows.append((number(h.get(ID_HEADER)), h["WARC-Target-URI"], h["WARC-Date"], int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha256:"), h["WARC-Type"], number(h.get("X-Refers-To-Page-Id")), ok))
+                        if h["WARC-Type"] == "warcinfo":
+                            continue
+                        told = (int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha256:"))
+                        body = block.partition(b"\r\n\r\n")[2] if h["Content-Type"].startswith("application/http") else block
+                        got = told if h["WARC-Type"] == "revisit" else (len(body), sha(body))
+                        sound = got == told and h["WARC-Block-Digest"] == f"sha256:{sha(block)}"
+                        rows.append((number(h.get(ID_HEADER)), h["WARC-Target-URI"], h["WARC-Date"], *got, h["WARC-Type"], number(h.get("X-Refers-To-Page-Id")), sound))
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
                 columns = list(zip(*rows, strict=True)) or [()] * 8
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["page_id", "url", "date", "payload_bytes", "payload_digest", "record_type", "refers_to", "block_ok"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["page_id", "url", "date", "payload_bytes", "payload_digest", "record_type", "refers_to", "sound"])
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, "page_id long, url string, date string, payload_bytes long, payload_digest string, record_type string, refers_to long, block_ok boolean")
+    return files.mapInArrow(run, "page_id long, url string, date string, payload_bytes long, payload_digest string, record_type string, refers_to long, sound boolean")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_warc(arc_to_records(pages_to_arc(spark.read.parquet(f"{sf_dir}/pages.parquet"))), path)
-    return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    kind = F.when(F.col("sound"), F.col("record_type")).otherwise(F.raise_error(F.lit("a record that was read back differs from what its headers tell")).cast("string"))
+    return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")
 
 
 OP4_SQL = """
