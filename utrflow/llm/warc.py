@@ -32,9 +32,9 @@ FIELDS = {
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEAST = 100
 ID_HEADER = "X-Page-Id"
-#: A file ends with the record that brings it to so many bytes.
-FILE_BYTES = 8 << 20
-#: What the writer puts after each file: a gzip member that holds nothing.
+#: A row of the writer ends with the record that brings it to so many bytes; so many rows make a file.
+ROW_BYTES, FILE_ROWS = 1 << 20, 8
+#: What the writer puts after each row: a gzip member that holds nothing.
 NOTHING = gzip.compress(b"", 1, mtime=0)
 
 
@@ -180,19 +180,20 @@ def _warcinfo() -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + fields
 
 
-def write_warc(records: DataFrame, path: str, least: int = LEAST, size: int = FILE_BYTES) -> None:
+def write_warc(records: DataFrame, path: str, least: int = LEAST, size: int = ROW_BYTES) -> None:
     """Writes converted records as WARC files at ``path``: a warcinfo record first, each record a gzip member of its own.
 
     Of records with equal payloads of at least ``least`` bytes that with the smallest page_id (nulls last; of repeated rows
     one) is a response, the others revisit it, without their payload; smaller ones are all responses. Only records whose
-    digest may occur more than once are shuffled. A file ends with the record that brings it to ``size`` bytes. An empty
-    table gives no records.
+    digest may occur more than once are shuffled. Of every ``FILE_ROWS`` rows, each of which ends with the record that
+    brings it to ``size`` bytes, a file is made. An empty table gives no records.
     """
     known = marked(records.withColumn("__digest", F.when(F.col("payload_bytes") >= least, F.col("payload_digest"))), "__digest", "page_id")
     member = lambda record: gzip.compress(record + b"\r\n\r\n", 1, mtime=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, out, used = member(_warcinfo()), [], 0
+        # the writer begins a file at every FILE_ROWS rows of a task
+        rows, out, used = 0, [member(_warcinfo())], 0
         for b in batches:
             for r in b.to_pylist():
                 more = {}
@@ -206,14 +207,15 @@ def write_warc(records: DataFrame, path: str, least: int = LEAST, size: int = FI
                 out.append(member(warc_record(kind, identity, r["url"], r["date"], r["content_type"], block, r["payload_digest"], more)))
                 used += len(out[-1])
                 if used >= size:
-                    yield pa.RecordBatch.from_arrays([pa.array([head + b"".join(out)], pa.binary())], ["value"])
-                    out, used = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([head + b"".join(out)], pa.binary())], ["value"])
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], ["value"])
+                    rows += 1
+                    out, used = [member(_warcinfo())] if rows % FILE_ROWS == 0 else [], 0
+        if used:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], ["value"])
 
-    # a row is a file; its bytes go out as they are, and the separator after them in the given encoding
+    # the bytes of a row go out as they are, and the separator after them in the given encoding
     text = known.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    text.write.option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1")).option("maxRecordsPerFile", 1).option("compression", "none").text(path)
+    text.write.option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1")).option("maxRecordsPerFile", FILE_ROWS).option("compression", "none").text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
