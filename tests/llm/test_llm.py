@@ -282,6 +282,30 @@ def test_repeated_rows_do_not_crowd_out_equal_vectors(spark):
     assert [x["vec_id"] for x in sorted(got, key=lambda x: x["rank"]) if x["query_id"] == 0] == [1, 2]
 
 
+def test_small_windows_find_clustered_neighbours(spark):
+    r = np.random.default_rng(7)
+    centres = r.normal(size=(120, 32))
+    x = centres[r.integers(0, 120, 6000)] + r.normal(size=(6000, 32)) * 0.1
+    rows = [(i, v.tolist(), "x") for i, v in enumerate(x)]
+    got = collections.defaultdict(set)
+    # a window holds 300 of 6,000 rows on a curve
+    for q in curves.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string"), share=0.05, least=300).collect():
+        got[q["query_id"]].add(q["vec_id"])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 6000, 50):
+        s = u @ u[q]
+        s[q] = -9
+        hits += len(set(np.argsort(-s)[:5].tolist()) & got[q])
+    assert hits >= 0.9 * 5 * 120
+
+
+def test_tiny_and_huge_vectors(spark):
+    rows = [(0, [2.0**-600, 2.0**-599]), (1, [2.0**600, 2.0**601]), (2, [1e-300, 0.0]), (3, [-1.0, 5.0])]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in curves.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=1).collect()}
+    assert len(got) == 12 and got[0, 1] == (1, pytest.approx(1)) and got[2, 1] == (0, pytest.approx(5**-0.5)) and got[2, 3] == (3, pytest.approx(-(26**-0.5)))
+
+
 def test_hilbert_neighbours_touch():
     cells = np.array([[i >> 6 & 7, i >> 3 & 7, i & 7] for i in range(512)])
     order = np.argsort(curves.hilbert_keys(cells, 3))

@@ -62,12 +62,20 @@ def curve_keys(unit: np.ndarray, ids: np.ndarray, curve: int) -> np.ndarray:
     return hilbert_keys(cells, BITS) << 15 | tie.astype(np.int64)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two that brings its largest component next to 1: squares then neither vanish nor overflow.
+
+    Cosines stay the same to the last bit.
+    """
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _vectors(batch: pa.RecordBatch, kind: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(dimension, ids, vectors) of a batch with id, dim and vec."""
     dims = batch["dim"].to_numpy()
     for d in np.unique(dims).tolist():
         own = batch.filter(pa.array(dims == d))
-        yield d, own["id"].to_numpy(), np.frombuffer(b"".join(own["vec"].to_pylist()), kind).reshape(-1, d).astype(np.float64)
+        yield d, own["id"].to_numpy(), _scaled(np.frombuffer(b"".join(own["vec"].to_pylist()), kind).reshape(-1, d).astype(np.float64))
 
 
 def nearest(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", share: float = SHARE, least: int = LEAST) -> DataFrame:
@@ -127,7 +135,7 @@ def nearest(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id",
                 for d, ids, x in _vectors(b, kind):
                     if d not in blocks:
                         continue
-                    unit, raw = x / np.linalg.norm(x, axis=1, keepdims=True), x.astype(kind)
+                    unit, raw = x / np.linalg.norm(x, axis=1, keepdims=True), x.astype(kind)  # scaled: the direction is all that counts
                     for c in range(CURVES):
                         home = np.searchsorted(bounds[d, c], curve_keys(unit, ids, c), "right")
                         if asks:
@@ -152,7 +160,7 @@ def nearest(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id",
                 own = b.filter(pa.array(asks == flag))
                 parts[flag][0].append(own["id"].to_numpy())
                 parts[flag][1].append(np.frombuffer(b"".join(own["vec"].to_pylist()), kind).reshape(-1, d).astype(np.float64))
-        (q_ids, q), (x_ids, x) = ((np.concatenate(a), np.concatenate(b)) for a, b in (parts[True], parts[False]))
+        (q_ids, q), (x_ids, x) = ((np.concatenate(a), _scaled(np.concatenate(b))) for a, b in (parts[True], parts[False]))
         if not len(q_ids) or not len(x_ids):
             return
         xn = np.sqrt((x * x).sum(axis=1))

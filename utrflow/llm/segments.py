@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
 import numpy as np
@@ -120,6 +121,17 @@ def small_batches(spark) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
+def give_back() -> None:
+    """Returns what this Python worker has freed to the system: workers live on from task to task and from stage to stage."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def sized(batches, size: int = 1 << 20):
     """The first column's values and the second's texts as bytes (null as empty), in portions of about ``size`` bytes."""
     import pyarrow as pa
@@ -135,4 +147,4 @@ def sized(batches, size: int = 1 << 20):
                 docs, texts, used = [], [], 0
         if docs:
             yield docs, texts
-    pa.default_memory_pool().release_unused()
+    give_back()
