@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -98,3 +99,14 @@ def domain_class(domains: Column, separator: str = ",") -> Column:
     """The domain type if all are one, else mixed."""
     kinds = F.array_distinct(F.transform(F.split(domains, separator), lambda x: F.trim(x)))
     return F.when(F.size(kinds) == 1, kinds[0]).otherwise("mixed")
+
+
+def boltzmann(energy: Column, conc: float) -> Column:
+    """The weight of a state with a binding energy in RT at a concentration in nM."""
+    return F.exp(-energy + float(np.log(conc * 1e-9)))
+
+
+def trailing_slope(value: Column, at: Column, order: list, n: int, *by: str) -> Column:
+    """The slope of a linear fit over the last ``n`` rows of each group; null where there are fewer."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-(n - 1), 0)
+    return F.when(F.count(value).over(w) == n, F.regr_slope(value, at).over(w))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from utrflow.functions.sequence import all_kmers, kmers, pieces
+from utrflow.functions.sequence import all_kmers, kmer_index, kmers, pieces
 
 
 def positions(reads: DataFrame, k: int, by: list[str] = (), read: str = "read_id", seq: str = "seq", name: str = "kmer", at: str = "pos") -> DataFrame:
@@ -195,3 +195,39 @@ def base_profile(reads: DataFrame, by: list[str] = ()) -> DataFrame:
     shares = cells.join(total, [*by, "pos"]).withColumn("share", F.col("n") / F.col("t")).drop("t")
     entropy = shares.groupBy(*by, "pos").agg(F.sum(-F.col("share") * F.log2("share")).alias("entropy"))
     return shares.join(entropy, [*by, "pos"])
+
+
+def index_rows(reads: DataFrame, k: int, read: str = "read_id") -> DataFrame:
+    """(read, index): the numbers of a read's k-mers in order, null for windows with other letters than bases."""
+    return reads.select(read, F.transform(kmers(F.col("seq"), k), kmer_index).alias("index"))
+
+
+def presence(reads: DataFrame, kmer: str, read: str = "read_id") -> DataFrame:
+    """(read, present): for each place of a read whether the k-mer starts there."""
+    return reads.select(read, F.transform(kmers(F.col("seq"), len(kmer)), lambda w: w == kmer).alias("present"))
+
+
+def from_sequences(spark, sequences: list[str]) -> DataFrame:
+    """(read_id, seq) of a few sequences of the driver, numbered from 0."""
+    return spark.createDataFrame(list(enumerate(sequences)), "read_id long, seq string")
+
+
+def joined_counts(tables: list[DataFrame], names: list[str]) -> DataFrame:
+    """(kmer, one column a table) of the k-mers that all tables (kmer, n) have: chained inner joins on one partitioning."""
+    out = None
+    for t, name in zip(tables, names, strict=True):
+        t = t.select("kmer", F.col("n").alias(name))
+        out = t if out is None else out.join(t, "kmer")
+    return out
+
+
+def weighted_ratios(bound: DataFrame, control: DataFrame, bound_reads: DataFrame, control_reads: int, k: int, by: list[str] = (), letters: str = "ACGT") -> DataFrame:
+    """(by, kmer, w) of all 4^k k-mers: accessibility-weighted counts (kmer, weight), plus 1, by reads, over the control's.
+
+    ``bound_reads`` has the number of reads (by, reads) of each sample.
+    """
+    every = F.broadcast(all_kmers(bound.sparkSession, k, letters))  # 4^k rows
+    frame = bound_reads.crossJoin(every).join(bound.select(*by, "kmer", F.col("weight").alias("__b")), [*by, "kmer"], "left")
+    frame = frame.join(F.broadcast(control.select("kmer", F.col("weight").alias("__c"))), "kmer", "left")
+    own = lambda c, n: (F.coalesce(c, F.lit(0.0)) + 1) / n
+    return frame.select(*by, "kmer", (own("__b", F.col("reads")) / own("__c", F.lit(control_reads))).alias("w"))

@@ -184,3 +184,50 @@ def aligned(weights: np.ndarray, sequence: str, least: int = 2) -> tuple[int, fl
         total += z
         best = max(best, (z, -offset))
     return -best[1], best[0], total
+
+
+def from_variants(kmers: list[str], affinities: list[float]) -> tuple[np.ndarray, float]:
+    """(weights, a0) from k-mers by descending affinity: the first one's bases weigh 1; of each further one the bases that
+    are new at their place weigh its affinity over the first's, added up."""
+    best = np.array(from_iupac(kmers[0]), float)
+    out = best.copy()
+    for kmer, a in zip(kmers[1:], affinities[1:], strict=True):
+        if a > affinities[0]:
+            raise ValueError("k-mers must come by descending affinity")
+        out += ((np.array(from_iupac(kmer), float) == 1) & (out != 1)) * (a / affinities[0])
+    if (out > 1).any():
+        raise ValueError("the variants at a place weigh more than the best base")
+    return out, float(affinities[0])
+
+
+def kmer_score(kmer: str, weights: np.ndarray, a0: float = 1.0) -> float:
+    """The sum of the weights of a k-mer's bases, times a0; the k-mer is as long as the motif."""
+    return float((np.asarray(weights, float) * np.array(from_iupac(kmer), float)).sum() * a0)
+
+
+def kmer_score_column(kmer: Column, weights: list[list[float]], a0: float = 1.0) -> Column:
+    """``kmer_score`` of a column; null where the k-mer isn't as long as the motif or holds another letter."""
+    total = F.lit(0.0)
+    for i, row in enumerate(weights):
+        base = F.upper(F.substring(kmer, i + 1, 1))
+        own = None
+        for names, w in zip(("A", "C", "G", "TU"), row, strict=True):
+            hit = base.isin(*names)
+            own = F.when(hit, float(w)) if own is None else own.when(hit, float(w))
+        total = total + own
+    return F.when(F.length(kmer) == len(weights), total * float(a0))
+
+
+def gc_weight(weights: np.ndarray) -> float:
+    """The share of all weights that is C's and G's."""
+    w = np.asarray(weights, float)
+    return float(w[:, 1:3].sum() / w.sum())
+
+
+def dissociation(a0: float) -> float:
+    """The dissociation constant of the best sequence."""
+    return 1.0 / a0
+
+
+def scaled_weights(weights: np.ndarray, a0: float) -> np.ndarray:
+    return np.asarray(weights, float) * a0

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from utrflow.functions import measures as m
 from utrflow.functions import sequence as s
-from utrflow.operators import annotate, compare, enrichment, fitting, intervals, kmers, psam, regression, seeding
+from utrflow.operators import annotate, compare, enrichment, fitting, intervals, kmers, psam, regression, seeding, simulate, training
 from utrflow.plans.storage import written
 
 #: A motif of four rows (A C G U).
@@ -301,6 +301,25 @@ def q24_glm(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, round(v, 6)) for k, v in b.items()], "term string, coefficient double")
 
 
+def _newton_sql(steps: int) -> str:
+    """Newton steps of the logistic fit, each a CTE with the sums of its step and one with Cramer's solution of the three equations."""
+    parts = ["x AS (SELECT quality::DOUBLE AS y, n_chars / 10000 AS u, CASE WHEN lang = 'en' THEN 1.0::DOUBLE WHEN lang IS NOT NULL THEN 0 END AS v FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL AND lang IS NOT NULL)", "b0 AS (SELECT 0::DOUBLE AS p, 0::DOUBLE AS q, 0::DOUBLE AS r)"]
+    det = lambda *m: "({0} * ({4} * {8} - {5} * {7}) - {1} * ({3} * {8} - {5} * {6}) + {2} * ({3} * {7} - {4} * {6}))".format(*m)
+    rows = [["a", "b", "c"], ["b", "d", "e"], ["c", "e", "f"]]
+    solved = []
+    for i in range(3):
+        m = [[g if j == i else row[j] for j in range(3)] for row, g in zip(rows, ("g", "h", "k"), strict=True)]
+        solved.append(f"{det(*sum(m, []))} / {det(*sum(rows, []))}")
+    for n in range(1, steps + 1):
+        parts.append(f"m{n} AS (SELECT *, mu * (1 - mu) AS w FROM (SELECT x.*, b{n - 1}.*, 1 / (1 + exp(-(p + q * u + r * v))) AS mu FROM x CROSS JOIN b{n - 1}))")
+        parts.append(f"s{n} AS (SELECT any_value(p) AS p, any_value(q) AS q, any_value(r) AS r, sum(w) AS a, sum(w * u) AS b, sum(w * v) AS c, sum(w * u * u) AS d, sum(w * u * v) AS e, sum(w * v * v) AS f, sum(y - mu) AS g, sum((y - mu) * u) AS h, sum((y - mu) * v) AS k FROM m{n})")
+        parts.append(f"b{n} AS (SELECT p + {solved[0]} AS p, q + {solved[1]} AS q, r + {solved[2]} AS r FROM s{n})")
+    return "WITH " + ", ".join(parts) + f" SELECT unnest(['intercept', 'size', 'english']) AS term, unnest([round(p, 6), round(q, 6), round(r, 6)]) AS coefficient FROM b{steps}"
+
+
+Q24 = _newton_sql(9)
+
+
 def q25_predict_fixed(spark: SparkSession, d: str) -> DataFrame:
     p = regression.predicted({"intercept": -0.5, "size": 1.25, "english": 0.75})
     x = _labelled(spark, d).withColumn("p", p)
@@ -359,7 +378,10 @@ Q31 = "WITH r AS (SELECT p_brand, rank() OVER (PARTITION BY p_brand ORDER BY p_s
 
 def q32_free_protein(spark: SparkSession, d: str) -> DataFrame:
     hist = fitting.z_histogram(_scores(spark, d), "total")
-    return spark.createDataFrame([(float(t), float(fitting.free_protein(hist, t, 50.0))) for t in (1.0, 5.0, 25.0)], "total double, free double")
+    return spark.createDataFrame([(float(t), round(float(fitting.free_protein(hist, t, 50.0)), 7)) for t in (1.0, 5.0, 25.0)], "total double, free double")
+
+
+Q32 = f"WITH RECURSIVE {READS}, {_SCORE_SQL}, t AS (SELECT ln(least(sum(z), 1e6::DOUBLE)) AS l FROM st GROUP BY read_id HAVING sum(z) > 0), e AS (SELECT min(l) AS lo, max(l) AS hi FROM t), bn AS (SELECT CASE WHEN hi > lo THEN least(floor((l - lo) / ((hi - lo) / 1000)), 999) ELSE 0 END AS bin, avg(exp(l)) AS z, count(*) AS n FROM t CROSS JOIN e GROUP BY 1), h AS (SELECT list(struct_pack(z := z, s := n / (SELECT sum(n) FROM bn)) ORDER BY bin) AS h FROM bn), f AS (SELECT unnest([1.0::DOUBLE, 5.0, 25.0]) AS total, 0::DOUBLE AS lo, unnest([1.0::DOUBLE, 5.0, 25.0]) AS hi, 0 AS i UNION ALL SELECT total, CASE WHEN used > total THEN lo ELSE p END, CASE WHEN used > total THEN p ELSE hi END, i + 1 FROM (SELECT f.*, (lo + hi) / 2 AS p, (lo + hi) / 2 + 50 * list_sum(list_transform(h, lambda x: x.s * (lo + hi) / 2 * x.z / ((lo + hi) / 2 * x.z + 1))) AS used FROM f CROSS JOIN h WHERE i < 100)) SELECT total, round((lo + hi) / 2, 7) AS free FROM f WHERE i = 100"
 
 
 def q33_ska(spark: SparkSession, d: str) -> DataFrame:
@@ -688,5 +710,144 @@ def q59_seeds(spark: SparkSession, d: str) -> DataFrame:
 
 Q59 = f"WITH {READS}, {_PART_SQL}, m AS (SELECT kmer, avg(r) AS m, avg(error) AS error FROM rv GROUP BY 1), q AS (SELECT quantile_cont(m, 0.05) AS q FROM m), co AS (SELECT kmer, error, m + q * (m - 1) / (1 - q) AS r FROM m CROSS JOIN q), z AS (SELECT *, (r - avg(r) OVER ()) / stddev_pop(r) OVER () AS z, row_number() OVER (ORDER BY r DESC, kmer DESC) AS rank FROM co), t AS (SELECT greatest(1, coalesce(max(r) FILTER (z < 1), max(r))) AS cut FROM z), e AS (SELECT min(rank) AS stop FROM z CROSS JOIN t WHERE r - error <= cut AND rank > 11) SELECT kmer, round(r, 7) AS r, round(error, 7) AS error, rank FROM z CROSS JOIN e WHERE stop IS NULL OR rank < stop"
 
+def _training(spark: SparkSession, d: str) -> DataFrame:
+    variants = table(spark, d, "customer").select(F.concat(F.lit("g"), F.col("c_nationkey")).alias("gene"), F.concat(F.lit("v"), F.col("c_custkey")).alias("var_info"), F.concat(F.lit("b"), F.col("c_custkey")).alias("base_id"), F.lit("A").alias("ref"), F.lit("G").alias("alt"), (F.col("c_custkey") * 10).alias("start"), (F.col("c_custkey") * 10 + 1).alias("end"), (F.col("c_custkey") % 10 / 10).alias("phastcons_100"), (F.col("c_custkey") * 37 % 1001 / 1000).alias("pip"), F.when(F.col("c_custkey") % 3 > 0, "x").otherwise("").alias("eclip_tot"))
+    isoforms = table(spark, d, "nation").filter("n_nationkey < 22").select(F.concat(F.lit("g"), F.col("n_nationkey")).alias("gene"), (F.col("n_regionkey") + 1).alias("number_isos"), (F.col("n_nationkey") * 100).alias("utr_start"), (F.col("n_nationkey") * 100 + 500).alias("utr_stop"))
+    places = table(spark, d, "orders").select(F.concat(F.lit("v"), F.col("o_custkey"), F.lit("_A_G")).alias("variant"), (F.col("o_orderkey") % 5 + 1).alias("iso_loc"), (F.col("o_custkey") * 10 - 70).alias("iso_start"), (F.col("o_custkey") * 10 + F.col("o_orderkey") % 100).alias("iso_stop"))
+    sites = variants.filter(F.col("start") % 70 == 0).select(F.concat("base_id", F.lit("_A_G")).alias("var_id"))
+    return training.eqtl_features(variants, isoforms, places, sites)
+
+
+def q62_training_eqtl(spark: SparkSession, d: str) -> DataFrame:
+    x = training.selected(_training(spark, d))
+    return x.select("var_id", "iso_loc", "dvp", "between", "pas", "stop_distance", "utr_length", *training.TERMS, "label")
+
+
+_TRAINING_SQL = (
+    "tv AS (SELECT 'g' || c_nationkey AS gene, c_custkey AS c, c_custkey % 10 / 10 AS ph, c_custkey * 37 % 1001 / 1000 AS pip, c_custkey % 3 > 0 AS ecl FROM customer), ti AS (SELECT DISTINCT 'g' || n_nationkey AS gene, n_regionkey + 1 AS number_isos, 500::INTEGER AS utr_length, n_nationkey * 100 AS us FROM nation WHERE n_nationkey < 22), "
+    "tp AS (SELECT DISTINCT o_custkey AS c, (o_orderkey % 5 + 1)::DOUBLE AS iso_loc, o_custkey * 10 - 70 AS a, o_custkey * 10 + o_orderkey % 100 AS b FROM orders), "
+    "tf AS (SELECT 'b' || c || '_A_G' AS var_id, iso_loc, iso_loc / number_isos AS dvp, CASE WHEN iso_loc / number_isos <= 1 THEN b - a END AS \"between\", CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN least(abs(c * 10 + 1 - a), abs(c * 10 + 1 - b)) END AS pas, abs(c * 10 - us) AS stop_distance, utr_length, ecl::INT AS in_eclip, CASE WHEN c * 10 % 70 = 0 THEN 1 ELSE 0 END AS in_mir, (ph > 0.5)::INT AS conserved, (number_isos = 1 OR iso_loc / number_isos <= 0.5)::INT AS shared_region, number_isos, (pip >= 0.5)::INT AS label, pip FROM tv LEFT JOIN ti USING (gene) LEFT JOIN tp USING (c)), "
+    "ts AS (SELECT * EXCLUDE (pip), (pas <= 50)::INT AS near_pas FROM tf WHERE (pip > 0.95 OR pip < 0.001) AND pas IS NOT NULL AND shared_region IS NOT NULL AND number_isos IS NOT NULL)"
+)
+Q62 = f"WITH {_TRAINING_SQL} SELECT var_id, iso_loc, dvp, \"between\", pas, stop_distance, utr_length, in_eclip, near_pas, in_mir, conserved, shared_region, number_isos, label FROM ts"
+
+
+def q63_training_gwas(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    text = lambda *parts: F.concat_ws("_", *[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    rows = table(spark, d, "part").select(text("a", "b", "c", (k % 4 + 1).cast("string"), F.when(k % 9 == 0, "none").otherwise((k % 6 + 1).cast("string")), "f", (k * 10).cast("string"), (k * 10 + k % 700).cast("string")).alias("utr_info"), F.concat(F.lit("b"), k).alias("base_id"), F.lit("C").alias("ref"), F.lit("T").alias("alt"), (k * 10 + 3).alias("start"), (k * 10 + 4).alias("end"), (k * 10 - k % 90).alias("iso_start"), (k * 10 + 60).alias("iso_stop"), F.when(k % 5 > 0, text("c", "1", "2", "m", "p", "x", F.when(k % 2 == 0, "consFam").otherwise("poor"), "s")).alias("site_info"), (k % 10 / 10).alias("phastcons_100"), (k * 37 % 1001 / 1000).alias("pip"), F.when(k % 3 > 0, "x").otherwise("").alias("eclip_tot"))
+    x = training.gwas_features(rows)
+    return x.select("var_id", "iso_loc", "dvp", "between", "pas", "stop_distance", "utr_length", *training.TERMS, "label")
+
+
+Q63 = "WITH p AS (SELECT p_partkey AS k, (p_partkey % 4 + 1)::DOUBLE AS n, CASE WHEN p_partkey % 9 <> 0 THEN (p_partkey % 6 + 1)::DOUBLE END AS l FROM part) SELECT 'b' || k || '_C_T' AS var_id, l AS iso_loc, CASE WHEN l / n <= 1 THEN l / n END AS dvp, CASE WHEN l / n <= 1 THEN 60 + k % 90 END AS \"between\", least(abs(4 + k % 90), 56)::BIGINT AS pas, 3::DOUBLE AS stop_distance, (k % 700)::DOUBLE AS utr_length, (k % 3 > 0)::INT AS in_eclip, (least(4 + k % 90, 56) <= 50)::INT AS near_pas, CASE WHEN k % 5 > 0 AND k % 2 = 0 THEN 1 ELSE 0 END AS in_mir, (k % 10 / 10 > 0.5)::INT AS conserved, (n = 1 OR CASE WHEN l / n <= 1 THEN l / n END <= 0.5)::INT AS shared_region, n AS number_isos, (k * 37 % 1001 / 1000 >= 0.5)::INT AS label FROM p"
+
+
+def q64_index_rows(spark: SparkSession, d: str) -> DataFrame:
+    r = reads(spark, d)
+    x = kmers.index_rows(r, 4).select("read_id", F.md5(F.array_join("index", ",")).alias("indices"))
+    y = kmers.presence(r, "TGCA").select("read_id", F.size("present").cast("long").alias("places"), F.size(F.filter("present", lambda p: p)).cast("long").alias("hits"))
+    return x.join(y, "read_id").filter("places > 0")
+
+
+Q64 = f"WITH {READS}, {_kmer_sql(4)} SELECT read_id, md5(string_agg((strpos('ACGT', kmer[1]) - 1) * 64 + (strpos('ACGT', kmer[2]) - 1) * 16 + (strpos('ACGT', kmer[3]) - 1) * 4 + strpos('ACGT', kmer[4]) - 1, ',' ORDER BY pos)) AS indices, count(*) AS places, count(*) FILTER (kmer = 'TGCA') AS hits FROM km GROUP BY 1"
+
+
+def q65_joined_counts(spark: SparkSession, d: str) -> DataFrame:
+    c = kmers.counts(reads(spark, d), 5, ["lang"])
+    return kmers.joined_counts([c.filter(F.col("lang") == x) for x in ("de", "en", "es", "fr")], ["de", "en", "es", "fr"])
+
+
+Q65 = f"WITH {READS}, {_kmer_sql(5)} SELECT * FROM (SELECT kmer, " + ", ".join(f"count(*) FILTER (lang = '{x}') AS {x}" for x in ("de", "en", "es", "fr")) + " FROM km GROUP BY 1) WHERE de > 0 AND en > 0 AND es > 0 AND fr > 0"
+
+
+def q66_trailing_slope(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "orders").withColumn("place", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
+    slope = m.trailing_slope(F.col("o_totalprice"), F.col("place"), ["o_orderkey"], 5, "o_custkey")
+    return x.select("o_orderkey", F.round(slope, 4).alias("slope")).filter("slope is not null")
+
+
+Q66 = "WITH x AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders) SELECT o_orderkey, round(regr_slope(o_totalprice, place) OVER w, 4) AS slope FROM x WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS 4 PRECEDING) QUALIFY count(*) OVER w = 5"
+
+
+def q67_kmer_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Of all k-mers of the texts: sum score and product affinity of a motif, Boltzmann weight and Kd of the affinity."""
+    x = kmers.counts(reads(spark, d), 4).select("kmer").withColumns({"score": psam.kmer_score_column(F.col("kmer"), MOTIF, 0.5), "affinity": psam.window_score(F.col("kmer"), MOTIF) * 0.5})
+    energy = -F.log(F.col("affinity") * 1e9)
+    return x.select("kmer", F.round("score", 8).alias("score"), F.round("affinity", 10).alias("affinity"), F.round(m.boltzmann(energy, 320.0), 6).alias("weight"), F.round(simulate.kd(energy), 6).alias("kd"))
+
+
+Q67 = f"WITH {READS}, {_kmer_sql(4)}, k AS (SELECT DISTINCT kmer FROM km), s AS (SELECT kmer, 0.5::DOUBLE * (" + " + ".join(_base_sql(f"kmer[{i + 1}]", row) for i, row in enumerate(MOTIF)) + ") AS score, 0.5::DOUBLE * " + " * ".join(_base_sql(f"kmer[{i + 1}]", row) for i, row in enumerate(MOTIF)) + " AS affinity FROM k) SELECT kmer, round(score, 8) AS score, round(affinity, 10) AS affinity, round(affinity * 320, 6) AS weight, round(1 / affinity, 6) AS kd FROM s"
+
+
+def _accessible(spark: SparkSession, d: str) -> DataFrame:
+    """The reads with an accessibility for each base, by the base."""
+    value = lambda b: F.when(b == "A", 0.125).when(b == "C", 0.25).when(b == "G", 0.5).otherwise(0.75)
+    return reads(spark, d).withColumn("acc", F.transform(F.split("seq", ""), value))
+
+
+def q68_weighted_ratios(spark: SparkSession, d: str) -> DataFrame:
+    r = written(_accessible(spark, d), "accessible")
+    c = kmers.accessibility_weighted(r, 3, ["lang"])
+    n = r.groupBy("lang").agg(F.count(F.lit(1)).alias("reads"))
+    x = kmers.weighted_ratios(c.filter("lang != 'en'"), c.filter("lang = 'en'"), n.filter("lang != 'en'"), r.filter("lang = 'en'").count(), 3, ["lang"])
+    return x.select("lang", "kmer", F.round("w", 8).alias("w"))
+
+
+_ACC_SQL = "CASE {b} WHEN 'A' THEN 0.125::DOUBLE WHEN 'C' THEN 0.25 WHEN 'G' THEN 0.5 ELSE 0.75 END"
+Q68 = f"WITH {READS}, {_kmer_sql(3)}, {_freq_sql(3)}, w AS (SELECT lang, kmer, sum({_ACC_SQL.format(b='kmer[1]')}) AS w FROM km GROUP BY ALL), t AS (SELECT lang, count(*) AS t FROM reads GROUP BY 1), v AS (SELECT t.lang, al.kmer, (coalesce(w, 0) + 1) / t AS v FROM t CROSS JOIN al LEFT JOIN w ON w.lang = t.lang AND w.kmer = al.kmer) SELECT a.lang, a.kmer, round(a.v / b.v, 8) AS w FROM v a JOIN v b ON a.kmer = b.kmer AND b.lang = 'en' WHERE a.lang <> 'en'"
+
+
+def q69_accessibility(spark: SparkSession, d: str) -> DataFrame:
+    """Accessibility at the places of k-mers in bins, and round one k-mer by offset."""
+    r = _accessible(spark, d)
+    bins = kmers.binned_accessibility(r, 2, 4).select(F.lit("bin").alias("what"), "kmer", F.col("bin").cast("long").alias("at"), "n", F.lit(None).cast("double").alias("mean"))
+    near = kmers.accessibility_profile(r, "TGCA", 3).select(F.lit("offset").alias("what"), F.lit("TGCA").alias("kmer"), F.col("d").cast("long").alias("at"), "n", F.round("mean", 8).alias("mean"))
+    return bins.unionByName(near)
+
+
+Q69 = f"WITH {READS}, {_kmer_sql(2)}, k4 AS (SELECT read_id, i - 1 AS pos FROM (SELECT *, unnest(generate_series(1, length(seq) - 3)) AS i FROM reads WHERE length(seq) >= 4) WHERE substr(seq, i, 4) = 'TGCA'), k1 AS (SELECT read_id, i - 1 AS pos, {_ACC_SQL.format(b='substr(seq, i, 1)')} AS acc FROM (SELECT *, unnest(generate_series(1, length(seq))) AS i FROM reads)) SELECT 'bin' AS what, kmer, least(floor({_ACC_SQL.format(b='kmer[1]')} * 4), 3)::BIGINT AS at, count(*) AS n, NULL::DOUBLE AS mean FROM km GROUP BY ALL UNION ALL SELECT 'offset', 'TGCA', (k1.pos - k4.pos)::BIGINT, count(*), round(avg(acc), 8) FROM k4 JOIN k1 ON k1.read_id = k4.read_id AND k1.pos BETWEEN k4.pos - 3 AND k4.pos + 6 GROUP BY 3"
+
+
+def q70_reads_with_set(spark: SparkSession, d: str) -> DataFrame:
+    """Reads with any of some k-mers and their share, hits of one k-mer by read as a histogram, values in digits."""
+    r = reads(spark, d)
+    some = kmers.reads_with_any(r, ["TGCA", "AAAA"], ["lang"]).select(F.lit("any").alias("what"), "lang", F.lit(None).cast("long").alias("hits"), "n")
+    hist = kmers.hits_per_read(r, "TGCA").join(r.select("read_id", "lang"), "read_id").groupBy("lang", F.col("hits").cast("long").alias("hits")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("hits").alias("what"), "lang", "hits", "n")
+    return some.unionByName(hist)
+
+
+Q70 = f"WITH {READS}, {_kmer_sql(4)}, h AS (SELECT r.read_id, r.lang, count(*) FILTER (km.kmer = 'TGCA') AS hits FROM reads r LEFT JOIN km ON km.read_id = r.read_id GROUP BY ALL) SELECT 'any' AS what, lang, NULL::BIGINT AS hits, count(DISTINCT read_id) AS n FROM km WHERE kmer IN ('TGCA', 'AAAA') GROUP BY lang UNION ALL SELECT 'hits', lang, hits, count(*) FROM h GROUP BY ALL"
+
+
+def q71_counts_by_read(spark: SparkSession, d: str) -> DataFrame:
+    """How many reads have a k-mer more than once, and how often."""
+    c = kmers.counts_per_read(reads(spark, d), 3).filter("n > 1")
+    return c.groupBy("kmer").agg(F.count(F.lit(1)).alias("reads"), F.sum("n").alias("n"), F.max("n").alias("most"))
+
+
+Q71 = f"WITH {READS}, {_kmer_sql(3)}, c AS (SELECT read_id, kmer, count(*) AS n FROM km GROUP BY ALL HAVING count(*) > 1) SELECT kmer, count(*) AS reads, sum(n)::BIGINT AS n, max(n) AS most FROM c GROUP BY 1"
+
+
+def q72_pads_and_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Reads between adapters, counted by k-mer; each k-mer's longer neighbours; shares extrapolated by a chain."""
+    r = reads(spark, d).withColumn("seq", s.padded(F.col("seq"), "GGGACCT", "TTGCACC", 3))
+    c = kmers.counts(r, 3)
+    near = c.select(F.col("kmer").alias("from"), "n", F.explode(s.expanded(F.col("kmer"), "ACGT")).alias("kmer"))
+    return near.groupBy("kmer").agg(F.count(F.lit(1)).alias("sources"), F.sum("n").alias("n"))
+
+
+Q72 = f"WITH {READS.replace('SELECT doc_id AS read_id, lang, seq FROM', 'SELECT doc_id AS read_id, lang, $$CT$$ || seq || $$TT$$ AS seq FROM')}, {_kmer_sql(3)}, c AS (SELECT kmer, count(*) AS n FROM km GROUP BY 1), b AS (SELECT unnest(['A', 'C', 'G', 'T']) AS b), e AS (SELECT b || kmer AS kmer, n FROM c CROSS JOIN b UNION ALL SELECT kmer || b, n FROM c CROSS JOIN b) SELECT kmer, count(*) AS sources, sum(n)::BIGINT AS n FROM e GROUP BY 1"
+
+
+def q73_markov(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of 4-mers extrapolated from those of 2- and 3-mers."""
+    r = reads(spark, d)
+    x = kmers.markov_frequencies(written(kmers.counts(r, 2), "short"), kmers.counts(r, 3), 4)
+    return x.select("kmer", F.round("freq", 10).alias("freq"))
+
+
+Q73 = f"WITH {READS}, k2 AS (WITH {_kmer_sql(2)} SELECT kmer, count(*) AS n FROM km GROUP BY 1), k3 AS (WITH {_kmer_sql(3)} SELECT kmer, count(*) AS n FROM km GROUP BY 1), st AS (SELECT kmer, n / (SELECT sum(n) FROM k2) AS f FROM k2), tr AS (SELECT substr(kmer, 1, 2) AS k, substr(kmer, 3, 1) AS b, n / sum(n) OVER (PARTITION BY substr(kmer, 1, 2)) AS p FROM k3), s3 AS (SELECT kmer || b AS kmer, f * p AS f FROM st JOIN tr ON tr.k = kmer) SELECT kmer || b AS kmer, round(f * p, 10) AS freq FROM s3 JOIN tr ON tr.k = substr(kmer, 2, 2)"
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[:1] == "q" and k[1:3].isdigit()}
 ORACLE_SQL = {k: globals()[k[:3].upper()] for k in QUERIES if k[:3].upper() in globals()}
