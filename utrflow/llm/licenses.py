@@ -131,3 +131,28 @@ def scan(df: DataFrame, text: str = "text", id_col: str = "doc_id", templates: l
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _quoted(values: list[str]) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+OP7_SQL = rf"""
+WITH t AS (SELECT * FROM (VALUES {", ".join(f"({n}, '{label}', '{text}', [{_quoted(phrases)}])" for n, (label, text, phrases) in enumerate(TEMPLATES))}) AS t(template, label, words, phrases)),
+p AS (SELECT template, len(string_split(words, ' ')) AS length, unnest(string_split(words, ' ')) AS word, unnest(range(0, len(string_split(words, ' ')))) AS position FROM t),
+w AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+d AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS line FROM w),
+f AS (SELECT word, count(*) AS texts FROM (SELECT DISTINCT id, unnest(w) AS word FROM d) WHERE word IN (SELECT word FROM p) GROUP BY word),
+i AS (SELECT p.* FROM p JOIN f USING (word) QUALIFY row_number() OVER (PARTITION BY template ORDER BY texts, p.word, position) <= {LOOKED_UP}),
+u AS (SELECT id, unnest(w) AS word, unnest(range(0, len(w))) AS place FROM d),
+h AS (SELECT id, template, position, length, place - position AS shift FROM u JOIN i USING (word)),
+c AS (SELECT id, template, shift, count(DISTINCT position) AS same, any_value(length) AS length FROM h GROUP BY ALL),
+a AS (SELECT id, template, count(DISTINCT position) AS asked FROM h GROUP BY ALL),
+k AS (SELECT id, template, max(same) AS same, any_value(length) AS length FROM c GROUP BY ALL),
+o AS (SELECT id, label, least(1.0::DOUBLE, same / least(length, {LOOKED_UP})) AS share FROM k JOIN a USING (id, template) JOIN t USING (template) JOIN d USING (id) WHERE same >= {AGREE} * asked AND len(list_filter(phrases, lambda x: NOT contains(line, ' ' || x || ' '))) = 0),
+q AS (SELECT id, list(DISTINCT label) AS labels, max(share) AS share FROM o GROUP BY id),
+b AS (SELECT id, doc_id, w, {", ".join(f"list_filter(range(0, len(w)), lambda x: array_to_string(w[x + 1:x + {len(phrase.split())}], ' ') = '{phrase}') AS b{n}" for n, phrase in enumerate(BASE))} FROM d),
+z AS (SELECT id, doc_id, len(w) AS n_words, {" || ".join(f"b{n}" for n in range(len(BASE)))} AS places, list_filter([{", ".join(f"CASE WHEN len(b{n}) > 0 THEN '{label}' END" for n, label in enumerate(BASE.values()))}], lambda x: x IS NOT NULL) AS base FROM b)
+SELECT doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word, array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(base || coalesce(labels, []))), ',') AS labels, coalesce(share, CASE WHEN len(base) > 0 THEN 1 ELSE 0 END)::DOUBLE AS score
+FROM z LEFT JOIN q USING (id)
+"""
