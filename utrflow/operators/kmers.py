@@ -102,9 +102,20 @@ def pairs(reads: DataFrame, k: int, k2: int | None = None, by: list[str] = (), f
     return rows.select(*by, read, F.col("p.a").alias("a"), F.explode(made).alias("q")).select(*by, read, "a", "q.b", "q.d")
 
 
+#: Up to this length windows are counted before their pairs are taken apart: so short ones repeat often.
+COUNTED_WINDOW = 10
+
+
 def joint_by_distance(reads: DataFrame, k: int, by: list[str] = (), most: int | None = None) -> DataFrame:
     """(by, a, b, d, n): counts of pairs at each distance between starts, k at least."""
-    return pairs(reads, k, by=by, most=most).groupBy(*by, "a", "b", "d").agg(F.count(F.lit(1)).alias("n"))
+    if most is None or most + k > COUNTED_WINDOW:
+        return pairs(reads, k, by=by, most=most).groupBy(*by, "a", "b", "d").agg(F.count(F.lit(1)).alias("n"))
+    # a window holds a k-mer and all that it can meet; at the read's end it is filled up
+    windows = kmers(F.concat("seq", F.lit("$" * most)), most + k)
+    seen = reads.select(*by, F.explode(windows).alias("w")).groupBy(*by, "w").agg(F.count(F.lit(1)).alias("n"))
+    made = F.transform(F.sequence(F.lit(k), F.lit(most)), lambda d: F.struct(F.substr("w", d + 1, F.lit(k)).alias("b"), d.alias("d")))
+    cells = seen.select(*by, F.substring("w", 1, k).alias("a"), "n", F.explode(made).alias("q")).filter(~F.contains(F.concat("a", "q.b"), F.lit("$")))
+    return cells.groupBy(*by, "a", "q.b", "q.d").agg(F.sum("n").alias("n"))
 
 
 def mutual_information(joint: DataFrame, freqs: DataFrame, k: int, by: list[str] = (), pseudo: float = 10.0, letters: str = "ACGT") -> DataFrame:
