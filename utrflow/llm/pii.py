@@ -173,3 +173,44 @@ def sanitise(df: DataFrame, text: str = "text", alpha: float = ALPHA) -> DataFra
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _matches_sql(source: str, kind: str, pattern: str) -> str:
+    """(id, kind, start, end, value) of a pattern's matches: what stands between them gives their places."""
+    return rf"""SELECT id, '{kind}' AS kind, a + list_sum(list_transform(gaps[:n], lambda g: length(g))) AS start, value FROM (
+        SELECT id, gaps, unnest(range(1, len(hits) + 1)) AS n, unnest(hits) AS value, unnest(list_transform(range(1, len(hits) + 1), lambda i: coalesce(list_sum(list_transform(hits[:i - 1], lambda h: length(h))), 0))) AS a
+        FROM (SELECT id, regexp_split_to_array(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS hits FROM {source}))"""
+
+
+_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+OP6_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text, text IS NOT NULL AS given FROM documents),
+m AS ({" UNION ALL ".join(_matches_sql("d", kind, pattern) for kind, pattern in _PLAIN.items())}),
+g AS (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS digits FROM m),
+b AS (SELECT id, kind, start, start + length(value) AS stop, value, list_position(['email', 'ip', 'card', 'phone'], kind) AS k FROM g WHERE CASE kind
+    WHEN 'email' THEN true
+    WHEN 'ip' THEN len(list_filter(string_split(value, '.'), lambda p: coalesce(try_cast(p AS HUGEINT), 999) > 255)) = 0
+    WHEN 'card' THEN length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(range(0, length(digits)), lambda i: CASE WHEN i % 2 = 0 THEN reverse(digits)[i + 1]::INT ELSE reverse(digits)[i + 1]::INT * 2 - CASE WHEN reverse(digits)[i + 1]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+    ELSE length(digits) BETWEEN 8 AND 15 END),
+s AS (SELECT id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY k, start) AS base, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone FROM b GROUP BY id),
+t AS (SELECT text, min(id) AS id FROM d WHERE given GROUP BY text),
+n AS (SELECT count(*) AS total FROM t),
+w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(text), '\p{{L}}{{4,}}')) AS term FROM t),
+wt AS (SELECT term, count(*) AS with_term FROM w GROUP BY term),
+v AS (SELECT DISTINCT id, kind || ':' || value AS key FROM b WHERE id IN (SELECT id FROM t)),
+wv AS (SELECT key, count(*) AS with_value FROM v GROUP BY key),
+p AS (SELECT term, key, count(*) AS both_ FROM w JOIN v USING (id) GROUP BY ALL),
+x AS (SELECT term, key FROM p JOIN wt USING (term) JOIN wv USING (key) CROSS JOIN n WHERE with_value < total AND log2((both_ + {SMOOTH}) / (with_value + {2 * SMOOTH}) * (total + {2 * SMOOTH}) / (with_term + {SMOOTH})) >= log2((total + {2 * SMOOTH}) / (with_value + {SMOOTH})) / {ALPHA}::DOUBLE),
+o AS (SELECT DISTINCT t.text, term FROM x JOIN v USING (key) JOIN w USING (id, term) JOIN t USING (id)),
+e AS (SELECT d.id, d.text FROM d JOIN s USING (id)),
+u AS ({_matches_sql("e", "term", "\\p{L}{4,}")}),
+h AS (SELECT u.id, string_agg('term:' || start || ':' || (start + length(value)), ',' ORDER BY start) AS terms FROM u JOIN e USING (id) JOIN o ON o.text = e.text AND o.term = lower(value)
+    WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.id = u.id AND b.start < u.start + length(u.value) AND u.start < b.stop) GROUP BY u.id)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, concat_ws(',', coalesce(base, ''), terms) AS spans
+FROM d LEFT JOIN s USING (id) LEFT JOIN h USING (id)
+"""
