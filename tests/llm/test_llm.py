@@ -38,7 +38,7 @@ def empty(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("conversations", "documents", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     cursor = con.execute(queries.ORACLE_SQL[name])
     want, names = cursor.fetchall(), [c[0] for c in cursor.description]
@@ -386,6 +386,40 @@ def test_quotes_of_all_levels_and_of_parts(spark):
     assert [(got[t]["linked"], got[t]["reply_to"]) for t in range(6)] == [(False, None), (False, 0), (True, 0), (True, 0), (True, 0), (False, 4)]
 
 
+def test_planted_quotations_equal_sql(spark, tmp_path):
+    r = random.Random(8)
+    word = lambda: r.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta"]) + str(r.randint(0, 30))
+    rows, planted = [], {}
+    for conv in [*range(40), None]:
+        said: list[list[str]] = []
+        for turn in range(r.randint(1, 14)):
+            own = [" ".join(word() for _ in range(6)) if r.random() > 0.2 else "" for _ in range(r.randint(1, 5))] + [f"end {conv} {turn}"]
+            head = []
+            if said and r.random() < 0.6:
+                source = r.randrange(len(said))
+                lines = said[source]
+                a = r.randrange(len(lines))
+                part = lines[a : a + r.randint(1, 3)] if r.random() < 0.7 else lines
+                mark = r.choice([">", "> ", ">> ", "> > "])
+                head = [mark + x.upper() if r.random() < 0.3 else mark + x for x in part] + (["> nobody said this"] if r.random() < 0.2 else [])
+                if part is lines:
+                    planted[conv, turn] = source
+            said.append(own)
+            rows.append((conv, turn, r.choice(["user", "assistant"]), r.choice(["\n", "\r\n"]).join(head + own)))
+    rows += [(3, None, "user", "> x"), (4, 2, "user", None), (5, 1, "user", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "conversations"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations/*.parquet'")
+    cursor = con.execute(quotes.OP5_SQL)
+    names, want = [c[0] for c in cursor.description], cursor.fetchall()
+    got = quotes.link_quotes(df.repartition(5)).collect()
+    key = lambda x: tuple((v is None, str(v)) for v in x)
+    assert sorted((tuple(x[c] for c in names) for x in got), key=key) == sorted(map(tuple, want), key=key)
+    found = {(x["conv_id"], x["turn"]): x["reply_to"] for x in got if x["linked"]}
+    assert len(planted) > 20 and all(found[k] == v for k, v in planted.items())
+
+
 def test_null_conversations_link_and_clashing_columns_do_not_matter(spark):
     rows = [(None, 0, "a", "first line here", 1, 1), (None, 1, "b", "another", 1, 1), (None, 2, "a", "> first line here\nyes", 1, 1), (1, 0, "a", "x" * 100_000, 1, 1), (1, 1, "b", "> " + "x" * 100_000, 1, 1)]
     got = {(r["conv_id"], r["turn"]): r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, conv int, row int")).collect()}

@@ -20,6 +20,7 @@ ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op2_ngram_join": ngram_join.OP2_SQL,
     "op4_warc": warc.OP4_SQL,
+    "op5_quotes": quotes.OP5_SQL,
     "op6_pii": pii.OP6_SQL,
     "op7_licenses": licenses.OP7_SQL,
 }

@@ -90,3 +90,30 @@ def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
 def op5_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE c AS (SELECT row_number() OVER () AS id, conv_id AS conv, turn::BIGINT AS turn, role, text FROM conversations),
+l0 AS (SELECT id, unnest(range(0, len(x))) AS place, unnest(x) AS line FROM (SELECT id, string_split_regex(coalesce(text, ''), '\r\n|\r|\n') AS x FROM c)),
+l1 AS (SELECT *, length(regexp_replace(regexp_extract(line, '^[\x20\t]*((?:>[\x20\t]*)+)', 1), '[^>]', '', 'g')) AS level, trim(regexp_replace(lower(regexp_replace(line, '^[\x20\t]*((?:>[\x20\t]*)+)', '')), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS own FROM l0),
+l2 AS (SELECT *, sum((own = '')::INT) OVER (PARTITION BY id ORDER BY place) AS block FROM l1),
+l3 AS (SELECT *, (lag(level) OVER (PARTITION BY id ORDER BY place) IS DISTINCT FROM level)::INT AS fresh FROM l2 WHERE own <> ''),
+l4 AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY place) AS run FROM l3),
+pa AS (SELECT id, run, any_value(level) AS level, min(place) AS place, string_agg(own, ' ' ORDER BY place) AS passage FROM l4 GROUP BY id, run),
+un AS (SELECT id, run, own AS unit FROM l4 UNION SELECT id, run, string_agg(own, ' ' ORDER BY place) FROM l4 GROUP BY id, run, block),
+nq AS (SELECT id, count(*) AS n_quotes, max(level) AS max_level FROM pa WHERE level > 0 GROUP BY id),
+src AS (SELECT DISTINCT c.conv, c.turn AS source, u.unit FROM (SELECT id, run, passage AS unit FROM pa UNION SELECT * FROM un) u JOIN pa USING (id, run) JOIN c USING (id) WHERE level = 0 AND c.turn IS NOT NULL),
+wh AS (SELECT pa.id, pa.level, pa.place, max(source) AS source FROM pa JOIN c USING (id) JOIN src ON src.conv IS NOT DISTINCT FROM c.conv AND src.unit = pa.passage AND (c.turn IS NULL OR source < c.turn) WHERE level > 0 GROUP BY ALL),
+ps AS (SELECT pa.id, pa.level, pa.place, source, count(*) AS n FROM pa JOIN un USING (id, run) JOIN c USING (id) JOIN src ON src.conv IS NOT DISTINCT FROM c.conv AND src.unit = un.unit AND (c.turn IS NULL OR source < c.turn) WHERE level > 0 AND NOT EXISTS (SELECT 1 FROM wh WHERE wh.id = pa.id AND wh.place = pa.place) GROUP BY ALL),
+best AS (SELECT id, level, source FROM wh UNION ALL (SELECT id, level, source FROM ps QUALIFY row_number() OVER (PARTITION BY id, place ORDER BY n DESC, source DESC) = 1)),
+li AS (SELECT id, source AS linked_to FROM best QUALIFY row_number() OVER (PARTITION BY id ORDER BY level, source DESC) = 1),
+pv AS (SELECT conv, turn, lag(turn) OVER (PARTITION BY conv ORDER BY turn NULLS FIRST) AS previous FROM (SELECT DISTINCT conv, turn FROM c)),
+cl AS (SELECT id, trim(string_agg(line, chr(10) ORDER BY place) FILTER (level = 0), ' ') AS clean FROM l1 GROUP BY id),
+ms AS (SELECT c.id, c.conv, c.turn, c.role, CASE WHEN n_quotes IS NOT NULL THEN coalesce(clean, '') ELSE c.text END AS text, coalesce(n_quotes, 0) AS n_quotes, coalesce(max_level, 0) AS max_level, linked_to IS NOT NULL AS linked, coalesce(linked_to, previous) AS reply_to FROM c LEFT JOIN nq USING (id) LEFT JOIN li USING (id) LEFT JOIN cl USING (id) LEFT JOIN pv ON pv.conv IS NOT DISTINCT FROM c.conv AND pv.turn = c.turn),
+tu AS (SELECT conv, turn, max(reply_to) AS up, max(linked::INT) AS linked FROM ms GROUP BY ALL),
+tg AS (SELECT conv, turn, up, max(linked) OVER (PARTITION BY conv) = 1 AS tangled, dense_rank() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST) - 1 AS rank FROM tu),
+dp AS (SELECT conv, turn, 0::BIGINT AS depth FROM tg WHERE tangled AND turn IS NOT NULL AND up IS NULL UNION ALL SELECT tg.conv, tg.turn, dp.depth + 1 FROM dp JOIN tg ON tg.conv IS NOT DISTINCT FROM dp.conv AND tg.up = dp.turn AND tg.tangled AND tg.turn IS NOT NULL),
+al AS (SELECT conv, turn, rank AS depth FROM tg WHERE NOT tangled UNION ALL SELECT * FROM dp)
+SELECT ms.conv AS conv_id, ms.turn, role, text, n_quotes, max_level, linked, reply_to, coalesce(depth, 0) AS depth, row_number() OVER (PARTITION BY ms.conv ORDER BY coalesce(depth, 0), ms.turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS position
+FROM ms LEFT JOIN al ON al.conv IS NOT DISTINCT FROM ms.conv AND al.turn IS NOT DISTINCT FROM ms.turn
+"""
