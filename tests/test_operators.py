@@ -197,3 +197,59 @@ def test_descent_log(spark):
     log = spark.createDataFrame([("r", "x", 0, 2.0, 0.1, 5.0), ("r", "x", 1, 1.0, 0.5, 4.0), ("r", "x", 2, 1.04, 0.4, 6.0)], "run string, rbp string, step int, error double, correlation double, kd double")
     d = compare.descents(log).first()
     assert (d["first_error"], d["last_error"], d["kd_low"], d["kd_high"], d["best_correlation"]) == (2.0, 1.04, 4.0, 6.0, 0.5)
+
+
+def test_merging_in_bins_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, int(a), int(a) + int(n), f"x{i % 3}") for i, (k, a, n) in enumerate(zip([["a", "b", None][j] for j in rng.integers(0, 3, 300)], rng.integers(-500, 3000, 300), rng.choice([1, 5, 40, 900], 300, p=[0.5, 0.3, 0.18, 0.02])))] + [("c", 0, 5000, "y"), ("c", 4990, 4991, "z"), ("c", 5001, 5002, "z")]
+    for gap in (0, 7, -1):
+        want = []
+        for k in ("a", "b", "c", None):
+            last = None
+            for _, a, b, x in sorted((r for r in rows if r[0] == k), key=lambda r: r[1:3]):
+                if last is None or a > last[2] + gap:
+                    want.append(last := [k, a, b, 0, set()])
+                last[2], last[3] = max(last[2], b), last[3] + 1
+                last[4].add(x)
+        got = intervals.merge_overlapping(spark.createDataFrame(rows, "k string, start long, end long, x string").repartition(5), ["k"], gap=gap, lists=["x"], width=100).collect()
+        key = lambda r: tuple((v is None, str(v)) for v in r)
+        assert sorted(((r["k"], r["start"], r["end"], r["n"], r["x"]) for r in got), key=key) == sorted(((k, a, b, n, ",".join(sorted(x))) for k, a, b, n, x in want), key=key)
+
+
+def test_numbers_of_the_definitions(spark):
+    """Information, flanks, seeds and shares against numpy sums over all k-mers."""
+    rng = np.random.default_rng(9)
+    seqs = ["".join(rng.choice(list("ACGT"), 12, p=[0.4, 0.3, 0.2, 0.1])) for _ in range(40)]
+    reads = spark.createDataFrame([(i, s) for i, s in enumerate(seqs)], "read_id long, seq string")
+    names = [a + b for a in "ACGT" for b in "ACGT"]
+    n = np.array([sum(s[i : i + 2] == k for s in seqs for i in range(11)) for k in names])
+    f = (n + 10) / (n + 10).sum()
+    joint = kmers.joint_by_distance(reads, 2, most=4)
+    mi = {r["d"]: r["mi"] for r in kmers.mutual_information(joint, kmers.frequencies(kmers.counts(reads, 2), 2), 2).collect()}
+    for d in (2, 3, 4):
+        c = np.array([[sum(s[i : i + 2] == a and s[i + d : i + d + 2] == b for s in seqs for i in range(11)) for b in names] for a in names]) + 10.0
+        p = c / c.sum()
+        assert mi[d] == pytest.approx((p * np.log2(p / np.outer(f, f))).sum())
+    long = {(r["a"], r["b"], r["d"]): r["n"] for r in kmers.joint_by_distance(reads, 2, most=9).collect()}
+    assert long == {(r["a"], r["b"], r["d"]): r["n"] for r in kmers.pairs(reads, 2, most=9).groupBy("a", "b", "d").agg(F.count(F.lit(1)).alias("n")).collect()}
+    few = spark.createDataFrame([(0, "ACAC")], "read_id long, seq string")
+    di = {r["kmer"]: r["di"] for r in enrichment.information(kmers.counts(few, 2), kmers.counts(reads, 2), 2).collect()}
+    t, x = n.sum() + 3, dict(zip(names, n))
+    want = 3 / t * np.log2(2 / 3 / ((x["AC"] + 2) / t * 3 / t)) + n.sum() / t * np.log2(x["AC"] / n.sum() / ((x["AC"] + 2) / t * n.sum() / t))
+    assert di["AC"] == pytest.approx(want) and di["CC"] == float("-inf") and len(di) == 16
+    share = {r["kmer"]: r["fraction"] for r in kmers.fractions(kmers.reads_with(few, 2), few, 2).collect()}
+    assert share["AC"] == 1 and share["GG"] == pytest.approx(10 / 11) and len(share) == 16
+    w, a0 = psam.from_variants(["ACG", "ACT", "GCG"], [4.0, 2.0, 1.0])
+    assert w[2].tolist() == pytest.approx([1e-6, 1e-6, 1, 0.5], abs=1e-5) and w[0][2] == pytest.approx(0.25, abs=1e-5) and a0 == 4 and psam.dissociation(a0) == 0.25
+    p = np.array(psam.from_iupac("ACGN"))
+    assert psam.padded_to(p, 6)[0].tolist() == [1.0] * 4 and psam.shrunk(p)[1] == 1.0 and len(psam.shrunk(p)[0]) == 3
+    assert fitting.converged([1.0] * 13, None, 1e-6, 13) and not fitting.converged([13.0 - i for i in range(13)], None, 1e-6, 13) and fitting.converged([1e-9], None, 1e-6, 13)
+
+
+def test_read_files_keep_their_own_lengths(spark, tmp_path):
+    (tmp_path / "X_input.reads").write_text("".join(f"{'ACGT' * 5}\n" for _ in range(6)))
+    (tmp_path / "X_5.reads").write_text("ACGTACGTAC\nNNNNNNNNNN\nACGTA\nCCCCCCCCCC\n")
+    got = files.read_reads(spark, str(tmp_path)).groupBy("conc").count().collect()
+    assert {r["conc"]: r["count"] for r in got} == {0.0: 6, 5.0: 2}
+    got = files.read_reads(spark, str(tmp_path), skip=1, most=4).groupBy("conc").count().collect()
+    assert {r["conc"]: r["count"] for r in got} == {0.0: 4, 5.0: 1}

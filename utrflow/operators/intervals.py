@@ -54,17 +54,31 @@ def collapsed(df: DataFrame, by: list[str], value: str, name: str, separator: st
     return df.groupBy(*by).agg(F.when(F.count(value) > 0, text).otherwise(F.lit(empty)).alias(name))
 
 
-def merge_overlapping(df: DataFrame, by: list[str], start: str = "start", end: str = "end", gap: int = 0, lists: list[str] = ()) -> DataFrame:
+def merge_overlapping(df: DataFrame, by: list[str], start: str = "start", end: str = "end", gap: int = 0, lists: list[str] = (), width: int = 1 << 20) -> DataFrame:
     """One row for each run of intervals that overlap (or lie at most ``gap`` apart; -1: share a base): by, start, end, n.
 
-    ``lists`` are columns of which each run gets the sorted distinct values, comma-joined.
+    ``lists`` are columns of which each run gets the sorted distinct values, comma-joined. Intervals are merged within bins
+    of ``width``, so that one key's rows don't meet in one task; only a row for each bin goes through a key's whole order: how
+    far the bins before it reach, and how many runs they begin.
     """
-    w = Window.partitionBy(*by).orderBy(start, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumn("__new", F.when(before.isNull() | (F.col(start) > before + gap), 1).otherwise(0))
+    rows = df.withColumn("__bin", F.coalesce(F.floor(F.col(start) / width), F.lit(-(1 << 62))).cast("long"))
+    order = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    same = lambda names: [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*names, "__bin"]]
+
+    def with_bins(left: DataFrame, bins: DataFrame, name: str) -> DataFrame:
+        return left.alias("l").join(bins.alias("r"), same(by), "left").select("l.*", f"r.{name}")
+
+    reach = rows.groupBy(*by, "__bin").agg(F.max(end).alias("__m")).withColumn("__reach", F.max("__m").over(order))
+    w = Window.partitionBy(*by, "__bin").orderBy(start, end)
+    before = F.greatest(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("__reach"))
+    marked = with_bins(rows, reach, "__reach").withColumn("__new", F.when(before.isNull() | (F.col(start) > before + gap), 1).otherwise(0))
     runs = marked.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    extra = [F.array_join(F.array_sort(F.collect_set(c)), ",").alias(c) for c in lists]
-    return runs.groupBy(*by, "__run").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n"), *extra).drop("__run")
+    # a bin's run 0 belongs to the last run before it
+    parts = runs.groupBy(*by, "__bin", "__run").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n"), *[F.collect_set(c).alias(c) for c in lists])
+    begun = parts.groupBy(*by, "__bin").agg(F.max("__run").alias("__k")).withColumn("__begun", F.coalesce(F.sum("__k").over(order), F.lit(0)))
+    whole = with_bins(parts, begun, "__begun").groupBy(*by, (F.col("__begun") + F.col("__run")).alias("__run"))
+    extra = [F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))), ",").alias(c) for c in lists]
+    return whole.agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("n").alias("n"), *extra).drop("__run")
 
 
 def lifted(df: DataFrame, chain: DataFrame, row_id: str, chrom: str = "chrom", start: str = "start", end: str = "end") -> DataFrame:

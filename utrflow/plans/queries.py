@@ -112,7 +112,7 @@ Q07 = "WITH g AS (SELECT l_orderkey AS site, list_sort(list_distinct(list(l_retu
 def q08_merge_intervals(spark: SparkSession, d: str) -> DataFrame:
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     x = table(spark, d, "events").select("user_id", (at - 10 * MINUTE).alias("start"), (at + 10 * MINUTE).alias("end"), "event_type")
-    return intervals.merge_overlapping(x, ["user_id"], lists=["event_type"])
+    return intervals.merge_overlapping(x, ["user_id"], lists=["event_type"], width=24 * 60 * MINUTE)
 
 
 Q08 = f"WITH e AS (SELECT user_id, epoch_us(ts) - {10 * MINUTE} AS a, epoch_us(ts) + {10 * MINUTE} AS b, event_type FROM events), w AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM e), r AS (SELECT *, sum(CASE WHEN m IS NULL OR a > m THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM w) SELECT user_id, min(a) AS start, max(b) AS \"end\", count(*) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS event_type FROM r GROUP BY user_id, run"
