@@ -253,3 +253,23 @@ def test_read_files_keep_their_own_lengths(spark, tmp_path):
     assert {r["conc"]: r["count"] for r in got} == {0.0: 6, 5.0: 2}
     got = files.read_reads(spark, str(tmp_path), skip=1, most=4).groupBy("conc").count().collect()
     assert {r["conc"]: r["count"] for r in got} == {0.0: 4, 5.0: 1}
+
+
+def test_chain_file_lifts(spark, tmp_path):
+    (tmp_path / "a.chain").write_text("##matrix=16\nchain 100 chr1 1000 + 10 70 chr2 500 + 200 255 1\n20 10 5\n30\n\nchain 90.5 chr1 1000 + 100 110 chr3 400 - 50 60 2\n10\n")
+    chain = files.read_chain(spark, str(tmp_path / "a.chain"))
+    assert sorted(map(tuple, chain.collect())) == [("chr1", 10, 30, "chr2", 200, 500, "+"), ("chr1", 40, 70, "chr2", 225, 500, "+"), ("chr1", 100, 110, "chr3", 50, 400, "-")]
+    sites = spark.createDataFrame([(i, "chr1", p, p + 1) for i, p in enumerate((9, 10, 29, 30, 40, 69, 100, 109))], "id long, chrom string, start long, end long")
+    got = {r["id"]: (r["chrom"], r["start"], r["flipped"]) for r in intervals.lifted(sites, chain, "id").collect()}
+    assert got == {1: ("chr2", 200, False), 2: ("chr2", 219, False), 4: ("chr2", 225, False), 5: ("chr2", 254, False), 6: ("chr3", 349, True), 7: ("chr3", 340, True)}
+
+
+def test_expected_pairs_equal_the_double_loop(spark):
+    p = {("AC", 0): 3, ("CA", 2): 5, ("AC", 3): 2, ("GG", 5): 1}
+    got = {(r["a"], r["b"], r["d"]): r["expected"] for r in kmers.expected_pairs(spark.createDataFrame([(k, i, n) for (k, i), n in p.items()], "kmer string, pos int, n long"), 10).collect()}
+    want = {}
+    for (a, i), x in p.items():
+        for (b, j), y in p.items():
+            if j >= i + 2:
+                want[a, b, j - i] = want.get((a, b, j - i), 0) + x * y / 10
+    assert got == pytest.approx(want)

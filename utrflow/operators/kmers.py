@@ -154,8 +154,10 @@ def expected_pairs(profiles: DataFrame, reads: int) -> DataFrame:
     """(a, b, d, expected): pairs that independent places would give, from (kmer, pos, n) of so many reads."""
     a = profiles.select(F.col("kmer").alias("a"), F.col("pos").alias("pa"), F.col("n").alias("na"))
     b = profiles.select(F.col("kmer").alias("b"), F.col("pos").alias("pb"), F.col("n").alias("nb"))
-    k = F.length("a")
-    return a.join(b, F.col("pb") >= F.col("pa") + k).groupBy("a", "b", (F.col("pb") - F.col("pa")).alias("d")).agg((F.sum(F.col("na") * F.col("nb")) / reads).alias("expected"))
+    # an equal key (the second place) instead of an inequality
+    last = F.broadcast(profiles.agg(F.max("pos").alias("last")))
+    ahead = a.crossJoin(last).filter(F.col("pa") + F.length("a") <= F.col("last"))
+    return ahead.select("a", "pa", "na", F.explode(F.sequence(F.col("pa") + F.length("a"), F.col("last"))).alias("pb")).join(b, "pb").groupBy("a", "b", (F.col("pb") - F.col("pa")).alias("d")).agg((F.sum(F.col("na") * F.col("nb")) / reads).alias("expected"))
 
 
 def markov_frequencies(short: DataFrame, long: DataFrame, k: int) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from utrflow.functions.sequence import pieces
+
 S, L, D = T.StringType(), T.LongType(), T.DoubleType()
 
 
@@ -54,10 +56,27 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return records.select(F.regexp_extract(lines[0], r"^\S*", 0).alias("name"), F.regexp_replace(F.array_join(body, ""), r"\s", "").alias("seq"))
 
 
+def read_chain(spark: SparkSession, path: str) -> DataFrame:
+    """The aligned blocks of a chain file as CHAIN, for ``intervals.lifted``; comment lines are skipped.
+
+    A chain's head says both sequences' names, sizes, strands and starts; its lines hold a block's size and the gaps after it
+    in either sequence. ``to_start`` counts on the strand that ``to_strand`` names.
+    """
+    chains = spark.read.option("lineSep", "chain ").text(path).withColumn("lines", F.split("value", r"\r?\n"))
+    heads = chains.withColumn("head", F.split(F.trim(F.col("lines")[0]), r"\s+")).filter((F.size("head") >= 11) & F.col("head")[0].rlike("^[0-9.]+$")).withColumn("chain", F.monotonically_increasing_id())
+    rows = heads.select("chain", "head", F.posexplode("lines").alias("n", "line")).filter(F.col("line").rlike(r"^\s*[0-9]+(\s|$)") & (F.col("n") > 0))
+    cell = lambda i: F.coalesce(F.get(F.split(F.trim("line"), r"\s+"), F.lit(i)).try_cast("long"), F.lit(0))
+    w = Window.partitionBy("chain").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    past = lambda gap: F.coalesce(F.sum(cell(0) + cell(gap)).over(w), F.lit(0))
+    head = lambda i: F.col("head")[i]
+    blocks = rows.select(head(1).alias("chrom"), (head(4).cast("long") + past(1)).alias("r_start"), cell(0).alias("size"), head(6).alias("to_chrom"), (head(9).cast("long") + past(2)).alias("to_start"), head(7).cast("long").alias("to_size"), head(8).alias("to_strand"))
+    return blocks.withColumn("r_end", F.col("r_start") + F.col("size")).select(*[f.name for f in CHAIN.fields])
+
+
 def genome_chunks(records: DataFrame, size: int = 1 << 16) -> DataFrame:
     """(chrom, chunk, seq): a genome in chunks of ``size`` bases, for ``intervals.fetch``."""
-    n = F.ceil(F.length("seq") / size).cast("int")
-    return records.filter(F.length("seq") > 0).select(F.col("name").alias("chrom"), "seq", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk")).select("chrom", F.col("chunk").cast("long"), F.substr("seq", F.col("chunk") * size + 1, F.lit(size)).alias("seq"))
+    cut = F.posexplode(pieces(F.col("seq"), size)).alias("chunk", "seq")  # one walk along the text
+    return records.filter(F.length("seq") > 0).select(F.col("name").alias("chrom"), cut).filter("seq != ''").withColumn("chunk", F.col("chunk").cast("long"))
 
 
 def read_reads(spark: SparkSession, path: str, skip: int = 0, most: int | None = None) -> DataFrame:
