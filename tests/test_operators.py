@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from utrflow.functions import measures as m
 from utrflow.functions import sequence as s
-from utrflow.operators import annotate, compare, enrichment, fitting, intervals, kmers, psam, regression, seeding, simulate
+from utrflow.operators import annotate, compare, enrichment, fitting, intervals, kmers, psam, regression, seeding, simulate, training
 from utrflow.sources import files
+from utrflow.streaming import incoming
 
 
 def test_overlap_join_equals_naive(spark):
@@ -273,3 +274,29 @@ def test_expected_pairs_equal_the_double_loop(spark):
             if j >= i + 2:
                 want[a, b, j - i] = want.get((a, b, j - i), 0) + x * y / 10
     assert got == pytest.approx(want)
+
+
+def test_streams(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.vcf").write_text("#head\nA\t101\ti\tC\tG\t.\t.\tx\nA\t102\tj\tCC\tG\t.\t.\tx\n")
+    (tmp_path / "in" / "b.vcf").write_text("A\t101\ti\tC\tG\t.\t.\tx\nA\t500\tk\tC\tG\t.\t.\tx\n")
+    utr = spark.createDataFrame([("chrA", 50, 150, "G1", ".", "+", 3, 1, 50, 150)], files.UTR)
+    variants = incoming.variant_stream(spark, str(tmp_path / "in"), 1)
+    write = lambda df, n: df.write.mode("overwrite").parquet(str(tmp_path / f"out/n={n}"))
+    incoming.annotate_stream(variants, annotate.Annotations(utr), write, str(tmp_path / "check")).awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert [(r["var_id"], r["APA_info"]) for r in got] == [("chrA_101_C_G", "G1_+_1_3_common")] * 2 and {r["n"] for r in got} == {0, 1}
+    (tmp_path / "reads").mkdir()
+    (tmp_path / "reads" / "a.csv").write_text("2020-01-01 00:01:00,ACGT\n2020-01-01 00:02:00,ACG\n2020-01-01 00:06:00,AC\n")
+    reads = spark.readStream.schema("ts timestamp, seq string").csv(str(tmp_path / "reads"))
+    query = incoming.enrichment_stream(reads, 2).writeStream.outputMode("complete").format("memory").queryName("kmers_in").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    counts = {(r["window"]["start"].minute, r["kmer"]): r["n"] for r in spark.table("kmers_in").collect()}
+    assert counts == {(0, "AC"): 2, (0, "CG"): 2, (0, "GT"): 1, (5, "AC"): 1}
+
+
+def test_kept_model_and_training_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(i % 2, i % 3 == 0, i % 5 == 0, i % 7 == 0, i % 2 == 1, i % 4 + 1, int((i * 7) % 10 > 4)) for i in range(200)], "in_eclip int, near_pas boolean, in_mir boolean, conserved boolean, shared_region boolean, number_isos int, label int")
+    rows = rows.withColumns({c: F.col(c).cast("int") for c in training.TERMS}).withColumn("shared_region", F.col("number_isos").isin(1, 3).cast("int"))
+    got = training.trained(rows, str(tmp_path / "model"))
+    assert training.kept_model(spark, str(tmp_path / "model")) == got and set(got) == {"intercept", *training.TERMS}
