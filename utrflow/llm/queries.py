@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from utrflow.llm import curves, exact_dedup, licenses, ngram_join, packing, pii, piece_codec, quotes, toxicity, warc
+from utrflow.llm import curves, exact_dedup, licenses, ngram_join, packing, periodic, pii, piece_codec, quality, quotes, spelling, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_curves": curves.op8_curves,
     "op9_packing": packing.op9_packing,
     "op10_piece_codec": piece_codec.op10_piece_codec,
+    "op11_quality": quality.op11_quality,
+    "op12_periodic": periodic.op12_periodic,
+    "op13_spelling": spelling.op13_spelling,
 }
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
