@@ -6,7 +6,7 @@ of the size of the parameters. The driver holds parameters and those sums.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from utrflow.functions.measures import occupancy
+from utrflow.operators import descent
+from utrflow.operators.arrays import added_up
 from utrflow.operators.kmers import counts
 
 CLIP = 1e6
@@ -145,55 +147,70 @@ def read_affinity(reads: DataFrame, model: Model, seq: str = "seq") -> DataFrame
     return reads.withColumn("z", z(F.col(seq)))
 
 
-def gradient(reads: DataFrame, model: Model, free: list[float], k: int, f0: np.ndarray, observed: np.ndarray, slope: bool = True) -> tuple[float, np.ndarray | None]:
-    """(error, its gradient by the parameter vector; None without ``slope``, which spares a pass) over samples (rows of ``observed``, by all 4^k k-mers).
+def _kmers_of(x: np.ndarray, k: int) -> np.ndarray:
+    """The numbers of a batch's k-mers by read and place; 4^k where a letter isn't a base."""
+    n = x.shape[1] - k + 1
+    index, bad = np.zeros((len(x), n), np.int64), np.zeros((len(x), n), bool)
+    for d in range(k):
+        index = index * 4 + x[:, d : d + n]
+        bad |= x[:, d : d + n] > 3
+    index[bad] = 4**k
+    return index
 
-    Two passes over the reads (all of one length), each a sum of arrays made in Arrow batches: the k-mer sums q, which give the error and
-    what a read's occupancy is worth; then the chain rule through occupancy and affinity. Free protein is held fixed.
-    """
-    samples, size = len(free), 4**k
-    sc = reads.sparkSession.sparkContext
-    shared = sc.broadcast((model, free))
 
-    def kmers_of(x: np.ndarray) -> np.ndarray:
-        n = x.shape[1] - k + 1
-        index = np.zeros((len(x), n), np.int64)
-        bad = np.zeros((len(x), n), bool)
-        for d in range(k):
-            index = index * 4 + x[:, d : d + n]
-            bad |= x[:, d : d + n] > 3
-        index[bad] = size
-        return index
-
-    def summed(make: Callable[[np.ndarray], np.ndarray], length: int) -> np.ndarray:
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(length)
-            for part in parts:
-                for n, rows in part["seq"].groupby(part["seq"].str.len()):
-                    if n >= k:
-                        total += make(_codes(rows))
-            yield pd.DataFrame({"i": np.arange(length), "v": total})
-
-        out = np.zeros(length)
-        for r in reads.select("seq").filter("seq is not null").mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():  # as many rows as sums
-            out[r["i"]] = r["v"]
-        return out
+def _affinity(x: np.ndarray, m: Model) -> np.ndarray:
+    return np.minimum(sum(a * _sites(x, w).sum(axis=1) for a, w in zip(m.a0, m.weights, strict=True)), CLIP)
 
-    def affinity(x: np.ndarray, m: Model) -> np.ndarray:
-        return np.minimum(sum(a * _sites(x, w).sum(axis=1) for a, w in zip(m.a0, m.weights, strict=True)), CLIP)
+
+def _by_length(part: pd.DataFrame, k: int, make: Callable[[np.ndarray], np.ndarray], length: int) -> np.ndarray:
+    total = np.zeros(length)
+    for n, rows in part["seq"].groupby(part["seq"].str.len()):
+        if n >= k:
+            total += make(_codes(rows))
+    return total
+
+
+def _bound_kmers(reads: DataFrame, models: list[Model], free: list[float], k: int) -> np.ndarray:
+    """(model, sample, k-mer): sums over the reads of each model's occupancy, by the k-mers that a read holds. One pass."""
+    size = 4**k + 1
+    shared = reads.sparkSession.sparkContext.broadcast((models, free))
 
     def weigh(x: np.ndarray) -> np.ndarray:
-        m, p = shared.value
-        z, index = affinity(x, m), kmers_of(x)
-        out = np.zeros((samples, size + 1))
-        for s in range(samples):
-            np.add.at(out[s], index, np.broadcast_to((z * p[s] / (z * p[s] + 1))[:, None], index.shape))
+        own, p = shared.value
+        index = _kmers_of(x, k)
+        out = np.empty((len(own), len(p), size))
+        for i, m in enumerate(own):
+            z = _affinity(x, m)
+            for s, c in enumerate(p):
+                out[i, s] = np.bincount(index.ravel(), weights=np.repeat(z * c / (z * c + 1), index.shape[1]), minlength=size)
         return out.ravel()
 
-    q = summed(weigh, samples * (size + 1)).reshape(samples, size + 1)[:, :size]
+    n = len(models) * len(free) * size
+    return added_up(reads.select("seq").filter("seq is not null"), lambda part: _by_length(part, k, weigh, n), n).reshape(len(models), len(free), size)[..., :-1]
+
+
+def _predicted(q: np.ndarray, model: Model, f0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Enrichments by sample and k-mer, and the sums of the weights by sample."""
     w = q + f0 * model.betas[:, None]
     total = w.sum(axis=1, keepdims=True)
-    r = w / f0 / total
+    return w / f0 / total, total
+
+
+def trial_errors(reads: DataFrame, models: list[Model], free: list[float], k: int, f0: np.ndarray, observed: np.ndarray) -> list[float]:
+    """The mean squared errors of many models by one pass over the reads."""
+    return [float(((_predicted(q, m, f0)[0] - observed) ** 2).mean()) for q, m in zip(_bound_kmers(reads, models, free, k), models, strict=True)]
+
+
+def gradient(reads: DataFrame, model: Model, free: list[float], k: int, f0: np.ndarray, observed: np.ndarray, slope: bool = True) -> tuple[float, np.ndarray | None]:
+    """(error, its gradient by the parameter vector; None without ``slope``, which spares a pass) over samples (rows of ``observed``, by all 4^k k-mers).
+
+    Two passes over the reads, each a sum of arrays made in Arrow batches: the k-mer sums q, which give the error and
+    what a read's occupancy is worth; then the chain rule through occupancy and affinity. Free protein is held fixed.
+    """
+    samples = len(free)
+    sc = reads.sparkSession.sparkContext
+    shared = sc.broadcast((model, free))
+    r, total = _predicted(_bound_kmers(reads, [model], free, k)[0], model, f0)
     if not slope:
         return float(((r - observed) ** 2).mean()), None
     d_r = 2 * (r - observed) / r.size
@@ -203,7 +220,7 @@ def gradient(reads: DataFrame, model: Model, free: list[float], k: int, f0: np.n
 
     def chain(x: np.ndarray) -> np.ndarray:
         m, p = shared.value
-        z, index = affinity(x, m), kmers_of(x)
+        z, index = _affinity(x, m), _kmers_of(x, k)
         d_z = sum(worth.value[s][index].sum(axis=1) * p[s] / (z * p[s] + 1) ** 2 for s in range(samples))
         d_z = np.where(z >= CLIP, 0, d_z)
         out, at = np.zeros(n + len(m.a0)), 0
@@ -217,45 +234,31 @@ def gradient(reads: DataFrame, model: Model, free: list[float], k: int, f0: np.n
             at += wt.size
         return out
 
-    return float(((r - observed) ** 2).mean()), np.concatenate([summed(chain, n + len(model.a0)), (d_w * f0).sum(axis=1)])
+    length = n + len(model.a0)
+    slopes = added_up(reads.select("seq").filter("seq is not null"), lambda part: _by_length(part, k, chain, length), length)
+    return float(((r - observed) ** 2).mean()), np.concatenate([slopes, (d_w * f0).sum(axis=1)])
 
 
 def converged(errors: list[float], way: np.ndarray | None, slope: float, trend: int, least: float = 1e-7) -> bool:
     """Whether the error or the averaged gradient is next to nothing, or the error's linear decrease over the last ``trend``
     steps is below ``slope`` of the first error."""
-    if errors and errors[-1] < least or way is not None and np.sqrt((way**2).sum()) < least:
-        return True
-    return len(errors) >= trend and -np.polyfit(np.arange(trend), errors[-trend:], 1)[0] / errors[0] < slope
+    return descent.converged(errors, way, slope, trend, least) is not None
 
 
-def descend(reads: DataFrame, model: Model, totals: list[float], rna: float, k: int, f0: np.ndarray, observed: np.ndarray, steps: int = 500, keep: float = 0.5, slope: float = 1e-6, trend: int = 13) -> tuple[Model, list[float]]:
-    """(model, errors by step): Adam-like directions in log parameters with a line search, until ``converged`` or no step helps."""
-    errors: list[float] = []
-    m, v = None, np.ones(len(model.vector()))
+def descend(reads: DataFrame, model: Model, totals: list[float], rna: float, k: int, f0: np.ndarray, observed: np.ndarray, steps: int = 500, keep: float = 0.5, slope: float = 1e-6, trend: int = 13, path: str | None = None) -> tuple[Model, list[float]]:
+    """(model, errors by step) of ``descent.descend`` over the reads, with the free protein of each step's model.
 
-    def protein(one: Model) -> list[float]:
+    A step takes five passes over the reads: two for free protein, two for the gradient, and one for all trial steps.
+    """
+    free: list[float] = []
+
+    def evaluate(one: Model) -> tuple[float, np.ndarray]:
         hist = z_histogram(read_affinity(reads, one), "z")
-        return [free_protein(hist, t, rna) for t in totals]
-
-    for _ in range(steps):
-        free = protein(model)
-        error, g = gradient(reads, model, free, k, f0, observed)
-        errors.append(error)
-        if converged(errors, m, slope, trend):
-            break
-        x = model.vector()
-        g = g * x  # by the logarithms
-        m, v = g if m is None else keep * m + (1 - keep) * g, keep * v + (1 - keep) * g * g
-        way, step = m / (np.sqrt(v) + 1e-5), 0.3
-        while step > 1e-4:
-            trial = model.like(x * np.exp(-step * way))
-            if gradient(reads, trial, free, k, f0, observed, slope=False)[0] < error:
-                break
-            step /= 3
-        else:
-            break
-        model = trial
-    return model, errors
+        free[:] = [free_protein(hist, t, rna) for t in totals]
+        return gradient(reads, one, free, k, f0, observed)
+
+    found = descent.descend(model, evaluate, lambda trials: trial_errors(reads, trials, free, k, f0, observed), steps, keep, slope, trend, reads.sparkSession, path)
+    return found.model, found.errors
 
 
 def occupancy_column(z: str, free: float) -> Column:
