@@ -71,7 +71,8 @@ def test_two_sites_equal_the_double_loop(spark):
     r, costs = np.random.default_rng(5), [0.5, 0.0, 0.3, 0.2]
     rows = [(i, r.uniform(0, 1, n).tolist(), r.uniform(0, 1, n).tolist()) for i, n in enumerate((0, 1, 2, 5, 30, 300))] + [(6, None, [1.0])]
     df = spark.createDataFrame(rows, "read_id long, a array<double>, b array<double>").repartition(2)
-    got = {x["read_id"]: x["z"] for x in df.filter("read_id < 6").withColumn("z", structure.two_site_total("a", "b", costs)).collect()}
+    got = {x["read_id"]: x["z"] for x in structure.two_site_totals(df, "a", "b", costs, ["read_id"]).collect()}
+    assert got[6] is None and len(got) == 7
     for i, a, b in rows[:-1]:
         want = sum(a) + sum(b) + sum(b[j] * a[m] * costs[j - m - 1] for j in range(len(b)) for m in range(j) if j - m <= len(costs))
         assert np.isclose(got[i], want)

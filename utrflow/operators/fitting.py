@@ -261,7 +261,8 @@ def descend(reads: DataFrame, model: Model, totals: list[float], rna: float, k:
     return found.model, found.errors
 
 
-def occupancy_column(z: str, free: float) -> Column:
+def occupancy_at(z: str, free: Column | float) -> Column:
+    """The occupancy of a read by its Z, clipped, at a free concentration."""
     return occupancy(F.least(F.col(z), F.lit(CLIP)), free)
 
 

@@ -10,9 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from utrflow.operators.arrays import added_up
+
 #: Bounds of the concentration c and of the background b.
 CONCENTRATION, BACKGROUND = (1e-3, 1e3), (1e-6, 10.0)
 
@@ -28,23 +31,22 @@ class Curve:
 def _sums(rows: DataFrame, z: str, share: str, observed: str, p: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """(mean squared error, half its gradient, its Gauss-Newton matrix) by the logarithms of (c, b): one aggregation."""
     c, b = float(np.exp(p[0])), float(np.exp(p[1]))
-    x = F.col(z) * c
-    bound = x / (x + 1)
-    h = bound + b
-    # by log c and log b, of log2 h
-    a = [bound * (1 - bound) / h / np.log(2), F.lit(b) / h / np.log(2)]
-    d = [bound * (1 - bound), F.lit(b)]
-    u, f = F.log2(h) - F.col(observed), F.col(share)
-    parts = {"n": F.count(u), "w": F.sum(f * h), "w0": F.sum(f * d[0]), "w1": F.sum(f * d[1]), "u": F.sum(u), "uu": F.sum(u * u)}
-    parts |= {f"a{i}": F.sum(a[i]) for i in (0, 1)} | {f"ua{i}": F.sum(u * a[i]) for i in (0, 1)} | {f"a{i}{j}": F.sum(a[i] * a[j]) for i in (0, 1) for j in range(i, 2)}
-    s = rows.agg(*[v.alias(k) for k, v in parts.items()]).first().asDict()
-    n = s["n"]
-    w = np.log2(s["w"])
-    m = np.array([s["w0"], s["w1"]]) / s["w"] / np.log(2)  # of log2 of the common sum
-    at, ua = np.array([s["a0"], s["a1"]]), np.array([s["ua0"], s["ua1"]])
-    aa = np.array([[s["a00"], s["a01"]], [s["a01"], s["a11"]]])
-    error = (s["uu"] - 2 * w * s["u"] + n * w * w) / n
-    slope = (ua - w * at - m * s["u"] + n * w * m) / n
+
+    def sums(part: pd.DataFrame) -> np.ndarray:
+        x, f, y = (part[name].to_numpy(float) for name in (z, share, observed))
+        bound = x * c / (x * c + 1)
+        h = bound + b
+        d = np.stack([bound * (1 - bound), np.full(len(h), b)])  # by log c and log b, of h
+        a = d / h / np.log(2)  # of log2 h
+        u = np.log2(h) - y
+        return np.concatenate([[len(h), f @ h, u.sum(), u @ u], d @ f, a.sum(axis=1), a @ u, (a @ a.T).ravel()])
+
+    n, total, u, uu, w0, w1, a0, a1, ua0, ua1, *products = added_up(rows, sums, 14)
+    w = np.log2(total)
+    m = np.array([w0, w1]) / total / np.log(2)  # of log2 of the common sum
+    at, ua, aa = np.array([a0, a1]), np.array([ua0, ua1]), np.reshape(products, (2, 2))
+    error = (uu - 2 * w * u + n * w * w) / n
+    slope = (ua - w * at - m * u + n * w * m) / n
     return float(error), slope, (aa - np.outer(at, m) - np.outer(m, at) + n * np.outer(m, m)) / n
 
 

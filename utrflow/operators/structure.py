@@ -13,11 +13,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from utrflow.functions.sequence import index_kmer, kmers, padded
+from utrflow.functions.sequence import index_kmer, kmers
 from utrflow.operators.arrays import flat
 from utrflow.operators.fitting import CLIP
-from utrflow.operators.psam import window_score
 
 
 @dataclass(frozen=True)
@@ -39,53 +39,79 @@ class Motif:
         return len(self.weights)
 
 
-def openness(acc: Column, at: Column, scale: float = 1.0) -> Column:
-    """The accessibility at a place to the power of ``scale``; 0 outside the array and where it is null."""
-    value = F.get(acc, at)
-    return F.coalesce(value if scale == 1.0 else F.pow(value, F.lit(float(scale))), F.lit(0.0))
+def _places(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The letters of all texts as numbers (4 for what isn't a base), the text of each, and its place in it."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    own = np.repeat(np.arange(len(texts)), lengths)
+    return _LETTERS[np.frombuffer("".join(texts).encode("ascii", "replace"), np.uint8)], own, np.arange(len(own)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def site_affinities(seq: Column, motif: Motif, nonspecific: float = 0.0, left: str = "", right: str = "", pad: int | None = None) -> Column:
-    """(product of weights + ``nonspecific``) * openness for each place of the read with ``pad`` adapter bases on either side.
-
-    ``pad`` is the motif's width less one, unless given; 0 is the product where a letter isn't a base. The windows are cut
-    piece by piece, so the cost is linear in the read's length. A null read has no places.
-    """
-    pad = motif.k - 1 if pad is None else pad
-    if pad > min(len(left), len(right)) and (left or right):
-        raise ValueError("the adapters are shorter than the padding")
-    whole = padded(seq, left, right, pad + 1) if left or right else seq
-    before = len(left) - pad if left or right else 0  # bases of the left adapter that the padded read leaves out
-
-    def site(window: Column, i: Column) -> Column:
-        z = window_score(F.upper(window), [list(r) for r in motif.weights]) + float(nonspecific)
-        return z if motif.acc is None else z * openness(F.col(motif.acc), i + (before + motif.shift), motif.scale)
+def _letters() -> np.ndarray:
+    code = np.full(256, 4, np.uint8)
+    for i, letters in enumerate(("Aa", "Cc", "Gg", "TUtu")):
+        code[[ord(c) for c in letters]] = i
+    return code
 
-    return F.transform(kmers(whole, motif.k), site)
 
+_LETTERS = _letters()
 
-def _together(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0)))
 
+def with_sites(reads: DataFrame, motifs: list[Motif], nonspecific: float = 0.0, left: str = "", right: str = "", seq: str = "seq", split: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """``reads`` (or its columns ``keep``) with z_sites: an affinity for each place, relative to the strongest motif's, summed over the motifs.
 
-def with_sites(reads: DataFrame, motifs: list[Motif], nonspecific: float = 0.0, left: str = "", right: str = "", seq: str = "seq", split: bool = False) -> DataFrame:
-    """``reads`` with z_sites: the affinities of all places relative to the strongest motif's, summed over the motifs.
+    A place's affinity is (product of weights + ``nonspecific``) * openness, the accessibility that the motif asks for to the
+    power of its scale: 0 where that is null or outside its array; the product is 0 where a letter isn't a base. Reads stand
+    between as many adapter bases as the widest motif has, less one, and each motif is laid along all of that; with ``split``
+    a column z_sites_0, z_sites_1, ... for each motif instead, in the order given. A null read has no places.
 
-    All motifs are laid along the read with the widest one's padding. With ``split`` a column z_sites_0, z_sites_1, ... for
-    each motif instead, in the order given.
+    A batch's reads are scored together, base by base of the motif: linear in their length, and nothing is shuffled.
     """
     pad, top = max(m.k for m in motifs) - 1, max(m.a0 for m in motifs)
+    adapters = bool(left or right)
+    if adapters and pad > min(len(left), len(right)):
+        raise ValueError("the adapters are shorter than the padding")
+    before, after = (left[len(left) - pad :], right[:pad]) if adapters and pad else ("", "")
+    first = len(left) - pad if adapters else 0  # bases of the left adapter that the padded read leaves out
+    accs = sorted({m.acc for m in motifs if m.acc})
+    kept = reads.columns if keep is None else keep
+    names = [f"z_sites_{i}" for i in range(len(motifs))] if split else ["z_sites"]
 
-    def relative(m: Motif) -> Column:
-        return F.transform(site_affinities(F.col(seq), m, nonspecific, left, right, pad), lambda z: z * (m.a0 / top))
-
-    own = [relative(m) for m in motifs]
-    if split:
-        return reads.withColumns({f"z_sites_{i}": z for i, z in enumerate(own)})
-    total = own[0]
-    for z in own[1:]:
-        total = _together(total, z)
-    return reads.withColumn("z_sites", total)
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            seqs = part.pop("__seq")
+            arrays = {c: flat(part.pop(f"__{c}")) for c in accs}
+            x, own, at = _places([before + s + after if s is not None else "" for s in seqs])
+            size = np.bincount(own, minlength=len(part))
+            out = []
+            for m in motifs:
+                w = np.hstack([np.asarray(m.weights, float), np.zeros((m.k, 1))])
+                fits = np.flatnonzero(at + m.k <= size[own])
+                z = np.ones(len(fits))
+                for d in range(m.k):
+                    z *= w[d][x[fits + d]]
+                z += nonspecific
+                if m.acc:
+                    values, of, _ = arrays[m.acc]
+                    many = np.bincount(of, minlength=len(part))
+                    place = at[fits] + first + m.shift
+                    good = (place >= 0) & (place < many[own[fits]])
+                    open_ = np.zeros(len(fits))
+                    open_[good] = np.nan_to_num(values[(np.cumsum(many) - many)[own[fits[good]]] + place[good]])
+                    z *= open_ if m.scale == 1 else np.where(good, open_**m.scale, 0)
+                out.append((fits, z * (m.a0 / top)))
+            if not split:
+                total = np.zeros(len(x))
+                for fits, z in out:
+                    total[fits] += z
+                fits = np.flatnonzero(at + min(m.k for m in motifs) <= size[own])
+                out = [(fits, total[fits])]
+            for name, (fits, z) in zip(names, out, strict=True):
+                part[name] = pd.Series(np.split(z, np.searchsorted(own[fits], np.arange(1, len(part)))) if len(part) else [], index=part.index, dtype=object)
+            yield part
+
+    given = reads.select(*kept, F.col(seq).alias("__seq"), *[F.col(c).alias(f"__{c}") for c in accs])
+    fields = given.schema.fields[: len(kept)] + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in names]
+    return given.mapInPandas(run, T.StructType(fields))
 
 
 def with_totals(sites: DataFrame, z: str = "z_sites", clip: float = CLIP) -> DataFrame:
@@ -94,27 +120,34 @@ def with_totals(sites: DataFrame, z: str = "z_sites", clip: float = CLIP) -> Dat
     return sites.withColumns({"z": F.least(F.aggregate(z, F.lit(0.0), lambda a, x: a + x), F.lit(clip)), "best": best, "place": F.array_position(F.col(z), best) - 1})
 
 
-def two_site_total(first: str, second: str, costs: list[float]) -> Column:
-    """Sum over a read of first[i] + second[i] + the pairs first[i - d] * second[i] * costs[d - 1], d from 1 to len(costs).
+def two_site_totals(sites: DataFrame, first: str, second: str, costs: list[float], keep: list[str], name: str = "z") -> DataFrame:
+    """(keep, name): the sum over a read of first[i] + second[i] + the pairs first[i - d] * second[i] * costs[d - 1], for d from
+    1 to len(costs).
 
-    ``first`` and ``second`` are arrays of one length, with a value per place. The pairs of a batch are taken distance by
-    distance over all its reads at once: linear in the reads' length and in the number of costs; no pair becomes a row.
+    ``first`` and ``second`` are arrays of one length, with a value per place; null where either is. The pairs of a batch are
+    taken distance by distance over all its reads at once: linear in the reads' length and in the number of costs; no pair
+    becomes a row.
     """
     weights = np.asarray(costs, float)
 
-    @F.pandas_udf("double")
-    def total(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, own, at = flat(a)
-        y, other, _ = flat(b)
-        if not np.array_equal(own, other):
-            raise ValueError("both sites' arrays must be of one length")
-        before = np.zeros(len(x))
-        for d, cost in enumerate(weights, 1):
-            near = np.flatnonzero(at >= d)
-            before[near] += cost * x[near - d]
-        return pd.Series(np.bincount(own, weights=x + y + y * before, minlength=len(a))).where(a.notna() & b.notna())
-
-    return total(F.col(first), F.col(second))
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            a, b = part.pop("__a"), part.pop("__b")
+            x, own, at = flat(a)
+            y, other, _ = flat(b)
+            whole = a.notna() & b.notna()
+            if not np.array_equal(own[whole.to_numpy()[own]], other[whole.to_numpy()[other]]):
+                raise ValueError("both sites' arrays must be of one length")
+            x, own, at, y = *(v[whole.to_numpy()[own]] for v in (x, own, at)), y[whole.to_numpy()[other]]
+            before = np.zeros(len(x))
+            for d, cost in enumerate(weights, 1):
+                near = np.flatnonzero(at >= d)
+                before[near] += cost * x[near - d]
+            part[name] = pd.Series(np.bincount(own, weights=x + y + y * before, minlength=len(part)), index=part.index).where(whole)
+            yield part
+
+    kept = sites.select(*keep, F.col(first).alias("__a"), F.col(second).alias("__b"))
+    return kept.mapInPandas(run, T.StructType([*kept.schema.fields[:-2], T.StructField(name, T.DoubleType())]))
 
 
 def spacing_profile(sites: DataFrame, first: str, second: str, k1: int, k2: int, most: int) -> DataFrame:
@@ -154,9 +187,6 @@ def kmer_openness(reads: DataFrame, k: int, levels: str, reach: int, shift: int
     width = k + 2 * reach
     if 4**k * width * bins > COUNTERS:
         raise ValueError("so many k-mers, offsets and levels don't fit into a task's counters")
-    code = np.full(256, 4, np.uint8)
-    for i, letters in enumerate(("Aa", "Cc", "Gg", "TUtu")):
-        code[[ord(c) for c in letters]] = i
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(4**k * width * bins, np.int64)
@@ -164,11 +194,8 @@ def kmer_openness(reads: DataFrame, k: int, levels: str, reach: int, shift: int
             part = part.dropna()
             if part.empty:
                 continue
-            lengths = part["seq"].str.len().to_numpy(np.int64)
-            x = code[np.frombuffer("".join(part["seq"]).encode("ascii", "replace"), np.uint8)]
-            own = np.repeat(np.arange(len(part)), lengths)
-            at = np.arange(len(x)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            index, good = np.zeros(len(x), np.int64), at + k <= lengths[own]
+            x, own, at = _places(part["seq"].tolist())
+            index, good = np.zeros(len(x), np.int64), at + k <= np.bincount(own, minlength=len(part))[own]
             for d in range(k):
                 base = np.append(x[d:], np.full(d, 4, np.uint8))
                 index, good = index * 4 + base, good & (base < 4)

@@ -393,9 +393,8 @@ def q33_ska(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q34_descent(spark: SparkSession, d: str) -> DataFrame:
-    """The motif fitted to the enrichment of all languages over English, on the English reads, to the operator's own stop.
-
-    The stop is the decrease of a hundredth of the first error a step: the texts bind nothing, so that there is little to fit.
+    """The motif fitted to the enrichment of all languages over English, on the English reads, until the error falls by less
+    than a thousandth of the first one a step.
     """
     import numpy as np
 
@@ -405,7 +404,7 @@ def q34_descent(spark: SparkSession, d: str) -> DataFrame:
     observed = np.array([[x["r"] for x in r if x["lang"] == lang] for lang in langs])
     f0 = np.array([x["freq"] for x in freq.filter("lang = 'en'").orderBy("kmer").collect()]) / 64
     model = fitting.Model([np.array(MOTIF)], np.array([0.1]), np.full(len(langs), 0.01))
-    _, errors = fitting.descend(written(reads(spark, d).filter("lang = 'en'"), "reads"), model, [5.0] * len(langs), 100.0, 3, f0, observed, slope=0.01)
+    _, errors = fitting.descend(written(reads(spark, d).filter("lang = 'en'"), "reads"), model, [5.0] * len(langs), 100.0, 3, f0, observed, slope=1e-3)
     return spark.createDataFrame([(i, float(e)) for i, e in enumerate(errors)], "step int, error double")
 
 
