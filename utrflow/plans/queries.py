@@ -593,8 +593,13 @@ def _annotated(spark: SparkSession, d: str, collapse: bool) -> DataFrame:
     return annotate.annotate(annotate.single_nucleotide(variants), tables, collapse)
 
 
+ANNOTATED = ["cadd_var_info", "phastcons_100", "motif_RBPs", "motif_cat", "eclip_tot", "eqtl_info", "pred_eqtl", "gwas_info", "pred_gwas", "APA_info", "PAS_info", "miR_info", "clinvar_info", "Rep_info"]
+
+
 def q60_annotation_tables(spark: SparkSession, d: str) -> DataFrame:
-    return _annotated(spark, d, False)
+    """The annotation with every table: how often each variant has a row with these columns, told by their digest."""
+    line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in ANNOTATED])
+    return _annotated(spark, d, False).select("var_id", F.md5(line).alias("digest")).groupBy("var_id", "digest").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _glm_sql(name: str, cut: float) -> str:
@@ -608,8 +613,8 @@ def _hits_sql(source: str, chrom: str, start: str, wide: int, cells: str) -> str
 
 _ANNOTATED_SQL = (
     "v AS (SELECT l_suppkey % 20 AS c, l_orderkey AS s FROM lineitem), u AS (SELECT o_custkey % 20 AS uc, o_orderkey AS a, o_orderkey + 40 AS b, o_orderstatus AS g, o_custkey % 5 + 1 AS l FROM orders), "
-    "r AS (SELECT *, row_number() OVER () AS rid FROM v JOIN u ON c = uc AND s < b AND a < s + 1), "
-    f"ec AS (SELECT rid, string_agg(w, '__' ORDER BY rk, ka, kb, w) AS eclip_tot FROM {_hits_sql('customer', 'c_nationkey', 'c_custkey * 10', 5, 'c_custkey % 2 AS rk, c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN chr(95) || chr(75) || 562 ELSE chr(95) || $$HepG2$$ END AS w')} GROUP BY 1), "
+    "r AS MATERIALIZED (SELECT *, row_number() OVER () AS rid FROM v JOIN u ON c = uc AND s < b AND a < s + 1), "
+    f"ec AS (SELECT rid, string_agg(w, '__' ORDER BY rk, ka, kb, w) AS eclip_tot FROM {_hits_sql('customer', 'c_nationkey', 'c_custkey * 10', 5, 'c_custkey % 2 AS rk, c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN $$_K562$$ ELSE $$_HepG2$$ END AS w')} GROUP BY 1), "
     f"eq AS (SELECT DISTINCT rid, w AS eqtl_info FROM {_hits_sql('supplier', 's_nationkey', 's_suppkey * 50', 30, 's_name AS w')}), "
     f"gw AS (SELECT rid, string_agg(w, '|' ORDER BY ka, kb, w) AS gwas_info FROM {_hits_sql('part', 'p_partkey', 'p_partkey * 7', 5, 'p_brand AS w')} GROUP BY 1), "
     f"cl AS (SELECT rid, string_agg(w, '|' ORDER BY ka, kb, w) AS clinvar_info FROM {_hits_sql('customer', 'c_custkey', 'c_custkey * 20', 15, 'c_mktsegment AS w')} GROUP BY 1), "
@@ -620,7 +625,8 @@ _ANNOTATED_SQL = (
     "f AS (SELECT *, (eclip_tot <> '')::INT AS in_eclip, (pas <= 50)::INT AS near_pas, coalesce(regexp_matches(mir_info, 'consFam|broadConsFam'), false)::INT AS in_mir, (phastcons_100 > 0.5)::INT AS conserved, (region IN ('common', 'single'))::INT AS shared_region FROM j)"
 )
 _ANNOTATED_COLUMNS = f"'chr' || c || '_' || (s + 1) || '_A_G' AS var_id, cadd_var_info, phastcons_100, NULL::VARCHAR AS motif_RBPs, NULL::VARCHAR AS motif_cat, eclip_tot, eqtl_info, {_glm_sql('eqtl', 0.1)} AS pred_eqtl, gwas_info, {_glm_sql('gwas', 0.0075)} AS pred_gwas, g || '_+_' || l || '_4_' || coalesce(region, 'NA') AS APA_info, CASE WHEN pas <= 50 THEN 'PAS_proximal' ELSE '' END AS PAS_info, mir_info AS miR_info, clinvar_info, rep_info AS Rep_info"
-Q60 = f"WITH {_ANNOTATED_SQL} SELECT {_ANNOTATED_COLUMNS} FROM f"
+_LINE = " || chr(9) || ".join(f"coalesce({c}::VARCHAR, 'NA')" for c in ANNOTATED)
+Q60 = f"WITH {_ANNOTATED_SQL}, o AS (SELECT {_ANNOTATED_COLUMNS} FROM f) SELECT var_id, md5({_LINE}) AS digest, count(*) AS n FROM o GROUP BY 1, 2"
 
 
 def q61_one_line_each(spark: SparkSession, d: str) -> DataFrame:
