@@ -395,3 +395,53 @@ def test_density_equals_kernels(spark):
     assert density.density(df.limit(0), "x", "y").values.sum() == 0
     line = density.density(spark.createDataFrame([(1.0, 1.0), (2.0, 2.0), (3.0, 3.0)], "x double, y double"), "x", "y")
     assert np.isfinite(line.values).all() and line.counts.sum() == 3
+
+
+# --- motifs along sequences
+
+
+def test_placed_equals_the_loops(spark):
+    from utrflow.operators import psam
+
+    r = np.random.default_rng(21)
+    w = r.uniform(0.05, 1, (5, 4))
+
+    def score(seq, o, product, ends):
+        z = 1.0 if product else 0.0
+        for i in range(5):
+            if 0 <= i - o < len(seq):
+                b = "ACGU".find(seq[i - o])
+                each = w[i, b] if b >= 0 else None
+            else:
+                each = {"least": w[i].min(), "mean": w[i].mean(), "none": None}[ends]
+            if each is not None:
+                z = z * each if product else z + each
+        return z
+
+    for seq in ("ACG", "UUGCANN", "A", "GGGUUUAAACCC"):
+        for product in (True, False):
+            for ends in ("least", "mean", "none"):
+                for least in (1, min(2, len(seq))):
+                    best = max((score(seq, o, product, ends), -o) for o in range(least - len(seq), 6 - least))
+                    got = psam.placed(w, seq, product, ends, least)
+                    assert got[0] == -best[1] and np.isclose(got[1], best[0])
+    assert psam.placed(w, "ACG", False, contained=True)[0] in range(-2, 3) and np.isclose(psam.placed(w, "ACG", False, relative=True)[1] * w.max(axis=1).sum(), psam.placed(w, "ACG", False)[1])
+    top = psam.highest_scoring(spark, w.tolist(), 3, 5).collect()
+    every = sorted(((psam.placed(w, a + b + c)[1], a + b + c, psam.placed(w, a + b + c)[0]) for a in "ACGU" for b in "ACGU" for c in "ACGU"), reverse=True)[:5]
+    assert [(x["kmer"], x["offset"]) for x in top] == [(k, o) for _, k, o in every] and np.allclose([x["score"] for x in top], [s for s, _, _ in every])
+
+
+def test_motifs_are_built_from_kmers():
+    from utrflow.operators import psam, seeding
+
+    kmers = [("UGCAUG", 10.0), ("GCAUGU", 6.0), ("UGCACG", 4.0), ("UUGCAU", 3.0), ("CCCCCC", 5.0), ("CCCCCA", 2.0)]
+    one = seeding.Alignment.of("UGCAUG", 10.0)
+    assert one.best("GCAUGU") == pytest.approx((50 / 60, 1)) and one.best("UGCACG") == pytest.approx((50 / 60, 0))
+    both = seeding.build(kmers, support=2)
+    assert len(both) == 2 and [a0 for a0, _ in both] == pytest.approx([0.01, 0.005]) and "GCAU" in psam.consensus(both[0][1]).upper() and "CCCC" in psam.consensus(both[1][1]).upper()
+    assert len(seeding.build(kmers)) == 1 and seeding.build([]) == []
+    one.add("GCAUGU", 6.0, 1)
+    assert one.weights.shape == (7, 4) and one.heaviest == 10 and one.widest_score(2) == 32
+    m = one.motif(keep=1.0, most=0, pseudo=0.0)  # the seventh column holds 6 of 16: 1 - 6 / 16 is added, then rows are scaled
+    assert m[6].tolist() == pytest.approx([0.625 / 6.625, 0.625 / 6.625, 0.625 / 6.625, 1.0]) and m[1].tolist() == [0, 0, 1, 0]
+    assert len(one.motif(keep=0.9)) == 6

@@ -167,13 +167,13 @@ def test_free_protein_solves_its_equation(spark):
 
 
 def test_seeding_and_motif_tools():
-    motifs = seeding.build([("TGCATG", 5.0), ("TGCACG", 3.0), ("GCATGA", 2.0), ("AAAAAA", 2.5), ("AAAAAC", 2.0)])
+    motifs = seeding.build([("TGCATG", 5.0), ("TGCACG", 3.0), ("GCATGA", 2.0), ("AAAAAA", 2.5), ("AAAAAC", 2.0)], support=2)
     assert len(motifs) == 2 and "GCA" in psam.consensus(motifs[0][1]).upper()
     w = np.array(psam.from_iupac("NACGN"))
     assert psam.consensus(psam.shrunk(w)[0]) == "ACG" and psam.shrunk(w)[1] == 1 and psam.padded_to(np.array(psam.from_iupac("ACG")), 5).shape == (5, 4)
     assert psam.consensus(psam.reverse_complemented(np.array(psam.from_iupac("AAC")))) == "GUU"
     assert psam.peaks([0, 0.5, 1.0, 0.2, 0.9], 0.8, 2) == [(2, 4), (4, 6)] and psam.dinucleotides(w).shape == (4, 16)
-    assert psam.aligned(np.array(psam.from_iupac("ACG")), "UACGU")[0] == 1
+    assert psam.compared_along(np.array(psam.from_iupac("ACG")), "UACGU")[0] == 1 and psam.placed(np.array(psam.from_iupac("ACG")), "UACGU") == (-1, 1.0)
 
 
 def test_sampling_repeats_and_simulation(spark):

@@ -172,7 +172,60 @@ def dinucleotides(weights: np.ndarray) -> np.ndarray:
     return np.array([np.outer(part[i], part[i + 1]).ravel() for i in range(len(w) - 1)])
 
 
-def aligned(weights: np.ndarray, sequence: str, least: int = 2) -> tuple[int, float, float]:
+def _outside(rows: np.ndarray, ends: str, product: bool) -> float:
+    """What the rows that a sequence doesn't reach count: of each its least weight, or its mean, added up or multiplied."""
+    if ends == "none" or not len(rows):
+        return 1.0 if product else 0.0
+    each = rows.mean(axis=1) if ends == "mean" else rows.min(axis=1)
+    return float(each.prod() if product else each.sum())
+
+
+def placed(weights: np.ndarray, sequence: str, product: bool = True, ends: str = "least", least: int = 1, contained: bool = False, relative: bool = False) -> tuple[int, float]:
+    """(offset, score) of a sequence along a motif, without gaps: the best of all offsets with ``least`` rows or more in common,
+    the first of equals.
+
+    A score is the product (or the sum) of the bases' weights and of what rows without a base count (``ends``: their least
+    weight, their mean, or nothing). Letters that aren't bases are skipped. ``contained`` looks only at offsets up to the
+    difference of the lengths; ``relative`` divides by the sum of the rows' greatest weights. An empty motif gives (0, 1).
+    """
+    w = np.asarray(weights, float)
+    n, length = len(w), len(sequence)
+    if not n:
+        return 0, 1.0
+    code = [BASES.find(c) for c in sequence.upper().replace("T", "U")]
+    offsets = range(-(n - length), n - length + 1) if contained else range(least - length, n + 1 - least)
+    best = None
+    for o in offsets:
+        first, last = max(0, o), min(n, o + length)
+        before, after = _outside(w[:first], ends, product), _outside(w[last:], ends, product)
+        own = [w[i, code[i - o]] for i in range(first, last) if code[i - o] >= 0]
+        score = before * after * float(np.prod(own)) if product else before + after + float(np.sum(own))
+        if best is None or score > best[1]:
+            best = (o, score)
+    o, score = best
+    return o, score / float(w.max(axis=1).sum()) if relative else score
+
+
+def best_place(kmer: Column, k: int, weights: list[list[float]]) -> Column:
+    """(score, offset) of ``placed`` for a column of k-mers of the letters A, C, G, T, U, by products, as one expression."""
+    w = np.asarray(weights, float)
+    scored = []
+    for i, o in enumerate(range(1 - k, len(w))):
+        first, last = max(0, o), min(len(w), o + k)
+        rest = _outside(w[:first], "least", True) * _outside(w[last:], "least", True)
+        own = window_score(F.substring(kmer, first - o + 1, last - first), w[first:last].tolist())
+        scored.append(F.struct((own * rest).alias("score"), F.lit(-i).alias("order"), F.lit(o).alias("offset")))
+    best = F.greatest(*scored) if len(scored) > 1 else scored[0]
+    return F.struct(best["score"].alias("score"), best["offset"].alias("offset"))
+
+
+def highest_scoring(spark: SparkSession, weights: list[list[float]], k: int = 7, most: int = 10) -> DataFrame:
+    """(kmer, score, offset): the ``most`` k-mers that a motif likes best at any offset; of equals the last in alphabetical order."""
+    x = all_kmers(spark, k, BASES).withColumn("best", best_place(F.col("kmer"), k, weights))
+    return x.orderBy(F.col("best.score").desc(), F.col("kmer").desc()).limit(most).select("kmer", "best.score", "best.offset")
+
+
+def compared_along(weights: np.ndarray, sequence: str, least: int = 2) -> tuple[int, float, float]:
     """(offset, best, total) of a sequence along a motif: products of weights at all offsets with ``least`` rows or more in
     common; a row without base counts the mean of its least weight and 1."""
     w, best, total = np.asarray(weights, float), (-1.0, 0), 0.0
