@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from utrflow.operators.intervals import until
 from utrflow.operators.kmers import filled
+from utrflow.plans.storage import numbered
 
 
 def ratios(bound: DataFrame, control: DataFrame, value: str, name: str, on: list[str] = ("kmer",)) -> DataFrame:
@@ -218,6 +219,10 @@ def ska_batched(windows: DataFrame, start: DataFrame, passes: int = 10) -> DataF
 
 
 def chunks(reads: DataFrame, n: int) -> DataFrame:
-    """With ``part``: contiguous nths of the reads by id."""
-    return reads.withColumn("part", F.ntile(n).over(Window.orderBy("read_id")))
-
+    """With ``part``: contiguous nths of the reads by id, from 1; the first ones have a read more where n doesn't divide their number."""
+    rows = numbered(reads, ["read_id"], "__number")
+    total = rows.count()
+    size, more = divmod(total, n)
+    at, wide = F.col("__number"), more * (size + 1)
+    part = F.when(at < wide, F.floor(at / (size + 1))).otherwise(more + F.floor((at - wide) / max(1, size)))
+    return rows.withColumn("part", (part + 1).cast("int")).drop("__number")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from utrflow.functions import measures as m
 from utrflow.functions import sequence as s
 from utrflow.operators import annotate, compare, enrichment, fitting, intervals, kmers, psam, regression, seeding, simulate, training
-from utrflow.plans.storage import written
+from utrflow.plans.storage import numbered, written
 
 #: A motif of four rows (A C G U).
 MOTIF = [[0.9, 0.1, 0.05, 1.0], [0.02, 0.1, 1.0, 0.05], [0.2, 1.0, 0.1, 0.3], [1.0, 0.05, 0.3, 0.1]]
@@ -410,7 +410,7 @@ def q34_descent(spark: SparkSession, d: str) -> DataFrame:
 
 def q35_natural_sort(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "supplier").select("s_suppkey", F.regexp_replace("s_name", "^.*#0*", "chr").alias("chrom"))
-    return x.select("s_suppkey", "chrom", F.row_number().over(Window.orderBy(*s.natural_key(F.col("chrom")), "s_suppkey")).cast("long").alias("place"))
+    return numbered(x, [*s.natural_key(F.col("chrom")), F.col("s_suppkey")]).select("s_suppkey", "chrom", (F.col("number") + 1).alias("place"))
 
 
 Q35 = "WITH x AS (SELECT s_suppkey, regexp_replace(s_name, '^.*#0*', 'chr') AS chrom FROM supplier) SELECT *, row_number() OVER (ORDER BY try_cast(regexp_extract(chrom, '[0-9]+') AS INT) NULLS LAST, chrom, s_suppkey) AS place FROM x"

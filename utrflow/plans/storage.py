@@ -67,6 +67,24 @@ def _clear() -> None:
                 dropped(path, spark)
 
 
+def numbered(rows: DataFrame, order: list, name: str = "number") -> DataFrame:
+    """``rows`` with their place in an order of columns, from 0, written: no task holds more than a range of the order.
+
+    Rows are dealt by ranges of the order, sorted and numbered within, and the ranges' sizes added up (a row a partition).
+    Rows that are equal in the order get numbers in any order.
+    """
+    apart = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    own = apart.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    table = written(own, "numbered")
+    sizes = sorted(table.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())
+    before, total = [], 0
+    for r in sizes:
+        before.append((r["__part"], total))
+        total += r["n"]
+    first = rows.sparkSession.createDataFrame(before, "__part int, __first long")
+    return table.join(F.broadcast(first), "__part").withColumn(name, F.col("__first") + F.col("__at")).drop("__part", "__at", "__first")
+
+
 def join_sized(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, share: int = 1000) -> DataFrame:
     """Left join of ``rows`` to ``groups`` (unique ``key``, with the number of rows of each group in ``size``).
 
