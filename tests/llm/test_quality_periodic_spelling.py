@@ -280,3 +280,46 @@ def test_vocabulary_of_all_documents(spark):
     con = duckdb.connect()
     want = con.execute("SELECT word, count(*) FROM (SELECT translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word FROM '/root/testdata/sf0.01/documents.parquet') GROUP BY 1").fetchall()
     assert {tuple(r) for r in spelling.occurrences(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()} == set(want)
+
+
+# --- the agenda's own ids; the prior without held-out labels
+
+
+def test_the_agendas_ids_stand_unless_the_library_differs():
+    import public_tokenizers
+
+    from utrflow.llm.piece_codec import PieceCodec
+
+    c = PieceCodec(public_tokenizers.path("piece_bpe_32k.model"))
+    segments = [b" hello", b" world", b"!", b" strange"]
+    got = np.array([7, 8, 9, 10, 11], np.int64)
+    lengths = np.array([2, 1, 1, 1], np.int64)
+    ids, n = c._settled(got, lengths, [[7, 8], [9], [10], [11]])
+    assert ids is got and n is lengths and c.unequal == 0
+    ids, n = c._settled(got, lengths, [[7, 8], [1, 2, 3], [10], [11]])  # one segment of four differs
+    assert ids.tolist() == [7, 8, 1, 2, 3, 10, 11] and n.tolist() == [2, 3, 1, 1] and c.unequal == 1
+    real, counts = c._ids(segments)
+    assert c.unequal == 1  # the agenda agrees with the library on them
+
+    class Broken:
+        def encode(self, texts, **more):
+            return [[5] for _ in texts] if isinstance(texts, list) else [5]
+
+    library, c.library, c._checked = c.library, Broken(), lambda segments, got, lengths: (got, lengths)
+    mine, own = c._ids(segments)  # whatever the library says, what the agenda gives is this
+    assert mine.tolist() == real.tolist() and own.tolist() == counts.tolist()
+
+
+def test_prior_is_chosen_within_the_sample(spark):
+    from utrflow.llm import toxicity
+
+    r = np.random.default_rng(1)
+    toxic, clean = (r.random((300, 20)) < np.where(np.arange(20) < 10, 0.6, 0.2)).astype(np.uint8), (r.random((900, 20)) < 0.2).astype(np.uint8)
+    mixed = np.concatenate([clean, (r.random((100, 20)) < np.where(np.arange(20) < 10, 0.6, 0.2)).astype(np.uint8)])
+    prior = toxicity.likeliest_prior(toxic, mixed, 0.1)
+    assert prior in {0.1, 0.125, 0.15000000000000002, 0.2}
+    assert toxicity.likeliest_prior(toxic[:2], mixed, 0.1) == 0.1 and toxicity.likeliest_prior(toxic, mixed, 0.5) == 0.5
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = (toxicity.fit(docs, x) for x in (labels, turned))
+    assert a[2] == b[2] and np.array_equal(a[0], b[0]) and np.allclose(a[1], b[1])

@@ -142,16 +142,23 @@ class PieceCodec:
         return self._checked(segments, got, lengths)
 
     def _checked(self, segments: list[bytes], got: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Compares each segment's ids with the library's; where they differ the library's stand, and ``unequal`` counts them."""
+        """The agenda's ids, compared with the library's; of a segment where they differ the library's stand, and ``unequal`` counts it."""
         lead = [s[:1] == b" " for s in segments]
         asked = self.library.encode([s[1:].decode() if own else "\n" + s.decode() for s, own in zip(segments, lead, strict=True)], num_threads=1)
         # a lone space is the prefix of an empty text, for which the library gives nothing
         asked = [(x if own else x[2:]) if s != b" " else self.library.encode("\n", num_threads=1)[:1] for s, own, x in zip(segments, lead, asked, strict=True)]
-        theirs, n = np.array([i for x in asked for i in x], np.int64), np.fromiter(map(len, asked), np.int64, len(asked))
-        if not (np.array_equal(theirs, got) and np.array_equal(n, lengths)):
-            mine = np.split(got, np.cumsum(lengths)[:-1])
-            self.unequal += sum(x.tolist() != y for x, y in zip(mine, asked, strict=True))
-        return theirs, n
+        return self._settled(got, lengths, asked)
+
+    def _settled(self, got: np.ndarray, lengths: np.ndarray, asked: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """``got``, but for the runs of ids that aren't those ``asked`` for."""
+        n = np.fromiter(map(len, asked), np.int64, len(asked))
+        if np.array_equal(n, lengths) and np.array_equal(np.fromiter((i for x in asked for i in x), np.int64, int(n.sum())), got):
+            return got, lengths
+        mine = np.split(got, np.cumsum(lengths)[:-1])
+        wrong = [x.tolist() != y for x, y in zip(mine, asked, strict=True)]
+        self.unequal += sum(wrong)
+        mine = [np.array(y, np.int64) if bad else x for bad, x, y in zip(wrong, mine, asked, strict=True)]
+        return np.concatenate(mine), np.fromiter(map(len, mine), np.int64, len(mine))
 
     def segments(self, buf: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start = np.zeros(len(buf), bool)
@@ -183,10 +190,8 @@ class PieceCodec:
         counts = np.diff(edges, prepend=0)
         one = int(np.argmin(np.where(counts > 0, counts, NEVER)))
         theirs = self.library.encode(texts[one].decode(), num_threads=1)
-        if ids[edges[one] - counts[one] : edges[one]].tolist() != theirs:
-            self.unequal += 1
-            whole = self.library.encode([t.decode() for t in texts], num_threads=1)
-            return np.array([i for x in whole for i in x], np.int64), np.fromiter(map(len, whole), np.int64, len(whole))
+        if ids[edges[one] - counts[one] : edges[one]].tolist() != theirs:  # then all texts of the portion are compared
+            return self._settled(ids, counts, self.library.encode([t.decode() for t in texts], num_threads=1))
         return ids, counts
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
@@ -230,7 +235,7 @@ def encode_texts(df: DataFrame, model: str, text: str = "text", id_col: str = "d
     """The id and ``ids`` (array) and ``decoded`` (the text they give) of each row; null texts count as empty (no ids).
 
     With ``digests``: n_tokens, ids_sha256 and decoded_sha256 in place of those. ``unequal`` counts the row's portion's
-    segments in which the agenda differed from the library (whose ids then stand): 0 unless one of the two is at fault.
+    segments in which the agenda differed from the library (whose ids then stand for that segment): 0 unless one of the two is at fault.
     Ids may be null or repeat; other columns are not read; an empty table gives no rows.
     """
     small_batches(df.sparkSession)

@@ -22,8 +22,10 @@ MOST_TOXIC, MOST_UNLABELLED, FEATURES = 4000, 8000, 2048
 STARTS = (4, 5, 6)
 #: A feature is kept if it is more frequent in toxic texts by so many standard errors.
 APART = 6.0
-#: The class prior is taken a quarter above the share of toxic labels: an estimate too low costs toxic texts with few signs.
-WIDER = 1.25
+#: The class prior is the share of toxic labels times one of these: an estimate too low costs toxic texts with few signs. Which,
+#: folds of the sample learnt from tell.
+WIDER = (1.0, 1.25, 1.5, 2.0)
+FOLDS = 3
 CUT = 0.3
 
 
@@ -95,12 +97,35 @@ def train(toxic: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int =
     return w, b
 
 
+def likeliest_prior(toxic: np.ndarray, unlabelled: np.ndarray, share: float, factors: tuple[float, ...] = WIDER, folds: int = FOLDS) -> float:
+    """The share times the factor by which models learnt from the other folds tell a fold's texts apart best.
+
+    What is compared is the part of the fold's toxic texts that such a model catches, less the part that it flags of its other
+    texts: of the unlabelled ones it flags that many and, by the share, the toxic ones among them. No other labels are used.
+    The first of equals; the first of all where a fold has no texts.
+    """
+    priors = [min(0.5, max(0.001, f * share)) for f in factors]
+    if min(len(toxic), len(unlabelled)) < folds or len(set(priors)) == 1:
+        return priors[0]
+    own, other = np.arange(len(toxic)) % folds, np.arange(len(unlabelled)) % folds
+    gains = []
+    for prior in priors:
+        caught, flagged = [], []
+        for k in range(folds):
+            w, b = train(toxic[own != k], unlabelled[other != k], prior)
+            over = [(1 / (1 + np.exp(-np.clip(x.astype(np.float64) @ w + b, -500, 500))) >= CUT).mean() for x in (toxic[own == k], unlabelled[other == k])]
+            caught.append(over[0])
+            flagged.append((over[1] - share * over[0]) / (1 - share))
+        gains.append(np.mean(caught) - np.mean(flagged))
+    return priors[int(np.argmax(gains))]
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic", most_toxic: int = MOST_TOXIC, most_unlabelled: int = MOST_UNLABELLED, features: int = FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
     """(features, weights, bias) learnt from rows that aren't held out.
 
     The toxic and the unlabelled texts are those with the smallest hashes of their ids, up to ``most_toxic`` and
-    ``most_unlabelled``; the class prior is 1.25 times the share of toxic rows
-    among all labels that aren't held out (0.001 to 0.5).
+    ``most_unlabelled``; the class prior is the share of toxic rows among all labels that aren't held out, times the factor
+    that ``likeliest_prior`` finds within the sample (0.001 to 0.5).
     Labels of unlabelled texts are not looked at. Null labels and ids don't count. Without any toxic text the model is
     the prior alone.
     """
@@ -108,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     order = [F.xxhash64("id"), F.col("id")]
     known = labels.select(F.col(id_col).alias("id"), F.col(label).alias("label")).filter("id is not null and label is not null").filter(~held_out(F.col("id")))
     share = known.agg(F.avg((F.col("label") == 1).cast("double"))).first()[0]
-    prior = min(0.5, max(0.001, WIDER * (share or 0.0)))
+    share = min(0.5, max(0.001, share or 0.0))
     toxic = known.filter("label = 1").select("id").distinct().orderBy(order).limit(most_toxic)
     other = docs.select(F.col(id_col).alias("id")).filter("id is not null").filter(~held_out(F.col("id"))).distinct().orderBy(order).limit(most_unlabelled)
     drawn = toxic.withColumns({"p": F.lit(1), "u": F.lit(0)}).union(other.withColumns({"p": F.lit(0), "u": F.lit(1)})).groupBy("id").agg(F.max("p").alias("p"), F.max("u").alias("u"))
@@ -125,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     sample = written(own.select("id", "text").mapInArrow(sets, f"id {kind}, found binary").groupBy("id").agg(F.min("found").alias("found")).join(F.broadcast(drawn), "id"), "sample")
     n_toxic, n_other = sample.agg(F.sum("p"), F.sum("u")).first()
     if not n_toxic or not n_other:
-        return np.empty(0, np.uint32), np.empty(0), float(np.log(prior / (1 - prior)))
+        return np.empty(0, np.uint32), np.empty(0), float(np.log(share / (1 - share)))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,7 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
 
     table = sample.mapInArrow(bits, f"id {kind}, p int, u int, bits binary").orderBy("id").toArrow()
     dense = np.unpackbits(np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint8).reshape(table.num_rows, -1), axis=1)[:, : len(keys)]
-    w, b = train(dense[table["p"].to_numpy() == 1], dense[table["u"].to_numpy() == 1], prior)
+    known, rest = dense[table["p"].to_numpy() == 1], dense[table["u"].to_numpy() == 1]
+    w, b = train(known, rest, likeliest_prior(known, rest, share))
     return chosen.keys, w, b
 
 
