@@ -299,5 +299,5 @@ Q86 = (
     "r AS (SELECT *, sum(n) OVER (ORDER BY density) / sum(n) OVER () AS share FROM k) SELECT i, j, n, round(density, 6) AS density, (SELECT coalesce(sum(n), 0)::BIGINT FROM r WHERE share < 0.1) AS sparse FROM r"
 )
 
-QUERIES = {name: f for name, f in globals().items() if name.startswith("q") and callable(f)}
-ORACLE_SQL = {name: globals()[name.split("_")[0].upper()] for name in QUERIES if name.split("_")[0].upper() in globals()}
+QUERIES = {name: f for name, f in globals().items() if name[:1] == "q" and name[1:3].isdigit()}
+ORACLE_SQL = {name: globals()[name[:3].upper()] for name in QUERIES if name[:3].upper() in globals()}
