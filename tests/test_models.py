@@ -445,3 +445,45 @@ def test_motifs_are_built_from_kmers():
     m = one.motif(keep=1.0, most=0, pseudo=0.0)  # the seventh column holds 6 of 16: 1 - 6 / 16 is added, then rows are scaled
     assert m[6].tolist() == pytest.approx([0.625 / 6.625, 0.625 / 6.625, 0.625 / 6.625, 1.0]) and m[1].tolist() == [0, 0, 1, 0]
     assert len(one.motif(keep=0.9)) == 6
+
+
+# --- states
+
+
+def test_state_fit_and_slope(spark):
+    from utrflow.operators import states
+
+    r = np.random.default_rng(30)
+    seqs = random_reads(400, (12, 18), 31)
+    z = r.lognormal(0, 2, 400)
+    df = spark.createDataFrame([(s, float(x)) for s, x in zip(seqs, z, strict=True)] + [(None, 1.0), ("ACGT", None)], "seq string, z double").repartition(3)
+    counts = states.kmer_counts(df, 2)
+    plain = np.zeros(16)
+    for s in seqs + ["ACGT"]:
+        for i in range(len(s) - 1):
+            plain[BASES.index(s[i]) * 4 + BASES.index(s[i + 1])] += 1
+    assert np.array_equal(counts, plain)
+    samples = states.Samples([2.0, 10.0], 20.0, counts, np.ones((2, 16)), 2)
+    truth = states.states(df, [0.7], samples, betas=np.array([0.3, 0.1]))[0]
+    x = truth.free[0] * 0.7 * z
+    q = np.zeros(16)
+    for s, psi in zip(seqs, x / (x + 1), strict=True):
+        for i in range(len(s) - 1):
+            q[BASES.index(s[i]) * 4 + BASES.index(s[i + 1])] += psi
+    assert np.allclose(truth.q[0], q)
+    known = states.Samples([2.0, 10.0], 20.0, counts, truth.enriched, 2)
+    at = states.states(df, [0.7], known, betas=np.array([0.3, 0.1]))[0]
+    assert at.error < 1e-20 and np.allclose(at.beta_estimators(), [[0.3]] * 1 + [[0.1]], rtol=1e-6) and all(c > 0.999 for c, _ in at.correlations())
+    best, tried = states.fit_a0(df, known, 1.0)
+    assert best.error < 1e-5 and len(tried) >= 30 and best.error <= min(e for _, e in tried)
+    off = [states.states(df, [a], known, betas=np.array([0.3, 0.1]), free=np.array([[0.5, 3.0]]))[0] for a in (0.9 - 1e-5, 0.9, 0.9 + 1e-5)]
+    assert states.a0_slope(df, off[1]) == pytest.approx((off[2].error - off[0].error) / 2e-5, rel=1e-3)
+    specific, rest, complexes = at.concentrations(400, 14)
+    assert np.allclose(complexes, [2.0, 10.0] - at.free) and (specific > 0).all() and (rest > 0).all()
+
+
+def test_correlation_p():
+    from utrflow.operators.regression import correlation_p
+
+    assert correlation_p(0.0, 10) == pytest.approx(1.0, abs=1e-6) and correlation_p(1.0, 10) == 0.0 and np.isnan(correlation_p(0.5, 2))
+    assert correlation_p(0.632, 10) == pytest.approx(0.05, abs=0.001) and correlation_p(-0.765, 10) == pytest.approx(0.01, abs=0.001)  # tabulated

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from utrflow.operators.intervals import until
-from utrflow.operators.kmers import filled
+from utrflow.operators.kmers import filled, fractions, reads_with
 from utrflow.plans.storage import numbered
 
 
@@ -226,3 +226,14 @@ def chunks(reads: DataFrame, n: int) -> DataFrame:
     at, wide = F.col("__number"), more * (size + 1)
     part = F.when(at < wide, F.floor(at / (size + 1))).otherwise(more + F.floor((at - wide) / max(1, size)))
     return rows.withColumn("part", (part + 1).cast("int")).drop("__number")
+
+
+def explained(reads: DataFrame, k: int, parts: int = 10, by: list[str] = ()) -> DataFrame:
+    """(by, kmer, share, error): the share of a sample's reads that hold each k-mer, of all 4^k, and its error from ``parts``
+    contiguous parts of the reads: the root of their mean squared distance from it over their number."""
+    split = chunks(reads, parts)
+    whole = fractions(reads_with(split, k, list(by)), split, k, list(by)).select(*by, "kmer", F.col("fraction").alias("share"))
+    own = [*by, "part"]
+    each = fractions(reads_with(split, k, own), split, k, own).join(whole, [*by, "kmer"])
+    error = F.sqrt(F.avg((F.col("fraction") - F.col("share")) ** 2) / F.count(F.lit(1)))
+    return whole.join(each.groupBy(*by, "kmer").agg(error.alias("error")), [*by, "kmer"])

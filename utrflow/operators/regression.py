@@ -104,15 +104,26 @@ def mann_whitney(df: DataFrame, value: str, group: str, one: str, other: str) ->
     return u, math.erfc(abs(u - n1 * n2 / 2) / spread / math.sqrt(2)) if spread else 1.0
 
 
+def student_tail(t: float, f: int) -> float:
+    """The two-sided tail of Student's distribution, by Simpson's rule on its density from |t| to where it is negligible."""
+    upper = abs(t) + 200 * max(1.0, math.sqrt((f + 1) / max(1, f - 2)))
+    x = np.linspace(abs(t), upper, 200_001)
+    log_c = math.lgamma((f + 1) / 2) - math.lgamma(f / 2) - 0.5 * math.log(f * math.pi)
+    y = np.exp(log_c - (f + 1) / 2 * np.log1p(x * x / f))
+    return float(min(1.0, 2 * (x[1] - x[0]) / 3 * (y[0] + y[-1] + 4 * y[1:-1:2].sum() + 2 * y[2:-1:2].sum())))
+
+
+def correlation_p(r: float, n: int) -> float:
+    """The two-sided p of a correlation of n pairs; 0 for a perfect one, nan for fewer than three pairs."""
+    if n < 3 or math.isnan(r):
+        return float("nan")
+    return 0.0 if abs(r) >= 1 else student_tail(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
+
+
 def t_test(df: DataFrame, value: str, against: float = 0.0) -> tuple[float, float]:
     """(t, two-sided p) of the mean against a number."""
     mean, sd, n = df.agg(F.avg(value), F.stddev_samp(value), F.count(value)).first()
     if not n or n < 2 or not sd:
         return float("nan"), float("nan")
     t = (mean - against) / sd * math.sqrt(n)
-    # the tail of Student's distribution by Simpson's rule on its density from |t| to where it is negligible
-    f, upper = n - 1, abs(t) + 200 * max(1.0, math.sqrt(n / max(1, n - 3)))
-    x = np.linspace(abs(t), upper, 200_001)
-    log_c = math.lgamma((f + 1) / 2) - math.lgamma(f / 2) - 0.5 * math.log(f * math.pi)
-    y = np.exp(log_c - (f + 1) / 2 * np.log1p(x * x / f))
-    return t, float(min(1.0, 2 * (x[1] - x[0]) / 3 * (y[0] + y[-1] + 4 * y[1:-1:2].sum() + 2 * y[2:-1:2].sum())))
+    return t, student_tail(t, n - 1)

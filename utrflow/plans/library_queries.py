@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utrflow.functions import measures as m
 from utrflow.functions import sequence as s
-from utrflow.operators import compare, enrichment, fitting, kmers, psam, structure
+from utrflow.operators import compare, enrichment, fitting, kmers, psam, states, structure
 from utrflow.plans.model_queries import SECOND, _motif, _open, _open_sql
 from utrflow.plans.queries import _PART_SQL, _R_SQL, MOTIF, READS, _base_sql, _freq_sql, _kmer_sql, _parts, _r, reads, table
 from utrflow.plans.storage import new_path, written
@@ -250,5 +251,68 @@ def _ska_sql(passes: int) -> str:
 
 Q99 = f"WITH {READS}, {_kmer_sql(2)}, {_ska_sql(3)} SELECT kmer, round(w, 7) AS weight FROM w3"
 
+def _model_reads(spark: SparkSession, d: str) -> DataFrame:
+    """The English reads with z of the first motif."""
+    x = structure.with_totals(structure.with_sites(reads(spark, d).filter("lang = 'en'"), [_motif(MOTIF)], keep=["read_id", "seq"]))
+    return written(x.select("read_id", "seq", "z"), "model-reads")
+
+
+_SAMPLES = ([1.0, 5.0], [0.02, 0.4], [3.0, 0.5])  # totals, free protein, backgrounds
+
+
+def q100_model_state(spark: SparkSession, d: str) -> DataFrame:
+    """A model's state at fixed parameters: enrichments, errors, complexes, and each k-mer's estimates of background and affinity."""
+    x = _model_reads(spark, d)
+    at = np.arange(16)
+    samples = states.Samples(_SAMPLES[0], 100.0, states.kmer_counts(x, 2), np.stack([0.61 + at / 20, 1.32 - at / 20]), 2)
+    one = states.states(x, [0.8], samples, betas=np.array(_SAMPLES[2]), free=np.array([_SAMPLES[1]]))[0]
+    rows = []
+    for name, v in (("r", one.enriched), ("beta", one.beta_estimators()), ("a0", one.a0_estimators())):
+        rows += [(name, s, i, float(v[s, i])) for s in (0, 1) for i in range(16) if samples.used[i]]
+    for name, v in (("error", one.sample_errors), *zip(("specific", "unspecific", "complex"), one.concentrations(10, 10), strict=True), ("correlation", [c[0] for c in one.correlations()])):
+        rows += [(name, s, 0, float(v[s])) for s in (0, 1)]
+    rows.append(("slope", 0, 0, states.a0_slope(x, one)))
+    return spark.createDataFrame(rows, "what string, sample long, at long, value double").withColumn("value", F.round("value", 4))
+
+
+Q100 = (
+    f"WITH {READS}, {_kmer_sql(2)}, en AS (SELECT * FROM reads WHERE lang = 'en'), z AS (SELECT read_id, least(sum(" + " * ".join(_base_sql(f"substr(seq, i + {k}, 1)", row) for k, row in enumerate(MOTIF)) + "), 1e6) AS z FROM (SELECT *, unnest(generate_series(1, length(seq) - 3)) AS i FROM en WHERE length(seq) >= 4) GROUP BY 1), "
+    "sm AS (SELECT * FROM (VALUES (0, 1.0::DOUBLE, 0.02::DOUBLE, 3.0::DOUBLE), (1, 5.0, 0.4, 0.5)) t(s, total, free, beta)), x AS (SELECT s, total, free, beta, km.kmer, coalesce(z, 0) * free * 0.8::DOUBLE AS x FROM km LEFT JOIN z USING (read_id) CROSS JOIN sm WHERE km.lang = 'en'), "
+    "q AS (SELECT s, any_value(total) AS total, any_value(free) AS free, any_value(beta) AS beta, strpos('ACGT', kmer[1]) * 4 + strpos('ACGT', kmer[2]) - 5 AS i, count(*) AS n, sum(x / (x + 1)) AS q, sum(x / (x + 1) - (x / (x + 1)) ** 2) / 0.8 AS dq FROM x GROUP BY s, kmer), "
+    "w AS (SELECT *, n / sum(n) OVER p AS f0, q + n * beta AS w, sum(q) OVER p AS tq, sum(q + n * beta) OVER p AS tw, sum(dq) OVER p AS td, CASE s WHEN 0 THEN 0.61 + i / 20 ELSE 1.32 - i / 20 END AS o FROM q WINDOW p AS (PARTITION BY s)), r AS (SELECT *, w / f0 / tw AS r FROM w) "
+    "SELECT 'r' AS what, s::BIGINT AS sample, i::BIGINT AS at, round(r, 4) AS value FROM r UNION ALL SELECT 'beta', s, i, round((o * f0 * tq - q) / (n * (1 - o)), 4) FROM r UNION ALL SELECT 'a0', s, i, round(beta * n * (1 - o) / ((tq * o * f0 - q) / 0.8), 4) FROM r "
+    "UNION ALL SELECT 'error', s, 0, round(avg((r - o) ** 2), 4) FROM r GROUP BY s UNION ALL SELECT 'specific', s, 0, round(any_value(tq), 4) FROM r GROUP BY s UNION ALL SELECT 'unspecific', s, 0, round(any_value(tw - tq), 4) FROM r GROUP BY s UNION ALL SELECT 'complex', s, 0, round(any_value(total - free), 4) FROM r GROUP BY s "
+    "UNION ALL SELECT 'correlation', s, 0, round(corr(log2(r), log2(o)), 4) FROM r GROUP BY s UNION ALL SELECT 'slope', 0, 0, round(avg(2 * (r - o) * (dq - r * f0 * td) / f0 / tw), 4) FROM r"
+)
+
+
+def q101_known(spark: SparkSession, d: str) -> DataFrame:
+    """Dissociation constants that the motif predicts for the reads' first bases, against measured ones (the documents' lengths)."""
+    x = reads(spark, d).filter("length(seq) >= 8").select("read_id", F.substring("seq", 1, 8).alias("seq"))
+    x = structure.with_totals(structure.with_sites(x, [_motif(MOTIF)], nonspecific=1e-4, keep=["read_id"]))
+    known = x.join(table(spark, d, "documents").select(F.col("doc_id").alias("read_id"), F.length("text").cast("double").alias("kd")), "read_id")
+    got = states.against_known(written(known.select("kd", (1 / F.round("z", 9)).alias("predicted")), "known"))
+    return got.select("n", *[F.round(c, 7).alias(c) for c in ("r", "rho", "lowest", "median", "highest")])
+
+
+Q101 = (
+    "WITH k AS (SELECT doc_id, length(text)::DOUBLE AS kd, left(upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')), 8) AS s FROM documents), z AS (SELECT doc_id, any_value(kd) AS kd, sum(" + " * ".join(_base_sql(f"substr(s, i + {k}, 1)", row) for k, row in enumerate(MOTIF)) + " + 1e-4::DOUBLE) AS z FROM (SELECT *, unnest(generate_series(1, 5)) AS i FROM k WHERE length(s) = 8) GROUP BY 1), "
+    "x AS (SELECT log10(kd) AS x, log10(1 / round(z, 9)) AS y FROM z), r AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS b FROM x) "
+    "SELECT count(*) AS n, round(corr(x, y), 7) AS r, round(corr(a, b), 7) AS rho, round(min(y - x), 7) AS lowest, round(quantile_cont(y - x, 0.5), 7) AS median, round(max(y - x), 7) AS highest FROM r"
+)
+
+
+def q102_explained(spark: SparkSession, d: str) -> DataFrame:
+    """The share of each language's reads that hold each 3-mer, with an error from ten parts of the reads."""
+    return enrichment.explained(reads(spark, d), 3, 10, ["lang"]).select("lang", "kmer", F.round("share", 8).alias("share"), F.round("error", 8).alias("error"))
+
+
+Q102 = (
+    f"WITH {READS}, pt AS (SELECT lang, read_id, seq, ntile(10) OVER (ORDER BY read_id) AS part FROM reads), h AS (SELECT DISTINCT lang, part, read_id, substr(seq, i, 3) AS kmer FROM (SELECT *, unnest(generate_series(1, length(seq) - 2)) AS i FROM pt WHERE length(seq) >= 3)), al AS (SELECT x.b || y.b || z.b AS kmer FROM (VALUES ('A'), ('C'), ('G'), ('T')) x(b) CROSS JOIN (VALUES ('A'), ('C'), ('G'), ('T')) y(b) CROSS JOIN (VALUES ('A'), ('C'), ('G'), ('T')) z(b)), "
+    "w AS (SELECT t.lang, al.kmer, (coalesce(n, 0) + 10) / (t.t + 10) AS share FROM (SELECT lang, count(*) AS t FROM pt GROUP BY 1) t CROSS JOIN al LEFT JOIN (SELECT lang, kmer, count(*) AS n FROM h GROUP BY ALL) c ON c.lang = t.lang AND c.kmer = al.kmer), "
+    "e AS (SELECT t.lang, t.part, al.kmer, (coalesce(n, 0) + 10) / (t.t + 10) AS f FROM (SELECT lang, part, count(*) AS t FROM pt GROUP BY ALL) t CROSS JOIN al LEFT JOIN (SELECT lang, part, kmer, count(*) AS n FROM h GROUP BY ALL) c ON c.lang = t.lang AND c.part = t.part AND c.kmer = al.kmer) "
+    "SELECT lang, kmer, round(any_value(share), 8) AS share, round(sqrt(avg((f - share) ** 2) / count(*)), 8) AS error FROM e JOIN w USING (lang, kmer) GROUP BY ALL"
+)
+
 QUERIES = {name: f for name, f in globals().items() if name[:1] == "q" and name[1:3].isdigit()}
-ORACLE_SQL = {name: globals()[name[:3].upper()] for name in QUERIES if name[:3].upper() in globals()}
+ORACLE_SQL = {name: globals()[name.split("_")[0].upper()] for name in QUERIES if name.split("_")[0].upper() in globals()}
