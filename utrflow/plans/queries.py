@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from utrflow.functions import measures as m
 from utrflow.functions import sequence as s
-from utrflow.operators import annotate, compare, enrichment, fitting, intervals, kmers, psam, regression, seeding, simulate, training
+from utrflow.operators import annotate, compare, enrichment, fitting, intervals, kmers, psam, regression, seeding, simulate, structure, training
 from utrflow.plans.storage import numbered, written
 
 #: A motif of four rows (A C G U).
@@ -130,7 +130,8 @@ Q09 = f"WITH {READS}, {_kmer_sql(3)} SELECT lang, kmer, count(*) AS n FROM km GR
 
 
 def _freq(spark: SparkSession, d: str, k: int = 3) -> DataFrame:
-    return kmers.frequencies(kmers.counts(reads(spark, d), k, ["lang"]), k, ["lang"])
+    """Frequencies from counts that are written once: they are read for the frame, the counts and the totals."""
+    return kmers.frequencies(written(kmers.counts(reads(spark, d), k, ["lang"]), "counts"), k, ["lang"])
 
 
 def q10_kmer_freq_zero(spark: SparkSession, d: str) -> DataFrame:
@@ -234,9 +235,9 @@ _SCORE_SQL = f"st AS (SELECT read_id, lang, i, {_SITE} AS z FROM (SELECT *, unne
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    """Per read: total and best site score; each window is scored as generated code, partial sums before the shuffle."""
-    sites = kmers.positions(reads(spark, d), 4, ["lang"]).withColumn("z", psam.window_score(F.col("kmer"), MOTIF))
-    return sites.groupBy("read_id", "lang").agg(F.sum("z").alias("total"), F.max("z").alias("best"))
+    """Per read that holds a site: total and best site score, within the read's row."""
+    x = structure.with_totals(structure.with_sites(reads(spark, d), [structure.Motif(tuple(map(tuple, MOTIF)))], keep=["read_id", "lang"]))
+    return x.filter("best is not null").select("read_id", "lang", F.col("z").alias("total"), "best")
 
 
 def q19_psam_score(spark: SparkSession, d: str) -> DataFrame:
