@@ -323,3 +323,34 @@ def test_prior_is_chosen_within_the_sample(spark):
     turned = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = (toxicity.fit(docs, x) for x in (labels, turned))
     assert a[2] == b[2] and np.array_equal(a[0], b[0]) and np.allclose(a[1], b[1])
+
+
+# --- licences by a share of the template's words; one long conversation in many tasks
+
+
+def test_a_few_words_of_a_template_are_no_label(spark):
+    from utrflow.llm import licenses
+
+    df = spark.createDataFrame([(0, "mit license"), (1, "Released under the MIT License."), (2, None), (3, "released under some other licence of mit")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(df).collect()}
+    assert got == {0: ("", 0.0), 1: ("mit", 1.0), 2: ("", 0.0), 3: ("", 0.0)}
+
+
+def test_one_conversation_of_all_rows(spark):
+    from utrflow.llm import quotes
+
+    r = random.Random(6)
+    rows = [(1, t, r.choice(["user", "assistant"]), f"message {t} says {t * 7}" + (f"\n> message {r.randrange(t)} says nothing" if t % 5 == 3 else f"\n> message {t // 2} says {t // 2 * 7}" if t % 3 == 2 else "")) for t in range(1500)]
+    rows += [(1, 3, "user", "message 3 says 21"), (None, None, None, None), (None, 4, "user", "a"), (None, 4, "user", "a"), (2, 0, "user", "b")]
+    got = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(8)).collect()
+    assert len(got) == len(rows)
+    for name, n in ((1, 1501), (None, 3), (2, 1)):
+        own = sorted((x for x in got if x["conv_id"] == name), key=lambda x: x["position"])
+        assert [x["position"] for x in own] == list(range(n))
+        key = lambda x: (x["depth"], x["turn"] is not None, x["turn"] or 0, x["role"] or "", x["text"] or "")
+        assert [key(x) for x in own] == sorted(map(key, own))
+    depth = {x["turn"]: x["depth"] for x in got if x["conv_id"] == 1}
+    for x in got:
+        if x["conv_id"] == 1 and x["turn"]:
+            want = x["turn"] // 2 if x["turn"] % 3 == 2 and x["turn"] % 5 != 3 else x["turn"] - 1
+            assert x["reply_to"] == want and x["depth"] == depth[want] + 1

@@ -1,7 +1,7 @@
 """Licence scans by a positional index of rare words, in DataFrame functions.
 
 The templates' words have postings (template, position). Of each template the words with the highest inverse document
-frequency over the corpus are looked up in each text; postings that agree on the offset between text and template support a candidate,
+frequency over the corpus are looked up in each file, at all their places; postings that agree on the offset between text and template support a candidate,
 and a candidate whose mandatory key phrases all stand in the text becomes a label.
 """
 
@@ -38,7 +38,7 @@ TEMPLATES = [
 ]
 #: Of each template so many words of the highest inverse document frequency are looked up, at all their places in a text.
 LOOKED_UP = 8
-#: A candidate needs so great a share of the looked-up template words at one offset.
+#: A candidate needs so great a share of the template's looked-up words at one offset.
 AGREE = 0.5
 
 
@@ -98,9 +98,8 @@ def scan(df: DataFrame, text: str = "text", id_col: str = "doc_id", templates: l
     index = postings(spark, templates).join(idf, "word").withColumn("n", F.row_number().over(rarest)).filter(F.col("n") <= looked_up).drop("n", "idf")  # of a fixed size, as are the vocabulary's frequencies
     hits = found.select("__row", F.posexplode("__words").alias("at", "word")).join(F.broadcast(index), "word")
     candidates = hits.groupBy("__row", "template", (F.col("at") - F.col("position")).alias("offset")).agg(F.countDistinct("position").alias("same"), F.first("length").alias("length"))
-    asked = hits.groupBy("__row", "template").agg(F.countDistinct("position").alias("asked"))
-    best = candidates.groupBy("__row", "template").agg(F.max("same").alias("same"), F.first("length").alias("length")).join(asked, ["__row", "template"])
-    likely = best.filter(F.col("same") >= agree * F.col("asked")).withColumn("share", F.least(F.lit(1.0), F.col("same") / F.least("length", F.lit(looked_up))))
+    best = candidates.groupBy("__row", "template").agg(F.max("same").alias("same"), F.first("length").alias("length"))
+    likely = best.withColumn("share", F.least(F.lit(1.0), F.col("same") / F.least("length", F.lit(looked_up)))).filter(F.col("share") >= agree)
     per_row = likely.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("template", "share"))).alias("__likely"))
     labelled = found.join(per_row, "__row", "left")
     present = {}
@@ -147,9 +146,8 @@ i AS (SELECT p.* FROM p JOIN f USING (word) QUALIFY row_number() OVER (PARTITION
 u AS (SELECT id, unnest(w) AS word, unnest(range(0, len(w))) AS place FROM d),
 h AS (SELECT id, template, position, length, place - position AS shift FROM u JOIN i USING (word)),
 c AS (SELECT id, template, shift, count(DISTINCT position) AS same, any_value(length) AS length FROM h GROUP BY ALL),
-a AS (SELECT id, template, count(DISTINCT position) AS asked FROM h GROUP BY ALL),
 k AS (SELECT id, template, max(same) AS same, any_value(length) AS length FROM c GROUP BY ALL),
-o AS (SELECT id, label, least(1.0::DOUBLE, same / least(length, {LOOKED_UP})) AS share FROM k JOIN a USING (id, template) JOIN t USING (template) JOIN d USING (id) WHERE same >= {AGREE} * asked AND len(list_filter(phrases, lambda x: NOT contains(line, ' ' || x || ' '))) = 0),
+o AS (SELECT id, label, least(1.0::DOUBLE, same / least(length, {LOOKED_UP})) AS share FROM k JOIN t USING (template) JOIN d USING (id) WHERE same / least(length, {LOOKED_UP}) >= {AGREE} AND len(list_filter(phrases, lambda x: NOT contains(line, ' ' || x || ' '))) = 0),
 q AS (SELECT id, list(DISTINCT label) AS labels, max(share) AS share FROM o GROUP BY id),
 b AS (SELECT id, doc_id, w, {", ".join(f"list_filter(range(0, len(w)), lambda x: array_to_string(w[x + 1:x + {len(phrase.split())}], ' ') = '{phrase}') AS b{n}" for n, phrase in enumerate(BASE))} FROM d),
 z AS (SELECT id, doc_id, len(w) AS n_words, {" || ".join(f"b{n}" for n in range(len(BASE)))} AS places, list_filter([{", ".join(f"CASE WHEN len(b{n}) > 0 THEN '{label}' END" for n, label in enumerate(BASE.values()))}], lambda x: x IS NOT NULL) AS base FROM b)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from utrflow.plans.storage import written
+from utrflow.plans.storage import join_sized, numbered, written
 
 #: Fixed value of the format: the marks at the start of a quoted line.
 MARKS = r"^[\x20\t]*((?:>[\x20\t]*)+)"
@@ -70,22 +70,29 @@ def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     shared = pieces.join(written_by, ["conv", "hash"]).filter("turn is null or source < turn").groupBy("row", "level", "at", "source").agg(F.count(F.lit(1)).alias("n"))
     most = shared.groupBy("row", "level", "at").agg(F.max(F.struct("n", "source")).alias("best")).select("row", "level", "at", "best.source")
     found = whole.unionByName(most).groupBy("row").agg(F.max(F.struct((-F.col("level")).alias("near"), "source")).alias("best")).select("row", F.col("best.source").alias("linked_to"))
-    before = rows.select("conv", "turn").distinct().withColumn("previous", F.lag("turn").over(Window.partitionBy("conv").orderBy("turn")))
+    # turns are numbered by ranges, so that no task holds a whole conversation
+    order = numbered(rows.select("conv", "turn").distinct(), ["conv", "turn"])
+    ahead = order.select((F.col("number") + 1).alias("number"), F.col("conv").alias("c"), F.col("turn").alias("previous"))
+    before = order.join(ahead, "number").filter("conv = c").select("conv", "turn", "previous")
     clean = F.trim(F.array_join(F.filter(F.split(F.col("text"), r"\r\n|\r|\n", -1), lambda line: _level(line) == 0), "\n"))
     joined = rows.join(before.filter("previous is not null").withColumnRenamed("turn", "t").withColumnRenamed("conv", "c"), (F.col("conv") == F.col("c")) & (F.col("turn") == F.col("t")), "left").drop("c", "t").join(counts, "row", "left").join(found, "row", "left")
     messages = written(joined.select("row", "name", "conv", "turn", "role", F.when(F.col("n_quotes").isNotNull(), clean).otherwise(F.col("text")).alias("text"), F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("max_level", F.lit(0)).cast("long").alias("max_level"), F.col("linked_to").isNotNull().alias("linked"), F.coalesce("linked_to", "previous").alias("reply_to")), "replies")
     # the depth: where all replies go to the turn before, it is the turn's rank; else the parents are followed by doubling
     turns = messages.groupBy("conv", "turn").agg(F.max("reply_to").alias("up"), F.max("linked").alias("any"))
-    ranked = turns.withColumns({"rank": F.dense_rank().over(Window.partitionBy("conv").orderBy("turn")) - 1, "tangled": F.max("any").over(Window.partitionBy("conv"))})
-    plain = ranked.filter("not tangled").select("conv", "turn", F.col("rank").cast("long").alias("depth"))
-    hop = ranked.filter("tangled and turn is not null").select("conv", "turn", "up", F.col("up").isNotNull().cast("long").alias("steps"))
+    talk = order.groupBy("conv").agg(F.min("number").alias("first"), F.count(F.lit(1)).alias("many"))
+    talk = written(talk.join(turns.groupBy("conv").agg(F.max("any").alias("tangled")), "conv"), "conversations")
+    total = talk.agg(F.sum("many")).first()[0] or 0
+    plain = join_sized(order, talk, "conv", "many", total).filter("not tangled").select("conv", "turn", (F.col("number") - F.col("first")).alias("depth"))
+    hop = join_sized(turns, talk, "conv", "many", total).filter("tangled and turn is not null").select("conv", "turn", "up", F.col("up").isNotNull().cast("long").alias("steps"))
     while not hop.filter("up is not null").isEmpty():
         nexts = hop.select(F.col("conv").alias("c"), F.col("turn").alias("t"), F.col("up").alias("further"), F.col("steps").alias("more"))
         hop = written(hop.join(nexts, (F.col("conv") == F.col("c")) & (F.col("up") == F.col("t")), "left").select("conv", "turn", F.col("further").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "hops")
     depths = plain.unionByName(hop.select("conv", "turn", F.col("steps").cast("long").alias("depth"))).select(F.col("conv").alias("c"), F.col("turn").alias("t"), "depth")
     placed = messages.join(depths, (F.col("conv") == F.col("c")) & F.col("turn").eqNullSafe(F.col("t")), "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
-    position = (F.row_number().over(Window.partitionBy("conv").orderBy("depth", "turn", "role", "text", "row")) - 1).cast("long")
-    return placed.withColumn("position", position).select(F.col("name").alias(conv), F.col("turn").alias(turn), F.col("role").alias(role), F.col("text").alias(text), "n_quotes", "max_level", "linked", "reply_to", "depth", "position")
+    placed = numbered(placed.drop("c", "t"), ["conv", "depth", "turn", "role", "text", "row"])
+    first = written(placed.groupBy("conv").agg(F.min("number").alias("first"), F.count(F.lit(1)).alias("many")), "first-messages")
+    placed = join_sized(placed, first, "conv", "many", first.agg(F.sum("many")).first()[0] or 0).withColumn("position", F.col("number") - F.col("first"))
+    return placed.select(F.col("name").alias(conv), F.col("turn").alias(turn), F.col("role").alias(role), F.col("text").alias(text), "n_quotes", "max_level", "linked", "reply_to", "depth", "position")
 
 
 def op5_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
