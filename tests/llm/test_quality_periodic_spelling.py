@@ -354,3 +354,22 @@ def test_one_conversation_of_all_rows(spark):
         if x["conv_id"] == 1 and x["turn"]:
             want = x["turn"] // 2 if x["turn"] % 3 == 2 and x["turn"] % 5 != 3 else x["turn"] - 1
             assert x["reply_to"] == want and x["depth"] == depth[want] + 1
+
+
+def test_values_of_one_text_meet_its_terms_once(spark, monkeypatch):
+    """A text with many addresses of its own: as many pairs as it has rare terms, and the result that each address alone gives."""
+    from utrflow.llm import pii
+
+    common = "plain ordinary words that every text here holds"
+    many = " ".join(f"user{i}@mail{i}.org" for i in range(60))
+    docs = [(0, f"{common} secretive {many}"), (1, f"{common} shared@both.org peculiar"), (2, f"{common} shared@both.org peculiar other@two.org")] + [(3 + i, f"{common} {i} number") for i in range(40)]
+    made = {}
+    real = pii.written
+    monkeypatch.setattr(pii, "written", lambda df, name: made.setdefault(name, real(df, name)))
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert made["pairs"].filter("pair like 'secretive%'").count() == 1
+    monkeypatch.undo()
+    alone = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame([(0, f"{common} secretive user0@mail0.org"), *docs[1:]], "doc_id long, text string")).collect()}
+    start = len(common) + 1
+    assert f"term:{start}:{start + 9}" in got[0] and f"term:{start}:{start + 9}" in alone[0] and got[1] == alone[1] and got[2] == alone[2]
+    assert got[1].count("term") == 1 and got[3] == ""

@@ -94,6 +94,8 @@ def disclosing(found: DataFrame, corpus: DataFrame, text: str, alpha: float = AL
     occur together where one text holds both, however far apart; equal texts count once. Terms are words of at least four
     letters, in lower case.
     ``remove`` is true for terms that occur with no other value's text at all; the others can be generalised.
+    A text meets its terms once for each class of its values, not for each value: its thousand addresses that stand nowhere
+    else are one class.
     """
     own = written(found.groupBy("digest").agg(F.min(F.struct("text", "spans")).alias("d"), F.count(F.lit(1)).alias("copies")).select("digest", "copies", "d.*"), "found")
     none = own.limit(0).select("digest", "copies", F.array().cast("array<struct<term:string,remove:boolean>>").alias("terms"))
@@ -104,7 +106,9 @@ def disclosing(found: DataFrame, corpus: DataFrame, text: str, alpha: float = AL
     words = written(texts.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term")), "term_counts")
     total = corpus.filter(F.col(text).isNotNull()).select(F.sha2(F.col(text), 256)).distinct().count()
     values = written(own.select("digest", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"])))).alias("key")), "values")
-    sizes = written(values.groupBy("key").agg(F.count(F.lit(1)).alias("with_value")), "value_counts")
+    # values that the same texts hold are one: their class is told by the number and two hashes of the texts' set
+    one = lambda seed: F.bit_xor(F.xxhash64("digest", F.lit(seed))).cast("string")
+    sizes = written(values.groupBy("key").agg(F.count(F.lit(1)).alias("with_value"), F.concat_ws(":", F.count(F.lit(1)).cast("string"), one(1), one(2)).alias("class")), "value_counts")
     n, most = sizes.agg(F.sum("with_value"), F.max("with_value")).first()
     tokens = words.agg(F.sum("with_term")).first()[0] or 0
     # what no test can pass is left out before terms meet values: a term in more texts than even the commonest value allows,
@@ -112,8 +116,9 @@ def disclosing(found: DataFrame, corpus: DataFrame, text: str, alpha: float = AL
     rare = words.filter(F.col("with_term") + SMOOTH <= (most + SMOOTH) ** (1 / alpha) * (total + 2 * SMOOTH) ** (1 - 1 / alpha) * (1 + 1e-9))
     terms = join_sized(own.select("digest", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")), rare, "term", "with_term", tokens).filter("with_term is not null")
     counts = lambda both: discloses(both, F.col("with_value"), F.col("with_term"), total, alpha)
-    pairs = join_sized(values, sizes, "key", "with_value", n).join(terms, "digest").filter(counts(F.least("with_value", "with_term")))
-    pairs = written(pairs.select("digest", F.concat_ws("\n", "term", "key").alias("pair"), "with_value", "with_term"), "pairs")
+    classes = join_sized(values, sizes, "key", "with_value", n).groupBy("digest", "class").agg(F.max("with_value").alias("with_value"))
+    pairs = classes.join(terms, "digest").filter(counts(F.least("with_value", "with_term")))
+    pairs = written(pairs.select("digest", F.concat_ws("\n", "term", "class").alias("pair"), "with_value", "with_term"), "pairs")
     tested = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("both"), F.max("with_value").alias("with_value"), F.max("with_term").alias("with_term")).filter(counts(F.col("both")))
     tested = written(tested.select("pair", "both", (F.col("with_term") <= F.col("with_value")).alias("remove")), "terms")
     told = join_sized(pairs.select("digest", "pair"), tested, "pair", "both", pairs.count()).filter("remove is not null")
