@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from utrflow.operators.intervals import until
 from utrflow.operators.kmers import filled, fractions, reads_with
-from utrflow.plans.storage import numbered
+from utrflow.plans.storage import numbered, small
 
 
 def ratios(bound: DataFrame, control: DataFrame, value: str, name: str, on: list[str] = ("kmer",)) -> DataFrame:
@@ -209,7 +209,7 @@ def ska_batched(windows: DataFrame, start: DataFrame, passes: int = 10) -> DataF
     weights = start.withColumnRenamed("value", "weight")
     size = weights.count()
     for _ in range(passes):
-        parts = windows.join(F.broadcast(weights), "kmer")  # 4^k rows
+        parts = windows.join(small(weights, size), "kmer")
         total = parts.groupBy("read_id").agg(F.sum("weight").alias("t"))
         got = parts.join(total, "read_id").groupBy("kmer").agg(F.sum(F.col("weight") / F.col("t")).alias("g"))
         mixed = weights.join(got, "kmer", "left").withColumn("s", F.col("weight") + F.coalesce("g", F.lit(0.0)))

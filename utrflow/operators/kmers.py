@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from utrflow.functions.sequence import all_kmers, kmer_index, kmers, pieces
+from utrflow.plans.storage import small
 
 
 def positions(reads: DataFrame, k: int, by: list[str] = (), read: str = "read_id", seq: str = "seq", name: str = "kmer", at: str = "pos") -> DataFrame:
@@ -28,7 +29,7 @@ def counts_per_read(reads: DataFrame, k: int, read: str = "read_id") -> DataFram
 def filled(counted: DataFrame, samples: DataFrame, k: int, letters: str = "ACGT", name: str = "kmer") -> DataFrame:
     """``counted`` (by, kmer, n) with a row of n = 0 for each of the 4^k k-mers that one of the ``samples`` (by) hasn't."""
     every = all_kmers(counted.sparkSession, k, letters).withColumnRenamed("kmer", name)
-    frame = samples.crossJoin(F.broadcast(every)) if samples.columns else every  # 4^k rows
+    frame = samples.crossJoin(small(every, 4**k)) if samples.columns else every
     return frame.join(counted, [*samples.columns, name], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
@@ -126,10 +127,10 @@ def mutual_information(joint: DataFrame, freqs: DataFrame, k: int, by: list[str]
     """
     keys = [*by, "d"]
     f = lambda name: freqs.select(*by, F.col("kmer").alias(name), (F.col("freq") / 4**k).alias(f"__{name}"))
-    cells = filled(joint, joint.select(*keys).distinct().crossJoin(F.broadcast(all_kmers(joint.sparkSession, k, letters).withColumnRenamed("kmer", "a"))), k, letters, "b")
+    cells = filled(joint, joint.select(*keys).distinct().crossJoin(small(all_kmers(joint.sparkSession, k, letters).withColumnRenamed("kmer", "a"), 4**k)), k, letters, "b")
     cells = cells.withColumn("n", F.col("n") + pseudo)
     total = cells.groupBy(*keys).agg(F.sum("n").alias("t"))
-    full = cells.join(F.broadcast(total), keys).join(F.broadcast(f("a")), [*by, "a"]).join(F.broadcast(f("b")), [*by, "b"])  # 4^k rows a sample
+    full = cells.join(F.broadcast(total), keys).join(small(f("a"), 4**k), [*by, "a"]).join(small(f("b"), 4**k), [*by, "b"])
     p = F.col("n") / F.col("t")
     return full.groupBy(*keys).agg(F.sum(p * F.log2(p / (F.col("__a") * F.col("__b")))).alias("mi"))
 
@@ -239,8 +240,8 @@ def weighted_ratios(bound: DataFrame, control: DataFrame, bound_reads: DataFrame
 
     ``bound_reads`` has the number of reads (by, reads) of each sample.
     """
-    every = F.broadcast(all_kmers(bound.sparkSession, k, letters))  # 4^k rows
+    every = small(all_kmers(bound.sparkSession, k, letters), 4**k)
     frame = bound_reads.crossJoin(every).join(bound.select(*by, "kmer", F.col("weight").alias("__b")), [*by, "kmer"], "left")
-    frame = frame.join(F.broadcast(control.select("kmer", F.col("weight").alias("__c"))), "kmer", "left")
+    frame = frame.join(small(control.select("kmer", F.col("weight").alias("__c")), 4**k), "kmer", "left")
     own = lambda c, n: (F.coalesce(c, F.lit(0.0)) + 1) / n
     return frame.select(*by, "kmer", (own("__b", F.col("reads")) / own("__c", F.lit(control_reads))).alias("w"))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from utrflow.functions.sequence import IUPAC, all_kmers
 
 BASES = "ACGU"
+#: Rows of a motif table that goes to the driver and to each task: some twenty thousand motifs of 12 positions.
+MOST_MOTIF_ROWS = 1 << 20
 
 
 def site_scores(seq: Column, weights: list[list[float]], nonspecific: float = 0.0) -> Column:
@@ -68,6 +70,8 @@ def score_many(seqs: DataFrame, psams: DataFrame, seq: str = "seq", reduce: str
     set are relative to its strongest. ``reduce``: sum or max over places.
     """
     sets: dict[str, list] = {}
+    if psams.count() > MOST_MOTIF_ROWS:
+        raise ValueError(f"more than {MOST_MOTIF_ROWS} rows are no motif table")
     for (rbp, _), rows in psams.toPandas().groupby(["rbp", "motif"]):
         m = np.zeros((int(rows["pos"].max()) + 1, 5))
         for r in rows.itertuples():

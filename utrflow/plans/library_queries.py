@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from utrflow.functions import measures as m
 from utrflow.functions import sequence as s
-from utrflow.operators import compare, enrichment, fitting, kmers, psam, states, structure
+from utrflow.operators import annotate, compare, enrichment, fitting, kmers, psam, states, structure
 from utrflow.plans.model_queries import SECOND, _motif, _open, _open_sql
 from utrflow.plans.queries import _PART_SQL, _R_SQL, MOTIF, READS, _base_sql, _freq_sql, _kmer_sql, _parts, _r, reads, table
 from utrflow.plans.storage import new_path, written
@@ -314,5 +314,33 @@ Q102 = (
     "SELECT lang, kmer, round(any_value(share), 8) AS share, round(sqrt(avg((f - share) ** 2) / count(*)), 8) AS error FROM e JOIN w USING (lang, kmer) GROUP BY ALL"
 )
 
+def q103_variants_file(spark: SparkSession, d: str) -> DataFrame:
+    """Lines written as a gzipped VCF (with its head, and some that aren't single nucleotides), read back, and made ready."""
+    x = table(spark, d, "lineitem")
+    ref, alt = F.element_at(F.array(*map(F.lit, "ACGT")), (F.col("l_linenumber") % 4 + 1).cast("int")), F.when(F.col("l_suppkey") % 5 == 0, "GT").otherwise(F.element_at(F.array(*map(F.lit, "cgta")), (F.col("l_linenumber") % 4 + 1).cast("int")))
+    cells = [F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("chr"), F.col("l_suppkey") % 22 + 1)).otherwise((F.col("l_suppkey") % 22 + 1).cast("string")), (F.col("l_orderkey") + 1).cast("string"), F.concat(F.lit("rs"), F.col("l_partkey")), ref, alt, F.lit("."), F.lit("PASS"), F.lit("A=1;B=2"), F.lit("GT")]
+    head = spark.createDataFrame([("##fileformat=VCFv4.2",), ("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT",)], "value string")
+    path = new_path(spark, "variants")
+    x.select(F.concat_ws("\t", *cells).alias("value")).unionByName(head).write.option("compression", "gzip").text(path)
+    own = annotate.single_nucleotide(files.read_vcf(spark, path))
+    return own.groupBy("variant_id", "chrom", "start", "end", "ref", "alt").agg(F.count(F.lit(1)).alias("n"), F.min("info").alias("info"))
+
+
+Q103 = "WITH v AS (SELECT 'chr' || (l_suppkey % 22 + 1) AS chrom, l_orderkey AS s, 'ACGT'[(l_linenumber % 4 + 1)::INT] AS ref, 'CGTA'[(l_linenumber % 4 + 1)::INT] AS alt, 'rs' || l_partkey AS info FROM lineitem WHERE l_suppkey % 5 <> 0) SELECT chrom || '_' || (s + 1) || '_' || ref || '_' || alt AS variant_id, chrom, s AS start, s + 1 AS \"end\", ref, alt, count(*) AS n, min(info) AS info FROM v GROUP BY ALL"
+
+
+def q104_genome(spark: SparkSession, d: str) -> DataFrame:
+    """The reads as a genome in a FASTA file: variants' windows fetched from its chunks by strand, and whether the reference base stands there."""
+    path = new_path(spark, "genome")
+    x = reads(spark, d).withColumn("strand", F.when(F.col("read_id") % 2 == 0, "+").otherwise("-"))
+    files.reads_as_fasta(x, path)
+    genome = written(files.genome_chunks(files.read_fasta(spark, path), 256), "genome")
+    places = x.filter("length(seq) >= 100").withColumn("at", F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(97))))
+    variants = places.select(F.col("read_id").cast("string").alias("chrom"), F.col("at").cast("long").alias("start"), (F.col("at") + 1).cast("long").alias("end"), F.lit("A").alias("ref"), "strand")
+    return annotate.windows(variants, genome, 256).select(F.col("chrom").cast("long").alias("read_id"), "start", F.md5("seq").alias("digest"), "ref_match")
+
+
+Q104 = f"WITH {READS}, p AS (SELECT read_id, seq, read_id % 2 = 0 AS fw, unnest(generate_series(0, length(seq) - 1, 97)) AS x FROM reads WHERE length(seq) >= 100), w AS (SELECT *, substr(seq, (x - 42)::BIGINT, 87) AS w FROM p WHERE x >= 43 AND x + 44 <= length(seq)) SELECT read_id, x AS start, md5(CASE WHEN fw THEN w ELSE reverse(translate(w, 'ACGT', 'TGCA')) END) AS digest, seq[(x + 1)::INT] = 'A' AS ref_match FROM w"
+
 QUERIES = {name: f for name, f in globals().items() if name[:1] == "q" and name[1:3].isdigit()}
 ORACLE_SQL = {name: globals()[name.split("_")[0].upper()] for name in QUERIES if name.split("_")[0].upper() in globals()}

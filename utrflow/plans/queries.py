@@ -639,10 +639,12 @@ Q61 = f"WITH {_ANNOTATED_SQL}, o AS (SELECT {_ANNOTATED_COLUMNS} FROM f) SELECT
 
 
 def q53_hull(spark: SparkSession, d: str) -> DataFrame:
-    return s.all_kmers(spark, 3).select("kmer", F.explode(s.hull(F.col("kmer"), "ACGT")).alias("near"))
+    """Of each 3-mer how often it or one that differs in a base occurs."""
+    x = kmers.counts(reads(spark, d), 3).select(F.explode(s.hull(F.col("kmer"), "ACGT")).alias("kmer"), "n")
+    return x.groupBy("kmer").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("near"))
 
 
-Q53 = "WITH b AS (SELECT unnest(['A', 'C', 'G', 'T']) AS b), k AS (SELECT x.b || y.b || z.b AS kmer FROM b x CROSS JOIN b y CROSS JOIN b z) SELECT p.kmer, q.kmer AS near FROM k p CROSS JOIN k q WHERE hamming(p.kmer, q.kmer) <= 1"
+Q53 = f"WITH {READS}, {_kmer_sql(3)}, c AS (SELECT kmer, count(*) AS n FROM km GROUP BY 1), b AS (SELECT unnest(['A', 'C', 'G', 'T']) AS b), k AS (SELECT x.b || y.b || z.b AS kmer FROM b x CROSS JOIN b y CROSS JOIN b z) SELECT k.kmer, sum(n)::BIGINT AS n, count(*) AS near FROM k JOIN c ON hamming(k.kmer, c.kmer) <= 1 GROUP BY 1"
 
 
 def q54_kmer_index(spark: SparkSession, d: str) -> DataFrame:

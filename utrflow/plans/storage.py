@@ -85,6 +85,15 @@ def numbered(rows: DataFrame, order: list, name: str = "number") -> DataFrame:
     return table.join(F.broadcast(first), "__part").withColumn(name, F.col("__first") + F.col("__at")).drop("__part", "__at", "__first")
 
 
+#: Tables of up to so many rows (4^8) are broadcast by hint; how larger ones are joined is Spark's choice.
+SMALL = 1 << 16
+
+
+def small(table: DataFrame, rows: int) -> DataFrame:
+    """``table``, of at most so many rows by what it is, with a broadcast hint if they are few."""
+    return F.broadcast(table) if rows <= SMALL else table
+
+
 def join_sized(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, share: int = 1000) -> DataFrame:
     """Left join of ``rows`` to ``groups`` (unique ``key``, with the number of rows of each group in ``size``).
 
