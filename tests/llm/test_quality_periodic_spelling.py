@@ -373,3 +373,67 @@ def test_values_of_one_text_meet_its_terms_once(spark, monkeypatch):
     start = len(common) + 1
     assert f"term:{start}:{start + 9}" in got[0] and f"term:{start}:{start + 9}" in alone[0] and got[1] == alone[1] and got[2] == alone[2]
     assert got[1].count("term") == 1 and got[3] == ""
+
+
+# --- the distributed paths of earlier operators
+
+
+def test_the_two_bloom_passes(spark, monkeypatch):
+    """With no hashes counted on the driver, both passes run in tasks and are added up by segment."""
+    from utrflow.llm import bloom, exact_dedup
+
+    monkeypatch.setattr(bloom, "FEW", 0)
+    r = random.Random(9)
+    rows = [(i, f"text number {r.randrange(3000)}" + ("  " if i % 3 else " ") + "end") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t), []).append(i)
+    got = {x["doc_id"]: (x["keep_id"], x["group_size"], x["kept"]) for x in exact_dedup.dedup_index(df).collect()}
+    assert got == {i: (min(g), len(g), i == min(g)) for g in groups.values() for i in g}
+    hashed = spark.createDataFrame([(i % 500,) for i in range(700)] + [(None,)], "h long").repartition(4)
+    bits = np.frombuffer(bloom.repeated_filter(hashed, "h", 701), np.uint8)
+    hit = bloom.hits(bits, np.arange(500, dtype=np.int64), bloom.cells_for(701))
+    assert hit[:200].all() and hit[200:].mean() < 0.05  # those that occur twice, always; the others, seldom
+
+
+def test_the_join_with_every_list_long(spark, monkeypatch):
+    """With all lists treated as long, the links are the same."""
+    from utrflow.llm import ngram_join
+
+    r = random.Random(12)
+    base = [" ".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(6, 40))) for _ in range(25)]
+    docs = [(i, t) for i, t in enumerate(t if r.random() < 0.4 else " ".join(w if r.random() > 0.02 else "z" for w in t.split()) for t in base for _ in range(4))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    plain = {x["doc_id"]: x["component_id"] for x in ngram_join.jaccard_components(df).collect()}
+    monkeypatch.setattr(ngram_join, "LONG_LIST", 1)
+    assert {x["doc_id"]: x["component_id"] for x in ngram_join.jaccard_components(df).collect()} == plain and len(set(plain.values())) < 100
+
+
+def test_packed_windows(spark):
+    """Windows have 1024 places at most, are gapless, and few places stay empty."""
+    import public_tokenizers
+
+    from utrflow.llm import packing
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    windows, pieces = {}, {}
+    for x in rows:
+        windows.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
+        pieces.setdefault(x["doc_id"], []).append((x["start"], x["length"], x["doc_tokens"]))
+    empty = 0
+    for own in windows.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at and length > 0
+            at += length
+        assert at <= 1024
+        empty += 0 if at & (at - 1) == 0 else 1024 - at  # a power of two stays as it is
+    assert empty <= 0.02 * sum(x["length"] for x in rows)
+    for own in pieces.values():
+        at = 0
+        for start, length, _ in sorted(own):
+            assert start == at
+            at += length
+        assert at == own[0][2]

@@ -106,9 +106,9 @@ def disclosing(found: DataFrame, corpus: DataFrame, text: str, alpha: float = AL
     words = written(texts.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term")), "term_counts")
     total = corpus.filter(F.col(text).isNotNull()).select(F.sha2(F.col(text), 256)).distinct().count()
     values = written(own.select("digest", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"])))).alias("key")), "values")
-    # values that the same texts hold are one: their class is told by the number and two hashes of the texts' set
-    one = lambda seed: F.bit_xor(F.xxhash64("digest", F.lit(seed))).cast("string")
-    sizes = written(values.groupBy("key").agg(F.count(F.lit(1)).alias("with_value"), F.concat_ws(":", F.count(F.lit(1)).cast("string"), one(1), one(2)).alias("class")), "value_counts")
+    # values that the same texts hold are one: their class is told by two hashes of the texts' set, no longer than a value
+    one = lambda seed: F.lpad(F.conv(F.hex(F.bit_xor(F.xxhash64("digest", F.lit(seed)))), 16, 36), 13, "0")
+    sizes = written(values.groupBy("key").agg(F.count(F.lit(1)).alias("with_value"), F.concat(one(1), one(2)).alias("class")), "value_counts")
     n, most = sizes.agg(F.sum("with_value"), F.max("with_value")).first()
     tokens = words.agg(F.sum("with_term")).first()[0] or 0
     # what no test can pass is left out before terms meet values: a term in more texts than even the commonest value allows,
