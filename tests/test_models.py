@@ -487,3 +487,13 @@ def test_correlation_p():
 
     assert correlation_p(0.0, 10) == pytest.approx(1.0, abs=1e-6) and correlation_p(1.0, 10) == 0.0 and np.isnan(correlation_p(0.5, 2))
     assert correlation_p(0.632, 10) == pytest.approx(0.05, abs=0.001) and correlation_p(-0.765, 10) == pytest.approx(0.01, abs=0.001)  # tabulated
+
+
+def test_numbered_by_ranges(spark):
+    from utrflow.plans.storage import numbered
+
+    r = np.random.default_rng(40)
+    rows = [(int(x), int(y)) for x, y in zip(r.integers(0, 5, 500), r.permutation(500), strict=True)] + [(None, -1)]
+    got = numbered(spark.createDataFrame(rows, "a int, b int").repartition(6), ["a", "b"]).orderBy("number").collect()
+    assert [x["number"] for x in got] == list(range(501)) and [(x["a"], x["b"]) for x in got] == sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    assert numbered(spark.createDataFrame([], "a int"), ["a"]).count() == 0
