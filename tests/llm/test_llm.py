@@ -167,6 +167,15 @@ def test_warc_odd_pages(spark, tmp_path):
     assert all(r["record_type"] == "response" for r in rows if r["payload_bytes"] < 100)
 
 
+def test_warc_small_payloads_beside_repeated_ones(spark, tmp_path):
+    body = "x" * 120
+    rows = [(i, f"http://x/{i}", body if i % 3 else f"{i}") for i in range(3000)] + [(3000, "filedesc://x", "y" * 100), (3001, "filedesc://z", "y" * 100)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(map(tuple, warc.op4_warc(spark, str(tmp_path)).collect())) == sorted(con.execute(warc.OP4_SQL).fetchall())
+
+
 def test_warc_that_was_changed_is_not_sound(spark, tmp_path):
     pages = spark.createDataFrame([(i, "http://x/", f"{i} " * 90) for i in range(20)], "page_id long, url string, html string").coalesce(1)
     warc.write_warc(warc.arc_to_records(warc.pages_to_arc(pages)), str(tmp_path / "w"), size=10)

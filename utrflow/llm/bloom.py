@@ -105,6 +105,7 @@ def may_repeat(spark, bits: bytes, rows: int, column: str) -> Column:
     def test(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = np.frombuffer(shared.value, np.uint8)
         for s in batches:
-            yield pd.Series(hits(table, s.fillna(0).to_numpy().astype(np.int64), cells) & s.notna().to_numpy())
+            yield pd.Series(hits(table, s.to_numpy(), cells))
 
-    return test(F.col(column))
+    # nulls stay out of the batches: with one, pandas would make all its hashes floating-point numbers and round them
+    return F.col(column).isNotNull() & test(F.coalesce(F.col(column), F.lit(0)))

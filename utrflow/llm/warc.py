@@ -68,7 +68,7 @@ def arc_records(data: bytes) -> Iterator[ArcRecord]:
             continue
         end = data.find(b"\n", at)
         line = data[at:end].decode(errors="surrogateescape").rstrip("\r")
-        first = line.startswith("filedesc://")
+        first = line.startswith("filedesc://") and data[end + 1 : end + 6] != b"HTTP/"  # a page may have such a URL, too
         values = line.split(" ")
         if first:
             names = FIELDS[2] if len(values) == len(FIELDS[2]) else FIELDS[1]
@@ -99,7 +99,7 @@ def converted(record: ArcRecord) -> dict:
     head, _, body = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
     headers = dict(line.split(": ", 1) for line in head.decode(errors="replace").split("\r\n")[1:] if ": " in line)
     digest = hashlib.sha256(body).hexdigest()
-    kind = "warcinfo" if url.startswith("filedesc://") else "response" if http else "resource"
+    kind = "response" if http else "warcinfo" if url.startswith("filedesc://") else "resource"
     return {"url": url, "ip": record.fields.get("IP-address", "0.0.0.0"), "date": iso_date(record.fields["Archive-date"]), "kind": kind, "content_type": "application/http;msgtype=response" if http else record.fields["Content-type"], "head": head + b"\r\n\r\n" if http else b"", "payload": body, "payload_digest": digest, "http": headers}
 
 
