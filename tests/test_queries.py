@@ -27,6 +27,12 @@ def test_query(spark, name):
     assert sorted(rows, key=key) == sorted(map(tuple, want), key=key)
 
 
+def test_annotation_with_all_tables_returns_its_columns(spark):
+    from utrflow.operators import annotate
+
+    assert queries.q60_annotation_tables(spark, SF).columns == annotate.COLUMNS
+
+
 def test_all_have_sql_but_iterative_ones():
     assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"q33_ska", "q34_descent", "q49_motif_seeds", "q81_mean_field_fit", "q83_calibration"}
 
