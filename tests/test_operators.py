@@ -300,3 +300,23 @@ def test_kept_model_and_training_rows(spark, tmp_path):
     rows = rows.withColumns({c: F.col(c).cast("int") for c in training.TERMS}).withColumn("shared_region", F.col("number_isos").isin(1, 3).cast("int"))
     got = training.trained(rows, str(tmp_path / "model"))
     assert training.kept_model(spark, str(tmp_path / "model")) == got and set(got) == {"intercept", *training.TERMS}
+
+
+def test_portions_are_bounded_and_keep_the_rows():
+    from utrflow.operators.arrays import portions
+
+    part = pd.DataFrame({"id": range(300), "seq": ["A" * (i % 7 * 100) for i in range(300)], "acc": [np.zeros(i % 5 * 50) if i % 3 else None for i in range(300)]})
+    got = list(portions(iter([part, part.iloc[:0], part]), 2000))
+    assert [i for p in got for i in p["id"]] == [*range(300), *range(300)]
+    assert max(p["seq"].str.len().sum() for p in got) <= 2000 and max(len(p) for p in got) < 300
+    assert [len(p) for p in portions(iter([part.tail(3)]), 1)] == [1, 1, 1]
+
+
+def test_sites_come_in_small_batches(spark):
+    """No Arrow batch holds more than a few MB of reads, and the scores don't depend on the portions."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 28))
+    reads = spark.createDataFrame([(i, "ACGT" * 2500) for i in range(120)], "read_id long, seq string")
+    got = structure.with_sites(reads, [structure.Motif(((1.0, 0.0, 0.0, 0.0), (0.0, 1.0, 0.0, 0.0)))], keep=["read_id"])
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    rows = got.collect()
+    assert len(rows) == 120 and all(sum(r["z_sites"]) == 2500 for r in rows)

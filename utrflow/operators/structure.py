@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from utrflow.functions.sequence import index_kmer, kmers
-from utrflow.operators.arrays import flat
+from utrflow.operators.arrays import flat, portions, small_batches
 from utrflow.operators.fitting import CLIP
 
 
@@ -64,8 +64,9 @@ def with_sites(reads: DataFrame, motifs: list[Motif], nonspecific: float = 0.0,
     between as many adapter bases as the widest motif has, less one, and each motif is laid along all of that; with ``split``
     a column z_sites_0, z_sites_1, ... for each motif instead, in the order given. A null read has no places.
 
-    A batch's reads are scored together, base by base of the motif: linear in their length, and nothing is shuffled.
+    Portions of reads are scored together, base by base of the motif: linear in their length, and nothing is shuffled.
     """
+    small_batches(reads.sparkSession)
     pad, top = max(m.k for m in motifs) - 1, max(m.a0 for m in motifs)
     adapters = bool(left or right)
     if adapters and pad > min(len(left), len(right)):
@@ -77,7 +78,7 @@ def with_sites(reads: DataFrame, motifs: list[Motif], nonspecific: float = 0.0,
     names = [f"z_sites_{i}" for i in range(len(motifs))] if split else ["z_sites"]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+        for part in portions(parts):
             seqs = part.pop("__seq")
             arrays = {c: flat(part.pop(f"__{c}")) for c in accs}
             x, own, at = _places([before + s + after if s is not None else "" for s in seqs])
@@ -124,14 +125,15 @@ def two_site_totals(sites: DataFrame, first: str, second: str, costs: list[float
     """(keep, name): the sum over a read of first[i] + second[i] + the pairs first[i - d] * second[i] * costs[d - 1], for d from
     1 to len(costs).
 
-    ``first`` and ``second`` are arrays of one length, with a value per place; null where either is. The pairs of a batch are
+    ``first`` and ``second`` are arrays of one length, with a value per place; null where either is. The pairs of a portion are
     taken distance by distance over all its reads at once: linear in the reads' length and in the number of costs; no pair
     becomes a row.
     """
+    small_batches(sites.sparkSession)
     weights = np.asarray(costs, float)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+        for part in portions(parts):
             a, b = part.pop("__a"), part.pop("__b")
             x, own, at = flat(a)
             y, other, _ = flat(b)
@@ -155,11 +157,12 @@ def spacing_profile(sites: DataFrame, first: str, second: str, k1: int, k2: int,
 
     A task adds up 2 ``most`` + 1 numbers; only those are shuffled.
     """
+    small_batches(sites.sparkSession)
     shift, size = k1 - k2, 2 * most + 1
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         z, n = np.zeros(size), np.zeros(size, np.int64)
-        for part in parts:
+        for part in portions(parts):
             (x, own, at), (y, other, _) = flat(part[first]), flat(part[second])
             starts = np.searchsorted(other, np.arange(len(part)))
             lengths = np.bincount(other, minlength=len(part))
@@ -184,13 +187,14 @@ def kmer_openness(reads: DataFrame, k: int, levels: str, reach: int, shift: int
     Places outside the array are left out, and k-mers with other letters than bases. A task counts into one array of
     4^k (k + 2 reach) ``bins`` numbers, whose cells that aren't 0 are what is shuffled.
     """
+    small_batches(reads.sparkSession)
     width = k + 2 * reach
     if 4**k * width * bins > COUNTERS:
         raise ValueError("so many k-mers, offsets and levels don't fit into a task's counters")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(4**k * width * bins, np.int64)
-        for part in parts:
+        for part in portions(parts):
             part = part.dropna()
             if part.empty:
                 continue
@@ -207,7 +211,7 @@ def kmer_openness(reads: DataFrame, k: int, levels: str, reach: int, shift: int
                 place = at + d - reach
                 hit = np.flatnonzero((place >= 0) & (place < sizes[own]))
                 cells = (index[hit] * width + d) * bins + level[starts[own[hit]] + place[hit]].astype(np.int64)
-                total += np.bincount(cells, minlength=len(total))
+                np.add.at(total, cells, 1)
         cells = np.flatnonzero(total)
         yield pd.DataFrame({"cell": cells, "n": total[cells]})
 
