@@ -202,16 +202,18 @@ def ska(reads: DataFrame, start: DataFrame, background: DataFrame, k: int, by: l
 def ska_batched(windows: DataFrame, start: DataFrame, passes: int = 10) -> DataFrame:
     """(kmer, weight): the same idea at scale: in each pass all reads (read_id, kmer) share by the last pass's weights.
 
-    An approximation of ``ska``: it does not depend on the order of reads, and each pass is two aggregations.
+    An approximation of ``ska``: it does not depend on the order of reads. A read's equal k-mers are counted once, so that a
+    pass goes over at most 4^k rows a read and brings only these together.
     """
     from utrflow.plans.storage import written
 
+    held = written(windows.groupBy("read_id", "kmer").agg(F.count(F.lit(1)).alias("n")), "held")
     weights = start.withColumnRenamed("value", "weight")
     size = weights.count()
     for _ in range(passes):
-        parts = windows.join(small(weights, size), "kmer")
-        total = parts.groupBy("read_id").agg(F.sum("weight").alias("t"))
-        got = parts.join(total, "read_id").groupBy("kmer").agg(F.sum(F.col("weight") / F.col("t")).alias("g"))
+        parts = held.join(small(weights, size), "kmer").withColumn("w", F.col("n") * F.col("weight"))
+        shares = parts.withColumn("t", F.sum("w").over(Window.partitionBy("read_id")))
+        got = shares.groupBy("kmer").agg(F.sum(F.col("w") / F.col("t")).alias("g"))
         mixed = weights.join(got, "kmer", "left").withColumn("s", F.col("weight") + F.coalesce("g", F.lit(0.0)))
         whole = mixed.agg(F.sum("s").alias("whole"))
         weights = written(mixed.crossJoin(F.broadcast(whole)).select("kmer", (F.col("s") / F.col("whole") * size).alias("weight")), "ska")
