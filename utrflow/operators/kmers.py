@@ -64,7 +64,9 @@ def pure_reads(reads: DataFrame, some: list[str], k: int, by: list[str] = ()) ->
 def best_hits(reads: DataFrame, ranks: DataFrame, k: int, by: list[str] = (), read: str = "read_id") -> DataFrame:
     """(by, kmer, n): each read counts for the k-mer of the best rank that it holds; ``ranks`` has (kmer, rank)."""
     held = positions(reads, k, by, read).join(F.broadcast(ranks), "kmer")
-    return held.groupBy(*by, read).agg(F.min_by("kmer", "rank").alias("kmer")).groupBy(*by, "kmer").agg(F.count(F.lit(1)).alias("n"))
+    # least ranks are numbers, which are aggregated without a sort of all windows; the k-mers come back at the end
+    best = held.groupBy(*by, read).agg(F.min("rank").alias("rank")).groupBy(*by, "rank").agg(F.count(F.lit(1)).alias("n"))
+    return best.join(F.broadcast(ranks.select("kmer", "rank")), "rank").select(*by, "kmer", "n")
 
 
 def fractions(hits: DataFrame, reads: DataFrame, k: int, by: list[str] = (), pseudo: float = 10.0, letters: str = "ACGT") -> DataFrame:
