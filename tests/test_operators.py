@@ -303,6 +303,8 @@ def test_kept_model_and_training_rows(spark, tmp_path):
 
 
 def test_portions_are_bounded_and_keep_the_rows():
+    import pandas as pd
+
     from utrflow.operators.arrays import portions
 
     part = pd.DataFrame({"id": range(300), "seq": ["A" * (i % 7 * 100) for i in range(300)], "acc": [np.zeros(i % 5 * 50) if i % 3 else None for i in range(300)]})

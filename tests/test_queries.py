@@ -33,6 +33,26 @@ def test_annotation_with_all_tables_returns_its_columns(spark):
     assert queries.q60_annotation_tables(spark, SF).columns == annotate.COLUMNS
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_letters_are_cut_out_once_and_counted_without_patterns(spark):
+    assert plan_of(queries.reads(spark, SF)).count("regexp_replace") == 1
+    assert plan_of(queries.q29_entropy(spark, SF)).count("regexp_replace") == 2  # the read, and its share of G and C
+
+
+def test_windows_are_scored_once_and_not_by_read(spark):
+    assert "BroadcastHashJoin" in plan_of(queries.q20_disruption(spark, SF))
+
+
+def test_best_hits_sort_no_windows(spark):
+    from utrflow.operators import kmers
+
+    x = queries.reads(spark, SF)
+    assert "SortAggregate" not in plan_of(kmers.best_hits(x, queries._ranks(spark, SF), 4, ["lang"]))
+
+
 def test_all_have_sql_but_iterative_ones():
     assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"q33_ska", "q34_descent", "q49_motif_seeds", "q81_mean_field_fit", "q83_calibration"}
 
