@@ -316,6 +316,8 @@ def test_portions_are_bounded_and_keep_the_rows():
 
 def test_sites_come_in_small_batches(spark):
     """No Arrow batch holds more than a few MB of reads, and the scores don't depend on the portions."""
+    from utrflow.operators import structure
+
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 28))
     reads = spark.createDataFrame([(i, "ACGT" * 2500) for i in range(120)], "read_id long, seq string")
     got = structure.with_sites(reads, [structure.Motif(((1.0, 0.0, 0.0, 0.0), (0.0, 1.0, 0.0, 0.0)))], keep=["read_id"])
