@@ -139,6 +139,37 @@ def test_ska_is_ordered_fold(spark):
     assert got["AA"] == pytest.approx(w["AA"] * 16 / total, rel=1e-5) and sum(got.values()) == pytest.approx(16, rel=1e-5)
 
 
+def test_ska_holds_no_sample_in_a_frame(spark):
+    r = random.Random(9)
+    rows = [(i, r.choice("xyz"), "".join(r.choice("ACGTUNacg") for _ in range(r.randint(0, 40)))) for i in range(400)] + [(400, "x", None), (401, None, "ACGTT")]
+    r.shuffle(rows)
+    reads = spark.createDataFrame(rows, "read_id long, lang string, seq string")
+    one = s.all_kmers(spark, 2).withColumn("value", F.lit(1.0)).crossJoin(reads.select("lang").distinct().filter("lang is not null"))
+    base = one.withColumn("value", F.when(F.col("kmer") == "AC", 2.0).otherwise(0.5))
+    got = enrichment.ska(reads, one, base, 2, ["lang"], passes=3, tolerance=0.0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and plan.count("Sort [") == plan.count("Exchange hashpartitioning(lang")  # sorted once, in order
+    found = {(x["lang"], x["kmer"]): x["weight"] for x in got.collect()}
+    names = [a + b for a in "ACGT" for b in "ACGT"]
+    assert len(found) == 4 * 16
+    for lang in ("x", "y", "z", None):
+        w, bg = np.ones(16, np.float32), np.full(16, 0.5 if lang else 1, np.float32)
+        bg[1] = 2 if lang else 1
+        for _ in range(3):
+            total = np.float32(w.sum())
+            z = np.float32(16 / total)
+            for _, _, seq in sorted((x for x in rows if x[1] == lang), key=lambda x: x[0]):
+                seq = (seq or "").upper().replace("U", "T")
+                at = np.array([names.index(seq[i : i + 2]) for i in range(len(seq) - 1) if seq[i : i + 2] in names], int)
+                if len(at):
+                    part = w[at] / bg[at] * z
+                    np.add.at(w, at, part / part.sum())
+                    total += np.float32(1)
+                    z = np.float32(16 / total)
+            w *= z
+        assert [found[lang, x] for x in names] == w.tolist()
+
+
 def test_gradient_equals_differences(spark):
     reads = simulate.reads(spark, 200, 12, 5)
     rng = np.random.default_rng(1)

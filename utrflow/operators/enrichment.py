@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from utrflow.operators.arrays import portions, small_batches
 from utrflow.operators.intervals import until
 from utrflow.operators.kmers import filled, fractions, reads_with
 from utrflow.plans.storage import numbered, small
@@ -154,49 +159,75 @@ def ska(reads: DataFrame, start: DataFrame, background: DataFrame, k: int, by: l
 
     Each weight changes as its read is seen, so the order of reads (by read_id) is part of the result: a sample is one
     ordered fold, and samples run in parallel. Passes end when no weight changes by the tolerance, or after ``passes``.
-    For samples that one task cannot hold see ``ska_batched``. ``start`` and ``background`` have (by, kmer, value).
+    A sample comes sorted and in batches; the numbers of its windows go to a file that each pass reads portion by portion,
+    so that a task's memory doesn't grow with it. ``start`` and ``background`` have (by, kmer, value).
     """
     size = 4**k
-    order = np.array([letters.index(c) for c in letters])
-
-    def codes(kmers: pd.Series) -> np.ndarray:
-        out = np.zeros(len(kmers), np.int64)
-        for i in range(k):
-            out = out * 4 + kmers.str[i].map({c: int(o) for c, o in zip(letters, order, strict=True)}).to_numpy(np.int64)
-        return out
-
-    def fold(key: tuple, own: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
+    narrow = next(t for t in (np.uint8, np.uint16, np.int32, np.int64) if size - 1 <= np.iinfo(t).max)
+    digits = np.full(256, 4, np.uint8)
+    for i, c in enumerate(letters):
+        digits[ord(c)] = i
+
+    def windows(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all windows in order, those with other letters left out, and how many each read has."""
+        seqs = [x.upper().replace("U", "T") if isinstance(x, str) else "" for x in texts]
+        x = digits[np.frombuffer(" ".join([*seqs, " " * k]).encode("ascii", "replace"), np.uint8)]  # a blank is in no window
+        n = max(0, len(x) - k + 1)
+        codes, good = np.zeros(n, np.int64), np.ones(n, bool)
+        for d in range(k):
+            codes = codes * 4 + x[d : d + n]
+            good &= x[d : d + n] < 4
+        ends = np.cumsum([len(q) + 1 for q in seqs])
+        counts = np.diff(np.concatenate([[0], np.cumsum(good)])[np.minimum(np.concatenate([[0], ends]), n)])
+        return codes[good], counts[counts > 0]
+
+    def fold(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, bg = np.ones(size, np.float32), np.ones(size, np.float32)
-        at = codes(tables["kmer"])
-        w[at], bg[at] = tables["start"].to_numpy(np.float32), tables["background"].to_numpy(np.float32)
-        own = own.sort_values("read_id", kind="stable")
-        windows = []
-        for seq in own["seq"].str.upper().str.replace("U", "T"):
-            found = [seq[i : i + k] for i in range(len(seq) - k + 1)]
-            found = [f for f in found if all(c in letters for c in f)]
-            if found:
-                windows.append(codes(pd.Series(found)))
-        for _ in range(passes):
-            before, total = w.copy(), np.float32(w.sum())
-            z = np.float32(size / total)
-            for x in windows:
-                part = w[x] / bg[x] * z
-                np.add.at(w, x, part / part.sum())
-                total += np.float32(1)
+        with tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None) as held:
+            blocks = 0
+            for part in portions(parts):
+                tables = part[part["kmer"].notna()]  # these come first
+                if len(tables):
+                    at, _ = windows(tables["kmer"])
+                    w[at], bg[at] = tables["start"].to_numpy(np.float32), tables["background"].to_numpy(np.float32)
+                codes, counts = windows(part.loc[part["kmer"].isna(), "seq"])
+                if len(counts):
+                    np.save(held, codes.astype(narrow))
+                    np.save(held, counts)
+                    blocks += 1
+            for _ in range(passes):
+                before, total = w.copy(), np.float32(w.sum())
                 z = np.float32(size / total)
-            w *= z
-            if np.abs(w - before).max() < tolerance:
-                break
+                held.seek(0)
+                for _ in range(blocks):
+                    codes = np.load(held).astype(np.intp)
+                    below, a = bg[codes], 0
+                    for b in np.cumsum(np.load(held)).tolist():
+                        x = codes[a:b]
+                        part = w[x]
+                        part /= below[a:b]
+                        part *= z
+                        part /= np.add.reduce(part)
+                        np.add.at(w, x, part)
+                        total += np.float32(1)
+                        z = np.float32(size / total)
+                        a = b
+                w *= z
+                if np.abs(w - before).max() < tolerance:
+                    break
         names = ["".join(letters[i >> 2 * (k - 1 - j) & 3] for j in range(k)) for i in range(size)]
-        return pd.DataFrame({**{c: v for c, v in zip(by, key, strict=True)}, "kmer": names, "weight": w.astype(float)})
+        yield pd.DataFrame({**{c: v for c, v in zip(by, key, strict=False)}, "kmer": names, "weight": w.astype(float)})
 
     keys = list(by) or ["__all"]
     add = (lambda df: df) if by else (lambda df: df.withColumn("__all", F.lit(0)))
     tables = add(start.withColumnRenamed("value", "start").join(background.withColumnRenamed("value", "background"), [*by, "kmer"]))
     fields = [f for f in reads.schema.fields if f.name in by]
     schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in fields], "kmer string, weight double"])
-    run = fold if by else (lambda key, a, b: fold((), a, b))
-    return add(reads).groupBy(*keys).cogroup(tables.groupBy(*keys)).applyInPandas(run, schema)
+    small_batches(reads.sparkSession)
+    both = tables.select(*keys, "kmer", "start", "background").unionByName(add(reads).select(*keys, "read_id", "seq"), allowMissingColumns=True)
+    # a sample's order is that of its partition: the grouping asks for no sort beyond this one
+    apart = both.repartition(*keys).sortWithinPartitions(*keys, F.col("kmer").isNull(), F.col("read_id").asc_nulls_last())
+    return apart.groupBy(*keys).applyInPandas(fold, schema)
 
 
 def ska_batched(windows: DataFrame, start: DataFrame, passes: int = 10) -> DataFrame:
