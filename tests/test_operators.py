@@ -189,6 +189,32 @@ def test_gradient_equals_differences(spark):
         assert g[i] == pytest.approx((ends[0] - ends[1]) / 2 / h, rel=2e-3, abs=1e-9)
 
 
+def test_descent_works_on_reads_of_all_lengths_at_once(monkeypatch):
+    import pandas as pd
+
+    r = np.random.default_rng(4)
+    seqs = pd.Series(["".join(r.choice(list("ACGTUNac"), size=n)) for n in [0, 1, 2, 3, *r.integers(0, 90, 200)]])
+    monkeypatch.setattr(fitting, "_kmers_of", lambda x, k, f=fitting._kmers_of: calls.append(x.shape) or f(x, k))
+    letters = {c: "ACGT".index(c.upper().replace("U", "T")) for c in "ACGTUac"}
+    for widths, k in (((4,), 3), ((3, 8), 5), ((1, 7), 1)):
+        calls: list = []
+        model = fitting.Model([r.random((w, 4)) * 0.9 + 0.1 for w in widths], r.random(len(widths)), np.ones(1))
+        part = fitting._Portion(seqs)
+        codes = [[letters.get(c, 4) for c in q] for q in seqs]
+        site = lambda w, x, i: np.prod([0 if x[i + d] > 3 else w[d, x[i + d]] for d in range(len(w))])
+        want = [sum(a * sum(site(w, x, i) for i in range(len(x) - len(w) + 1)) for a, w in zip(model.a0, model.weights)) for x in codes]
+        z = part.affinity(model)
+        assert z == pytest.approx(want, rel=1e-12)
+        found, total = part.by_kmer(z[None], k)[0], np.zeros(4**k)
+        for x, v in zip(codes, z):
+            for i in range(len(x) - k + 1):
+                if max(x[i : i + k]) < 4:
+                    total[sum(c * 4 ** (k - 1 - d) for d, c in enumerate(x[i : i + k]))] += v
+        assert found[:-1] == pytest.approx(total, rel=1e-12) and len(calls) == 1 and calls[0][0] == 1
+        worth = np.append(r.random(4**k), 0)
+        assert part.of_kmers(worth[None], k)[0] @ z == pytest.approx(found @ worth)
+
+
 def test_free_protein_solves_its_equation(spark):
     import pandas as pd
 

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from utrflow.functions.measures import occupancy
 from utrflow.operators import descent
-from utrflow.operators.arrays import added_up
+from utrflow.operators.arrays import added_up, portions, small_batches
 from utrflow.operators.kmers import counts
+from utrflow.plans.storage import release, written
 
 CLIP = 1e6
 
@@ -115,12 +116,13 @@ class Model:
         return Model(weights, np.array(a0), np.maximum(v[n + len(a0) :], 1e-12))
 
 
+_LETTERS = np.full(256, 4, np.int64)
+for _i, _same in enumerate(("Aa", "Cc", "Gg", "TUtu")):
+    _LETTERS[[ord(c) for c in _same]] = _i
+
+
 def _codes(seqs: pd.Series) -> np.ndarray:
-    table = np.full(256, 4, np.uint8)
-    for i, letters in enumerate(("Aa", "Cc", "Gg", "TUtu")):
-        for c in letters:
-            table[ord(c)] = i
-    return table[np.frombuffer("".join(seqs).encode("ascii", "replace"), np.uint8)].reshape(len(seqs), -1)
+    return _LETTERS.astype(np.uint8)[np.frombuffer("".join(seqs).encode("ascii", "replace"), np.uint8)].reshape(len(seqs), -1)
 
 
 def _sites(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -131,18 +133,87 @@ def _sites(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return z
 
 
+#: Motifs of up to so many rows have a table of the products of all windows (5^6 numbers, with other letters).
+TABLED = 6
+
+
+class _Portion:
+    """The bases of a portion's reads one after another, each read ended by a letter that is no base, so that a window has
+    a place for each letter and none across reads counts."""
+
+    def __init__(self, seqs: pd.Series) -> None:
+        self.x = _LETTERS[np.frombuffer("\n".join([*seqs, ""]).encode("ascii", "replace"), np.uint8)]
+        lengths = np.array([len(q) + 1 for q in seqs], np.int64)
+        self.reads, self.start = len(lengths), np.cumsum(lengths) - lengths
+        self.own = np.repeat(np.arange(len(lengths)), lengths)
+        self.numbers: dict[int, np.ndarray] = {}
+
+    def at(self, d: int) -> np.ndarray:
+        """The letters d places on."""
+        return np.concatenate([self.x[d:], np.full(min(d, len(self.x)), 4)])
+
+    def sites(self, w: np.ndarray) -> np.ndarray:
+        """The product of the motif by place."""
+        m = np.hstack([w, np.zeros((len(w), 1))])
+        if len(w) > TABLED:
+            z = np.ones(len(self.x))
+            for d in range(len(w)):
+                z *= m[d][self.at(d)]
+            return z
+        if len(w) not in self.numbers:
+            number = np.zeros(len(self.x), np.int64)
+            for d in range(len(w)):
+                number = number * 5 + self.at(d)
+            self.numbers[len(w)] = number
+        table = np.ones(1)
+        for row in m:
+            table = np.outer(table, row).ravel()
+        return table[self.numbers[len(w)]]
+
+    def summed(self, values: np.ndarray) -> np.ndarray:
+        """The sums by read of a number by place."""
+        return np.add.reduceat(values, self.start) if self.reads else np.zeros(0)
+
+    def affinity(self, m: Model) -> np.ndarray:
+        return np.minimum(sum((a * self.summed(self.sites(w)) for a, w in zip(m.a0, m.weights, strict=True)), np.zeros(self.reads)), CLIP)
+
+    def kmers(self, k: int) -> np.ndarray:
+        """The numbers of k-mers by place; 4^k where a letter isn't a base."""
+        return _kmers_of(np.concatenate([self.x, np.full(k - 1, 4)])[None], k)[0]
+
+    def counts(self, k: int) -> np.ndarray | None:
+        """(read, k-mer): how often; None where this would be far more numbers than letters."""
+        size = 4**k + 1
+        if self.reads * size > 4 * len(self.x):
+            return None
+        return np.bincount(self.own * size + self.kmers(k), minlength=self.reads * size).reshape(self.reads, size).astype(float)
+
+    def by_kmer(self, values: np.ndarray, k: int) -> np.ndarray:
+        """(row, k-mer): the sums over the k-mers of all reads of each row's numbers by read."""
+        own = self.counts(k)
+        if own is not None:
+            return values @ own
+        index = self.kmers(k)
+        return np.array([np.bincount(index, weights=v[self.own], minlength=4**k + 1) for v in values])
+
+    def of_kmers(self, worth: np.ndarray, k: int) -> np.ndarray:
+        """(row, read): the sums over a read's k-mers of each row's numbers by k-mer."""
+        own = self.counts(k)
+        if own is not None:
+            return worth @ own.T
+        index = self.kmers(k)
+        return np.array([self.summed(v[index]) for v in worth])
+
+
 def read_affinity(reads: DataFrame, model: Model, seq: str = "seq") -> DataFrame:
     """``reads`` with z: the sum over motifs and places of a0 * product (clipped), in Arrow batches."""
     shared = reads.sparkSession.sparkContext.broadcast(model)
+    small_batches(reads.sparkSession)
 
     @F.pandas_udf("double")
     def z(own: pd.Series) -> pd.Series:
-        m, out = shared.value, np.zeros(len(own))
-        for length, rows in own.fillna("").groupby(own.fillna("").str.len()):
-            if length:
-                x = _codes(rows)
-                out[own.index.get_indexer(rows.index)] = sum(a * _sites(x, w).sum(axis=1) for a, w in zip(m.a0, m.weights, strict=True))
-        return pd.Series(np.minimum(out, CLIP))
+        parts = portions(iter([own.fillna("").to_frame("seq")]))
+        return pd.Series(np.concatenate([np.zeros(0), *(_Portion(p["seq"]).affinity(shared.value) for p in parts if len(p))]))
 
     return reads.withColumn("z", z(F.col(seq)))
 
@@ -158,10 +229,6 @@ def _kmers_of(x: np.ndarray, k: int) -> np.ndarray:
     return index
 
 
-def _affinity(x: np.ndarray, m: Model) -> np.ndarray:
-    return np.minimum(sum(a * _sites(x, w).sum(axis=1) for a, w in zip(m.a0, m.weights, strict=True)), CLIP)
-
-
 def _by_length(part: pd.DataFrame, k: int, make: Callable[[np.ndarray], np.ndarray], length: int) -> np.ndarray:
     total = np.zeros(length)
     for n, rows in part["seq"].groupby(part["seq"].str.len()):
@@ -175,18 +242,14 @@ def _bound_kmers(reads: DataFrame, models: list[Model], free: list[float], k: in
     size = 4**k + 1
     shared = reads.sparkSession.sparkContext.broadcast((models, free))
 
-    def weigh(x: np.ndarray) -> np.ndarray:
+    def weigh(part: pd.DataFrame) -> np.ndarray:
         own, p = shared.value
-        index = _kmers_of(x, k)
-        out = np.empty((len(own), len(p), size))
-        for i, m in enumerate(own):
-            z = _affinity(x, m)
-            for s, c in enumerate(p):
-                out[i, s] = np.bincount(index.ravel(), weights=np.repeat(z * c / (z * c + 1), index.shape[1]), minlength=size)
-        return out.ravel()
+        x = _Portion(part["seq"])
+        z = np.array([x.affinity(m) for m in own])[:, None, :] * np.array(p)[:, None]  # by model, sample and read
+        return x.by_kmer((z / (z + 1)).reshape(-1, x.reads), k).ravel()
 
     n = len(models) * len(free) * size
-    return added_up(reads.select("seq").filter("seq is not null"), lambda part: _by_length(part, k, weigh, n), n).reshape(len(models), len(free), size)[..., :-1]
+    return added_up(reads.select("seq").filter("seq is not null"), weigh, n).reshape(len(models), len(free), size)[..., :-1]
 
 
 def _predicted(q: np.ndarray, model: Model, f0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,24 +281,23 @@ def gradient(reads: DataFrame, model: Model, free: list[float], k: int, f0: np.n
     worth = sc.broadcast(np.hstack([d_w, np.zeros((samples, 1))]))
     n = sum(x.size for x in model.weights)
 
-    def chain(x: np.ndarray) -> np.ndarray:
+    def chain(part: pd.DataFrame) -> np.ndarray:
         m, p = shared.value
-        z, index = _affinity(x, m), _kmers_of(x, k)
-        d_z = sum(worth.value[s][index].sum(axis=1) * p[s] / (z * p[s] + 1) ** 2 for s in range(samples))
-        d_z = np.where(z >= CLIP, 0, d_z)
+        x = _Portion(part["seq"])
+        z = x.affinity(m)
+        d_z = sum(v * c / (z * c + 1) ** 2 for v, c in zip(x.of_kmers(worth.value, k), p, strict=True))
+        d_z = np.where(z >= CLIP, 0, d_z)[x.own]
         out, at = np.zeros(n + len(m.a0)), 0
         for i, (a, wt) in enumerate(zip(m.a0, m.weights, strict=True)):
-            site = _sites(x, wt)
+            site = d_z * x.sites(wt)
             for d in range(len(wt)):
-                base = x[:, d : d + site.shape[1]]
-                for b in range(4):
-                    out[at + 4 * d + b] = (d_z[:, None] * a * np.where(base == b, site / wt[d, b], 0)).sum()
-            out[n + i] = (d_z[:, None] * site).sum()
+                out[at + 4 * d : at + 4 * d + 4] = a * np.bincount(x.at(d), weights=site, minlength=5)[:4] / wt[d]
+            out[n + i] = site.sum()
             at += wt.size
         return out
 
     length = n + len(model.a0)
-    slopes = added_up(reads.select("seq").filter("seq is not null"), lambda part: _by_length(part, k, chain, length), length)
+    slopes = added_up(reads.select("seq").filter("seq is not null"), chain, length)
     return float(((r - observed) ** 2).mean()), np.concatenate([slopes, (d_w * f0).sum(axis=1)])
 
 
@@ -248,12 +310,15 @@ def converged(errors: list[float], way: np.ndarray | None, slope: float, trend:
 def descend(reads: DataFrame, model: Model, totals: list[float], rna: float, k: int, f0: np.ndarray, observed: np.ndarray, steps: int = 500, keep: float = 0.5, slope: float = 1e-6, trend: int = 13, path: str | None = None) -> tuple[Model, list[float]]:
     """(model, errors by step) of ``descent.descend`` over the reads, with the free protein of each step's model.
 
-    A step takes five passes over the reads: two for free protein, two for the gradient, and one for all trial steps.
+    A step takes four passes over the reads: one for free protein, whose Z are written, two for the gradient, and one for all
+    trial steps.
     """
     free: list[float] = []
 
     def evaluate(one: Model) -> tuple[float, np.ndarray]:
-        hist = z_histogram(read_affinity(reads, one), "z")
+        z = written(read_affinity(reads, one).select("z"), "affinities")
+        hist = z_histogram(z, "z")
+        release(z)
         free[:] = [free_protein(hist, t, rna) for t in totals]
         return gradient(reads, one, free, k, f0, observed)
 
